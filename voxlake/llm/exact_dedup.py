@@ -7,20 +7,12 @@ digest; every other row passes straight through.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import blocks_for, build, test
 from .common import SPACE, checkpointed, fresh, text_of
 
-#: Bits of one block; a block is one row of the filter, and all cells of a row lie in one block.
-BLOCK_BITS = 32_768
-#: Cells of each row, bits of the filter for each row, and the most blocks (64 MB): a full filter lets more
-#: rows through to the shuffle, which costs time but changes no result.
-CELLS = 3
-BITS_PER_ROW = 16
-MOST_BLOCKS = 16_384
 #: A group with more than one row in so many counts as hot: there can't be more hot groups than this.
 HOT_SHARE = 1_000
 
@@ -30,45 +22,6 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_of(text), SPACE, " ")
 
 
-def _cell(digest: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(BLOCK_BITS)).cast("int")
-
-
-def repeat_filter(digests: DataFrame, digest: str, blocks: int) -> DataFrame:
-    """The cells that at least two rows have hit, as one bitmap a block: (block, marked binary).
-
-    What is shuffled is a partial count for each cell, not the rows; the result has `blocks` rows at most.
-    """
-    d = F.col(digest)
-    cells = F.array_distinct(F.array(*[_cell(d, k) for k in range(CELLS)]))
-    return (
-        digests.select(F.pmod(F.xxhash64(d), F.lit(blocks)).cast("int").alias("block"), F.explode(cells).alias("cell"))
-        .groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .groupBy("block").agg(F.bitmap_construct_agg(F.col("cell").cast("long")).alias("marked"))
-    )
-
-
-def _is_marked(marked: Column, cell: Column) -> Column:
-    """Whether the bit is set; the bitmap's bytes hold the lowest bit first."""
-    byte = F.conv(F.hex(F.substring(marked, F.shiftright(cell, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(cell, F.lit(8)))), F.lit(2)) == 1
-
-
-def maybe_repeated(rows: DataFrame, digest: str, marks: DataFrame, blocks: int, out: str) -> DataFrame:
-    """`rows` with a flag: false only if no other row has the same digest. The filter's size is bounded, so it is broadcast."""
-    d = F.col(digest)
-    block, marked = fresh(rows.columns, "block", "marked")
-    side = F.broadcast(marks.select(F.col("block").alias(block), F.col("marked").alias(marked)))
-    held = rows.withColumn(block, F.pmod(F.xxhash64(d), F.lit(blocks)).cast("int")).join(side, block, "left")
-    hits = [_is_marked(F.col(marked), _cell(d, k)) for k in range(CELLS)]
-    flag = F.coalesce(reduce(lambda a, b: a & b, hits), F.lit(False))
-    return held.withColumn(out, flag).drop(block, marked)
-
-
-def blocks_for(rows: int) -> int:
-    return max(1, min(MOST_BLOCKS, -(-rows * BITS_PER_ROW // BLOCK_BITS)))
-
-
 def groups_of(suspects: DataFrame, digest: str, doc_id: str) -> DataFrame:
     """(digest, keep_id, group_size) of rows that may be repeated; partial sums go first, so hot groups are small."""
     return suspects.groupBy(digest).agg(F.min(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -100,7 +53,7 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     own = checkpointed(own)
     rows = own.count()
     blocks = blocks_for(rows)
-    flagged = maybe_repeated(own, "text_sha256", repeat_filter(own, "text_sha256", blocks), blocks, "again")
+    flagged = test(own, "text_sha256", build(own, "text_sha256", blocks, at_least=2), blocks, "again")
     flagged = checkpointed(flagged)
     alone = flagged.where(~F.col("again")).select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     grouped = with_groups(flagged.where("again").drop("again"), "text_sha256", "doc_id", rows)
@@ -120,13 +73,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     own = checkpointed(full.select(digest, key))
     rows = own.count()
     blocks = blocks_for(rows)
-    marks = checkpointed(repeat_filter(own, digest, blocks))
-    suspects = maybe_repeated(own, digest, marks, blocks, again).where(again).drop(again)
+    marks = checkpointed(build(own, digest, blocks, at_least=2))
+    suspects = test(own, digest, marks, blocks, again).where(again).drop(again)
     # Of each group the key that stays, and whether more than one row has it.
     groups = suspects.groupBy(digest, key).agg(F.count(F.lit(1)).alias("n")).groupBy(digest)
     groups = checkpointed(groups.agg(F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), F.col("n"))).alias("first")))
     stays = groups.select(digest, F.col("first.id").alias(f"{key}_stays"), F.col("first.n").alias(f"{key}_n"))
-    flagged = maybe_repeated(full, digest, marks, blocks, again)
+    flagged = test(full, digest, marks, blocks, again)
     alone = flagged.where(~F.col(again)).select(docs.columns)
     # One row of each group remains after this equality of digest and key, so no group gathers its texts.
     met = flagged.where(again).join(stays, (flagged[digest] == stays[digest]) & flagged[key].eqNullSafe(stays[f"{key}_stays"]))
