@@ -18,15 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a laptop) is a folder of our own used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests, a laptop), one of our own."""
+    context = spark.sparkContext
+    own = context._jsc.sc().getCheckpointDir()
+    if own.isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxlake-checkpoint-"))
+        own = context._jsc.sc().getCheckpointDir()
+    return own.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
