@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash, toxicity
+from . import bpe, decontaminate, exact_dedup, pii, quality, simhash, toxicity
 from .common import held_out, table
 
 
@@ -64,6 +64,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "at", "matched", "window")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[pii.counted("base", k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
@@ -71,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
