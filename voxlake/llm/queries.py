@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, pii, quality, simhash, toxicity
-from .common import held_out, table
+from . import bpe, chat, decontaminate, exact_dedup, lm_score, pii, quality, simhash, token_counts, toxicity
+from .common import held_out, table, text_of
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -71,13 +71,63 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = lm_score.train(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return lm_score.score(docs, models).select("doc_id", *lm_score.ADDED)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after three edits of each: a deletion, an insertion and a new ending."""
+    import public_tokenizers
+
+    size = F.length(text_of())
+    edit = lambda start, stop, new: F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), F.lit(new).alias("new"))
+    quarter = F.floor(size / 4)
+    edits = F.array(edit(quarter, quarter + 10, ""), edit(F.floor(size / 2), F.floor(size / 2), " (edited) "), edit(size - 5, size, "'re done."))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    counted = token_counts.count_edited(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counted.select("doc_id", *token_counts.ADDED)
+
+
+#: The tool that a conversation's users call: a turn of theirs is a call, the turn after it the result.
+REPLY_SCHEMA = """{"type": "object", "required": ["prompt", "turn"], "additionalProperties": false,
+ "properties": {"prompt": {"type": "string", "minLength": 20}, "turn": {"type": "integer", "minimum": 0}}}"""
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda turn: F.concat_ws(":", "conv_id", turn)
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn")), {"ignoreNullFields": "false"})
+    calls = turns.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("result"))
+    return chat.link(calls, results, {"reply": REPLY_SCHEMA})
+
+
+OP8_SQL = """
+WITH c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.call_id, r.call_id) AS call_id,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status,
+  c.text AS prompt, c.turn AS asked, r.text AS result, c.call_id IS NOT NULL AS called FROM c FULL JOIN r ON c.call_id = r.call_id)
+SELECT conv_id, turn, call_id, status, 0 AS level, called AND length(prompt) >= 20 AS valid,
+  CASE WHEN called AND length(prompt) < 20 THEN '$.prompt: length' ELSE '' END AS errors,
+  CAST(json_object('arguments', CASE WHEN called THEN json_object('prompt', prompt, 'turn', asked) END, 'id', call_id, 'level', 0,
+    'name', CASE WHEN called THEN 'reply' END, 'result', result, 'status', status) AS VARCHAR) AS json
+FROM j
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op6_lm_score": op6_lm_score,
     "op7_toxicity": op7_toxicity,
+    "op8_chat": op8_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL}
