@@ -6,6 +6,7 @@ so it needs neither order nor one task for each utterance; the sums are partly d
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -78,15 +79,15 @@ def fir_zero_phase(signal: DataFrame, taps: Sequence[float]) -> DataFrame:
     return full.join(signal.groupBy("utt").agg(F.max("i").alias("end")), "utt").where("i >= 0 and i <= end").select("utt", "i", "x")
 
 
-def fir_up_down(signal: DataFrame, taps: Sequence[float], up: int, down: int) -> DataFrame:
-    """Change the rate by up / down: y[j] = sum of x[i] * h[down * j - up * i], j up to up * (n - 1) / down."""
+def fir_up_down(signal: DataFrame, taps: Sequence[float], up: int, down: int, offset: int = 0) -> DataFrame:
+    """Change the rate by up / down: y[j] = sum of x[i] * h[down * j - up * i + offset], j up to up * (n - 1) / down."""
     i = F.col("i")
-    low = F.ceil(i * up / down).cast("long")
-    high = F.floor((i * up + len(taps) - 1) / down).cast("long")
+    low = F.greatest(F.lit(0), F.ceil((i * up - offset) / down)).cast("long")
+    high = F.floor((i * up + len(taps) - 1 - offset) / down).cast("long")
     h = F.array(*map(F.lit, map(float, taps)))
     outputs = F.transform(
         F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")),
-        lambda j: F.struct(j.alias("j"), F.get(h, (j * down - i * up).cast("int")).alias("weight")),
+        lambda j: F.struct(j.alias("j"), F.get(h, (j * down - i * up + offset).cast("int")).alias("weight")),
     )
     ends = signal.groupBy("utt").agg(F.floor(F.max("i") * up / down).alias("end"))
     grid = ends.select("utt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end").cast("long"))).alias("i")).withColumn("x", F.lit(0.0))
@@ -94,6 +95,34 @@ def fir_up_down(signal: DataFrame, taps: Sequence[float], up: int, down: int) ->
     return grid.unionByName(spread).groupBy("utt", "i").agg(F.sum("x").alias("x"))
 
 
+#: Steps from a rate to 8 and to 16 kHz, as (up, down).
+TO_8K = {8000: (1, 1), 16000: (1, 2), 32000: (1, 4), 48000: (1, 6), 11025: (320, 441), 22050: (160, 441), 44100: (80, 441)}
+TO_16K = {16000: (1, 1), 32000: (1, 2), 48000: (1, 3), 22050: (320, 441), 44100: (160, 441)}
+
+
+def low_pass(up: int, down: int, lobes: int = 8) -> list[float]:
+    """A Hann-windowed sinc at the lower of the two rates' half, for the raised rate; odd and symmetric."""
+    wide = max(up, down)
+    half = lobes * wide
+    taps = []
+    for k in range(-half, half + 1):
+        x = k / wide
+        sinc = 1.0 if k == 0 else math.sin(math.pi * x) / (math.pi * x)
+        taps.append(sinc * (0.5 + 0.5 * math.cos(math.pi * k / (half + 1))) * up / wide)
+    return taps
+
+
+def resample(signal: DataFrame, rate: int, steps: dict[int, tuple[int, int]] = TO_8K) -> DataFrame:
+    """The signal at the target rate of `steps`, without delay; rates that have no step are an error."""
+    if rate not in steps:
+        raise ValueError(f"no way to resample from {rate} Hz")
+    up, down = steps[rate]
+    if up == down:
+        return signal.select("utt", "i", "x")
+    taps = low_pass(up, down)
+    return fir_up_down(signal, taps, up, down, len(taps) // 2)
+
+
 def quantize(signal: DataFrame, scale: bool = False, clip: bool = False, truncate: bool = False) -> DataFrame:
     """16-bit samples: scaled to the peak or clipped, truncated toward zero or rounded half away from it."""
     if not (scale or clip):
