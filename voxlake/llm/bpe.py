@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sliced
+
 #: Stands for the end-of-word suffix inside this module; it is no byte-level character.
 END = ""
 #: Words whose encoding a Python worker remembers; the memory of a worker is bounded by it.
-CACHED_WORDS = 200_000
-CACHED_PAIRS = 500_000
-ROWS = 512
+CACHED_WORDS = 80_000
+CACHED_PAIRS = 200_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -194,18 +195,16 @@ def encoder(path: str) -> PrefixEncoder:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, text: str, names: list[str], both: bool) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
-    for whole in batches:
-        for start in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(start, ROWS)
-            flat, ends, decoded = [], [0], []
-            for value in batch.column(text).to_pylist():
-                flat.append(packed := own.packed(value or ""))
-                ends.append(ends[-1] + len(packed))
-                if both:
-                    decoded.append(own.decode(packed))
-            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(flat))])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids] + ([pa.array(decoded, pa.string())] if both else []), names=names)
+    for batch in sliced(batches):
+        flat, ends, decoded = [], [0], []
+        for value in batch.column(text).to_pylist():
+            flat.append(packed := own.packed(value or ""))
+            ends.append(ends[-1] + len(packed))
+            if both:
+                decoded.append(own.decode(packed))
+        values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(flat))])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        yield pa.RecordBatch.from_arrays([*batch.columns, ids] + ([pa.array(decoded, pa.string())] if both else []), names=names)
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -227,12 +226,10 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, ids: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
-    for whole in batches:
-        for start in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(start, ROWS)
-            known = range(len(own.strings))
-            texts = [own.decode(i for i in x or () if i is not None and i in known) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
+    for batch in sliced(batches):
+        known = range(len(own.strings))
+        texts = [own.decode(i for i in x or () if i is not None and i in known) for x in batch.column(ids).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -35,6 +35,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sliced(batches: Iterable, rows: int = 512) -> Iterable:
+    """Arrow batches in slices of some rows, so that a Python worker holds few texts at a time."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows):
+            yield whole.slice(start, rows)
+
+
 def text_of(name: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, text_of
+from .common import checkpointed, sliced, text_of
 
 #: Size of the models, which bounds what is broadcast (32 MB): words of the shared vocabulary and bigram
 #: cells. Counts of all documents go into them; other words share one entry.
@@ -55,7 +55,7 @@ class Vocabulary(dict):
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         n: Counter[bytes] = Counter()
         for text in batch.column("text").to_pylist():
             n.update(words_of(text))
@@ -74,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch], words: dict[bytes, int]) -> Iterat
     own = Vocabulary(words)
     base = VOCABULARY + 1
     n = np.zeros((2, base + CELLS), np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             ids = own.ids(text)
             if len(ids):
@@ -136,7 +136,7 @@ def train(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str
 def _score(batches: Iterator[pa.RecordBatch], held, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     models = held.value
     own = Vocabulary(models.words)
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for t in batch.column(text).to_pylist():
             ids = own.ids(t or "")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bitmap import without
-from .common import checkpointed, fresh
+from .common import checkpointed, fresh, sliced
 from .components import components
 
 SEED, WORDS, RADIUS = 42, 3, 3
@@ -58,7 +58,7 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         f = np.array([fingerprint(t or "") for t in batch.column(text).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != text), pa.array(f)], names=names)
 

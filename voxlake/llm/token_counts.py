@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import sliced
+
 #: Characters after the end of a pre-token that its split may have looked at.
 AHEAD = 3
 #: Pre-tokens in one leaf, and the depth at which a tree is balanced anew.
 LEAF, DEEPEST = 32, 60
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class Counter(dict):
@@ -161,20 +163,18 @@ ADDED = ("n_tokens", "n_tokens_edited", "n_pieces_encoded")
 
 def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, edits: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     split, counter = splitter(path, pattern)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            out = []
-            for t, changes in zip(batch.column(text).to_pylist(), batch.column(edits).to_pylist(), strict=True):
-                own = CountedText(t or "", split, counter)
-                before = own.tokens
-                for x in changes or ():
-                    if x is not None:
-                        start = x["start"] or 0
-                        own.edit(start, start if x["stop"] is None else x["stop"], x["new"] or "")
-                out.append((before, own.tokens, own.encoded))
-            columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), (), ()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+    for batch in sliced(batches):
+        out = []
+        for t, changes in zip(batch.column(text).to_pylist(), batch.column(edits).to_pylist(), strict=True):
+            own = CountedText(t or "", split, counter)
+            before = own.tokens
+            for x in changes or ():
+                if x is not None:
+                    start = x["start"] or 0
+                    own.edit(start, start if x["stop"] is None else x["stop"], x["new"] or "")
+            out.append((before, own.tokens, own.encoded))
+        columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), (), ()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
 
 def count_edited(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", edits: str = "edits") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample
+from .common import labelled_sample, sliced
 
 #: Documented bounds of the training: labelled rows sampled, passes over them, hashed dimensions.
 SAMPLE = 8_000
@@ -106,7 +106,7 @@ def fit(rows: list[np.ndarray], y: list[int]) -> ToxicityModel:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         found = [np.unique(grams(t or "")) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int32())), batch.column("y")], names=["doc_id", "x", "y"])
 
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     table = model.dense()
-    for batch in batches:
+    for batch in sliced(batches):
         s = [model.score(grams(t or ""), table) for t in batch.column(text).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=names)
 
