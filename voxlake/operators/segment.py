@@ -106,7 +106,8 @@ def cluster(segments: DataFrame, frames: DataFrame, weight: float = 1.0, thresho
     A segment's statistics are summed where its frames are; the joining sees segments, not frames. An
     utterance with more than `most` segments is an error, as the joining compares all its segments.
     """
-    pairs = frames.join(segments, "utt").where("frame >= start and frame < stop")
+    held = segments.where("stop > start").select("utt", "start", "stop", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("frame"))
+    pairs = frames.join(held, ["utt", "frame"])
     def summed(p: pd.DataFrame) -> pd.DataFrame:
         n, total, squares = _stats(np.array(p["base"].tolist(), float))
         return p[["utt", "start", "stop"]].iloc[:1].assign(x=[[float(n), *total.tolist(), *squares.ravel().tolist()]])
