@@ -82,7 +82,7 @@ def uniform(k: Column) -> Column:
         return F.aggregate(on, F.lit(seed).cast("long"), lambda a, s: (a * s["p"]) % modulus)
 
     (m1, a1, s1), (m2, a2, s2) = GENERATORS
-    z = state(m1, a1, s1) - state(m2, a2, s2)
+    z = state(m1, a1, s1) - m1 + state(m2, a2, s2)
     return F.when(z < 1, z + m1 - 1).otherwise(z) / float(m1)
 
 
@@ -183,7 +183,7 @@ def draws(count: int, start: int = 1) -> np.ndarray:
             out[k] = s
             s = s * multiplier % modulus
         states.append(out)
-    z = states[0] - states[1]
+    z = states[0] - GENERATORS[0][0] + states[1]
     return np.where(z < 1, z + GENERATORS[0][0] - 1, z) / GENERATORS[0][0]
 
 

@@ -106,5 +106,5 @@ ORACLES = {
       SELECT hz, round((r + 2 * atan(0.1::DOUBLE * sin(r) / (1 - 0.1::DOUBLE * cos(r)))) * 4000 / {math.pi}::DOUBLE, 5) + 0.0 AS warped FROM r""",
     "dither_uniform": f"""WITH RECURSIVE {V.SIGNALS}, g AS (SELECT 0 AS k, 55555::BIGINT AS a, 99999::BIGINT AS b
       UNION ALL SELECT k + 1, a * 40014 % 2147483563, b * 40692 % 2147483399 FROM g WHERE k <= (SELECT max(i) FROM signals))
-      SELECT utt, i, round((CASE WHEN a - b < 1 THEN a - b + 2147483562 ELSE a - b END) / 2147483563.0::DOUBLE, 8) + 0.0 AS u FROM signals JOIN g ON g.k = i + 1""",
+      SELECT utt, i, round((CASE WHEN a + b - 2147483563 < 1 THEN a + b - 1 ELSE a + b - 2147483563 END) / 2147483563.0::DOUBLE, 8) + 0.0 AS u FROM signals JOIN g ON g.k = i + 1""",
 }
