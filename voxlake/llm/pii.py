@@ -29,7 +29,7 @@ BASE = {
 #: Wider patterns, whose matches need the classifier: spelt-out addresses and numbers without a country code.
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z.-])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?<![0-9][\x20.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z-])(?![\x20.][0-9])",
 }
 #: A cheap test that a text can have matches at all.
 NEEDS = {"email": "@", "phone": "+"}
@@ -206,10 +206,12 @@ def fit(patterns: list[tuple], rounds: int = ROUNDS) -> SpanModel:
         true, false = np.clip(true, 0.02, 0.98), np.clip(false, 0.02, 0.98)
     x = np.concatenate([np.eye(kinds)[kind], no, yes], axis=1)
     weight = np.sqrt(n)  # frequent patterns count more, but don't drown the rest
-    w = np.zeros(x.shape[1])
+    # The ridge draws to the log odds of the estimated reliabilities, which stand for votes that no span has.
+    middle = np.concatenate([np.log(share / (1 - share)), np.log((1 - true) / (1 - false)), np.log(true / false)])
+    w = middle.copy()
     for _ in range(40):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - q)) - 0.05 * w
+        gradient = x.T @ (weight * (p - q)) - 0.05 * (w - middle)
         step = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(len(w)), gradient)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
