@@ -97,6 +97,13 @@ def labels_for(lengths: DataFrame, labels: DataFrame, sloppy: bool = False) -> D
     return grid.join(labels, ["utt", "frame"], "left").select("utt", "frame", F.coalesce("sad", F.lit(0)).alias("sad"))
 
 
+def and_user_marks(frames: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
+    """Labels kept only in blocks of `width` frames that the user's string (utt, marks) marks S or s; beyond it nothing is kept."""
+    kept = blocks.select("utt", F.posexplode(F.split("marks", "")).alias("block", "mark")).where("upper(mark) = 'S'").select("utt", "block")
+    own = frames.withColumn("block", F.floor(F.col("frame") / width).cast("int"))
+    return own.join(kept.withColumn("keep", F.lit(True)), ["utt", "block"], "left").select("utt", "frame", F.when(F.col("keep"), F.col("sad")).otherwise(0).alias("sad"))
+
+
 def smooth_scores(scores: DataFrame, length: int) -> DataFrame:
     """(utt, frame, model, score): the running mean of `length` frames less the mean over models.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..operators import features as X
 from ..operators import intervals as I
 from ..operators import sad as D
@@ -55,6 +56,22 @@ def _turns(spark, sf_dir):
     return own.select(F.col("conv_id").alias("utt"), F.col("turn").alias("start"), (F.col("turn") + 1).alias("stop"), F.when(F.col("role") == "system", "user").otherwise(F.col("role")).alias("label"))
 
 
+def _user_marks(spark, sf_dir):
+    own = V.signals(spark, sf_dir).groupBy("utt").agg(F.count(F.lit(1)).alias("n"))
+    return own.select("utt", F.when(F.col("utt") % 2 == 0, "SnsS").otherwise("nnSSxs").alias("marks"))
+
+
+def _algebra(spark, sf_dir):
+    """One number of each vector operation, over a frame's first 8 and last 8 features."""
+    a, b = F.slice("base", 1, 8), F.slice("base", 57, 8)
+    out = V.frames(spark, sf_dir).select(
+        "utt", "frame", A.mean(a).alias("mean"), A.deviation(a, 1e-6).alias("deviation"), A.inner(a, b).alias("inner"), A.total(A.add(a, b)).alias("added"),
+        A.total(A.divide(a, A.shift(A.multiply(b, b), F.lit(1.0)))).alias("divided"), A.total(A.scale(A.subtract(a, b), F.lit(2.0))).alias("scaled"),
+        A.total(A.add_diagonal(A.outer(a, b), 8, F.lit(0.5))).alias("outer"), A.total(A.constant(F.lit(1.5), F.size(a))).alias("constant"),
+    )
+    return rounded(out, "mean", "deviation", "inner", "added", "divided", "scaled", "outer")
+
+
 QUERIES = {
     "feat_delta": lambda spark, sf_dir: _long(_deltas(spark, sf_dir), "delta"),
     "feat_delta2point": lambda spark, sf_dir: _long(X.difference(V.frames(spark, sf_dir), 1), "delta"),
@@ -75,6 +92,8 @@ QUERIES = {
     "sad_frames_to_marks": lambda spark, sf_dir: D.marks_text(_runs(spark, sf_dir), 10.0, F.lit("speech")),
     "sad_label_pad": lambda spark, sf_dir: D.labels_for(_lengths(spark, sf_dir), _sad(spark, sf_dir).where("frame < 60").select("utt", "frame", "sad"), sloppy=True),
     "sad_string": lambda spark, sf_dir: D.speech_string(_sad(spark, sf_dir), 32),
+    "sad_user_marks": lambda spark, sf_dir: D.and_user_marks(_sad(spark, sf_dir).select("utt", "frame", "sad"), _user_marks(spark, sf_dir), 10),
+    "vec_algebra": lambda spark, sf_dir: _algebra(spark, sf_dir),
     "score_smooth": lambda spark, sf_dir: rounded(D.smooth_scores(_scores(spark, sf_dir), 10), "score"),
     "segments_argmax_rle": lambda spark, sf_dir: I.runs(D.best_model(_scores(spark, sf_dir))),
     "segments_from_sad": _runs,
@@ -151,6 +170,10 @@ ORACLES = {
     "sad_frames_to_marks": f"{_RUNS} SELECT utt, start, printf('speech %.2f %.2f', start * 0.01::DOUBLE, (stop - start) * 0.01::DOUBLE) AS line FROM runs WHERE label = 1",
     "sad_label_pad": f"{_SAD} SELECT utt, frame, CASE WHEN frame < 60 THEN sad ELSE 0 END AS sad FROM sad",
     "sad_string": f"{_SAD} SELECT utt, frame // 32 AS chunk, string_agg(CASE WHEN sad = 1 THEN 's' ELSE 'n' END, '' ORDER BY frame) AS marks FROM sad GROUP BY ALL",
+    "sad_user_marks": f"{_SAD} SELECT utt, frame, CASE WHEN upper(substr(CASE WHEN utt % 2 = 0 THEN 'SnsS' ELSE 'nnSSxs' END, CAST(frame // 10 + 1 AS INTEGER), 1)) = 'S' THEN sad ELSE 0 END AS sad FROM sad",
+    "vec_algebra": f"""WITH {V.LONG}, p AS (SELECT a.utt, a.frame, a.v AS a, b.v AS b FROM long a JOIN long b ON a.utt = b.utt AND a.frame = b.frame AND b.d = a.d + 56 WHERE a.d < 8)
+      SELECT utt, frame, round(avg(a), 5) + 0.0 AS mean, round(greatest(stddev_pop(a), 1e-6), 5) + 0.0 AS deviation, round(sum(a * b), 5) + 0.0 AS "inner", round(sum(a + b), 5) + 0.0 AS added,
+        round(sum(a / (b * b + 1)), 5) + 0.0 AS divided, round(sum(2 * (a - b)), 5) + 0.0 AS scaled, round(sum(a) * sum(b) + 4, 5) + 0.0 AS "outer", 12.0::DOUBLE AS "constant" FROM p GROUP BY utt, frame""",
     "score_smooth": f"""WITH {V.SIGNALS}, s AS (SELECT utt, i AS frame, unnest([0, 1, 2]) AS model, unnest([x / 50, 100 / (x + 10), abs(x - 80) / 40]) AS score FROM signals),
       m AS (SELECT *, count(*) OVER w AS c, avg(score) OVER w AS a FROM s WINDOW w AS (PARTITION BY utt, model ORDER BY frame ROWS BETWEEN 4 PRECEDING AND 5 FOLLOWING)),
       f AS (SELECT utt, frame, model, CASE WHEN c = 10 THEN a WHEN frame < 4 THEN first_value(CASE WHEN c = 10 THEN a END IGNORE NULLS) OVER v ELSE last_value(CASE WHEN c = 10 THEN a END IGNORE NULLS) OVER v END AS score
