@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm import bpe, decontaminate, exact_dedup, quality, simhash
-from voxlake.llm.common import shared_folder, table
+from voxlake.llm.common import fresh, shared_folder, table
 from voxlake.llm.queries import tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_quality").where(F.col("_quality") >= 0.5).select(docs.columns)
+    (name,) = fresh(docs.columns, "quality_score")
+    return quality.score(docs, model, out=name).where(F.col(name) >= 0.5).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
