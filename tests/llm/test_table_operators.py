@@ -108,8 +108,7 @@ def test_dense_groups_lose_no_link(spark, part):
     prints = list(dict.fromkeys(prints))
     nodes = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in prints], "fp long")
     links = simhash.near_links(nodes, part=part)
-    for a, b in links.collect()[:0]:
-        assert a != b
+    assert links.where("a = b").count() == 0
     root = {r["node"]: r["root"] for r in components(links).collect()}
     signed = [int(np.uint64(x).astype(np.int64)) for x in prints]
     want = brute_components(signed, prints)
@@ -189,6 +188,20 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.link(empty, empty.select("conv_id", "turn", "call_id", F.col("name").alias("result")), {}).count() == 0
 
 
+def test_stages_take_odd_and_empty_tables(spark):
+    import corpus_pipeline
+
+    rows = [*ROWS, (30, "<|endoftext|> É\x00"), (31, "\n" * 500)]
+    docs = table(spark, rows).withColumn("quality_score", F.lit(9.0)).withColumn("_quality", F.lit("q"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() <= len(rows), name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+        if name != "encode":
+            assert out.columns == docs.columns
+            assert out.where("quality_score <> 9 or _quality <> 'q'").count() == 0
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
