@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .blocks import clamped, own_rows, with_halo
 
-#: RASTA: the pole, and taps on this frame and the four before; the output is two frames early.
+#: Fixed values of RASTA: the pole, and taps on this frame and the four before; the output is two frames early.
 POLE, TAPS = 0.98, (0.2, 0.1, 0.0, -0.1, -0.2)
 #: Frames of a block of the recursion, and the blocks that a block's state reaches.
 PART, REACH = 256, 8

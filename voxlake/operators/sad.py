@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .blocks import over, own_rows, with_halo
 
-#: Energy detector: history slots, frames before they count, rise of the floor a frame, decay, largest jump, patience.
+#: Fixed values of the energy detector: history slots, frames before they count, rise of the floor a frame, decay, largest jump, patience.
 HISTORY, ADAPT, RISE, DECAY, JUMP, PATIENCE = 10, 500, 0.002166062, 0.9, 100.0, 20
 
 

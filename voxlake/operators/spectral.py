@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The period of the reference's window and transform tables.
+#: Fixed value: twice pi as the window has it.
 TWO_PI = 6.283185308
-#: Moduli, multipliers and seeds of the two generators behind the dither.
+#: Moduli, multipliers and seeds of the two generators behind the dither.
 GENERATORS = ((2_147_483_563, 40_014, 55_555), (2_147_483_399, 40_692, 99_999))
 FLOOR = 1e-20
 
