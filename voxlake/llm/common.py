@@ -60,6 +60,25 @@ def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+#: A group with more than one row in so many counts as hot: there can't be more hot groups than this.
+HOT_SHARE = 1_000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Each row with the columns of its group (one row for each key that occurs, `size` rows of `total`).
+
+    Hot groups are at most HOT_SHARE, so they are broadcast and their rows stay where they are; the rows of
+    other groups are joined by key. `groups` should be checkpointed, as it is read twice.
+    """
+    (seen,) = fresh([*rows.columns, *groups.columns], "seen")
+    hot = F.col(size) * HOT_SHARE > total
+    first = rows.join(F.broadcast(groups.where(hot).withColumn(seen, F.lit(True))), key, "left")
+    names = [*rows.columns, *(c for c in groups.columns if c != key)]
+    done = first.where(F.col(seen).isNotNull()).select(names)
+    rest = first.where(F.col(seen).isNull()).select(rows.columns)
+    return done.unionByName(rest.join(groups.where(~hot), key).select(names))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The fold that no model learns from: crc32(doc_id as text) mod 3 is 1 (null: not held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))

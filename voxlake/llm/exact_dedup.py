@@ -11,10 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmap import blocks_for, build, test
-from .common import SPACE, checkpointed, fresh, text_of
-
-#: A group with more than one row in so many counts as hot: there can't be more hot groups than this.
-HOT_SHARE = 1_000
+from .common import SPACE, checkpointed, fresh, text_of, with_group
 
 
 def normalised(text: str = "text") -> Column:
@@ -27,21 +24,6 @@ def groups_of(suspects: DataFrame, digest: str, doc_id: str) -> DataFrame:
     return suspects.groupBy(digest).agg(F.min(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def with_groups(suspects: DataFrame, digest: str, doc_id: str, rows: int) -> DataFrame:
-    """Each suspect with its group's keep_id and group_size.
-
-    Hot groups are at most HOT_SHARE, so they are broadcast and their rows stay where they are; the rows of
-    other groups are joined by digest.
-    """
-    groups = checkpointed(groups_of(suspects, digest, doc_id))
-    hot = F.col("group_size") * HOT_SHARE > rows
-    first = suspects.join(F.broadcast(groups.where(hot)), digest, "left")
-    names = [*suspects.columns, "keep_id", "group_size"]
-    done = first.where("group_size is not null").select(names)
-    rest = first.where("group_size is null").select(suspects.columns)
-    return done.unionByName(rest.join(groups.where(~hot), digest).select(names))
-
-
 def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -56,7 +38,8 @@ def decisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     flagged = test(own, "text_sha256", build(own, "text_sha256", blocks, at_least=2), blocks, "again")
     flagged = checkpointed(flagged)
     alone = flagged.where(~F.col("again")).select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    grouped = with_groups(flagged.where("again").drop("again"), "text_sha256", "doc_id", rows)
+    suspects = flagged.where("again").drop("again")
+    grouped = with_group(suspects, checkpointed(groups_of(suspects, "text_sha256", "doc_id")), "text_sha256", "group_size", rows)
     return alone.unionByName(grouped).select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"
     )

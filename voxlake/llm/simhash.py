@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bitmap import without
-from .common import checkpointed, fresh, sliced
+from .common import checkpointed, fresh, sliced, with_group
 from .components import components
 
 SEED, WORDS, RADIUS = 42, 3, 3
@@ -180,13 +180,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     without words) are one node, so copies are not expanded into pairs. An empty table gives none.
     """
     own = checkpointed(fingerprints(docs, doc_id, text))
-    nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     roots = components(near_links(nodes.select("fp")))
     linked = nodes.join(roots, nodes["fp"] == roots["node"])
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = checkpointed(roots.join(least, "root").select(F.col("node").alias("fp"), "component_id"))
-    of_node = nodes.join(of_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(of_node, "fp").select("doc_id", "fp", "component_id")
+    of_node = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    of_node = nodes.join(of_node, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    return with_group(own, checkpointed(of_node), "fp", "copies", own.count()).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
