@@ -185,6 +185,22 @@ def test_lm_equals_counting(spark, odd):
     assert lm_score.score(odd, same).where("abs(difference) > 1e-9").count() == 0
 
 
+@pytest.mark.parametrize("common", [3, 200, 1 << 19])
+def test_lm_counts_words_beyond_the_common_ones(spark, common):
+    rng = random.Random(5)
+    names = [f"w{k}é" for k in range(40_000)]
+    texts = [" ".join(names[k * 500 : k * 500 + 500]) for k in range(80)] + [" ".join(rng.choices(names, k=rng.randrange(40))) for _ in range(200)] + ["w1 w2", "w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    wanted = [k % 3 == 0 for k in range(len(texts))]
+    models = lm_score.train(docs, spark.createDataFrame([(k,) for k in range(len(texts)) if wanted[k]], "doc_id long"), common=common)
+    want = brute_losses(texts, wanted)
+    got = {r["doc_id"]: r for r in lm_score.score(docs, models).collect()}
+    assert len(got) == len(texts)
+    for k, w in enumerate(want):
+        assert got[k]["n_words"] == len(lm_score.words_of(texts[k]))
+        assert (got[k]["target_loss"], got[k]["background_loss"]) == pytest.approx(w, abs=1e-9)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

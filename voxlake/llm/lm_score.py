@@ -1,9 +1,12 @@
 """Cross-entropy difference of two n-gram models that share one vocabulary.
 
 The target model counts the documents that labels mark as wanted, the background model all documents. Both
-are interpolated bigram models over the same words, the same hashed bigram cells and the same smoothing. A
-document's score is its mean loss per token under the target less that under the background: the lower, the
-more it is like the target.
+are interpolated bigram models over the same words and the same smoothing, with a count for every word and
+every bigram of the corpus, so they grow with it. A document's score is its mean loss per token under the
+target less that under the background: the lower, the more it is like the target.
+
+Bigrams meet their counts by a shuffle. Those of two common words are numbers, dealt as packed arrays to
+parts of bounded size; those with a rarer word are rows with the words themselves.
 """
 
 from __future__ import annotations
@@ -17,145 +20,301 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import checkpointed, sliced, text_of
+from .common import checkpointed, fresh, sliced, text_of, with_group
 
-#: Size of the models, which bounds what is broadcast (32 MB): words of the shared vocabulary and bigram
-#: cells. Counts of all documents go into them; other words share one entry.
-VOCABULARY = 32_768
-CELLS = 1 << 21
+#: Words that are broadcast with their counts. It decides how a bigram travels, not what is counted: bigrams
+#: of other words are joined by the words themselves.
+COMMON = 1 << 19
+#: Tokens of the corpus for each part of the packed bigrams, and bigrams that a task packs at a time.
+PART, PACK = 2_000_000, 2_000_000
 #: Weight of the bigram estimate, and the pseudo-count of each word.
 MIX, PSEUDO = 0.6, 0.1
 
 BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SPAN = np.uint64(0x9E3779B97F4A7C15)
+CODEC = "zstd"
 
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(BREAKS).split()
 
 
-def cells_of(ids: np.ndarray) -> np.ndarray:
-    """The cell of each bigram; the first word follows a mark of the beginning."""
-    before = np.append(np.uint64(VOCABULARY + 1), ids[:-1].astype(np.uint64))
-    h = (before * np.uint64(VOCABULARY + 2) + ids.astype(np.uint64) + np.uint64(1)) * SPAN
-    return ((h ^ (h >> np.uint64(31))) * SPAN >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        n: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            words = words_of(text)
+            n[0].update(words)
+            if wanted:
+                n[1].update(words)
+        target = [n[1][w] for w in n[0]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(n[0]), pa.binary()), pa.array(list(n[0].values()), pa.int64()), pa.array(target, pa.int64())], names=["word", "background", "target"])
 
 
-class Vocabulary(dict):
-    """Word to id; 0 is for all words that the vocabulary lacks."""
+@dataclass(frozen=True)
+class Common:
+    """What is broadcast: the common words in the order of their ids, their counts (background, target), and both models' sizes."""
 
-    def __missing__(self, word: bytes) -> int:
-        return 0
+    words: pa.Array
+    single: np.ndarray
+    mass: np.ndarray
+    size: int
 
-    def ids(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def index(self) -> dict[bytes, int]:
+        """Word to id; made once in each Python worker."""
+        if "_index" not in self.__dict__:
+            self.__dict__["_index"] = {w: k for k, w in enumerate(self.words.to_pylist())}
+        return self.__dict__["_index"]
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_index"}
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        n: Counter[bytes] = Counter()
-        for text in batch.column("text").to_pylist():
-            n.update(words_of(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Loss in nats of bigrams by their counts, each (2, n): the target's are scaled to the background's mass. Without a word before, or if it is unknown, the word's own estimate counts."""
+        scale = np.array([[1.0], [self.mass[0] / self.mass[1] if self.mass[1] else 0.0]])
+        if not self.mass[1]:  # without a target both models are the same
+            word, before, pair, scale = word[[0, 0]], before[[0, 0]], pair[[0, 0]], np.ones((2, 1))
+        one = (word * scale + PSEUDO) / (self.mass[0] + PSEUDO * (self.size + 1))
+        context = before * scale
+        two = np.minimum(pair * scale / np.maximum(context, 1.0), 1.0)
+        return -np.log(np.where(context > 0, MIX * two + (1 - MIX) * one, one))
 
 
-def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """The most frequent words of all documents, ties by bytes; the models' size is a parameter."""
-    counts = rows.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(size).collect()
-    return Vocabulary((bytes(r["word"]), k + 1) for k, r in enumerate(top))
+@dataclass(frozen=True)
+class Models:
+    """Counts of all words as a table, the documents whose bigrams are counted, and what is broadcast."""
 
+    words: DataFrame
+    marked: DataFrame
+    common: Common
 
-def _count(batches: Iterator[pa.RecordBatch], words: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (below VOCABULARY + 1) and bigram cells (above) in this task's documents."""
-    own = Vocabulary(words)
-    base = VOCABULARY + 1
-    n = np.zeros((2, base + CELLS), np.int64)
-    for batch in sliced(batches):
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            ids = own.ids(text)
-            if len(ids):
-                for i in (ids, base + cells_of(ids)):
-                    np.add.at(n[0], i, 1)
-                    if wanted:
-                        np.add.at(n[1], i, 1)
-    at = np.flatnonzero(n[0])
-    for k in range(0, len(at), 100_000):
-        i = at[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(n[0][i]), pa.array(n[1][i])], names=["i", "background", "target"])
 
+def _pairs_of(own: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, Counter]:
+    """A text's bigrams of common words as numbers, and those with others as words (b"" is the beginning)."""
+    m = len(own)
+    ids = np.fromiter((own.get(w, -1) for w in words), np.int64, len(words))
+    before = np.append(m, ids[:-1])
+    known = (ids >= 0) & (before >= 0)
+    rare = Counter((words[k - 1] if k else b"", words[k]) for k in np.flatnonzero(~known).tolist())
+    return before[known] * (m + 1) + ids[known], rare
 
-@dataclass(frozen=True)
-class Models:
-    """Logarithms need counts of words and cells; 0 is background, 1 target."""
 
-    words: dict[bytes, int]
-    single: np.ndarray
-    pair: np.ndarray
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, the first ascending: its differences and the others, byte by byte, compressed."""
+    first, *others = arrays
+    columns = [np.diff(first, prepend=0), *others]
+    raw = b"".join(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=CODEC, asbytes=True)
+
 
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Mean loss per token in nats under each model."""
-        cell = cells_of(ids)
-        before = np.append(-1, ids[:-1])
-        total = self.single.sum(1, keepdims=True, dtype=np.float64)
-        one = (self.single[:, ids] + PSEUDO) / (total + PSEUDO * (len(self.words) + 1))
-        context = np.where(before >= 0, self.single[:, before], 0.0)
-        two = np.minimum(self.pair[:, cell] / np.maximum(context, 1.0), 1.0)
-        return -np.log(np.where(context > 0, MIX * two + (1 - MIX) * one, one)).mean(1)
+def _unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec=CODEC, asbytes=True)
+    columns = [np.ascontiguousarray(x.T).view("<i8").ravel() for x in np.frombuffer(raw, np.uint8).reshape(n, 8, -1)]
+    return [np.cumsum(columns[0]), *columns[1:]]
 
 
-def train(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Models:
+def _dealt(code: np.ndarray, parts: int) -> np.ndarray:
+    return ((code.astype(np.uint64) * SPAN) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def _by_part(parts: int, code: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    part = _dealt(code, parts)
+    order = np.lexsort((code, part))
+    part, arrays = part[order], [a[order] for a in (code, *others)]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for k, rows in zip(part[np.append(0, cuts)] if len(part) else (), zip(*(np.split(a, cuts) for a in arrays), strict=True), strict=False):
+        yield int(k), list(rows)
+
+
+PACKED = "part long, kind int, keys binary, blob binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    part, kind, keys, blob = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(keys, pa.binary()), pa.array(blob, pa.binary())], names=["part", "kind", "keys", "blob"])
+
+
+def _count_common(batches: Iterator[pa.RecordBatch], held, parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of bigrams of common words in this task's documents, packed by part."""
+    own = held.value.index()
+    code, wanted, n = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        all_of, background = np.unique(np.concatenate(code), return_counts=True)
+        target = np.zeros_like(background)
+        if wanted:
+            some, k = np.unique(np.concatenate(wanted), return_counts=True)
+            target[np.searchsorted(all_of, some)] = k
+        return _batch([(k, 0, b"", _packed(*a)) for k, a in _by_part(parts, all_of, background, target)])
+
+    for batch in sliced(batches):
+        for text, w in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            found, _ = _pairs_of(own, words_of(text))
+            if len(found):
+                code.append(found)
+                n += len(found)
+                if w:
+                    wanted.append(found)
+        if n >= PACK:
+            yield flush()
+            code, wanted, n = [], [], 0
+    if n:
+        yield flush()
+
+
+def _count_rare(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    own = held.value.index()
+    for batch in sliced(batches):
+        n: tuple[Counter, Counter] = Counter(), Counter()
+        for text, w in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            _, rare = _pairs_of(own, words_of(text))
+            n[0].update(rare)
+            if w:
+                n[1].update(rare)
+        before, word = zip(*n[0], strict=True) if n[0] else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(before, pa.binary()), pa.array(word, pa.binary()), pa.array(list(n[0].values()), pa.int64()), pa.array([n[1][p] for p in n[0]], pa.int64())], names=["before", "word", "background", "target"])
+
+
+def train(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text", common: int = COMMON) -> Models:
     """Count all documents: as background every one, as target those whose id is in `wanted` (doc_id).
 
-    Each task adds up its counts before they are shuffled; the sums that reach the driver have at most
-    VOCABULARY + CELLS rows. The target's counts are scaled to the background's mass, so both models are
-    smoothed alike. Without a target document the two are the same, and every score is 0.
+    Every word is counted, by partial sums; the `common` most frequent ones (ties by bytes) are broadcast with
+    their counts, which changes no result. Bigrams are counted when documents are scored. The target's counts
+    are scaled to the background's mass, so both models are smoothed alike. Without a target document the two
+    are the same, and every score is 0.
     """
     ids = wanted.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct().withColumn("wanted", F.lit(True))
     keyed = docs.select(F.col(doc_id).cast("long").alias("_id"), text_of(text).alias("text"))
-    words = vocabulary(keyed)
     marked = keyed.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counts = marked.mapInArrow(partial(_count, words=dict(words)), "i int, background long, target long")
-    sums = checkpointed(counts.groupBy("i").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))).toArrow()
-    n = np.zeros((2, VOCABULARY + 1 + CELLS), np.float32)
-    i = sums["i"].to_numpy()
-    n[0, i], n[1, i] = sums["background"].to_numpy(), sums["target"].to_numpy()
-    single, pair = n[:, : VOCABULARY + 1].copy(), n[:, VOCABULARY + 1 :].copy()
-    mass = single.sum(1, dtype=np.float64)
-    if mass[1]:
-        single[1] *= mass[0] / mass[1]
-        pair[1] *= mass[0] / mass[1]
-    else:
-        single[1], pair[1] = single[0], pair[0]
-    return Models(dict(words), single, pair)
-
-
-def _score(batches: Iterator[pa.RecordBatch], held, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    models = held.value
-    own = Vocabulary(models.words)
+    counts = marked.mapInArrow(_count_words, "word binary, background long, target long")
+    words = checkpointed(counts.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
+    whole = words.agg(F.count(F.lit(1)).alias("size"), F.sum("background").alias("background"), F.sum("target").alias("target")).first()
+    top = words.orderBy(F.col("background").desc(), "word").limit(common).toArrow()
+    single = np.stack([top["background"].to_numpy(), top["target"].to_numpy()]).astype(float)
+    held = Common(pa.array(top["word"].to_pylist(), pa.binary()), single, np.array([whole["background"] or 0, whole["target"] or 0], float), whole["size"])
+    return Models(words, marked, held)
+
+
+def _rows_common(batches: Iterator[pa.RecordBatch], held, parts: int) -> Iterator[pa.RecordBatch]:
+    """Bigrams of common words of each document, packed by part. Keys have 16 bytes."""
+    own = held.value.index()
+    code, times, at, keys, n = [], [], [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        rows = []
+        for k, (c, t, d) in _by_part(parts, np.concatenate(code), np.concatenate(times), np.concatenate(at)):
+            docs, d = np.unique(d, return_inverse=True)
+            rows.append((k, 1, b"".join(keys[i] for i in docs.tolist()), _packed(c, t, d.astype(np.int64))))
+        return _batch(rows)
+
+    for batch in sliced(batches):
+        for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
+            found, t = np.unique(_pairs_of(own, words_of(text))[0], return_counts=True)
+            if len(found):
+                code.append(found), times.append(t), at.append(np.full(len(found), len(keys))), keys.append(key)
+                n += len(found)
+        if n >= PACK:
+            yield flush()
+            code, times, at, keys, n = [], [], [], [], 0
+    if n:
+        yield flush()
+
+
+def _meet(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """(key, n_words, background, target): sums of losses. A part's counts come before its documents; only they are held."""
+    common = held.value
+    m = len(common.words)
+    single = np.append(common.single, np.zeros((2, 1)), axis=1)  # the beginning has no count
+    part, counts, table = None, [], None
+    for batch in batches:
+        for k, kind, keys, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if k != part:
+                part, counts, table = k, [], None
+            if not kind:
+                counts.append(_unpacked(blob, 3))
+                continue
+            if table is None:
+                code, back = np.unique(np.concatenate([c[0] for c in counts] or [np.zeros(0, np.int64)]), return_inverse=True)
+                table = code, np.stack([np.bincount(back, np.concatenate([c[i] for c in counts] or [np.zeros(0)]), len(code)) for i in (1, 2)])
+                counts = []
+            code, pair = table
+            c, times, d = _unpacked(blob, 3)
+            where = np.minimum(np.searchsorted(code, c), max(len(code) - 1, 0))
+            got = np.where(code[where] == c, pair[:, where], 0.0) if len(code) else np.zeros((2, len(c)))
+            loss = common.losses(single[:, c % (m + 1)], single[:, c // (m + 1)], got) * times
+            docs = [keys[i : i + 16] for i in range(0, len(keys), 16)]
+            sums = [np.bincount(d, x, len(docs)) for x in (times, *loss)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["key", "n_words", "background", "target"])
+
+
+def _rows_rare(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """Bigrams with a rarer word: counts of their common words are known here, others are looked up by word."""
+    common = held.value
+    own = common.index()
     for batch in sliced(batches):
         out = []
-        for t in batch.column(text).to_pylist():
-            ids = own.ids(t or "")
-            background, target = models.losses(ids) if len(ids) else (0.0, 0.0)
-            out.append((len(ids), float(target), float(background), float(target - background)))
-        n, a, b, d = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (a, b, d))], names=names)
+        for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
+            for (before, word), n in _pairs_of(own, words_of(text))[1].items():
+                out.append((key, before, word, n, own.get(before, -1), own.get(word, -1)))
+        key, before, word, n, i, j = zip(*out, strict=True) if out else ((),) * 6
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(x, pa.binary()) for x in (key, before, word)), *(pa.array(x, pa.int64()) for x in (n, i, j))], names=["key", "before", "word", "n", "i", "j"]
+        )
+
+
+def _losses_rare(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    common = held.value
+    for batch in batches:
+        get = lambda name: np.nan_to_num(batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False))  # noqa: E731, B023
+        both = lambda name: np.stack([get(f"{name}_b"), get(f"{name}_t")])  # noqa: E731, B023
+        i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+        single = np.append(common.single, np.zeros((2, 1)), axis=1)
+        n = batch.column("n").to_numpy()
+        loss = common.losses(np.where(j >= 0, single[:, j], both("word")), np.where(i >= 0, single[:, i], both("before")), both("pair")) * n
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(loss[0]), pa.array(loss[1])], names=["key", "n_words", "background", "target"])
 
 
 ADDED = ("n_words", "target_loss", "background_loss", "difference")
+SUMS = "key binary, n_words long, background double, target double"
 
 
 def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """`docs` with n_words, target_loss, background_loss and difference (target less background) of each whole text.
 
-    A null or empty text has no tokens and 0 everywhere. Equal texts score alike. Columns with these names
-    are replaced; all others pass through. The models are broadcast; their size is a parameter.
+    A null or empty text has no tokens and 0 everywhere. Equal texts are one, so they score alike. Columns with
+    these names are replaced; all others pass through. Each document's bigrams are summed up first and meet
+    the counts of the models' documents by a shuffle; nothing that grows with the corpus is broadcast.
     """
-    kept = docs.select([c for c in docs.columns if c.lower() not in ADDED or c == text])
-    schema = T.StructType([*kept.schema.fields, T.StructField(ADDED[0], T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ADDED[1:])])
-    held = docs.sparkSession.sparkContext.broadcast(models)
-    return kept.mapInArrow(partial(_score, held=held, text=text, names=schema.names), schema)
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    (key,) = fresh(docs.columns, "text_key")
+    keyed = docs.select(*kept, F.unhex(F.md5(text_of(text).cast("binary"))).alias(key))
+    total = docs.count()
+    held = docs.sparkSession.sparkContext.broadcast(models.common)
+    parts = int(models.common.mass[0] // PART) + total // 5_000 + 1
+    rows = docs.select(F.unhex(F.md5(text_of(text).cast("binary"))).alias("key"), text_of(text).alias("text"))
+
+    packed = models.marked.mapInArrow(partial(_count_common, held=held, parts=parts), PACKED).union(rows.mapInArrow(partial(_rows_common, held=held, parts=parts), PACKED))
+    common = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(partial(_meet, held=held), SUMS)
+
+    pairs = models.marked.mapInArrow(partial(_count_rare, held=held), "before binary, word binary, background long, target long").groupBy("before", "word")
+    pairs = pairs.agg(F.sum("background").alias("pair_b"), F.sum("target").alias("pair_t"))
+    rare = rows.mapInArrow(partial(_rows_rare, held=held), "key binary, before binary, word binary, n long, i long, j long").join(pairs, ["before", "word"], "left")
+    # Where a word's counts are known there is nothing to look up: a key that is no word spreads those rows.
+    none = F.concat(F.unhex(F.lit("00")), "key")
+    for name, at in (("word", "j"), ("before", "i")):
+        counts = models.words.select(F.col("word").alias("_word"), F.col("background").alias(f"{name}_b"), F.col("target").alias(f"{name}_t"))
+        rare = rare.withColumn("_look", F.when(F.col(at) < 0, F.col(name)).otherwise(none)).join(counts, F.col("_look") == F.col("_word"), "left").drop("_look", "_word")
+    # `before` is empty at a text's beginning, and no word is.
+    rare = rare.drop("before", "word").mapInArrow(partial(_losses_rare, held=held), SUMS)
+
+    alone = rows.select("key", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("background"), F.lit(0.0).alias("target"), F.lit(1).cast("long").alias("copies"))
+    sums = alone.unionByName(common.unionByName(rare).withColumn("copies", F.lit(0).cast("long"))).groupBy("key")
+    sums = sums.agg(*[F.sum(c).alias(c) for c in ("n_words", "background", "target", "copies")])
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
+    losses = sums.select(
+        F.col("key").alias(key), (F.col("n_words") / F.col("copies")).cast("long").alias(ADDED[0]), mean("target").alias(ADDED[1]), mean("background").alias(ADDED[2]),
+        (mean("target") - mean("background")).alias(ADDED[3]), F.col("copies").alias(f"{key}_copies"),
+    )
+    scored = with_group(keyed, checkpointed(losses), key, f"{key}_copies", total)
+    return scored.select([*kept, *ADDED])
