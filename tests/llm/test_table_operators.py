@@ -1,6 +1,7 @@
 """Operators across documents: duplicates, decontamination, chat formatting, the pipeline."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -167,6 +168,27 @@ def test_decontamination_finds_substituted_passages(spark):
     assert decontaminate.decontaminate(table(spark, docs), items_df.limit(0)).count() == len(docs)
 
 
+def test_masks_reach_every_accepted_placement():
+    for size in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        for gone in itertools.combinations(range(size), size - -(-size * 3 // 4)):
+            assert any(not {at + o for o in m} & set(gone) for m in decontaminate.MASKS for at in range(size - m[-1])), (size, gone)
+
+
+def test_decontamination_finds_every_placement_of_substitutions(spark):
+    docs, items, k = [], [], 0
+    for size, most in ((8, 2), (9, 2), (11, 2), (12, 3), (15, 3)):
+        item = [f"i{size}x{q}" for q in range(size)]
+        items.append((size, " ".join(item)))
+        for gone in itertools.combinations(range(size), most):
+            y = [f"other{k}" if q in gone else t for q, t in enumerate(item)]
+            docs.append((k := k + 1, f"before{k} {' '.join(y)} after{k}"))
+    docs += [(9001, "i8x0 i8x1 i8x2 i8x3 i8x4 i8x5"), (9002, "z i15x0 i15x1 i15x2 i15x3 i15x4 i15x5 i15x6 q r i15x9 i15x10 i15x11 i15x12 i15x13 i15x14")]
+    got = decontaminate.overlaps(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_overlaps(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    assert {(9001, 8), (9002, 15)} <= want and len(want) == len(docs)
+
+
 def test_chat_links_orders_and_validates(spark):
     schema = json.dumps({"type": "object", "required": ["q"], "properties": {"q": {"type": "string"}, "n": {"type": "integer", "minimum": 1}}, "additionalProperties": False})
     calls = [

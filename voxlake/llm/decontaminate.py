@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from . import bitmap
 from .common import checkpointed, fresh, text_of
 
-#: Offsets that each mask selects in a window of SPAN tokens. The two ignored places lie 3, 4 and 5 tokens
-#: apart, so a passage still has hits if every third, fourth or fifth token, or rarer ones, are substituted.
+#: Least tokens of an item, and the offsets that each mask selects. Wherever the substitutions of an accepted
+#: overlap lie (up to 3 in 12 tokens, 2 in 8 to 11), one mask at one place selects none of them; a test counts
+#: all placements.
 SPAN = 8
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 6, 7), (0, 2, 3, 4, 5, 7))
+MASKS = ((0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 6, 7))
 #: An overlap is a stretch of WINDOW tokens (all of a shorter item) in which this share is equal.
 WINDOW, SHARE = 12, 0.75
 #: Seeds of a benchmark that are broadcast at most (about 100 MB); beyond, seeds are joined by a shuffle.
@@ -31,9 +32,13 @@ def tokens(text: str) -> Column:
 
 
 def seeds(found: Column) -> Column:
-    """(at, seed) of each window and mask; none for fewer tokens than a window has."""
-    at = F.when(F.size(found) >= SPAN, F.sequence(F.lit(0), F.size(found) - SPAN)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(at, lambda i: F.array(*[F.struct(i.alias("at"), _seed(found, i, k).alias("seed")) for k in range(len(MASKS))])))
+    """(at, seed) of each mask at each place where it fits."""
+    of = lambda k: F.transform(_places(found, MASKS[k][-1] + 1), lambda i: F.struct(i.alias("at"), _seed(found, i, k).alias("seed")))
+    return F.concat(*[of(k) for k in range(len(MASKS))])
+
+
+def _places(found: Column, span: int) -> Column:
+    return F.when(F.size(found) >= span, F.sequence(F.lit(0), F.size(found) - span)).otherwise(F.array().cast("array<int>"))
 
 
 def _seed(found: Column, i: Column, k: int) -> Column:
@@ -55,22 +60,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     doc_id is kept as null. Empty tables give no rows.
     """
     items = checkpointed(items_of(benchmark))
-    index = items.select("item_id", F.explode(seeds(F.col("item"))).alias("s")).select("item_id", F.col("s.at").alias("item_at"), "s.seed")
-    index = checkpointed(index.groupBy("seed", "item_id").agg(F.collect_set("item_at").alias("item_at")))
+    index = items.select("item_id", F.size("item").alias("n"), F.explode(seeds(F.col("item"))).alias("s")).select("item_id", "n", F.col("s.at").alias("item_at"), "s.seed")
+    index = checkpointed(index.groupBy("seed", "item_id", "n").agg(F.collect_set("item_at").alias("item_at")))
     side = F.broadcast(index) if index.count() <= most else index.hint("merge")
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
     exploded = own.select("row_key", F.explode(seeds_once("text")).alias("s")).select("row_key", F.col("s.at").alias("at"), "s.seed")
-    hits = exploded.join(side, "seed").select("row_key", "item_id", F.explode(F.transform("item_at", lambda q: F.col("at") - q)).alias("at"))
+    hits = exploded.join(side, "seed").select("row_key", "item_id", "n", F.explode(F.transform("item_at", lambda q: F.col("at") - q)).alias("at"))
     hits = checkpointed(hits.distinct())
     # Only documents with hits are read again in full; a filter of their keys keeps the others where they are.
     keys = hits.select("row_key").distinct()
     blocks = bitmap.blocks_for(keys.count())
     again = bitmap.test(own, "row_key", checkpointed(bitmap.build(keys, "row_key", blocks)), blocks, "hit").where("hit")
     again = again.select("doc_id", "row_key", tokens("text").alias("found")).dropDuplicates(["row_key", "doc_id"])
-    laid = again.join(hits, "row_key").join(items, "item_id")
+    # Hits come to a document's tokens as one list, and only the tokens that an item lies on go on from there.
+    listed = again.join(hits.groupBy("row_key").agg(F.collect_list(F.struct("item_id", "n", "at")).alias("hits")), "row_key")
+    each = listed.select("doc_id", "row_key", "found", F.explode("hits").alias("h")).select("doc_id", "row_key", "h.item_id", "h.at", F.slice("found", F.greatest("h.at", F.lit(0)) + 1, F.col("h.n")).alias("found"))
+    laid = each.join(items, "item_id")
     return (
-        laid.withColumn("same", _same(F.col("found"), F.col("item"), F.col("at")))
+        laid.withColumn("same", _same(F.col("found"), F.col("item"), F.least("at", F.lit(0))))
         .withColumn("window", F.least(F.lit(WINDOW), F.size("item")))
         .withColumn("matched", _best(F.col("same"), F.col("window")))
         .where(F.col("matched") >= F.ceil(F.col("window") * SHARE))
