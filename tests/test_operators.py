@@ -280,3 +280,34 @@ def test_text_files(spark, tmp_path):
     assert files.read_matrix(spark, f"{tmp_path}/raw", 2).shape == (3, 2)
     with pytest.raises(Exception, match="whole number"):
         files.read_features(spark, f"{tmp_path}/raw", 4).collect()
+
+
+def brute_clusters(parts, threshold):
+    """Of all pairs, again and again, the two most alike."""
+    parts, of = dict(enumerate(parts)), list(range(len(parts)))
+    while len(parts) > 1:
+        value, a, b = min((segment.delta_bic(parts[a], parts[b], 1.0), a, b) for a in parts for b in parts if a < b)
+        if value >= threshold:
+            break
+        parts[a] = tuple(x + y for x, y in zip(parts[a], parts.pop(b), strict=True))
+        of = [a if k == b else k for k in of]
+    return of
+
+
+@pytest.mark.parametrize("d", [1, 3])
+def test_joining_equals_brute_force(d):
+    rng = np.random.default_rng(d)
+    parts = [(float(len(x)), x.sum(0), x.T @ x) for x in (rng.normal(rng.integers(4), 1, (12, d)) for _ in range(24))]
+    n, s, q = (np.array(x) for x in zip(*parts, strict=True))
+    for threshold in (-2.0, 0.0, 5.0):
+        assert segment.agglomerated(n, s, q, 1.0, threshold) == brute_clusters(parts, threshold)
+
+
+def test_utterances_with_many_segments_are_clustered(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, k, [float(rng.normal(k // 10 % 2 * 1000, 1))]) for k in range(12_000)]
+    frames = spark.createDataFrame(rows, "utt long, frame long, base array<double>")
+    pieces = frames.groupBy("utt", (F.floor(F.col("frame") / 10) * 10).alias("start")).count().select("utt", "start", (F.col("start") + 10).alias("stop"))
+    found = segment.cluster(pieces, frames).collect()
+    high, low = ({r["cluster"] for r in found if r["start"] // 10 % 2 == k} for k in (1, 0))
+    assert len(found) == 1_200 and not high & low and max(high | low) < 200

@@ -100,11 +100,71 @@ def segment(frames: DataFrame, smallest: int = 100, largest: int = 500, margin:
     return frames.select("utt", "frame", "base").groupBy("utt").applyInPandas(run, "utt long, start long, stop long")
 
 
-def cluster(segments: DataFrame, frames: DataFrame, weight: float = 1.0, threshold: float = 0.0, most: int = 1_000) -> DataFrame:
+#: Segments that one segment is compared with at a time.
+BLOCK = 256
+
+
+def agglomerated(n: np.ndarray, s: np.ndarray, q: np.ndarray, weight: float, threshold: float) -> list[int]:
+    """The first segment of each segment's cluster, by counts (k), sums (k, d) and sums of outer products (k, d, d).
+
+    The two most alike are joined (the first of equals) until none are below the threshold. A segment keeps
+    only its best partner among those after it and is compared in blocks, so memory grows with segments.
+    """
+    n, s, q = n.copy(), s.copy(), q.copy()
+    d = s.shape[1]
+
+    def costs(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+        m = s / n[:, None]
+        c = q / n[:, None, None] - m[:, :, None] * m[:, None, :]
+        sign, value = np.linalg.slogdet(c + LAMBDA * np.eye(d))
+        for k in np.flatnonzero((sign <= 0) | ~np.isfinite(value)):
+            value[k] = log_det(c[k])
+        return 0.5 * n * value
+
+    own = np.concatenate([costs(n[k : k + BLOCK], s[k : k + BLOCK], q[k : k + BLOCK]) for k in range(0, len(n), BLOCK)])
+    of, alive = np.arange(len(n)), np.ones(len(n), bool)
+    value, partner = np.full(len(n), np.inf), np.full(len(n), -1)
+
+    def gains(a: int, c: np.ndarray) -> np.ndarray:
+        out = []
+        for k in range(0, len(c), BLOCK):
+            b = c[k : k + BLOCK]
+            both = n[a] + n[b]
+            out.append(costs(both, s[a] + s[b], q[a] + q[b]) - own[a] - own[b] - 0.5 * weight * (d + d * (d + 1) / 2) * np.log(both))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def search(a: int) -> None:
+        c = a + 1 + np.flatnonzero(alive[a + 1 :])
+        found = gains(a, c)
+        value[a], partner[a] = (found.min(), c[found.argmin()]) if len(c) else (np.inf, -1)
+
+    for a in range(len(n)):
+        search(a)
+    while len(n):
+        a = int(value.argmin())
+        b = int(partner[a])
+        if not value[a] < threshold:
+            break
+        n[a], s[a], q[a] = n[a] + n[b], s[a] + s[b], q[a] + q[b]
+        own[a] = costs(n[a : a + 1], s[a : a + 1], q[a : a + 1])[0]
+        alive[b], value[b] = False, np.inf
+        of[of == b] = a
+        lost = alive & ((partner == a) | (partner == b))
+        lost[a] = True
+        near = np.flatnonzero(alive[:a] & ~lost[:a])
+        new = gains(a, near)
+        better = (new < value[near]) | ((new == value[near]) & (a < partner[near]))
+        value[near[better]], partner[near[better]] = new[better], a
+        for c in np.flatnonzero(lost):
+            search(int(c))
+    return of.tolist()
+
+
+def cluster(segments: DataFrame, frames: DataFrame, weight: float = 1.0, threshold: float = 0.0) -> DataFrame:
     """(utt, start, stop, cluster): segments of each utterance, of which the two most alike are joined while they are alike enough.
 
-    A segment's statistics are summed where its frames are; the joining sees segments, not frames. An
-    utterance with more than `most` segments is an error, as the joining compares all its segments.
+    A segment's statistics are summed where its frames are; the joining sees segments, not frames. It compares
+    all segments of an utterance in one task, which holds their statistics.
     """
     held = segments.where("stop > start").select("utt", "start", "stop", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("frame"))
     pairs = frames.join(held, ["utt", "frame"])
@@ -116,19 +176,9 @@ def cluster(segments: DataFrame, frames: DataFrame, weight: float = 1.0, thresho
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start").reset_index(drop=True)
-        if len(pdf) > most:
-            raise ValueError("too many segments to compare")
-        d = int((-1 + np.sqrt(1 + 4 * (len(pdf["x"].iloc[0]) - 1))) / 2)
-        parts = {k: (v[0], np.array(v[1 : 1 + d]), np.array(v[1 + d :]).reshape(d, d)) for k, v in enumerate(pdf["x"])}
-        of = list(range(len(pdf)))
-        far = {(a, b): delta_bic(parts[a], parts[b], weight) for a in parts for b in parts if a < b}
-        while far:
-            (a, b), value = min(far.items(), key=lambda kv: (kv[1], kv[0]))
-            if value >= threshold:
-                break
-            parts[a] = tuple(x + y for x, y in zip(parts[a], parts.pop(b), strict=True))
-            of = [a if k == b else k for k in of]
-            far = {k: v for k, v in far.items() if b not in k and a not in k} | {(min(a, c), max(a, c)): delta_bic(parts[a], parts[c], weight) for c in parts if c != a}
+        x = np.array(pdf["x"].tolist())
+        d = int((-1 + np.sqrt(1 + 4 * (x.shape[1] - 1))) / 2)
+        of = agglomerated(x[:, 0], x[:, 1 : 1 + d], x[:, 1 + d :].reshape(-1, d, d), weight, threshold)
         names = {k: n for n, k in enumerate(dict.fromkeys(of))}
         return pdf[["utt", "start", "stop"]].assign(cluster=[names[k] for k in of])
 
