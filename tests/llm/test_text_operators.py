@@ -150,19 +150,16 @@ def brute_losses(texts, wanted):
     for keep in ([True] * len(texts), wanted):
         single = Counter(w for ws, k in zip(words, keep, strict=True) if k for w in ws)
         pair = Counter(p for ws, k in zip(words, keep, strict=True) if k for p in zip(ws, ws[1:], strict=False))
-        counts.append((single, pair))
-    scale = sum(counts[0][0].values()) / sum(counts[1][0].values())
+        counts.append((single, pair, sum(single.values())))
     out = []
     for ws in words:
         losses = []
-        for (single, pair), k in zip(counts, (1.0, scale), strict=True):
-            total = sum(single.values()) * k
+        for single, pair, total in counts:
             loss = 0.0
             for j, w in enumerate(ws):
-                one = (single[w] * k + lm_score.PSEUDO) / (total + lm_score.PSEUDO * (size + 1))
-                before = single[ws[j - 1]] * k if j else 0
-                two = min(pair[ws[j - 1], w] * k / max(before, 1.0), 1.0) if j else 0
-                loss -= math.log(lm_score.MIX * two + (1 - lm_score.MIX) * one if before else one)
+                one = (1 - lm_score.SPREAD) * single[w] / total + lm_score.SPREAD / size
+                before = single[ws[j - 1]] if j else 0
+                loss -= math.log(lm_score.MIX * pair[ws[j - 1], w] / before + (1 - lm_score.MIX) * one if before else one)
             losses.append(loss / len(ws) if ws else 0.0)
         out.append((losses[1], losses[0]))
     return out
@@ -176,31 +173,48 @@ def test_lm_equals_counting(spark, odd):
     marked = spark.createDataFrame([(k,) for k in range(60) if wanted[k]] + [(None,), (3,)], "doc_id long")
     models = lm_score.train(docs, marked)
     want = brute_losses(texts, wanted)
-    for r in lm_score.score(docs, models).collect():
-        assert (r["target_loss"], r["background_loss"]) == pytest.approx(want[r["doc_id"]], abs=1e-4)
-        assert r["difference"] == pytest.approx(r["target_loss"] - r["background_loss"])
+    for scored in (lm_score.score(docs, models), lm_score.score(docs.select("*"), models)):  # by the counted documents' own messages, and as others
+        rows = scored.collect()
+        assert len(rows) == 60
+        for r in rows:
+            assert (r["target_loss"], r["background_loss"]) == pytest.approx(want[r["doc_id"]], abs=1e-9)
+            assert r["difference"] == pytest.approx(r["target_loss"] - r["background_loss"])
     assert lm_score.score(odd, models).count() == odd.count()
     assert lm_score.score(odd.limit(0), lm_score.train(odd.limit(0), marked)).count() == 0
     same = lm_score.train(odd, marked.limit(0))
-    assert lm_score.score(odd, same).where("abs(difference) > 1e-9").count() == 0
+    scored = lm_score.score(odd, same)
+    assert scored.where("abs(difference) > 1e-9").count() == 0 and scored.count() == odd.count()
+    assert set(odd.columns) <= set(scored.columns) and scored.where("text = 'same text here'").select("background_loss").distinct().count() == 1
 
 
-@pytest.mark.parametrize("common", [3, 200, 1 << 19])
-def test_lm_counts_words_beyond_the_common_ones(spark, common):
+@pytest.mark.parametrize(("chunk", "part"), [(3_000, 500), (lm_score.CHUNK, lm_score.PART)])
+def test_lm_counts_every_word(spark, chunk, part):
+    """Far more words and bigrams than a part sums or a chunk sends."""
     rng = random.Random(5)
     names = [f"w{k}é" for k in range(40_000)]
     texts = [" ".join(names[k * 500 : k * 500 + 500]) for k in range(80)] + [" ".join(rng.choices(names, k=rng.randrange(40))) for _ in range(200)] + ["w1 w2", "w1 w2"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     wanted = [k % 3 == 0 for k in range(len(texts))]
-    models = lm_score.train(docs, spark.createDataFrame([(k,) for k in range(len(texts)) if wanted[k]], "doc_id long"), common=common)
+    models = lm_score.train(docs, spark.createDataFrame([(k,) for k in range(len(texts)) if wanted[k]], "doc_id long"))
     want = brute_losses(texts, wanted)
-    got = {r["doc_id"]: r for r in lm_score.score(docs, models).collect()}
+    got = {r["doc_id"]: r for r in lm_score.score(docs, models, chunk=chunk, part=part).collect()}
     assert len(got) == len(texts)
     for k, w in enumerate(want):
         assert got[k]["n_words"] == len(lm_score.words_of(texts[k]))
         assert (got[k]["target_loss"], got[k]["background_loss"]) == pytest.approx(w, abs=1e-9)
 
 
+def test_lm_scores_do_not_depend_on_the_background_size(spark):
+    """The same target against a background of 2 and of 200 times its size: a word that the target lacks costs much the same."""
+    costs = []
+    for times in (2, 200):
+        texts = ["red blue green"] * 10 + ["one two three"] * (10 * times) + ["unseen here"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        models = lm_score.train(docs, spark.createDataFrame([(k,) for k in range(10)], "doc_id long"))
+        costs.append(lm_score.score(docs, models).where("text = 'unseen here'").first()["target_loss"])
+    assert costs[0] == pytest.approx(costs[1])
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

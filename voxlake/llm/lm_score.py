@@ -1,38 +1,39 @@
 """Cross-entropy difference of two n-gram models that share one vocabulary.
 
 The target model counts the documents that labels mark as wanted, the background model all documents. Both
-are interpolated bigram models over the same words and the same smoothing, with a count for every word and
-every bigram of the corpus, so they grow with it. A document's score is its mean loss per token under the
-target less that under the background: the lower, the more it is like the target.
-
-Bigrams meet their counts by a shuffle. Those of two common words are numbers, dealt as packed arrays to
-parts of bounded size; those with a rarer word are rows with the words themselves.
+are interpolated bigram models over the same words, each smoothed by the same share of its own mass, so a
+score doesn't depend on how much larger the background is. A document's score is its mean loss per token
+under the target less that under the background: the lower, the more it is like the target.
+
+Words and bigrams are 64-bit hashes. Documents are dealt to chunks of bounded text; a chunk sends each of its
+distinct words and bigrams once, with its own counts, to the part that sums that hash over the corpus, and
+gets the sums back. So a frequent bigram costs a row for each chunk, not for each document, and no task
+holds more than a chunk's or a part's hashes, however large the corpus is.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, fresh, sliced, text_of, with_group
+from .common import fresh, sliced, text_of
 
-#: Words that are broadcast with their counts. It decides how a bigram travels, not what is counted: bigrams
-#: of other words are joined by the words themselves.
-COMMON = 1 << 19
-#: Tokens of the corpus for each part of the packed bigrams, and bigrams that a task packs at a time.
-PART, PACK = 2_000_000, 2_000_000
-#: Weight of the bigram estimate, and the pseudo-count of each word.
-MIX, PSEUDO = 0.6, 0.1
+#: Bytes of text in a chunk, and hashes that a part sums.
+CHUNK, PART = 8_000_000, 2_000_000
+#: Weight of the bigram estimate, and the share of a word's estimate that is spread over all words.
+MIX, SPREAD = 0.6, 0.1
+#: Tokens after which a task that counts the vocabulary sends what it has seen.
+SEEN = 2_000_000
 
 BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-SPAN = np.uint64(0x9E3779B97F4A7C15)
+ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 CODEC = "zstd"
 
 
@@ -40,281 +41,264 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(BREAKS).split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        n: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            words = words_of(text)
-            n[0].update(words)
-            if wanted:
-                n[1].update(words)
-        target = [n[1][w] for w in n[0]]
-        yield pa.RecordBatch.from_arrays([pa.array(list(n[0]), pa.binary()), pa.array(list(n[0].values()), pa.int64()), pa.array(target, pa.int64())], names=["word", "background", "target"])
-
-
-@dataclass(frozen=True)
-class Common:
-    """What is broadcast: the common words in the order of their ids, their counts (background, target), and both models' sizes."""
-
-    words: pa.Array
-    single: np.ndarray
-    mass: np.ndarray
-    size: int
+def _hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
 
-    def index(self) -> dict[bytes, int]:
-        """Word to id; made once in each Python worker."""
-        if "_index" not in self.__dict__:
-            self.__dict__["_index"] = {w: k for k, w in enumerate(self.words.to_pylist())}
-        return self.__dict__["_index"]
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Loss in nats of bigrams by their counts, each (2, n): the target's are scaled to the background's mass. Without a word before, or if it is unknown, the word's own estimate counts."""
-        scale = np.array([[1.0], [self.mass[0] / self.mass[1] if self.mass[1] else 0.0]])
-        if not self.mass[1]:  # without a target both models are the same
-            word, before, pair, scale = word[[0, 0]], before[[0, 0]], pair[[0, 0]], np.ones((2, 1))
-        one = (word * scale + PSEUDO) / (self.mass[0] + PSEUDO * (self.size + 1))
-        context = before * scale
-        two = np.minimum(pair * scale / np.maximum(context, 1.0), 1.0)
-        return -np.log(np.where(context > 0, MIX * two + (1 - MIX) * one, one))
+def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of bigrams."""
+    z = before * ODD[0]
+    z ^= z >> np.uint64(29)
+    z = (z + word) * ODD[1]
+    return z ^ (z >> np.uint64(32))
 
 
 @dataclass(frozen=True)
 class Models:
-    """Counts of all words as a table, the documents whose bigrams are counted, and what is broadcast."""
-
-    words: DataFrame
-    marked: DataFrame
-    common: Common
-
-
-def _pairs_of(own: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, Counter]:
-    """A text's bigrams of common words as numbers, and those with others as words (b"" is the beginning)."""
-    m = len(own)
-    ids = np.fromiter((own.get(w, -1) for w in words), np.int64, len(words))
-    before = np.append(m, ids[:-1])
-    known = (ids >= 0) & (before >= 0)
-    rare = Counter((words[k - 1] if k else b"", words[k]) for k in np.flatnonzero(~known).tolist())
-    return before[known] * (m + 1) + ids[known], rare
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, the first ascending: its differences and the others, byte by byte, compressed."""
-    first, *others = arrays
-    columns = [np.diff(first, prepend=0), *others]
-    raw = b"".join(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in columns)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=CODEC, asbytes=True)
-
-
-def _unpacked(blob: bytes, n: int) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec=CODEC, asbytes=True)
-    columns = [np.ascontiguousarray(x.T).view("<i8").ravel() for x in np.frombuffer(raw, np.uint8).reshape(n, 8, -1)]
-    return [np.cumsum(columns[0]), *columns[1:]]
-
-
-def _dealt(code: np.ndarray, parts: int) -> np.ndarray:
-    return ((code.astype(np.uint64) * SPAN) >> np.uint64(33)).astype(np.int64) % parts
-
-
-def _by_part(parts: int, code: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    part = _dealt(code, parts)
-    order = np.lexsort((code, part))
-    part, arrays = part[order], [a[order] for a in (code, *others)]
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for k, rows in zip(part[np.append(0, cuts)] if len(part) else (), zip(*(np.split(a, cuts) for a in arrays), strict=True), strict=False):
-        yield int(k), list(rows)
-
-
-PACKED = "part long, kind int, keys binary, blob binary"
+    """The documents that the models count (`wanted` marks the target's), and what is known of all: both masses and the number of words."""
 
+    source: DataFrame
+    counted: DataFrame
+    text: str
+    mass: tuple[int, int]
+    size: int
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    part, kind, keys, blob = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(keys, pa.binary()), pa.array(blob, pa.binary())], names=["part", "kind", "keys", "blob"])
+    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Loss in nats of tokens by the counts of the word, the word before and both, each (2, n): background, target. Without a word before, or if the model lacks it, the word's own estimate counts."""
+        mass = np.array(self.mass, float)[:, None]
+        if not self.mass[1]:  # without a target both models are the same
+            word, before, pair, mass = word[[0, 0]], before[[0, 0]], pair[[0, 0]], mass[[0, 0]]
+        one = (1 - SPREAD) * word / np.maximum(mass, 1) + SPREAD / max(self.size, 1)
+        two = pair / np.maximum(before, 1)
+        return -np.log(np.where(before > 0, MIX * two + (1 - MIX) * one, one))
 
 
-def _count_common(batches: Iterator[pa.RecordBatch], held, parts: int) -> Iterator[pa.RecordBatch]:
-    """Counts of bigrams of common words in this task's documents, packed by part."""
-    own = held.value.index()
-    code, wanted, n = [], [], 0
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of some documents; their numbers of tokens ride on the first."""
+    held, n, k = [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        all_of, background = np.unique(np.concatenate(code), return_counts=True)
-        target = np.zeros_like(background)
-        if wanted:
-            some, k = np.unique(np.concatenate(wanted), return_counts=True)
-            target[np.searchsorted(all_of, some)] = k
-        return _batch([(k, 0, b"", _packed(*a)) for k, a in _by_part(parts, all_of, background, target)])
+        own = np.unique(np.concatenate(held))
+        totals = np.zeros((2, len(own)), np.int64)
+        totals[:, 0] = n, k
+        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(totals[0]), pa.array(totals[1])], names=["word", "background", "target"])
 
     for batch in sliced(batches):
-        for text, w in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            found, _ = _pairs_of(own, words_of(text))
-            if len(found):
-                code.append(found)
-                n += len(found)
-                if w:
-                    wanted.append(found)
-        if n >= PACK:
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            h = _hashes(words_of(text))
+            if len(h):
+                held.append(h)
+                n, k = n + len(h), k + len(h) * wanted
+        if n >= SEEN:
             yield flush()
-            code, wanted, n = [], [], 0
+            held, n, k = [], 0, 0
     if n:
         yield flush()
 
 
-def _count_rare(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    own = held.value.index()
-    for batch in sliced(batches):
-        n: tuple[Counter, Counter] = Counter(), Counter()
-        for text, w in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            _, rare = _pairs_of(own, words_of(text))
-            n[0].update(rare)
-            if w:
-                n[1].update(rare)
-        before, word = zip(*n[0], strict=True) if n[0] else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(before, pa.binary()), pa.array(word, pa.binary()), pa.array(list(n[0].values()), pa.int64()), pa.array([n[1][p] for p in n[0]], pa.int64())], names=["before", "word", "background", "target"])
-
-
-def train(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text", common: int = COMMON) -> Models:
-    """Count all documents: as background every one, as target those whose id is in `wanted` (doc_id).
-
-    Every word is counted, by partial sums; the `common` most frequent ones (ties by bytes) are broadcast with
-    their counts, which changes no result. Bigrams are counted when documents are scored. The target's counts
-    are scaled to the background's mass, so both models are smoothed alike. Without a target document the two
-    are the same, and every score is 0.
+def train(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Models:
+    """Models of all documents: as background every one, as target those whose id is in `wanted` (doc_id).
+
+    The number of distinct words and of tokens is counted here; the words' and bigrams' own counts are summed
+    when documents are scored, as only those that occur in them are needed. Without a target document the
+    two models are the same, and every score is 0. Null texts are empty, null ids are not wanted.
     """
-    ids = wanted.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct().withColumn("wanted", F.lit(True))
-    keyed = docs.select(F.col(doc_id).cast("long").alias("_id"), text_of(text).alias("text"))
-    marked = keyed.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, "_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counts = marked.mapInArrow(_count_words, "word binary, background long, target long")
-    words = checkpointed(counts.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
+    own, flag = fresh(docs.columns, "own", "wanted")
+    ids = wanted.select(F.col("doc_id").cast("long").alias(own)).where(F.col(own).isNotNull()).distinct().withColumn(flag, F.lit(True))
+    keyed = docs.withColumn(own, F.col(doc_id).cast("long"))
+    if ids.count() <= 1_000_000:
+        joined = keyed.join(F.broadcast(ids), own, "left")
+    else:  # rows without an id stay where they are
+        joined = keyed.where(F.col(own).isNotNull()).join(ids, own, "left").unionByName(keyed.where(F.col(own).isNull()).withColumn(flag, F.lit(False)))
+    counted = joined.select(*docs.columns, F.coalesce(flag, F.lit(False)).alias(flag))
+    plain = counted.select(text_of(text).alias("text"), F.col(flag).alias("wanted"))
+    words = plain.mapInArrow(_vocabulary, "word long, background long, target long").groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     whole = words.agg(F.count(F.lit(1)).alias("size"), F.sum("background").alias("background"), F.sum("target").alias("target")).first()
-    top = words.orderBy(F.col("background").desc(), "word").limit(common).toArrow()
-    single = np.stack([top["background"].to_numpy(), top["target"].to_numpy()]).astype(float)
-    held = Common(pa.array(top["word"].to_pylist(), pa.binary()), single, np.array([whole["background"] or 0, whole["target"] or 0], float), whole["size"])
-    return Models(words, marked, held)
+    return Models(docs, counted.withColumnRenamed(flag, "_wanted"), text, (whole["background"] or 0, whole["target"] or 0), whole["size"])
 
 
-def _rows_common(batches: Iterator[pa.RecordBatch], held, parts: int) -> Iterator[pa.RecordBatch]:
-    """Bigrams of common words of each document, packed by part. Keys have 16 bytes."""
-    own = held.value.index()
-    code, times, at, keys, n = [], [], [], [], 0
+def _packed(code: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Ascending hashes as differences, and their counts, byte by byte, compressed."""
+    columns = [np.diff(code, prepend=np.uint64(0)), *counts]
+    raw = b"".join(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=CODEC, asbytes=True)
 
-    def flush() -> pa.RecordBatch:
-        rows = []
-        for k, (c, t, d) in _by_part(parts, np.concatenate(code), np.concatenate(times), np.concatenate(at)):
-            docs, d = np.unique(d, return_inverse=True)
-            rows.append((k, 1, b"".join(keys[i] for i in docs.tolist()), _packed(c, t, d.astype(np.int64))))
-        return _batch(rows)
 
-    for batch in sliced(batches):
-        for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            found, t = np.unique(_pairs_of(own, words_of(text))[0], return_counts=True)
-            if len(found):
-                code.append(found), times.append(t), at.append(np.full(len(found), len(keys))), keys.append(key)
-                n += len(found)
-        if n >= PACK:
-            yield flush()
-            code, times, at, keys, n = [], [], [], [], 0
-    if n:
-        yield flush()
+def _unpacked(blob: bytes, columns: int = 3) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec=CODEC, asbytes=True), np.uint8)
+    first, *others = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in raw.reshape(columns, 8, -1))
+    return [np.cumsum(first, dtype=np.uint64), *others]
+
+
+def _ask(batches: Iterator[pa.RecordBatch], parts: int, replies: bool, counts: bool) -> Iterator[pa.RecordBatch]:
+    """Messages of each chunk to the parts: its distinct hashes with its own counts. Rows arrive in order of chunk."""
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    chunk, held, n = None, ([], []), 0
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        code, background = np.unique(np.concatenate(held[0]), return_counts=True)
+        target = np.zeros(len(code), np.int64)
+        if held[1]:
+            some, k = np.unique(np.concatenate(held[1]), return_counts=True)
+            target[np.searchsorted(code, some)] = k
+        if not counts:
+            background, target = np.zeros_like(target), np.zeros_like(target)
+        cuts = [0, *np.searchsorted(code, edges).tolist(), len(code)]
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a < b:
+                blob = _packed(code[a:b], background[a:b], target[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([chunk if replies else -1]), pa.array([blob], pa.binary())], names=["part", "chunk", "blob"])
 
-def _meet(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    """(key, n_words, background, target): sums of losses. A part's counts come before its documents; only they are held."""
-    common = held.value
-    m = len(common.words)
-    single = np.append(common.single, np.zeros((2, 1)), axis=1)  # the beginning has no count
-    part, counts, table = None, [], None
+    for batch in sliced(batches):
+        for c, text, wanted in zip(*(batch.column(x).to_pylist() for x in ("chunk", "text", "wanted")), strict=True):
+            if n and (c != chunk or n >= 2 * CHUNK):  # repeated rows are one chunk, which may be sent in several messages
+                yield from flush()
+                held, n = ([], []), 0
+            chunk = c
+            h = _hashes(words_of(text))
+            if len(h):
+                for x in (h, _pairs(h[:-1], h[1:])):
+                    held[0].append(x)
+                    if wanted:
+                        held[1].append(x)
+                n += len(h)
+    if n:
+        yield from flush()
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of parts: the hashes of each message with their sums over all messages. Rows arrive in order of part."""
+
+    def answers(part: int, chunks: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        found = [_unpacked(b) for b in blobs]
+        code = np.concatenate([f[0] for f in found])
+        order = np.argsort(code, kind="stable")  # merges the messages, which are sorted
+        code = code[order]
+        new = np.append(True, code[1:] != code[:-1])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        del code, new
+        sums = [np.bincount(of, np.concatenate([f[k] for f in found])).astype(np.uint64) for k in (1, 2)]
+        at = 0
+        for chunk, (own, *_) in zip(chunks, found, strict=True):
+            here = of[at : at + len(own)]
+            at += len(own)
+            if chunk >= 0:
+                blob = _packed(own, sums[0][here], sums[1][here])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part]), pa.array([blob], pa.binary())], names=["chunk", "part", "blob"])
+
+    part, chunks, blobs = None, [], []
     for batch in batches:
-        for k, kind, keys, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if k != part:
-                part, counts, table = k, [], None
-            if not kind:
-                counts.append(_unpacked(blob, 3))
+        for p, c, blob in zip(*(batch.column(x).to_pylist() for x in ("part", "chunk", "blob")), strict=True):
+            if p != part and blobs:
+                yield from answers(part, chunks, blobs)
+                chunks, blobs = [], []
+            part = p
+            chunks.append(c)
+            blobs.append(blob)
+    if blobs:
+        yield from answers(part, chunks, blobs)
+
+
+class _Table:
+    """Sums of the hashes of one chunk."""
+
+    def __init__(self, answers: list[list[np.ndarray]]):
+        code, *counts = ([np.concatenate(x) for x in zip(*answers, strict=True)]) if answers else [np.zeros(0, np.uint64)] * 3
+        if len(code) > 1 and not (code[1:] > code[:-1]).all():  # a chunk that was sent in several messages
+            code, first = np.unique(code, return_index=True)
+            counts = [c[first] for c in counts]
+        self.code, self.counts = code, np.stack(counts).astype(float)
+
+    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
+        return self.counts[:, np.searchsorted(self.code, wanted)]
+
+
+def _losses(texts: list[str | None], table: _Table, models: Models) -> list[np.ndarray]:
+    """Numbers of words and both models' mean losses of each text."""
+    own = [_hashes(words_of(t or "")) for t in texts]
+    size = np.array([len(h) for h in own], np.int64)
+    sums = np.zeros((2, len(own)))
+    if size.sum():
+        h = np.concatenate(own)
+        word = table[h]
+        before, pair = np.zeros_like(word), np.zeros_like(word)
+        inner = np.ones(len(h), bool)
+        inner[(np.cumsum(size) - size)[size > 0]] = False  # a text's first word has none before it
+        at = np.flatnonzero(inner)
+        before[:, at], pair[:, at] = word[:, at - 1], table[_pairs(h[at - 1], h[at])]
+        loss = models.losses(word, before, pair)
+        of = np.repeat(np.arange(len(own)), size)
+        sums = np.stack([np.bincount(of, x, len(own)) for x in loss])
+    background, target = np.where(size > 0, sums / np.maximum(size, 1), 0.0)
+    return [size, target, background, target - background]
+
+
+def _answered(batches: Iterator[pa.RecordBatch], models: dict, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Documents with their losses. Rows arrive in order of chunk, its answers before its documents."""
+    own = Models(None, None, text, **models)
+    chunk, found, table = None, [], None
+    for batch in sliced(batches):
+        ids, kinds = batch.column("_chunk").to_numpy(), batch.column("_kind").to_numpy()
+        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            rows = batch.slice(a, b - a)
+            if ids[a] != chunk:
+                chunk, found, table = ids[a], [], None
+            if not kinds[a]:
+                found += [_unpacked(x) for x in rows.column("_blob").to_pylist()]
                 continue
             if table is None:
-                code, back = np.unique(np.concatenate([c[0] for c in counts] or [np.zeros(0, np.int64)]), return_inverse=True)
-                table = code, np.stack([np.bincount(back, np.concatenate([c[i] for c in counts] or [np.zeros(0)]), len(code)) for i in (1, 2)])
-                counts = []
-            code, pair = table
-            c, times, d = _unpacked(blob, 3)
-            where = np.minimum(np.searchsorted(code, c), max(len(code) - 1, 0))
-            got = np.where(code[where] == c, pair[:, where], 0.0) if len(code) else np.zeros((2, len(c)))
-            loss = common.losses(single[:, c % (m + 1)], single[:, c // (m + 1)], got) * times
-            docs = [keys[i : i + 16] for i in range(0, len(keys), 16)]
-            sums = [np.bincount(d, x, len(docs)) for x in (times, *loss)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["key", "n_words", "background", "target"])
-
-
-def _rows_rare(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    """Bigrams with a rarer word: counts of their common words are known here, others are looked up by word."""
-    common = held.value
-    own = common.index()
-    for batch in sliced(batches):
-        out = []
-        for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            for (before, word), n in _pairs_of(own, words_of(text))[1].items():
-                out.append((key, before, word, n, own.get(before, -1), own.get(word, -1)))
-        key, before, word, n, i, j = zip(*out, strict=True) if out else ((),) * 6
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(x, pa.binary()) for x in (key, before, word)), *(pa.array(x, pa.int64()) for x in (n, i, j))], names=["key", "before", "word", "n", "i", "j"]
-        )
-
-
-def _losses_rare(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
-    common = held.value
-    for batch in batches:
-        get = lambda name: np.nan_to_num(batch.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False))  # noqa: E731, B023
-        both = lambda name: np.stack([get(f"{name}_b"), get(f"{name}_t")])  # noqa: E731, B023
-        i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
-        single = np.append(common.single, np.zeros((2, 1)), axis=1)
-        n = batch.column("n").to_numpy()
-        loss = common.losses(np.where(j >= 0, single[:, j], both("word")), np.where(i >= 0, single[:, i], both("before")), both("pair")) * n
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(loss[0]), pa.array(loss[1])], names=["key", "n_words", "background", "target"])
+                table, found = _Table(found), []
+            added = _losses(rows.column(text).to_pylist(), table, own)
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names[: -len(ADDED)]), *map(pa.array, added)], names=names)
 
 
 ADDED = ("n_words", "target_loss", "background_loss", "difference")
-SUMS = "key binary, n_words long, background double, target double"
 
 
-def score(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
+def _chunked(rows: DataFrame, text: str, chunk: int) -> tuple[Column, int]:
+    """The chunk of a row by its hash, and the number of chunks."""
+    size = rows.select(F.octet_length(text_of(text)).alias("n")).agg(F.sum("n")).first()[0] or 0
+    chunks = int(size // chunk) + 1
+    ids = [F.col(f"`{f.name}`") for f in rows.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType))]
+    return F.pmod(F.xxhash64(*ids), F.lit(chunks)).cast("long"), chunks
+
+
+def score(docs: DataFrame, models: Models, text: str = "text", chunk: int = CHUNK, part: int = PART) -> DataFrame:
     """`docs` with n_words, target_loss, background_loss and difference (target less background) of each whole text.
 
-    A null or empty text has no tokens and 0 everywhere. Equal texts are one, so they score alike. Columns with
-    these names are replaced; all others pass through. Each document's bigrams are summed up first and meet
-    the counts of the models' documents by a shuffle; nothing that grows with the corpus is broadcast.
+    A null or empty text has no tokens and 0 everywhere. Equal texts score alike. Columns with these names are
+    replaced; all others pass through. Documents that the models count (`docs` is what `train` was given) are
+    counted and scored by the same messages; for others the counted documents send theirs besides. Texts move
+    with the documents' other columns, twice; hashes once each way.
     """
-    kept = [c for c in docs.columns if c.lower() not in ADDED]
-    (key,) = fresh(docs.columns, "text_key")
-    keyed = docs.select(*kept, F.unhex(F.md5(text_of(text).cast("binary"))).alias(key))
-    total = docs.count()
-    held = docs.sparkSession.sparkContext.broadcast(models.common)
-    parts = int(models.common.mass[0] // PART) + total // 5_000 + 1
-    rows = docs.select(F.unhex(F.md5(text_of(text).cast("binary"))).alias("key"), text_of(text).alias("text"))
-
-    packed = models.marked.mapInArrow(partial(_count_common, held=held, parts=parts), PACKED).union(rows.mapInArrow(partial(_rows_common, held=held, parts=parts), PACKED))
-    common = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(partial(_meet, held=held), SUMS)
-
-    pairs = models.marked.mapInArrow(partial(_count_rare, held=held), "before binary, word binary, background long, target long").groupBy("before", "word")
-    pairs = pairs.agg(F.sum("background").alias("pair_b"), F.sum("target").alias("pair_t"))
-    rare = rows.mapInArrow(partial(_rows_rare, held=held), "key binary, before binary, word binary, n long, i long, j long").join(pairs, ["before", "word"], "left")
-    # Where a word's counts are known there is nothing to look up: a key that is no word spreads those rows.
-    none = F.concat(F.unhex(F.lit("00")), "key")
-    for name, at in (("word", "j"), ("before", "i")):
-        counts = models.words.select(F.col("word").alias("_word"), F.col("background").alias(f"{name}_b"), F.col("target").alias(f"{name}_t"))
-        rare = rare.withColumn("_look", F.when(F.col(at) < 0, F.col(name)).otherwise(none)).join(counts, F.col("_look") == F.col("_word"), "left").drop("_look", "_word")
-    # `before` is empty at a text's beginning, and no word is.
-    rare = rare.drop("before", "word").mapInArrow(partial(_losses_rare, held=held), SUMS)
-
-    alone = rows.select("key", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("background"), F.lit(0.0).alias("target"), F.lit(1).cast("long").alias("copies"))
-    sums = alone.unionByName(common.unionByName(rare).withColumn("copies", F.lit(0).cast("long"))).groupBy("key")
-    sums = sums.agg(*[F.sum(c).alias(c) for c in ("n_words", "background", "target", "copies")])
-    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
-    losses = sums.select(
-        F.col("key").alias(key), (F.col("n_words") / F.col("copies")).cast("long").alias(ADDED[0]), mean("target").alias(ADDED[1]), mean("background").alias(ADDED[2]),
-        (mean("target") - mean("background")).alias(ADDED[3]), F.col("copies").alias(f"{key}_copies"),
-    )
-    scored = with_group(keyed, checkpointed(losses), key, f"{key}_copies", total)
-    return scored.select([*kept, *ADDED])
+    kept = [c for c in docs.columns if c.lower() not in ADDED or c == text]
+    parts = 2 * sum(models.mass[:1]) // part + 1
+    joint = docs is models.source
+    asking = models.counted if joint else docs.withColumn("_wanted", F.lit(False))
+    at, chunks = _chunked(docs, text, chunk)
+
+    def sent(rows: DataFrame, column: str, where: Column, n: int, replies: bool, counts: bool) -> DataFrame:
+        plain = rows.select(where.alias("chunk"), text_of(column).alias("text"), F.col("_wanted").alias("wanted")).repartition(n, "chunk").sortWithinPartitions("chunk")
+        return plain.mapInArrow(partial(_ask, parts=parts, replies=replies, counts=counts), "part long, chunk long, blob binary")
+
+    messages = sent(asking, text, at, chunks, True, joint)
+    if not joint:
+        other, n = _chunked(models.source, models.text, chunk)
+        messages = messages.unionByName(sent(models.counted, models.text, other, n, False, True))
+    answers = messages.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_sum, "chunk long, part long, blob binary")
+    answers = answers.select(F.col("chunk").alias("_chunk"), F.lit(0).alias("_kind"), F.col("part").alias("_part"), F.col("blob").alias("_blob"))
+    own = docs.select(*[f"`{c}`" for c in kept], at.alias("_chunk"), F.lit(1).alias("_kind"))
+    (held,) = fresh(own.columns, "held") if not isinstance(docs.schema[text].dataType, T.StringType) else (text,)
+    if held != text:
+        own = own.withColumn(held, F.col(text).cast("string"))
+    met = own.unionByName(answers, allowMissingColumns=True).repartition(chunks, "_chunk").sortWithinPartitions("_chunk", "_kind", "_part")
+    added = [T.StructField(n, T.LongType() if n == "n_words" else T.DoubleType()) for n in ADDED]
+    kept = [c for c in kept if c.lower() not in ADDED]
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in kept), *added])
+    return met.mapInArrow(partial(_answered, models={"mass": models.mass, "size": models.size}, text=held, names=schema.names), schema)
