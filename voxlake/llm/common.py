@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests, a laptop), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine."""
     context = spark.sparkContext
     own = context._jsc.sc().getCheckpointDir()
     if own.isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxlake-checkpoint-"))
         own = context._jsc.sc().getCheckpointDir()
     return own.get()
@@ -35,6 +37,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, read again: what it holds is computed once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def sliced(batches: Iterable, rows: int = 512) -> Iterable:
     """Arrow batches in slices of some rows, so that a Python worker holds few texts at a time."""
     for whole in batches:
@@ -85,12 +95,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(doc_id, text, y) of at most `bound` labelled rows outside the held-out fold.
+    """(doc_id, text, y) of labelled rows with at most `bound` ids, outside the held-out fold.
 
-    The rows with the smallest hashes of doc_id are taken, so the sample doesn't depend on the
-    partitioning. `bound` is a documented parameter of the classifiers; the sampled ids are at most that
-    many rows, so their broadcast is bounded too. Labels that are null, or that disagree for one doc_id,
-    are left out.
+    The ids with the smallest hashes are taken, so the sample doesn't depend on the partitioning. `bound` is a
+    documented parameter of the classifiers; the sampled ids are at most that many, so their broadcast is
+    bounded too. Labels that are null, or that disagree for one doc_id, are left out. Rows that repeat a
+    doc_id are all here: `one_each` takes one of them once their texts have become small.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -101,3 +111,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     )
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return own.join(F.broadcast(ids), "doc_id")
+
+
+def one_each(sample: DataFrame) -> DataFrame:
+    """(doc_id, x, y) of a sample: of rows that share a doc_id the one whose x comes first, by partial aggregation before they move."""
+    return sample.groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("doc_id", "x", "y")

@@ -5,10 +5,11 @@ are interpolated bigram models over the same words, each smoothed by the same sh
 score doesn't depend on how much larger the background is. A document's score is its mean loss per token
 under the target less that under the background: the lower, the more it is like the target.
 
-Words and bigrams are 64-bit hashes. Documents are dealt to chunks of bounded text; a chunk sends each of its
-distinct words and bigrams once, with its own counts, to the part that sums that hash over the corpus, and
-gets the sums back. So a frequent bigram costs a row for each chunk, not for each document, and no task
-holds more than a chunk's or a part's hashes, however large the corpus is.
+Words and bigrams are 64-bit hashes, even ones of words and odd ones of bigrams. Documents are packed in
+chunks of bounded text and written once. A chunk sends each of its distinct hashes with its own counts to
+the part that sums that hash over the corpus, and gets the sums back in the same order. So a frequent bigram
+costs a row for each chunk, not for each document, and no task holds more than a chunk's text or a part's
+hashes, however large the corpus is.
 """
 
 from __future__ import annotations
@@ -19,21 +20,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, sliced, text_of
+from .common import fresh, sliced, written
 
 #: Bytes of text in a chunk, and hashes that a part sums.
 CHUNK, PART = 8_000_000, 2_000_000
 #: Weight of the bigram estimate, and the share of a word's estimate that is spread over all words.
 MIX, SPREAD = 0.6, 0.1
-#: Tokens after which a task that counts the vocabulary sends what it has seen.
-SEEN = 2_000_000
 
 BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 CODEC = "zstd"
 
 
@@ -44,7 +45,7 @@ def words_of(text: str) -> list[bytes]:
 def _hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & EVEN
 
 
 def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -52,16 +53,31 @@ def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     z = before * ODD[0]
     z ^= z >> np.uint64(29)
     z = (z + word) * ODD[1]
-    return z ^ (z >> np.uint64(32))
+    return (z ^ (z >> np.uint64(32))) | np.uint64(1)
+
+
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, how many each text has, and the places of words that have one before them in their text."""
+    own = [_hashes(words_of(t or "")) for t in texts]
+    size = np.array([len(h) for h in own], np.int64)
+    inner = np.ones(size.sum(), bool)
+    inner[(np.cumsum(size) - size)[size > 0]] = False
+    return np.concatenate([*own, np.zeros(0, np.uint64)]), size, np.flatnonzero(inner)
 
 
 @dataclass(frozen=True)
 class Models:
-    """The documents that the models count (`wanted` marks the target's), and what is known of all: both masses and the number of words."""
+    """The documents that the models count, and the same packed in chunks, with a mark on those that the target counts."""
 
     source: DataFrame
-    counted: DataFrame
+    packed: DataFrame
     text: str
+
+
+@dataclass(frozen=True)
+class Totals:
+    """What is known of all documents: the tokens of the background and of the target, and the number of words."""
+
     mass: tuple[int, int]
     size: int
 
@@ -75,35 +91,46 @@ class Models:
         return -np.log(np.where(before > 0, MIX * two + (1 - MIX) * one, one))
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of some documents; their numbers of tokens ride on the first."""
-    held, n, k = [], 0, 0
+def _pack(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Rows in chunks of so much text, as compressed Arrow streams."""
+    held, size, n = [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        own = np.unique(np.concatenate(held))
-        totals = np.zeros((2, len(own)), np.int64)
-        totals[:, 0] = n, k
-        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(totals[0]), pa.array(totals[1])], names=["word", "background", "target"])
-
-    for batch in sliced(batches):
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            h = _hashes(words_of(text))
-            if len(h):
-                held.append(h)
-                n, k = n + len(h), k + len(h) * wanted
-        if n >= SEEN:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=CODEC)) as out:
+            for x in held:
+                out.write_batch(x)
+        number = (TaskContext.get().partitionId() << 32) + n
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "bytes", "blob"])
+
+    for batch in sliced(batches, 256):
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += sum(len(t) for t in batch.column("held").to_pylist() if t)
+        if size >= chunk:
             yield flush()
-            held, n, k = [], 0, 0
-    if n:
+            held, size, n = [], 0, n + 1
+    if held:
         yield flush()
 
 
-def train(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Models:
+def _rows(blob: bytes) -> Iterator[pa.RecordBatch]:
+    return iter(pa.ipc.open_stream(blob))
+
+
+def _chunks(docs: DataFrame, columns: list[str], text: str, wanted: Column, chunk: int) -> DataFrame:
+    """(chunk, bytes, blob): the rows in chunks of bounded text, written to the shared folder; their columns are numbered, as names may clash."""
+    own = docs.select(wanted.alias("wanted"), F.col(text).cast("string").alias("held"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns) if c != text))
+    return written(own.mapInArrow(partial(_pack, chunk=chunk), "chunk long, bytes long, blob binary"))
+
+
+def train(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> Models:
     """Models of all documents: as background every one, as target those whose id is in `wanted` (doc_id).
 
-    The number of distinct words and of tokens is counted here; the words' and bigrams' own counts are summed
-    when documents are scored, as only those that occur in them are needed. Without a target document the
-    two models are the same, and every score is 0. Null texts are empty, null ids are not wanted.
+    Documents are packed here; their words and bigrams are summed when documents are scored, as only the sums
+    of those that occur in them are needed. Without a target document the two models are the same, and every
+    score is 0. Null texts are empty, null ids are not wanted.
     """
     own, flag = fresh(docs.columns, "own", "wanted")
     ids = wanted.select(F.col("doc_id").cast("long").alias(own)).where(F.col(own).isNotNull()).distinct().withColumn(flag, F.lit(True))
@@ -111,83 +138,73 @@ def train(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str
     if ids.count() <= 1_000_000:
         joined = keyed.join(F.broadcast(ids), own, "left")
     else:  # rows without an id stay where they are
-        joined = keyed.where(F.col(own).isNotNull()).join(ids, own, "left").unionByName(keyed.where(F.col(own).isNull()).withColumn(flag, F.lit(False)))
-    counted = joined.select(*docs.columns, F.coalesce(flag, F.lit(False)).alias(flag))
-    plain = counted.select(text_of(text).alias("text"), F.col(flag).alias("wanted"))
-    words = plain.mapInArrow(_vocabulary, "word long, background long, target long").groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    whole = words.agg(F.count(F.lit(1)).alias("size"), F.sum("background").alias("background"), F.sum("target").alias("target")).first()
-    return Models(docs, counted.withColumnRenamed(flag, "_wanted"), text, (whole["background"] or 0, whole["target"] or 0), whole["size"])
+        joined = keyed.where(F.col(own).isNotNull()).join(ids, own, "left").unionByName(keyed.where(F.col(own).isNull()).withColumn(flag, F.lit(None).cast("boolean")))
+    return Models(docs, _chunks(joined, docs.columns, text, F.coalesce(flag, F.lit(False)), chunk), text)
 
 
-def _packed(code: np.ndarray, *counts: np.ndarray) -> bytes:
-    """Ascending hashes as differences, and their counts, byte by byte, compressed."""
-    columns = [np.diff(code, prepend=np.uint64(0)), *counts]
+def _packed(*columns: np.ndarray) -> bytes:
+    """Numbers of columns of one length, byte by byte, compressed."""
     raw = b"".join(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in columns)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=CODEC, asbytes=True)
 
 
-def _unpacked(blob: bytes, columns: int = 3) -> list[np.ndarray]:
+def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
     raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec=CODEC, asbytes=True), np.uint8)
-    first, *others = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in raw.reshape(columns, 8, -1))
-    return [np.cumsum(first, dtype=np.uint64), *others]
+    return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in raw.reshape(columns, 8, -1)]
 
 
 def _ask(batches: Iterator[pa.RecordBatch], parts: int, replies: bool, counts: bool) -> Iterator[pa.RecordBatch]:
-    """Messages of each chunk to the parts: its distinct hashes with its own counts. Rows arrive in order of chunk."""
+    """Messages of each chunk to the parts: its distinct hashes in order, as differences, with its own counts."""
     edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
-    chunk, held, n = None, ([], []), 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        code, background = np.unique(np.concatenate(held[0]), return_counts=True)
-        target = np.zeros(len(code), np.int64)
-        if held[1]:
-            some, k = np.unique(np.concatenate(held[1]), return_counts=True)
-            target[np.searchsorted(code, some)] = k
-        if not counts:
-            background, target = np.zeros_like(target), np.zeros_like(target)
-        cuts = [0, *np.searchsorted(code, edges).tolist(), len(code)]
-        for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a < b:
-                blob = _packed(code[a:b], background[a:b], target[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([chunk if replies else -1]), pa.array([blob], pa.binary())], names=["part", "chunk", "blob"])
-
-    for batch in sliced(batches):
-        for c, text, wanted in zip(*(batch.column(x).to_pylist() for x in ("chunk", "text", "wanted")), strict=True):
-            if n and (c != chunk or n >= 2 * CHUNK):  # repeated rows are one chunk, which may be sent in several messages
-                yield from flush()
-                held, n = ([], []), 0
-            chunk = c
-            h = _hashes(words_of(text))
-            if len(h):
-                for x in (h, _pairs(h[:-1], h[1:])):
-                    held[0].append(x)
-                    if wanted:
-                        held[1].append(x)
-                n += len(h)
-    if n:
-        yield from flush()
+    for batch in batches:
+        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            held, wanted = [], []
+            for rows in _rows(blob):
+                h, size, inner = _tokens(rows.column("held").to_pylist())
+                marked = np.repeat(rows.column("wanted").to_numpy(zero_copy_only=False), size)
+                held += [h, _pairs(h[inner - 1], h[inner])]
+                wanted += [marked, marked[inner]]
+            all_of = np.concatenate(held)
+            code, background = np.unique(all_of, return_counts=True)
+            target = np.zeros_like(background)
+            some, n = np.unique(all_of[np.concatenate(wanted)], return_counts=True)
+            target[np.searchsorted(code, some)] = n
+            if not counts:
+                background[:] = target[:] = 0
+            cuts = [0, *np.searchsorted(code, edges).tolist(), len(code)]
+            for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    blob = _packed(np.diff(code[a:b], prepend=np.uint64(0)), background[a:b], target[a:b])
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([chunk if replies else -1], pa.int64()), pa.array([blob], pa.binary())], names=["part", "chunk", "blob"])
+
+
+ANSWERS = ("chunk", "part", "blob", "size", "background", "target")
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers of parts: the hashes of each message with their sums over all messages. Rows arrive in order of part."""
+    """Answers of parts: to each message the sums of its hashes over all messages, in its order; and a row with the part's totals. Rows arrive in order of part."""
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if n == "blob" else pa.int64()) for n, v in zip(ANSWERS, values, strict=True)], names=list(ANSWERS))
 
     def answers(part: int, chunks: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        found = [_unpacked(b) for b in blobs]
-        code = np.concatenate([f[0] for f in found])
+        found = [_unpacked(b, 3) for b in blobs]
+        code = np.concatenate([np.cumsum(f[0], dtype=np.uint64) for f in found])
         order = np.argsort(code, kind="stable")  # merges the messages, which are sorted
         code = code[order]
         new = np.append(True, code[1:] != code[:-1])
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
-        del code, new
-        sums = [np.bincount(of, np.concatenate([f[k] for f in found])).astype(np.uint64) for k in (1, 2)]
+        words = code[new] & np.uint64(1) == 0
+        sums = [np.bincount(of, np.concatenate([f[k] for f in found])).astype(np.int64) for k in (1, 2)]
+        counted = words & (sums[0] > 0)
+        yield row(-1, part, None, int(counted.sum()), *(int(s[words].sum()) for s in sums))
         at = 0
         for chunk, (own, *_) in zip(chunks, found, strict=True):
             here = of[at : at + len(own)]
             at += len(own)
             if chunk >= 0:
-                blob = _packed(own, sums[0][here], sums[1][here])
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part]), pa.array([blob], pa.binary())], names=["chunk", "part", "blob"])
+                yield row(chunk, part, _packed(sums[0][here], sums[1][here]), 0, 0, 0)
 
     part, chunks, blobs = None, [], []
     for batch in batches:
@@ -202,103 +219,63 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answers(part, chunks, blobs)
 
 
-class _Table:
-    """Sums of the hashes of one chunk."""
-
-    def __init__(self, answers: list[list[np.ndarray]]):
-        code, *counts = ([np.concatenate(x) for x in zip(*answers, strict=True)]) if answers else [np.zeros(0, np.uint64)] * 3
-        if len(code) > 1 and not (code[1:] > code[:-1]).all():  # a chunk that was sent in several messages
-            code, first = np.unique(code, return_index=True)
-            counts = [c[first] for c in counts]
-        self.code, self.counts = code, np.stack(counts).astype(float)
-
-    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
-        return self.counts[:, np.searchsorted(self.code, wanted)]
-
-
-def _losses(texts: list[str | None], table: _Table, models: Models) -> list[np.ndarray]:
-    """Numbers of words and both models' mean losses of each text."""
-    own = [_hashes(words_of(t or "")) for t in texts]
-    size = np.array([len(h) for h in own], np.int64)
-    sums = np.zeros((2, len(own)))
-    if size.sum():
-        h = np.concatenate(own)
-        word = table[h]
-        before, pair = np.zeros_like(word), np.zeros_like(word)
-        inner = np.ones(len(h), bool)
-        inner[(np.cumsum(size) - size)[size > 0]] = False  # a text's first word has none before it
-        at = np.flatnonzero(inner)
-        before[:, at], pair[:, at] = word[:, at - 1], table[_pairs(h[at - 1], h[at])]
-        loss = models.losses(word, before, pair)
-        of = np.repeat(np.arange(len(own)), size)
-        sums = np.stack([np.bincount(of, x, len(own)) for x in loss])
-    background, target = np.where(size > 0, sums / np.maximum(size, 1), 0.0)
+def _losses(texts: list[str | None], sums: list[np.ndarray], totals: Totals) -> list[np.ndarray]:
+    """Numbers of words and both models' mean losses of a chunk's texts, by the sums of its hashes in order."""
+    h, size, inner = _tokens(texts)
+    _, of = np.unique(np.concatenate([h, _pairs(h[inner - 1], h[inner])]), return_inverse=True)
+    found = np.stack([np.concatenate([s[k] for s in sums] or [np.zeros(0)]).astype(float) for k in (0, 1)])
+    word = found[:, of[: len(h)]]
+    before, pair = np.zeros_like(word), np.zeros_like(word)
+    before[:, inner], pair[:, inner] = word[:, inner - 1], found[:, of[len(h) :]]
+    at = np.repeat(np.arange(len(size)), size)
+    background, target = (np.bincount(at, x, len(size)) / np.maximum(size, 1) for x in totals.losses(word, before, pair))
     return [size, target, background, target - background]
 
 
-def _answered(batches: Iterator[pa.RecordBatch], models: dict, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Documents with their losses. Rows arrive in order of chunk, its answers before its documents."""
-    own = Models(None, None, text, **models)
-    chunk, found, table = None, [], None
-    for batch in sliced(batches):
-        ids, kinds = batch.column("_chunk").to_numpy(), batch.column("_kind").to_numpy()
-        cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(ids)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            rows = batch.slice(a, b - a)
-            if ids[a] != chunk:
-                chunk, found, table = ids[a], [], None
-            if not kinds[a]:
-                found += [_unpacked(x) for x in rows.column("_blob").to_pylist()]
+def _answered(batches: Iterator[pa.RecordBatch], totals: Totals, sources: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Documents with their losses. Rows arrive in order of chunk, its answers in order of part before its documents."""
+    chunk, sums = None, []
+    for batch in batches:
+        for c, kind, blob in zip(*(batch.column(x).to_pylist() for x in ("chunk", "kind", "blob")), strict=True):
+            if c != chunk:
+                chunk, sums = c, []
+            if not kind:
+                sums.append(_unpacked(blob, 2))
                 continue
-            if table is None:
-                table, found = _Table(found), []
-            added = _losses(rows.column(text).to_pylist(), table, own)
-            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names[: -len(ADDED)]), *map(pa.array, added)], names=names)
+            rows = pa.Table.from_batches(_rows(blob)).combine_chunks()
+            own = {n: rows.column(source) for n, source in sources.items()}
+            own |= dict(zip(ADDED, map(pa.array, _losses(rows.column("held").to_pylist(), sums, totals)), strict=True))
+            yield from pa.Table.from_pydict(own).to_batches(max_chunksize=4096)
 
 
 ADDED = ("n_words", "target_loss", "background_loss", "difference")
 
 
-def _chunked(rows: DataFrame, text: str, chunk: int) -> tuple[Column, int]:
-    """The chunk of a row by its hash, and the number of chunks."""
-    size = rows.select(F.octet_length(text_of(text)).alias("n")).agg(F.sum("n")).first()[0] or 0
-    chunks = int(size // chunk) + 1
-    ids = [F.col(f"`{f.name}`") for f in rows.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType))]
-    return F.pmod(F.xxhash64(*ids), F.lit(chunks)).cast("long"), chunks
-
-
 def score(docs: DataFrame, models: Models, text: str = "text", chunk: int = CHUNK, part: int = PART) -> DataFrame:
     """`docs` with n_words, target_loss, background_loss and difference (target less background) of each whole text.
 
     A null or empty text has no tokens and 0 everywhere. Equal texts score alike. Columns with these names are
-    replaced; all others pass through. Documents that the models count (`docs` is what `train` was given) are
-    counted and scored by the same messages; for others the counted documents send theirs besides. Texts move
-    with the documents' other columns, twice; hashes once each way.
+    replaced; all others pass through, the text as a string. Documents that the models count (`docs` is what
+    `train` was given) are counted and scored by the same messages; for others the counted documents send
+    theirs besides. Chunks and answers are written to the shared folder, so a lost executor costs no more than
+    the stage that it was lost in.
     """
-    kept = [c for c in docs.columns if c.lower() not in ADDED or c == text]
-    parts = 2 * sum(models.mass[:1]) // part + 1
-    joint = docs is models.source
-    asking = models.counted if joint else docs.withColumn("_wanted", F.lit(False))
-    at, chunks = _chunked(docs, text, chunk)
-
-    def sent(rows: DataFrame, column: str, where: Column, n: int, replies: bool, counts: bool) -> DataFrame:
-        plain = rows.select(where.alias("chunk"), text_of(column).alias("text"), F.col("_wanted").alias("wanted")).repartition(n, "chunk").sortWithinPartitions("chunk")
-        return plain.mapInArrow(partial(_ask, parts=parts, replies=replies, counts=counts), "part long, chunk long, blob binary")
-
-    messages = sent(asking, text, at, chunks, True, joint)
+    joint = docs is models.source and text == models.text
+    asking = models.packed if joint else _chunks(docs, docs.columns, text, F.lit(False), chunk)
+    size = sum((p.agg(F.sum("bytes")).first()[0] or 0) for p in {id(p): p for p in (asking, models.packed)}.values())
+    parts = int(size // (3 * part)) + 1  # there are about 3 characters for each hash that is sent
+    say = lambda p, replies, counts: p.mapInArrow(partial(_ask, parts=parts, replies=replies, counts=counts), "part long, chunk long, blob binary")
+    messages = say(asking, True, joint)
     if not joint:
-        other, n = _chunked(models.source, models.text, chunk)
-        messages = messages.unionByName(sent(models.counted, models.text, other, n, False, True))
-    answers = messages.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_sum, "chunk long, part long, blob binary")
-    answers = answers.select(F.col("chunk").alias("_chunk"), F.lit(0).alias("_kind"), F.col("part").alias("_part"), F.col("blob").alias("_blob"))
-    own = docs.select(*[f"`{c}`" for c in kept], at.alias("_chunk"), F.lit(1).alias("_kind"))
-    (held,) = fresh(own.columns, "held") if not isinstance(docs.schema[text].dataType, T.StringType) else (text,)
-    if held != text:
-        own = own.withColumn(held, F.col(text).cast("string"))
-    met = own.unionByName(answers, allowMissingColumns=True).repartition(chunks, "_chunk").sortWithinPartitions("_chunk", "_kind", "_part")
-    added = [T.StructField(n, T.LongType() if n == "n_words" else T.DoubleType()) for n in ADDED]
-    kept = [c for c in kept if c.lower() not in ADDED]
-    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in kept), *added])
-    return met.mapInArrow(partial(_answered, models={"mass": models.mass, "size": models.size}, text=held, names=schema.names), schema)
+        messages = messages.unionByName(say(models.packed, False, True))
+    answers = messages.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_sum, "chunk long, part long, blob binary, size long, background long, target long")
+    answers = written(answers)
+    whole = answers.where("chunk < 0").agg(F.sum("size"), F.sum("background"), F.sum("target")).first()
+    totals = Totals((whole[1] or 0, whole[2] or 0), whole[0] or 0)
+    met = answers.where("chunk >= 0").select("chunk", F.lit(0).alias("kind"), "part", "blob")
+    met = met.unionByName(asking.select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("part"), "blob"))
+    met = met.repartition(max(1, asking.count()), "chunk").sortWithinPartitions("chunk", "kind", "part")
+    kept = {c: "held" if c == text else f"c{k}" for k, c in enumerate(docs.columns) if c.lower() not in ADDED}
+    fields = [T.StructField(c, T.StringType() if c == text else docs.schema[c].dataType) for c in kept]
+    schema = T.StructType([*fields, *(T.StructField(n, T.LongType() if n == "n_words" else T.DoubleType()) for n in ADDED)])
+    return met.mapInArrow(partial(_answered, totals=totals, sources=kept), schema)

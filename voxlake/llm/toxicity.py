@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, sliced
+from .common import labelled_sample, one_each, sliced
 
 #: Documented bounds of the training: labelled rows sampled, passes over them, hashed dimensions.
 SAMPLE = 8_000
@@ -125,12 +125,12 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> ToxicityModel:
-    """Learn from a bounded sample of labelled rows outside the held-out fold.
+    """Learn from a bounded sample of labelled ids outside the held-out fold, one row of each.
 
     The sample's n-grams are hashed where the texts are. FTRL takes documents one after another, so one task
     learns from the hashed rows of the sample, in the order of hashed ids; its size is bounded by `bound`.
     """
-    sample = labelled_sample(docs, labels, label, bound).mapInArrow(_grams, "doc_id long, x array<int>, y int")
+    sample = one_each(labelled_sample(docs, labels, label, bound).mapInArrow(_grams, "doc_id long, x array<int>, y int"))
     learnt = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(_learn, "i int, w double").toArrow()
     i, w = learnt["i"].to_numpy(), learnt["w"].to_numpy()
     if not (i == -1).any():
