@@ -92,8 +92,73 @@ def test_simhash_equals_brute_force(spark):
     assert [got[i]["fp"] % (1 << 64) for i, _ in rows] == prints
     assert [got[i]["component_id"] for i, _ in rows] == brute_components([i for i, _ in rows], prints)
     assert simhash.groups(table(spark, rows).limit(0)).count() == 0
-    kept = simhash.deduplicate(table(spark, [*rows, (None, "no id")]))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted({str(got[i]["component_id"]) for i, _ in rows} | {"None"})
+
+
+def brute_near(rows):
+    """doc_id to the smallest doc_id that links of Jaccard similarity 0.8 reach, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, _), x in zip(rows, sets, strict=True):
+        for (j, _), y in zip(rows, sets, strict=True):
+            if i < j and len(x & y) * 5 >= len(x | y) * 4:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i, _ in rows}
+
+
+def edited(rng, text, edits):
+    words = text.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("part", [(2048, 1024), (40, 25)])
+def test_near_copies_equal_brute_force(spark, part):
+    rng = random.Random(8)
+    rows = [(r[0], r[1]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (60, 100, 200, 400, 900)]
+    for k, text in enumerate(base):
+        rows += [(10_000 + 100 * k + j, edited(rng, text, j % 6 if k > 1 else j % 3)) for j in range(60)]
+    rows += [(20_000, None), (20_001, ""), (20_002, " \t"), (20_003, "One two"), (20_004, "one  TWO"), (20_005, "two one"), (20_006, "w " * 20_000), (20_007, "W " * 20_001)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table(spark, rows), part=part[0], part_docs=part[1]).collect()}
+    want = brute_near(rows)
+    several = {i for i in want if sum(v == want[i] for v in want.values()) > 1}
+    assert got == {i: want[i] for i in several}
+    assert len(several) > 250 and want[20_001] == want[20_002] == 20_000 and want[20_004] == 20_003 and want[20_007] == 20_006
+
+
+def test_near_copies_are_dropped_and_clean_documents_stay(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(80)]
+    rows = list(enumerate(texts)) + [(100 + k, edited(rng, t, 3)) for k, t in enumerate(texts[:40])] + [(200 + k, edited(rng, t, 60)) for k, t in enumerate(texts[40:])]
+    docs = table(spark, [*rows, (None, texts[0]), (5, texts[5])])
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([*(str(k) for k in range(80)), "5", *(str(200 + k) for k in range(40)), "None"])
+    assert simhash.deduplicate(docs.limit(0)).count() == 0 and simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_tiles_are_skipped_by_population_count():
+    rng = np.random.default_rng(4)
+    fp = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) & rng.choice([0xFF, 0xFFFFFF, (1 << 63) - 1], 3000).astype(np.uint64))
+    cell = np.sort(rng.choice([1, 1, 1, 2, 3], len(fp)))
+    order = np.lexsort((np.bitwise_count(fp), cell))
+    fp = fp[order]
+    r, c, compared, skipped = simhash.near_pairs(cell, np.bitwise_count(fp).astype(np.int64), fp[:, None], 3)
+    want = {(i, j) for i in range(len(fp)) for j in np.flatnonzero((np.bitwise_count(fp[i] ^ fp) <= 3) & (cell[i] == cell)) if i < j}
+    parent = simhash._least(r, c, len(fp))
+    assert (parent == simhash._least(*np.array(sorted(want)).T, len(fp))).all()
+    assert skipped > 20 and compared > 0
 
 
 @pytest.mark.parametrize("part", [2048, 60])
@@ -116,10 +181,11 @@ def test_dense_groups_lose_no_link(spark, part):
     assert [root.get(s, s) for s in signed] == want
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("plain", [1_000_000, 0])
+def test_components_of_chains_and_stars(spark, plain):
     chain = [(k, k + 1) for k in range(200)]
     star = [(1000, 1000 + k) for k in range(1, 300)] + [(1000, 1000), (1005, 1000)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain + star, "a long, b long"), plain).collect()}
     assert got == {k: 0 for k in range(201)} | {k: 1000 for k in range(1000, 1300)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -236,8 +302,8 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     for i, t in sorted(docs):
         seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (i, t))
     docs = list(seen.values())
-    roots = brute_components([i for i, _ in docs], [brute_print(t) for _, t in docs])
-    docs = [(i, t) for (i, t), r in zip(docs, roots, strict=True) if i == r]
+    roots = brute_near(docs)
+    docs = [(i, t) for i, t in docs if roots[i] == i]
     words = lambda t: f" {' '.join(re.findall(r'[^\W_]+', t.lower()))} "
     items = [words(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     whole = {i for i, t in docs if any(x in words(t) for x in items)}

@@ -68,3 +68,11 @@ def without(rows: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFr
     stay = tested.where(~F.col(flag)).drop(flag)
     met = tested.where(flag).drop(flag)
     return stay.unionByName(met.join(gone, met[key] == gone["gone"], "left_anti"))
+
+
+def within(rows: DataFrame, key: str, chosen: DataFrame, chosen_key: str) -> DataFrame:
+    """`rows` whose key is in `chosen`, with its columns (checkpointed, one row for each key). Only rows that a filter of its keys lets through are joined."""
+    blocks = blocks_for(chosen.count())
+    (flag,) = fresh([*rows.columns, *chosen.columns], "flag")
+    marks = checkpointed(build(chosen.select(chosen_key).distinct(), chosen_key, blocks))
+    return test(rows, key, marks, blocks, flag).where(flag).drop(flag).join(chosen.withColumnRenamed(chosen_key, key), key)
