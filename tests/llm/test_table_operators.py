@@ -198,7 +198,9 @@ def brute_overlaps(docs, items):
         x = split(text)
         for i, item in items:
             y = split(item)
-            if len(y) < decontaminate.SPAN:
+            if len(y) < decontaminate.SPAN:  # whole, or the whole document
+                if y and x == y or len(y) >= decontaminate.WHOLE and any(x[at : at + len(y)] == y for at in range(len(x))):
+                    found.add((d, i))
                 continue
             w = min(decontaminate.WINDOW, len(y))
             for at in range(-len(y), len(x)):
@@ -212,6 +214,7 @@ def test_decontamination_finds_substituted_passages(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=4))
     items = [(k, " ".join(word() for _ in range(30))) for k in range(6)] + [(6, "one two three"), (7, None), (8, " ".join(word() for _ in range(9)))]
+    items += [(10, "four short words here"), (11, " ".join(word() for _ in range(7))), (12, "Yes!"), (13, "... !")]
     items.append((9, items[0][1].upper() + "!"))  # the same tokens: one item
     docs = []
     for k, every in enumerate((0, 3, 4, 5, 6, 7, 8, 9)):
@@ -219,14 +222,15 @@ def test_decontamination_finds_substituted_passages(spark):
         if every:
             y = [word() if q % every == 1 else t for q, t in enumerate(y)]
         docs.append((k, " ".join(word() for _ in range(15)) + " " + ", ".join(y) + " " + " ".join(word() for _ in range(10))))
-    docs += [(20, None), (21, ""), (22, " ".join(word() for _ in range(5000))), (23, docs[0][1]), (23, docs[0][1]), (None, docs[0][1]), (24, "one two three"), (25, items[8][1]), (26, (items[0][1] + " ") * 50)]
+    docs += [(20, None), (21, ""), (22, " ".join(word() for _ in range(5000))), (23, docs[0][1]), (23, docs[0][1]), (None, docs[0][1]), (24, "one two three"), (27, "well one two three"), (28, "these are four SHORT words, here"), (29, "four short words there"), (30, f"so {items[10][1]} it is"), (31, "yes"), (32, "yes yes"), (25, items[8][1]), (26, (items[0][1] + " ") * 50)]
     items_df = spark.createDataFrame(items, "item_id long, text string")
     own = decontaminate.overlaps(table(spark, docs), items_df)
     got = [(r["doc_id"], r["item_id"]) for r in own.collect()]
     want = brute_overlaps([d for d in docs], [i for i in items if i[0] != 9])
     assert len(got) == len(set(got)) and {g for g in got} == want
     # Every third token substituted leaves 8 of 12 equal, below the share; every fourth leaves 9.
-    assert (2, 2) in want and (3, 3) in want and (25, 8) in want and not any(d in (20, 21, 22, 24) for d, _ in got)
+    assert (2, 2) in want and (3, 3) in want and (25, 8) in want and not any(d in (20, 21, 22, 27, 29, 32) for d, _ in got)
+    assert {(24, 6), (28, 10), (30, 11), (31, 12)} <= want
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(table(spark, docs), items_df, most=0).collect()} == want
     left = decontaminate.decontaminate(table(spark, docs), items_df)
     assert sorted(r["doc_id"] for r in left.collect()) == sorted({d for d, _ in docs if d is not None} - {d for d, _ in want})

@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from . import bitmap
 from .common import checkpointed, fresh, text_of
 
-#: Least tokens of an item, and the offsets that each mask selects. Wherever the substitutions of an accepted
-#: overlap lie (up to 3 in 12 tokens, 2 in 8 to 11), one mask at one place selects none of them; a test counts
-#: all placements.
+#: Least tokens of an item that may be substituted, and the offsets that each mask selects. Wherever the
+#: substitutions of an accepted overlap lie (up to 3 in 12 tokens, 2 in 8 to 11), one mask at one place selects
+#: none of them; a test counts all placements.
 SPAN = 8
 MASKS = ((0, 1, 2, 4), (0, 2, 3, 4), (0, 1, 6, 7))
+#: Items of WHOLE to SPAN - 1 tokens are sought by their first tokens, and must occur whole; shorter ones must be the whole document.
+WHOLE, FIRST = 4, (0, 1, 2, 3)
 #: An overlap is a stretch of WINDOW tokens (all of a shorter item) in which this share is equal.
 WINDOW, SHARE = 12, 0.75
-#: Seeds of a benchmark that are broadcast at most (about 100 MB); beyond, seeds are joined by a shuffle.
+#: Seeds of a benchmark that are broadcast at a time (about 100 MB).
 BROADCAST_SEEDS = 2_000_000
 #: ASCII other than letters and digits separates tokens.
 BREAKS = "[\\x00-/:-@\\[-`{-\\x7f]+"
@@ -31,66 +33,94 @@ def tokens(text: str) -> Column:
     return F.transform(F.filter(F.split(F.lower(text_of(text)), BREAKS), lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
-def seeds(found: Column) -> Column:
-    """(at, seed) of each mask at each place where it fits."""
-    of = lambda k: F.transform(_places(found, MASKS[k][-1] + 1), lambda i: F.struct(i.alias("at"), _seed(found, i, k).alias("seed")))
-    return F.concat(*[of(k) for k in range(len(MASKS))])
+def seeded(rows: DataFrame, found: str, short: bool = True) -> DataFrame:
+    """`rows` with (at, seed) for each place of the token array and each mask that fits there.
 
-
-def _places(found: Column, span: int) -> Column:
-    return F.when(F.size(found) >= span, F.sequence(F.lit(0), F.size(found) - span)).otherwise(F.array().cast("array<int>"))
-
-
-def _seed(found: Column, i: Column, k: int) -> Column:
-    return F.xxhash64(F.lit(k), *[F.get(found, i + o) for o in MASKS[k]])
+    With `short` the seeds of items under SPAN tokens are among them: of each place's next tokens, and of an
+    array that is itself shorter than WHOLE.
+    """
+    size, at = F.size(found), F.col("at")
+    seed = lambda k, mask: F.xxhash64(F.lit(k), *[F.get(found, at + o) for o in mask])
+    each = [F.when(at + mask[-1] < size, seed(k, mask)) for k, mask in enumerate([*MASKS, *([FIRST] if short else [])])]
+    if short:
+        each.append(F.when((at == 0) & (size < WHOLE), seed(-1, range(WHOLE - 1))))
+    placed = rows.select(*rows.columns, F.posexplode(found).alias("at", "_token"))
+    return placed.select(*rows.columns, "at", F.explode(F.array(*each)).alias("seed")).where("seed is not null")
 
 
 def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, item): token hashes of each different benchmark text, under its smallest id. Texts with fewer tokens than a window can't be told and are left out."""
+    """(item_id, item): token hashes of each different benchmark text, under its smallest id. Texts without tokens are left out."""
     own = benchmark.select(F.col(item_id).cast("long").alias("item_id"), tokens(text).alias("item"))
-    return own.where(F.size("item") >= SPAN).groupBy("item").agg(F.min("item_id").alias("item_id"))
+    return own.where(F.size("item") > 0).groupBy("item").agg(F.min("item_id").alias("item_id"))
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """128 bits that stand for a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("-")), F.lit("\0"), text_of(text)).cast("binary")))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = BROADCAST_SEEDS) -> DataFrame:
     """One row for each document and benchmark item that overlap: doc_id, item_id, row_key, at, matched, window.
 
     matched counts the equal tokens of the best window of `window` tokens, and `at` is where the item would
-    begin in the document. Benchmark texts with the same tokens are one item, under the smallest item_id;
-    documents that repeat both id and text are one. Null texts are empty and overlap with nothing; a null
-    doc_id is kept as null. Empty tables give no rows.
+    begin in the document. At least 9 of 12 tokens are equal at the same places, or 3 of 4 of an item of 8 to
+    11; an item of 4 to 7 tokens occurs whole, and a shorter one is the whole document. Benchmark texts with
+    the same tokens are one item, under the smallest item_id; documents that repeat both id and text are one.
+    Null texts are empty and overlap with nothing; a null doc_id is kept as null. Empty tables give no rows.
+
+    Seeds of the corpus never move: those of the benchmark are broadcast, `most` at a time. Only hits are
+    shuffled, and a document meets its own hits and the tokens of their items.
     """
     items = checkpointed(items_of(benchmark))
-    index = items.select("item_id", F.size("item").alias("n"), F.explode(seeds(F.col("item"))).alias("s")).select("item_id", "n", F.col("s.at").alias("item_at"), "s.seed")
-    index = checkpointed(index.groupBy("seed", "item_id", "n").agg(F.collect_set("item_at").alias("item_at")))
-    side = F.broadcast(index) if index.count() <= most else index.hint("merge")
+    n = F.size("item")
+    short = not items.where(n < SPAN).isEmpty()
+    index = seeded(items.select("item_id", "item", n.alias("n")), "item", short).withColumnRenamed("at", "item_at")
+    # Of a long item all masks count, of a shorter one only the seed that its length is sought by.
+    kinds = (F.col("n") >= SPAN) | (F.col("item_at") == 0)
+    index = checkpointed(index.where(kinds).groupBy("seed", "item_id", "n").agg(F.collect_set("item_at").alias("item_at")))
+    blocks = -(-index.count() // max(1, most)) if most else 3
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    own = own.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    exploded = own.select("row_key", F.explode(seeds_once("text")).alias("s")).select("row_key", F.col("s.at").alias("at"), "s.seed")
-    hits = exploded.join(side, "seed").select("row_key", "item_id", "n", F.explode(F.transform("item_at", lambda q: F.col("at") - q)).alias("at"))
-    hits = checkpointed(hits.distinct())
+    own = own.withColumn("row_key", row_key("doc_id", "text"))
+    placed = seeded(own.select("row_key", tokens("text").alias("found")), "found", short).select("row_key", "at", "seed")
+    hits = None
+    for block in range(max(1, blocks)):  # as many as the benchmark's size calls for
+        side = index.where(F.pmod(F.col("seed"), F.lit(blocks)) == block) if blocks > 1 else index
+        met = placed.join(F.broadcast(side), "seed").select("row_key", "item_id", "n", F.explode(F.transform("item_at", lambda q: F.col("at") - q)).alias("at"))
+        met = checkpointed(met.distinct())
+        hits = met if hits is None else hits.unionByName(met)
+    hits = hits.distinct() if blocks > 1 else hits
     # Only documents with hits are read again in full; a filter of their keys keeps the others where they are.
     keys = hits.select("row_key").distinct()
-    blocks = bitmap.blocks_for(keys.count())
-    again = bitmap.test(own, "row_key", checkpointed(bitmap.build(keys, "row_key", blocks)), blocks, "hit").where("hit")
+    size = bitmap.blocks_for(keys.count())
+    again = bitmap.test(own, "row_key", checkpointed(bitmap.build(keys, "row_key", size)), size, "hit").where("hit")
     again = again.select("doc_id", "row_key", tokens("text").alias("found")).dropDuplicates(["row_key", "doc_id"])
     # Hits come to a document's tokens as one list, and only the tokens that an item lies on go on from there.
     listed = again.join(hits.groupBy("row_key").agg(F.collect_list(F.struct("item_id", "n", "at")).alias("hits")), "row_key")
-    each = listed.select("doc_id", "row_key", "found", F.explode("hits").alias("h")).select("doc_id", "row_key", "h.item_id", "h.at", F.slice("found", F.greatest("h.at", F.lit(0)) + 1, F.col("h.n")).alias("found"))
-    laid = each.join(items, "item_id")
+    each = listed.select("doc_id", "row_key", F.size("found").alias("total"), "found", F.explode("hits").alias("h"))
+    each = each.select("doc_id", "row_key", "total", "h.item_id", "h.at", F.slice("found", F.greatest("h.at", F.lit(0)) + 1, F.col("h.n")).alias("found"))
+    laid = _laid(each, items)
+    need = F.when(n >= SPAN, F.ceil(F.col("window") * SHARE)).when((n >= WHOLE) | (F.col("total") == n), n)
     return (
         laid.withColumn("same", _same(F.col("found"), F.col("item"), F.least("at", F.lit(0))))
-        .withColumn("window", F.least(F.lit(WINDOW), F.size("item")))
+        .withColumn("window", F.least(F.lit(WINDOW), n))
         .withColumn("matched", _best(F.col("same"), F.col("window")))
-        .where(F.col("matched") >= F.ceil(F.col("window") * SHARE))
+        .where(F.col("matched") >= need)
         .groupBy("doc_id", "row_key", "item_id")
         .agg(F.max(F.struct("matched", (-F.col("at")).alias("at"), "window")).alias("b"))
         .select("doc_id", "item_id", "row_key", (-F.col("b.at")).alias("at"), F.col("b.matched").alias("matched"), F.col("b.window").alias("window"))
     )
 
 
-def seeds_once(text: str) -> Column:
-    """`seeds` of a text's tokens; the tokens are found once, not once for each seed."""
-    return F.flatten(F.transform(F.array(tokens(text)), seeds))
+#: Tokens of a benchmark whose items are broadcast (64 MB at most); beyond, hits are salted by so many copies of each item.
+BROADCAST_TOKENS, SALT = 8_000_000, 32
+
+
+def _laid(each: DataFrame, items: DataFrame) -> DataFrame:
+    """Hits with the tokens of their items; a passage that very many documents share is spread over many tasks."""
+    if (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        return each.join(F.broadcast(items), "item_id")
+    copies = items.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return each.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(SALT))).join(copies, ["item_id", "salt"]).drop("salt")
 
 
 def _same(found: Column, item: Column, at: Column) -> Column:
@@ -108,5 +138,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """The rows of `docs` that overlap with no benchmark item, with all their columns."""
     gone = overlaps(docs, benchmark, doc_id, text)
     (key,) = fresh(docs.columns, "row_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), text_of(text)))
+    keyed = docs.withColumn(key, row_key(doc_id, text))
     return bitmap.without(keyed, key, gone, "row_key").drop(key)
