@@ -252,3 +252,61 @@ def test_pii_adds_spans_that_labelers_agree_on(spark):
     rows = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [tuple(x) for x in rows[400]["spans"]] == [(3, 12, 26)] and not rows[400]["base"]
     assert not rows[401]["spans"] and not rows[402]["spans"] and not rows[4]["spans"]
+
+
+def test_pii_expectations_equal_brute_force():
+    """Every span a row of its own, in plain Python, against the counted patterns."""
+    rng = random.Random(6)
+    spans = []
+    for _ in range(300):
+        kind, truth = rng.randrange(5), rng.random() < 0.6
+        spans.append((kind, *(-1 if rng.random() < 0.2 else int(rng.random() < (0.9 - 0.1 * j if truth else 0.1 + 0.1 * j)) for j in range(5))))
+    counts = Counter(spans)
+    rows = np.array([(*s, n) for s, n in counts.items()], float)
+    p, share, true, false = pii.expectations(rows[:, 0].astype(int), rows[:, 1:-1], rows[:, -1], 20)
+    shares, for_true, for_false = [0.5] * 5, [0.8] * 5, [0.2] * 5
+    for _ in range(20):
+        chance = []
+        for kind, *votes in spans:
+            a, b = shares[kind], 1 - shares[kind]
+            for j, v in enumerate(votes):
+                if v >= 0:
+                    a, b = a * (for_true[j] if v else 1 - for_true[j]), b * (for_false[j] if v else 1 - for_false[j])
+            chance.append(a / (a + b))
+        for k in range(5):
+            own = [c for c, s in zip(chance, spans, strict=True) if s[0] == k]
+            shares[k] = (sum(own) + 1) / (len(own) + 2)
+        for j in range(5):
+            voted = [(c, s[1 + j]) for c, s in zip(chance, spans, strict=True) if s[1 + j] >= 0]
+            clip = lambda v: min(max(v, 0.02), 0.98)
+            for_true[j] = clip((sum(c for c, v in voted if v) + 8) / (sum(c for c, _ in voted) + 10))
+            for_false[j] = clip((sum(1 - c for c, v in voted if v) + 2) / (sum(1 - c for c, _ in voted) + 10))
+    assert np.allclose(share, shares) and np.allclose(true, for_true) and np.allclose(false, for_false)
+    assert np.allclose([dict(zip(counts, p, strict=True))[s] for s in spans], chance)
+    model = pii.fit([(*s, 1, 2, 1, 0, n) for s, n in counts.items()])
+    assert all(r > 0.5 for r in model.reliability)
+
+
+def test_pii_finds_planted_secrets_and_nothing_else(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r["doc_id"]: {tuple(x) for x in r["spans"]} - {tuple(x) for x in r["base"]} for r in pii.detect(docs).collect()}
+    planted = 0
+    for i, text in ((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()):
+        want = {(4, m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', text, re.I)}
+        planted += len(want)
+        assert want <= found[i]
+        assert all(k == 4 and re.search(r"(?i)token", text[max(0, a - 40) : a]) for k, a, _ in found[i])
+    assert planted > 5
+
+
+def test_pii_takes_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"a{k}@b{k}.org" for k in range(16_000))
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    pii.detect(docs.limit(1)).collect()
+    start = time.perf_counter()
+    rows = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    assert [tuple(x) for x in rows[1]["base"]] == [(0, m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    assert rows[1]["spans"] == rows[1]["base"] and not rows[2]["spans"]
+    assert time.perf_counter() - start < 30

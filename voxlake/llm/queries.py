@@ -67,7 +67,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", *[pii.counted("base", k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans")
+        "doc_id", *[pii.counted("base", k).alias(f"n_{k}") for k in pii.BASE], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans")
     )
 
 
