@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm import bitmap, chat, decontaminate, exact_dedup, quality, simhash
 from voxlake.llm.components import components
-from voxlake.llm.queries import tokenizer_path
+from voxlake.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 EXTRA = ", block int, flag string, `key` int, row_key string, digest string, again int, score double"
 FILL = (1, "f", 2, "r", "d", 3, 0.5)
@@ -272,14 +272,56 @@ def test_chat_links_orders_and_validates(spark):
     assert len(rows) == 13
     assert [by[1, k]["level"] for k in "abc"] == [0, 1, 2] and by[2, "x"]["level"] == by[2, "y"]["level"] == -1
     assert [by[1, k]["status"] for k in ("a", "b", "c", "zz")] == ["linked", "linked", "pending", "orphan"]
-    assert by[1, "a"]["json"] == '{"arguments":{"n":2,"q":"x"},"id":"a","level":0,"name":"find","result":"first","status":"linked"}'
+    assert by[1, "a"]["json"] == '{"arguments":{"n":2,"q":"x"},"id":"a","level":0,"name":"find","result":"first","results":2,"status":"linked"}'
     assert by[1, "a"]["valid"] and by[1, "b"]["valid"] and not by[1, "c"]["valid"] and "minimum" in by[1, "c"]["errors"]
+    assert by[1, "a"]["results"] == 2 and by[1, "c"]["results"] == 0
     assert by[1, "d"]["errors"] == "unknown tool none" and by[3, "a"]["errors"] == "$.z: not allowed"
     assert sum(r["call_id"] is None for r in rows) == 2 and by[3, "a"]["status"] == "linked"
     empty = own.sparkSession.createDataFrame([], "conv_id long, turn long, call_id string, name string, arguments string")
     assert chat.link(empty, empty.select("conv_id", "turn", "call_id", F.col("name").alias("result")), {}).count() == 0
 
 
+def test_chat_takes_hostile_arguments(spark):
+    schema = {"type": "object", "properties": {
+        "p": {"pattern": "^a"}, "c": {"const": 1}, "e": {"enum": [1, "x"]}, "a": {"anyOf": [{"type": "string"}, {"minimum": 5}]}, "n": {"exclusiveMaximum": 3, "exclusiveMinimum": 0},
+        "l": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "integer"}}}}
+    good = ["{}", '{"p": "ab", "c": 1, "e": "x", "a": 7, "n": 2, "l": [1, 2]}', '{"c": 1.0}', '{"p": {"$ref": "0"}}']
+    bad = ["[" * 100_000, "[" * 500 + "]" * 500, '{"p": "ba"}', '{"c": true}', '{"e": true}', '{"a": 4}', '{"n": 3}', '{"n": 0}', '{"l": []}', '{"l": [1, 2, 3]}', '{"l": ["x"]}', '{"$ref": "0"}x', '{"p": {"$ref": "none"}}', "", None, '"\\ud800"']
+    calls = [(1, k, str(k), "t", x, "extra") for k, x in enumerate([*good, *bad, '{"z": "\\ud800"}', '{"\\ud83d\\ude00": 1}'])]
+    calls = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, level string")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, result string, json string")
+    rows = {int(r["call_id"]): r for r in chat.link(calls, results, {"t": json.dumps(schema)}).collect()}
+    assert [rows[k]["valid"] for k in range(len(calls.collect()))] == [True] * len(good) + [False] * len(bad) + [True, True]
+    assert all(json.loads(r["json"])["id"] == r["call_id"] for r in rows.values())
+    assert rows[len(good)]["errors"] == "arguments are nested too deep" and rows[len(good) + 12]["errors"] == "no call none" and rows[3]["level"] == 1
+    assert '"z":"\\ud800"' in rows[len(good) + len(bad)]["json"] and "\U0001f600" in rows[len(good) + len(bad) + 1]["json"]
+    for unknown in ({"oneOf": []}, {"properties": {"x": {"format": "date"}}}, {"additionalProperties": {}}, {"type": "date"}):
+        with pytest.raises(ValueError):
+            chat.link(calls, results, {"t": json.dumps(unknown)})
+
+
+@pytest.mark.parametrize("group", [1_000, 3])
+def test_chat_orders_long_chains_and_cycles(spark, group):
+    ref = lambda *ids: json.dumps([{"$ref": str(i)} for i in ids])
+    calls = [(1, k, str(k), "t", ref(k - 1) if k else "[]") for k in range(8)] + [(2, 0, "a", "t", ref("b")), (2, 1, "b", "t", ref("a")), (2, 2, "c", "t", ref("b")), (2, 3, "d", "t", "[]"), (2, 4, "e", "t", ref("d", "c")), (2, 5, "f", "t", ref("d")), (2, 6, "g", "t", ref("g"))]
+    calls = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, result string")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in chat.link(calls, results, {"t": "{}"}, group).collect()}
+    assert [got[1, str(k)] for k in range(8)] == list(range(8))
+    assert {k: got[2, k] for k in "abcdefg"} == {"a": -1, "b": -1, "c": -1, "d": 0, "e": -1, "f": 1, "g": -1}
+
+
+def test_chat_query_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in QUERIES["op8_chat"](spark, sf).collect()]
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
+    want = own.sql(ORACLES["op8_chat"])
+    assert want.columns == list(chat.COLUMNS) and sorted(rows) == sorted(want.fetchall()) and max(r[4] for r in rows) > 2
+
+
 def test_stages_take_odd_and_empty_tables(spark):
     import corpus_pipeline
 

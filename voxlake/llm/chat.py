@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -11,47 +13,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sliced
+from .common import sliced, written
 
 #: A call that uses another call's result names it so inside its arguments.
 REFERENCE = r'"\$ref"\s*:\s*"((?:[^"\\]|\\.)*)"'
 TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int,
 }
+#: Words of JSON Schema that are understood, and those that say nothing about a value. Others are refused.
+KNOWN = {
+    "type", "enum", "const", "anyOf", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength",
+    "pattern", "items", "minItems", "maxItems", "properties", "required", "additionalProperties",
+}
+SILENT = {"$schema", "$id", "title", "description", "default", "examples"}
+#: Arguments that are nested deeper are not valid, and are left out.
+DEEPEST = 100
+
+
+def checked(schema) -> dict:
+    """A schema, if all its words are understood."""
+    if not isinstance(schema, dict):
+        raise ValueError("a schema is an object")
+    unknown = set(schema) - KNOWN - SILENT
+    if unknown or schema.get("additionalProperties") not in (None, True, False):
+        raise ValueError(f"schema words are not understood: {', '.join(sorted(unknown)) or 'additionalProperties'}")
+    for k in (schema["type"] if isinstance(schema.get("type"), list) else [schema["type"]] if "type" in schema else []):
+        if k not in TYPES:
+            raise ValueError(f"type {k} is not understood")
+    for part in (*schema.get("properties", {}).values(), *schema.get("anyOf", ()), *([schema["items"]] if "items" in schema else [])):
+        checked(part)
+    return schema
+
+
+def _is_reference(value) -> bool:
+    return isinstance(value, dict) and set(value) == {"$ref"} and isinstance(value["$ref"], str)
 
 
 def errors_of(value, schema: dict, at: str = "$") -> list[str]:
-    """What of `value` a JSON schema forbids; of the standard's words those below are understood."""
+    """What of `value` a JSON schema forbids. A reference to a call stands for any value, but not for the whole arguments."""
+    if at != "$" and _is_reference(value):
+        return []
     found = []
     kind = schema.get("type")
     if kind is not None:
         kinds = kind if isinstance(kind, list) else [kind]
-        fits = any(isinstance(value, TYPES.get(k, object)) and not (isinstance(value, bool) and k in ("number", "integer")) for k in kinds)
+        fits = any(isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("number", "integer")) for k in kinds)
         if not fits and not ("integer" in kinds and isinstance(value, float) and value.is_integer()):
             return [f"{at}: not {'/'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         found.append(f"{at}: not in enum")
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        found.append(f"{at}: not the constant")
+    if "anyOf" in schema and all(errors_of(value, x, at) for x in schema["anyOf"]):
+        found.append(f"{at}: none of anyOf")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        if value < schema.get("minimum", value):
+        if value < schema.get("minimum", value) or "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
             found.append(f"{at}: below minimum")
-        if value > schema.get("maximum", value):
+        if value > schema.get("maximum", value) or "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
             found.append(f"{at}: above maximum")
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-        found.append(f"{at}: length")
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+            found.append(f"{at}: length")
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            found.append(f"{at}: pattern")
     if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            found.append(f"{at}: number of items")
         for k, x in enumerate(value if "items" in schema else ()):
             found += errors_of(x, schema["items"], f"{at}[{k}]")
-    if isinstance(value, dict) and not set(value) <= {"$ref"}:
+    if isinstance(value, dict):
         known = schema.get("properties", {})
         found += [f"{at}.{k}: missing" for k in schema.get("required", ()) if k not in value]
         for k, x in value.items():
             if k in known:
-                found += errors_of(x, known[k], f"{at}.{k}") if not (isinstance(x, dict) and set(x) == {"$ref"}) else []
+                found += errors_of(x, known[k], f"{at}.{k}")
             elif schema.get("additionalProperties") is False:
                 found.append(f"{at}.{k}: not allowed")
     return found
 
 
+def _printable(text: str) -> str:
+    """Half characters, which UTF-8 can't have, as their escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _depth(value) -> int:
+    """How deep a value is nested, without recursion."""
+    depth, level = 0, [value]
+    while level := [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]:
+        depth += 1
+    return depth
+
+
 def canonical(value) -> str:
     """JSON with sorted keys, no blanks, and whole floats as integers."""
 
@@ -62,31 +115,60 @@ def canonical(value) -> str:
             return [plain(y) for y in x]
         return {k: plain(y) for k, y in x.items()} if isinstance(x, dict) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _printable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def order(edges: list[tuple[str, str]]) -> dict[str, int]:
+    """The level of each call of `edges` (call, call that it refers to): 0 without references, else one more than the highest it refers to; -1 in a cycle or behind one."""
+    users, open_, level = defaultdict(list), defaultdict(int), {}
+    for a, b in edges:
+        users[b].append(a)
+        open_[a] += 1
+    ready = [b for b in users if not open_[b]]
+    for b in ready:
+        level[b] = 0
+    while ready:
+        b = ready.pop()
+        for a in users[b]:
+            open_[a] -= 1
+            level[a] = max(level.get(a, 0), level[b] + 1)
+            if not open_[a]:
+                ready.append(a)
+    return {k: -1 if open_[k] else level[k] for k in open_.keys() | level.keys()}
+
 
+def _ordered(group: pa.Table) -> pa.Table:
+    found = order(list(zip(group["call_id"].to_pylist(), group["needs"].to_pylist(), strict=True)))
+    return pa.table({"conv_id": pa.array([group["conv_id"][0].as_py()] * len(found), pa.int64()), "call_id": pa.array(list(found), pa.string()), "level": pa.array(list(found.values()), pa.int32())})
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): 0 for calls that refer to no other call of their conversation, else one more than the highest that they refer to; -1 in a cycle or behind one.
 
-    Each round settles the calls whose references were all settled before; there are as many rounds as the
-    longest chain of references has links, and only calls that refer to others take part.
+#: References of a conversation that are ordered in one group; larger conversations are ordered by rounds of joins.
+GROUP = 200_000
+
+
+def levels(edges: DataFrame, group: int = GROUP) -> DataFrame:
+    """(conv_id, call_id, level) of `edges` (conv_id, call_id, needs), distinct references to calls of the same conversation; see `order`.
+
+    A conversation of up to `group` references is ordered at once. In larger ones each round settles the calls
+    whose references were all settled before, so there are as many rounds as the longest chain has links.
     """
-    named = calls.where("call_id is not null").select("conv_id", "call_id", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), 1))).alias("needs"))
-    known = calls.where("call_id is not null").select("conv_id", F.col("call_id").alias("needs")).distinct()
-    edges = checkpointed(named.distinct().join(known, ["conv_id", "needs"]))
-    if edges.isEmpty():
-        return edges.select("conv_id", "call_id", F.lit(0).alias("level"))
-    nodes = edges.select("conv_id", "call_id").distinct()
-    free = edges.select("conv_id", F.col("needs").alias("call_id")).distinct().join(nodes, ["conv_id", "call_id"], "left_anti")
-    done = checkpointed(free.withColumn("level", F.lit(0)))
+    size = edges.groupBy("conv_id").count()
+    large = written(edges.join(size.where(F.col("count") > group).select("conv_id"), "conv_id").select("conv_id", "call_id", "needs"))
+    small = edges.join(size.where(F.col("count") <= group).select("conv_id"), "conv_id").select("conv_id", "call_id", "needs")
+    small = small.groupBy("conv_id").applyInArrow(_ordered, "conv_id long, call_id string, level int")
+    if large.isEmpty():
+        return small
+    nodes = written(large.select("conv_id", "call_id").distinct())
+    free = large.select("conv_id", F.col("needs").alias("call_id")).distinct().join(nodes, ["conv_id", "call_id"], "left_anti")
+    done = written(free.withColumn("level", F.lit(0)))
     while True:
         left = nodes.join(done, ["conv_id", "call_id"], "left_anti")
-        met = edges.join(left, ["conv_id", "call_id"]).join(done.select("conv_id", F.col("call_id").alias("needs"), "level"), ["conv_id", "needs"], "left")
+        met = large.join(left, ["conv_id", "call_id"]).join(done.select("conv_id", F.col("call_id").alias("needs"), "level"), ["conv_id", "needs"], "left")
         ready = met.groupBy("conv_id", "call_id").agg(F.count(F.when(F.col("level").isNull(), 1)).alias("open"), F.max("level").alias("most")).where("open = 0")
-        new = checkpointed(ready.select("conv_id", "call_id", (F.col("most") + 1).cast("int").alias("level")))
+        new = written(ready.select("conv_id", "call_id", (F.col("most") + 1).cast("int").alias("level")))
         if new.isEmpty():
-            return done.unionByName(left.withColumn("level", F.lit(-1)))
-        done = checkpointed(done.unionByName(new))
+            return small.unionByName(done).unionByName(left.withColumn("level", F.lit(-1)))
+        done = written(done.unionByName(new))
 
 
 def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, str]) -> Iterator[pa.RecordBatch]:
@@ -99,38 +181,62 @@ def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, str]) -> It
             if row["status"] != "orphan":
                 try:
                     arguments = json.loads(row["arguments"] if row["arguments"] is not None else "null")
+                    if _depth(arguments) > DEEPEST:
+                        raise RecursionError
                     faults = errors_of(arguments, known[row["name"]]) if row["name"] in known else [f"unknown tool {row['name']}"]
+                    faults += [f"no call {x}" for x in sorted(row["lost"] or ())]
+                except RecursionError:
+                    arguments, faults = None, ["arguments are nested too deep"]
                 except ValueError:
-                    faults = ["arguments are not JSON"]
-            record = {"id": row["call_id"], "level": row["level"], "name": row["name"], "arguments": arguments, "result": row["result"], "status": row["status"]}
-            out.append((row["conv_id"], row["turn"], row["call_id"], row["status"], row["level"], not faults and row["status"] != "orphan", "; ".join(faults), canonical(record)))
-        columns = list(zip(*out, strict=True)) if out else [()] * 8
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(COLUMNS))
+                    arguments, faults = None, ["arguments are not JSON"]
+            record = {"id": row["call_id"], "level": row["level"], "name": row["name"], "arguments": arguments, "result": row["result"], "results": row["results"], "status": row["status"]}
+            valid = not faults and row["status"] != "orphan"
+            out.append((row["conv_id"], row["turn"], row["call_id"], row["status"], row["level"], row["results"], valid, _printable("; ".join(faults)), canonical(record)))
+        columns = list(zip(*out, strict=True)) if out else [()] * len(COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, COLUMNS.values(), strict=True)], names=list(COLUMNS))
 
 
-COLUMNS = ("conv_id", "turn", "call_id", "status", "level", "valid", "errors", "json")
+COLUMNS = {
+    "conv_id": pa.int64(), "turn": pa.int64(), "call_id": pa.string(), "status": pa.string(), "level": pa.int32(), "results": pa.int64(),
+    "valid": pa.bool_(), "errors": pa.string(), "json": pa.string(),
+}
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, str]) -> DataFrame:
-    """One row for each call, and for each result without a call: conv_id, turn, call_id, status, level, valid, errors, json.
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, str], group: int = GROUP) -> DataFrame:
+    """One row for each call, and for each result without a call: conv_id, turn, call_id, status, level, results, valid, errors, json.
 
-    `calls` has conv_id, turn, call_id, name, arguments (JSON); `results` conv_id, turn, call_id, result. They
-    are joined by conversation and id: status is linked, pending (no result) or orphan (no call). Of several
-    results for one id the first by turn, then text, counts; calls that repeat an id each get it, so copies
-    never multiply. Rows without an id or conversation stay alone. Rows of a conversation in the order of
-    level, turn, call_id are in topological order; level is -1 in a cycle. Arguments that are no JSON, or
-    that the tool's schema forbids, are not valid. Empty tables give no rows.
+    `calls` has conv_id, turn, call_id, name, arguments (JSON); `results` conv_id, turn, call_id, result; other
+    columns are ignored. They are joined by conversation and id: status is linked, pending (no result) or orphan
+    (no call). `results` counts an id's results; of several the first by turn, then text, is the one shown; calls
+    that repeat an id each get it, so copies never multiply. Rows without an id or conversation stay alone. Rows
+    of a conversation in the order of level, turn, call_id are in topological order; level is 0 without
+    references, and -1 in a cycle. Arguments that are no JSON, are nested deeper than 100, refer to a call that
+    the conversation lacks, or are forbidden by the tool's schema, are not valid; half characters are escaped.
+    A schema with words that are not understood is an error. Empty tables give no rows.
     """
+    for s in schemas.values():
+        checked(json.loads(s))
+    named = calls.where("conv_id is not null and call_id is not null")
+    needs = F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), 1)))
+    asked = named.select("conv_id", "call_id", needs.alias("needs")).distinct()
+    ids = named.select("conv_id", F.col("call_id").alias("needs")).distinct().withColumn("_there", F.lit(True))
+    asked = written(asked.join(ids, ["conv_id", "needs"], "left"))
+    edges, lost = asked.where("_there").select("conv_id", "call_id", "needs"), asked.where("_there is null")
+    lost = lost.groupBy("conv_id", "call_id").agg(F.collect_set("needs").alias("lost"))
     first = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id")
-    first = first.agg(F.min(F.struct("turn", "result")).alias("r")).select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), "r.result", F.lit(True).alias("there"))
-    of = calls.select("conv_id", "turn", "call_id", "name", "arguments").join(first, ["conv_id", "call_id"], "left")
-    of = of.join(levels(calls), ["conv_id", "call_id"], "left")
-    linked = of.select("conv_id", "turn", "call_id", "name", "arguments", "result", F.when(F.col("there"), "linked").otherwise("pending").alias("status"), F.coalesce("level", F.lit(0)).alias("level"))
-    ids = calls.select("conv_id", "call_id").where("conv_id is not null and call_id is not null").distinct()
-    lone = first.join(ids, ["conv_id", "call_id"], "left_anti").select("conv_id", F.col("result_turn").alias("turn"), "call_id", "result")
-    lone = lone.unionByName(results.where("conv_id is null or call_id is null").select("conv_id", "turn", "call_id", "result"))
-    nothing = F.lit(None).cast("string")
-    lone = lone.select("conv_id", "turn", "call_id", nothing.alias("name"), nothing.alias("arguments"), "result", F.lit("orphan").alias("status"), F.lit(0).alias("level"))
-    schema = "conv_id long, turn long, call_id string, status string, level int, valid boolean, errors string, json string"
+    first = first.agg(F.min(F.struct("turn", "result")).alias("r"), F.count(F.lit(1)).alias("results"))
+    first = first.select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), "r.result", "results")
+    of = calls.select("conv_id", "turn", "call_id", "name", "arguments")
+    for side in (first, levels(edges, group), lost):
+        of = of.join(side, ["conv_id", "call_id"], "left")
+    nothing, no_one = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    linked = of.select(
+        "conv_id", "turn", "call_id", "name", "arguments", "result", F.when(F.col("results").isNotNull(), "linked").otherwise("pending").alias("status"),
+        F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("results", F.lit(0).cast("long")).alias("results"), "lost",
+    )
+    known = ids.select("conv_id", F.col("needs").alias("call_id"))
+    lone = first.join(known, ["conv_id", "call_id"], "left_anti").select("conv_id", F.col("result_turn").alias("turn"), "call_id", "result", "results")
+    lone = lone.unionByName(results.where("conv_id is null or call_id is null").select("conv_id", "turn", "call_id", "result", F.lit(1).cast("long").alias("results")))
+    lone = lone.select("conv_id", "turn", "call_id", nothing.alias("name"), nothing.alias("arguments"), "result", F.lit("orphan").alias("status"), F.lit(0).alias("level"), "results", no_one.alias("lost"))
+    schema = "conv_id long, turn long, call_id string, status string, level int, results long, valid boolean, errors string, json string"
     return linked.unionByName(lone).mapInArrow(partial(_serialise, schemas=schemas), schema)

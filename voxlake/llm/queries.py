@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, exact_dedup, lm_score, pii, quality, simhash, token_counts, toxicity
@@ -90,30 +90,39 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", *token_counts.ADDED)
 
 
-#: The tool that a conversation's users call: a turn of theirs is a call, the turn after it the result.
+#: The tools that a conversation's users and system call: a turn of theirs is a call that refers to the call before
+#: it, and the assistant's turn right after one is its result.
 REPLY_SCHEMA = """{"type": "object", "required": ["prompt", "turn"], "additionalProperties": false,
- "properties": {"prompt": {"type": "string", "minLength": 20}, "turn": {"type": "integer", "minimum": 0}}}"""
+ "properties": {"prompt": {"type": "string", "minLength": 20}, "turn": {"type": "integer", "minimum": 0}, "after": {"type": "string"}}}"""
+TOOLS = {"reply": REPLY_SCHEMA, "instruct": REPLY_SCHEMA.replace("20", "5")}
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     name = lambda turn: F.concat_ws(":", "conv_id", turn)
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn")), {"ignoreNullFields": "false"})
-    calls = turns.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"))
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    asked = turns.where("role in ('user', 'system')").withColumn("before", before)
+    after = F.when(F.col("before").isNotNull(), F.struct(name(F.col("before")).alias("$ref")))
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn"), after.alias("after")))
+    tool = F.when(F.col("role") == "user", "reply").otherwise("instruct")
+    calls = asked.select("conv_id", "turn", name(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("result"))
-    return chat.link(calls, results, {"reply": REPLY_SCHEMA})
+    return chat.link(calls, results, TOOLS)
 
 
 OP8_SQL = """
-WITH c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM conversations WHERE role = 'user'),
+WITH c AS (SELECT conv_id, turn, role, conv_id || ':' || turn AS call_id, text, lag(turn) OVER w AS before, row_number() OVER w - 1 AS level
+  FROM conversations WHERE role IN ('user', 'system') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
 j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.call_id, r.call_id) AS call_id,
-  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status,
-  c.text AS prompt, c.turn AS asked, r.text AS result, c.call_id IS NOT NULL AS called FROM c FULL JOIN r ON c.call_id = r.call_id)
-SELECT conv_id, turn, call_id, status, 0 AS level, called AND length(prompt) >= 20 AS valid,
-  CASE WHEN called AND length(prompt) < 20 THEN '$.prompt: length' ELSE '' END AS errors,
-  CAST(json_object('arguments', CASE WHEN called THEN json_object('prompt', prompt, 'turn', asked) END, 'id', call_id, 'level', 0,
-    'name', CASE WHEN called THEN 'reply' END, 'result', result, 'status', status) AS VARCHAR) AS json
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'pending' ELSE 'linked' END AS status, CAST(coalesce(level, 0) AS INTEGER) AS level,
+  c.text AS prompt, c.turn AS asked, before, r.text AS result, CASE WHEN r.call_id IS NULL THEN 0 ELSE 1 END AS results, c.call_id IS NOT NULL AS called,
+  CASE role WHEN 'user' THEN 'reply' WHEN 'system' THEN 'instruct' END AS tool, CASE role WHEN 'system' THEN 5 ELSE 20 END AS least FROM c FULL JOIN r ON c.call_id = r.call_id)
+SELECT conv_id, turn, call_id, status, level, results, called AND length(prompt) >= least AS valid,
+  CASE WHEN called AND length(prompt) < least THEN '$.prompt: length' ELSE '' END AS errors,
+  CAST(json_object('arguments', CASE WHEN NOT called THEN NULL WHEN before IS NULL THEN json_object('prompt', prompt, 'turn', asked)
+      ELSE json_object('after', json_object('$ref', conv_id || ':' || before), 'prompt', prompt, 'turn', asked) END, 'id', call_id, 'level', level,
+    'name', tool, 'result', result, 'results', results, 'status', status) AS VARCHAR) AS json
 FROM j
 """
 
