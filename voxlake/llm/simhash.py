@@ -28,6 +28,8 @@ SEED, WORDS, RADIUS = 42, 3, 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints of a tile, and tile pairs that are compared at a time.
 TILE, TOGETHER = 64, 512
+#: Rows of cells that a task links at a time; a pair that meets in several of their cells is one link.
+GATHERED = 200_000
 #: A bucket with more fingerprints is split into parts of about this many.
 PART = 2_048
 #: Near copies: words of a shingle, the least Jaccard similarity as a fraction, bands of the fingerprint and their
@@ -174,21 +176,24 @@ def near_pairs(cell: np.ndarray, count: np.ndarray, prints: np.ndarray, radius:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], radius: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Links of cells, whose rows arrive sorted; the rest of an unfinished cell waits for the next batch."""
+    """Links of cells, whose rows arrive sorted: some whole cells at a time; the rest of an unfinished cell waits for the next batch."""
 
     def links(bucket: np.ndarray, cell: np.ndarray, count: np.ndarray, *prints: np.ndarray) -> pa.RecordBatch:
         of = np.cumsum(np.append(True, (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])))
         own = np.stack(prints, 1).view(np.uint64)
         r, c, *_ = near_pairs(of, count, own, radius)
-        node = np.bitwise_xor.reduce(own, axis=1).view(np.int64)
-        pairs = np.unique(np.stack([np.minimum(node[r], node[c]), np.maximum(node[r], node[c])]), axis=1)
-        pairs = pairs[:, pairs[0] != pairs[1]]
+        # Of all that these cells connect, each node is linked to the least one: a group gives no more links than it has nodes.
+        node, at = np.unique(np.bitwise_xor.reduce(own, axis=1).view(np.int64), return_inverse=True)
+        least = _least(at[r], at[c], len(node))
+        pairs = np.stack([node[least], node])[:, least != np.arange(len(node))]
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     rest = [np.zeros(0, np.int64) for _ in range(3 + width)]
     for batch in batches:
         rest = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(rest)]
-        ended = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] != rest[1][-1])) if len(rest[0]) else []
+        if len(rest[0]) < GATHERED:
+            continue
+        ended = np.flatnonzero((rest[0] != rest[0][-1]) | (rest[1] != rest[1][-1]))
         if len(ended):
             cut = int(ended[-1]) + 1
             yield links(*(x[:cut] for x in rest))
@@ -328,7 +333,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", par
     of_node = checkpointed(nodes.join(roots, "node", "left").select("node", "copies", "size", F.coalesce("root", "node").alias("root")))
     parts = F.greatest(F.ceil(F.sum("size") / PART_SHINGLES), F.ceil(F.sum("copies") / part_docs)).cast("long")
     several = of_node.groupBy("root").agg(F.sum("copies").alias("n"), parts.alias("parts")).where("n > 1")
-    chosen = checkpointed(of_node.select("node", "root", "copies").join(several.drop("n"), "root"))
+    chosen = with_group(of_node.select("node", "root", "copies"), checkpointed(several), "root", "n", of_node.count())
+    chosen = checkpointed(chosen.select("node", "root", "copies", "parts"))
     members = checkpointed(with_group(own.select("doc_id", "node"), chosen, "node", "copies", own.count()).select("doc_id", "root", "parts").distinct())
     sets = bitmap.within(plain, "doc_id", members, "doc_id").mapInArrow(_sets, "root long, parts long, doc_id long, shingles binary")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
