@@ -311,3 +311,14 @@ def test_utterances_with_many_segments_are_clustered(spark):
     found = segment.cluster(pieces, frames).collect()
     high, low = ({r["cluster"] for r in found if r["start"] // 10 % 2 == k} for k in (1, 0))
     assert len(found) == 1_200 and not high & low and max(high | low) < 200
+
+
+def test_detector_keeps_its_floor_for_a_while_and_then_takes_a_new_level():
+    state, floors = sad.EnergyState(), []
+    for e in [2000.0] * 600 + [200.0] * 80:
+        state.step(e, 5.0, 15.0)
+        floors.append(state.floor)
+    fell = next(k for k in range(600, 680) if floors[k] < 1800)
+    assert 615 <= fell <= 625 and floors[610] > 1990 and floors[-1] < 250
+    quiet = sad.EnergyState()
+    assert [quiet.step(1.0, 5.0, 15.0) for _ in range(3)] == [0, 0, 0] and quiet.seen == 3 and not quiet.history

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,28 +26,33 @@ class EnergyState:
     floor: float = 0.0
     level: float = 0.0
     gaps: int = 0
+    jumped: int = 0
     history: list[float] = field(default_factory=list)
 
     def step(self, energy: float, least: float, threshold: float) -> int:
-        """1 if the frame is active."""
+        """1 if the frame is active.
+
+        Every frame counts, but one below `least` changes nothing. From frame `ADAPT` on, a floor that has jumped
+        from what it was `HISTORY` frames before goes back to that, until it has done so in `PATIENCE` frames
+        running: then the new level is taken for good.
+        """
+        now = self.seen
+        self.seen += 1
         if energy < least:
             return 0
         if not self.history:
             self.floor = self.level = energy
             self.history = [energy] * HISTORY
         self.level = DECAY * self.level + (1 - DECAY) * energy
-        self.floor = min(self.floor, self.level)
-        slot = self.seen % HISTORY
-        if self.seen > ADAPT:
-            if abs(self.floor - self.history[slot]) > JUMP and self.gaps < PATIENCE:
-                self.floor, self.gaps = self.history[slot], self.gaps + 1
-            else:
-                self.gaps = 0
-        self.history[slot] = self.floor
-        self.seen += 1
-        active = int(energy - self.floor > threshold)
-        self.floor += RISE
-        return active
+        floor, slot = min(self.floor, self.level), now % HISTORY
+        if now >= ADAPT and abs(floor - self.history[slot]) > JUMP:
+            self.gaps = self.gaps + 1 if now - self.jumped == 1 else 0
+            self.jumped = now
+            if self.gaps < PATIENCE:
+                floor = self.history[slot]
+        self.history[slot] = floor
+        self.floor = floor + RISE
+        return int(energy - floor > threshold)
 
 
 def smoothed(raw: np.ndarray, length: int) -> np.ndarray:
@@ -60,16 +68,34 @@ def smoothed(raw: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _labelled(batches: Iterator[pa.RecordBatch], least: float, threshold: float) -> Iterator[pa.RecordBatch]:
+    utt, state = None, None
+    for batch in batches:
+        sad = []
+        for u, e in zip(batch.column("utt").to_pylist(), batch.column("energy").to_pylist(), strict=True):
+            if state is None or u != utt:
+                utt, state = u, EnergyState()
+            sad.append(state.step(e, least, threshold))
+        yield pa.RecordBatch.from_arrays([batch.column("utt"), batch.column("frame"), pa.array(sad, pa.int32())], names=["utt", "frame", "sad"])
+
+
 def energy_sad(frames: DataFrame, least: float, threshold: float, median: int = 1) -> DataFrame:
-    """(utt, frame, sad) of (utt, frame, energy): the floor follows the energy, so an utterance's frames are taken in order."""
+    """(utt, frame, sad) of (utt, frame, energy): the floor follows the energy, so an utterance's frames are taken in order.
+
+    They pass through a task as a stream with fifteen numbers of state, so no task holds an utterance. The
+    recursive majority of `median` labels needs an utterance's labels at once: one byte a frame.
+    """
+    own = frames.select(F.col("utt").cast("long").alias("utt"), F.col("frame").cast("long").alias("frame"), F.col("energy").cast("double").alias("energy"))
+    own = own.repartition("utt").sortWithinPartitions("utt", "frame")
+    raw = own.mapInArrow(partial(_labelled, least=least, threshold=threshold), "utt long, frame long, sad int")
+    if median <= 1:
+        return raw
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        state = EnergyState()
-        raw = np.array([state.step(e, least, threshold) for e in pdf["energy"]], int)
-        return pd.DataFrame({"utt": pdf["utt"], "frame": pdf["frame"], "sad": smoothed(raw, median) if median > 1 else raw})
+        return pdf.assign(sad=smoothed(pdf["sad"].to_numpy(), median))
 
-    return frames.select("utt", "frame", "energy").groupBy("utt").applyInPandas(run, "utt long, frame long, sad int")
+    return raw.groupBy("utt").applyInPandas(run, "utt long, frame long, sad int")
 
 
 def marks_to_frames(marks: DataFrame, step_ms: float, lengths: DataFrame, round_duration: bool = False) -> DataFrame:

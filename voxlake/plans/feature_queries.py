@@ -29,8 +29,13 @@ def _energies(spark, sf_dir):
     return V.big(spark, sf_dir).select("utt", F.col("i").alias("frame"), F.col("x").alias("energy"))
 
 
+def _shifted(spark, sf_dir):
+    """Energies whose level falls by 1,800 once the detector adapts, so that its floor jumps."""
+    return _energies(spark, sf_dir).withColumn("energy", F.col("energy") + F.when(F.col("frame") < 510, 2000).otherwise(200))
+
+
 def _marks(spark, sf_dir):
-    return V.signals(spark, sf_dir).where("i % 9 = 4").select("utt", (F.col("i") * 0.01).alias("start_s"), (F.col("x") / 2000).alias("dur_s"))
+    return V.signals(spark, sf_dir).where("x > 300").select("utt", (F.col("i") * 0.01).alias("start_s"), (F.col("x") / 2000).alias("dur_s"))
 
 
 def _lengths(spark, sf_dir):
@@ -42,7 +47,7 @@ def _runs(spark, sf_dir):
 
 
 def _others(spark, sf_dir):
-    return V.signals(spark, sf_dir).where("i % 11 = 5").select("utt", F.col("i").alias("start"), (F.col("i") + 1 + F.floor(F.col("x") / 30)).cast("long").alias("stop"))
+    return V.signals(spark, sf_dir).where("x > 250").select("utt", F.col("i").alias("start"), (F.col("i") + 1 + F.floor(F.col("x") / 30)).cast("long").alias("stop"))
 
 
 def _scores(spark, sf_dir):
@@ -84,9 +89,10 @@ QUERIES = {
         F.count(F.lit(1)).alias("n"), F.max(F.size("base")).alias("base_dim"), F.max(F.size("base") + F.size("delta")).alias("total_dim"), (F.count(F.lit(1)) * 0.01).alias("seconds")
     ),
     "sad_xtalk": lambda spark, sf_dir: D.energy_sad(_energies(spark, sf_dir), 2.0, 12.0),
+    "sad_xtalk_shift": lambda spark, sf_dir: D.energy_sad(_shifted(spark, sf_dir), 2.0, 12.0),
     "sad_median": lambda spark, sf_dir: D.energy_sad(_energies(spark, sf_dir), 2.0, 12.0, 11),
     "sad_apply": lambda spark, sf_dir: rounded(X.apply_sad(_sad(spark, sf_dir)).select("utt", "frame", "x"), "x"),
-    "sad_no_speech": lambda spark, sf_dir: D.no_speech(_sad(spark, sf_dir).where("x < 90 or utt % 2 = 0")),
+    "sad_no_speech": lambda spark, sf_dir: D.no_speech(_sad(spark, sf_dir)),
     "sad_marks_to_frames": lambda spark, sf_dir: D.marks_to_frames(_marks(spark, sf_dir), 10.0, _lengths(spark, sf_dir)),
     "sad_mark_durations_to_frames": lambda spark, sf_dir: D.marks_to_frames(_marks(spark, sf_dir), 10.0, _lengths(spark, sf_dir), round_duration=True),
     "sad_frames_to_marks": lambda spark, sf_dir: D.marks_text(_runs(spark, sf_dir), 10.0, F.lit("speech")),
@@ -123,7 +129,7 @@ _SAD = f"WITH {V.SIGNALS}, sad AS (SELECT utt, i AS frame, CASE WHEN x > 60 THEN
 _RUNS = f"""{_SAD}, edge AS (SELECT *, CASE WHEN sad IS DISTINCT FROM lag(sad) OVER (PARTITION BY utt ORDER BY frame) THEN 1 ELSE 0 END AS new FROM sad),
 grp AS (SELECT *, sum(new) OVER (PARTITION BY utt ORDER BY frame) AS g FROM edge),
 runs AS (SELECT utt, min(frame) AS start, max(frame) + 1 AS stop, any_value(sad) AS label FROM grp GROUP BY utt, g)"""
-_SWEEP = f"""{_RUNS}, a AS (SELECT utt, start, stop FROM runs WHERE label = 1), b AS (SELECT utt, i AS start, i + 1 + CAST(floor(x / 30) AS BIGINT) AS stop FROM signals WHERE i % 11 = 5),
+_SWEEP = f"""{_RUNS}, a AS (SELECT utt, start, stop FROM runs WHERE label = 1), b AS (SELECT utt, i AS start, i + 1 + CAST(floor(x / 30) AS BIGINT) AS stop FROM signals WHERE x > 250),
 pt AS (SELECT utt, start AS t FROM a UNION SELECT utt, stop FROM a UNION SELECT utt, start FROM b UNION SELECT utt, stop FROM b),
 pc AS (SELECT utt, t AS start, lead(t) OVER (PARTITION BY utt ORDER BY t) AS stop FROM pt),
 cv AS (SELECT pc.*, EXISTS (SELECT 1 FROM a WHERE a.utt = pc.utt AND a.start <= pc.start AND a.stop >= pc.stop) AS ina,
@@ -136,7 +142,7 @@ def _touching(wanted):
 
 
 def _marks_sql(stop):
-    return f"""WITH {V.SIGNALS}, n AS (SELECT utt, count(*) AS n FROM signals GROUP BY utt), m AS (SELECT utt, i * 0.01::DOUBLE AS s, x / 2000 AS d FROM signals WHERE i % 9 = 4),
+    return f"""WITH {V.SIGNALS}, n AS (SELECT utt, count(*) AS n FROM signals GROUP BY utt), m AS (SELECT utt, i * 0.01::DOUBLE AS s, x / 2000 AS d FROM signals WHERE x > 300),
       f AS (SELECT utt, floor(s * 1000 / 10 + 0.5) AS a, {stop} AS b FROM m), g AS (SELECT utt, unnest(generate_series(0, n - 1)) AS frame FROM n)
       SELECT utt, frame, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.utt = g.utt AND g.frame BETWEEN f.a AND f.b) THEN 1 ELSE 0 END AS sad FROM g"""
 
@@ -149,7 +155,17 @@ _XTALK = f"""WITH RECURSIVE {V.BIG}, s AS (
     CASE WHEN b.x >= 2 AND s.seen > 0 AND b.x - least(s.flr, 0.9::DOUBLE * s.lvl + 0.1::DOUBLE * b.x) > 12 THEN 1 ELSE 0 END
   FROM s JOIN big b ON b.utt = s.utt AND b.i = s.i + 1)"""
 
+_SHIFT = f"""WITH RECURSIVE {V.BIG}, e AS (SELECT utt, i, x + CASE WHEN i < 510 THEN 2000 ELSE 200 END AS x FROM big), s AS (
+  SELECT utt, i, x AS lvl, x + 0.002166062::DOUBLE AS flr, list_transform(range(10), lambda k: x) AS hist, 0 AS gaps, 0::BIGINT AS jumped, 0 AS sad FROM e WHERE i = 0
+  UNION ALL SELECT utt, i, lvl, f + 0.002166062::DOUBLE, list_transform(range(10), lambda k: CASE WHEN k = i % 10 THEN f ELSE hist[k + 1] END), gaps, jumped, CASE WHEN x - f > 12 THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN jump AND gaps < 20 THEN old ELSE m END AS f
+    FROM (SELECT utt, i, x, lvl, m, old, jump, hist, CASE WHEN NOT jump THEN gaps WHEN i - jumped = 1 THEN gaps + 1 ELSE 0 END AS gaps, CASE WHEN jump THEN i ELSE jumped END AS jumped
+      FROM (SELECT *, i >= 500 AND abs(m - old) > 100 AS jump
+        FROM (SELECT e.utt, e.i, e.x, 0.9::DOUBLE * s.lvl + 0.1::DOUBLE * e.x AS lvl, least(s.flr, 0.9::DOUBLE * s.lvl + 0.1::DOUBLE * e.x) AS m, s.hist[e.i % 10 + 1] AS old, s.hist, s.gaps, s.jumped
+          FROM s JOIN e ON e.utt = s.utt AND e.i = s.i + 1)))))"""
+
 ORACLES = {
+    "sad_xtalk_shift": f"{_SHIFT} SELECT utt, i AS frame, sad FROM s",
     "feat_delta": f"{_DELTA} SELECT utt, frame, CAST(d AS INTEGER) AS d, round(v, 5) + 0.0 AS v FROM delta",
     "feat_delta2point": f"{_L} SELECT utt, frame, CAST(d AS INTEGER) AS d, round({_at('v', 1)} - {_at('v', -1)}, 5) + 0.0 AS v FROM long {_W}",
     "feat_accel": f"{_DELTA} SELECT utt, frame, CAST(d AS INTEGER) AS d, round({_slope('v')}, 5) + 0.0 AS v FROM delta {_W}",
@@ -164,7 +180,7 @@ ORACLES = {
     "feat_dims": f"WITH {V.FRAMES} SELECT utt, count(*) AS n, CAST(max(len(base)) AS INTEGER) AS base_dim, CAST(2 * max(len(base)) AS INTEGER) AS total_dim, count(*) * 0.01::DOUBLE AS seconds FROM frames GROUP BY utt",
     "sad_xtalk": f"{_XTALK} SELECT utt, i AS frame, sad FROM s",
     "sad_apply": f"{_SAD} SELECT utt, row_number() OVER (PARTITION BY utt ORDER BY frame) - 1 AS frame, round(x, 5) + 0.0 AS x FROM sad WHERE sad = 1",
-    "sad_no_speech": f"{_SAD} SELECT utt, max(sad) = 0 AS no_speech FROM sad WHERE x < 90 OR utt % 2 = 0 GROUP BY utt",
+    "sad_no_speech": f"{_SAD} SELECT utt, max(sad) = 0 AS no_speech FROM sad GROUP BY utt",
     "sad_marks_to_frames": _marks_sql("floor((s + d) * 1000 / 10 + 0.5)"),
     "sad_mark_durations_to_frames": _marks_sql("floor(s * 1000 / 10 + 0.5) + floor(d * 1000 / 10 + 0.5)"),
     "sad_frames_to_marks": f"{_RUNS} SELECT utt, start, printf('speech %.2f %.2f', start * 0.01::DOUBLE, (stop - start) * 0.01::DOUBLE) AS line FROM runs WHERE label = 1",

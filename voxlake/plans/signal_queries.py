@@ -71,7 +71,7 @@ def _conv(source, name, stride):
       CROSS JOIN {name} t LEFT JOIN {source} s ON s.utt = g.utt AND s.i = g.i - t.k * {stride} GROUP BY g.utt, g.i)"""
 
 
-_BYTES = """raw AS (SELECT doc_id AS utt, hex(encode(text)) AS h FROM documents WHERE lang = 'en' AND text <> ''),
+_BYTES = """raw AS (SELECT doc_id AS utt, hex(encode(text)) AS h FROM documents WHERE text <> ''),
 pos AS (SELECT utt, h, unnest(generate_series(0, length(h) // 2 - 1)) AS i FROM raw),
 bytes AS (SELECT utt, i, CAST('0x' || substr(h, i * 2 + 1, 2) AS INTEGER) AS u FROM pos)"""
 

@@ -33,8 +33,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(utt, i, u): the UTF-8 bytes of English documents as companded samples."""
-    own = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """(utt, i, u): the UTF-8 bytes of documents as companded samples."""
+    own = table(spark, sf_dir, "documents")
     pairs = F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit(".."), 0)
     at = own.select(F.col("doc_id").alias("utt"), F.posexplode(pairs).alias("i", "h"))
     return at.select("utt", F.col("i").cast("long").alias("i"), F.conv("h", 16, 10).cast("int").alias("u"))

@@ -10,24 +10,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sad import EnergyState
 
-STATE = "seen long, floor double, level double, gaps int, history array<double>"
+STATE = "seen long, floor double, level double, gaps int, jumped long, history array<double>"
 
 
 def energy_sad_stream(frames: DataFrame, least: float, threshold: float) -> DataFrame:
     """(utt, frame, sad) of a stream (utt, frame, energy) whose frames arrive in order.
 
-    An utterance's state is four numbers and ten history slots, whatever its length; the labels are those of
+    An utterance's state is five numbers and ten history slots, whatever its length; the labels are those of
     the batch operator without its median.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = EnergyState()
         if state.exists:
-            seen, floor, level, gaps, history = state.get
-            own = EnergyState(seen, floor, level, gaps, list(history))
+            *numbers, history = state.get
+            own = EnergyState(*numbers, list(history))
         pdf = pd.concat(list(batches), ignore_index=True).sort_values("frame")
         sad = [own.step(e, least, threshold) for e in pdf["energy"]]
-        state.update((own.seen, float(own.floor), float(own.level), own.gaps, [float(v) for v in own.history]))
+        state.update((own.seen, float(own.floor), float(own.level), own.gaps, own.jumped, [float(v) for v in own.history]))
         yield pd.DataFrame({"utt": pdf["utt"], "frame": pdf["frame"], "sad": sad})
 
     return frames.groupBy("utt").applyInPandasWithState(run, "utt long, frame long, sad int", STATE, "append", GroupStateTimeout.NoTimeout)
