@@ -1,13 +1,14 @@
 """Closed forms, sequential restatements and round trips of the speech operators."""
 
 import struct
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import g711
-from voxlake.operators import blocks, embed, features, gmm, intervals, pitch, sad, segment, signal, spectral
+from voxlake.operators import blocks, embed, features, gmm, intervals, pipes, pitch, sad, segment, signal, spectral
 from voxlake.sources import audio, files
 from voxlake.streaming.energy import energy_sad_stream
 
@@ -322,3 +323,132 @@ def test_detector_keeps_its_floor_for_a_while_and_then_takes_a_new_level():
     assert 615 <= fell <= 625 and floors[610] > 1990 and floors[-1] < 250
     quiet = sad.EnergyState()
     assert [quiet.step(1.0, 5.0, 15.0) for _ in range(3)] == [0, 0, 0] and quiet.seen == 3 and not quiet.history
+
+
+@pytest.mark.parametrize("n", [1, 7, 64, 65, 95])
+def test_filters_and_frames_over_many_blocks(spark, n):
+    rng = np.random.default_rng(n)
+    x, h = rng.normal(size=n), rng.normal(size=9)
+    own = signal_of(spark, x)
+    cut = lambda before, after, run, **more: column(blocks.by_block(own, before, after, run, size=16, **more), "x", more.get("name", "i"))
+    assert cut(8, 0, partial(signal._convolved, taps=h)) == pytest.approx(np.convolve(x, h))
+    for up, down, offset in ((1, 2, 4), (3, 2, 0), (5, 7, 4), (1, 1, 4), (1, 1, 11)):
+        want = [sum(x[i] * h[k] for i in range(n) if 0 <= (k := down * j - up * i + offset) < 9) for j in range(up * (n - 1) // down + 1)]
+        got = cut(max(0, -(-(8 - offset) // up)) + 1, offset // up + 2, partial(signal._stepped, taps=h, up=up, down=down, offset=offset))
+        assert got == pytest.approx(want)
+        assert column(signal.fir_up_down(own, h, up, down, offset), "x", "i") == pytest.approx(want)
+    want = [x[a : a + 10].tolist() for a in range(0, n - 9, 3)]
+    assert cut(0, 10, partial(spectral._cut, length=10, step=3), name="frame", matrix=True) == want
+
+
+def test_blocks_of_many_utterances_and_of_none(spark):
+    rows = [(f"u{u}", k, float(u * k)) for u in range(40) for k in range(u)]
+    own = spark.createDataFrame(rows, "utt string, i long, x double").repartition(5)
+    got = {}
+    for r in signal.fir(own, [1.0, 1.0]).collect():
+        got.setdefault(r["utt"], {})[r["i"]] = r["x"]
+    assert {u: [v[i] for i in sorted(v)] for u, v in got.items()} == {f"u{u}": pytest.approx(np.convolve([u * k for k in range(u)], [1, 1])) for u in range(1, 40)}
+    assert signal.fir(own.where("false"), [1.0]).count() == 0 and spectral.framed(own.where("utt = 'u3'"), 4, 2).count() == 0
+    holes = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (1, 2, 3.0), (None, 0, 1.0)], "utt long, i long, x double")
+    assert column(signal.fir(holes, [1.0, 1.0]), "x", "i") == [0.0, 2.0, 5.0, 3.0]
+
+
+def test_configurations():
+    text = '{"feat_type": "mfcc", "alpha": "1", "dither": "0.5", "fb_low": 300, "fb_hi": 3140, "keep_c0": "true", "linear": 0, "num_cep": "6", "win_inc_ms": 10, "win_len_ms": 20, "other": 1}'
+    assert pipes.spectral_config(text) == spectral.SpectralConfig(dither=0.5, keep_c0=True, num_cep=6)
+    assert pipes.spectral_config(pipes.SPEAKER).num_cep == 19 and pipes.spectral_config(pipes.LANGUAGE, 16000.0).length == 320
+    for bad in ({"alpha": 1}, pipes.SPEAKER | {"feat_type": "plp"}, pipes.SPEAKER | {"num_cep": 1.5}, pipes.SPEAKER | {"linear": "maybe"}, "[]"):
+        with pytest.raises(ValueError):
+            pipes.spectral_config(bad)
+    with pytest.raises(ValueError, match="sample"):
+        pipes.spectral_config(pipes.SPEAKER | {"win_inc_ms": 0}).validate()
+
+
+def test_recipes_on_a_tone_between_silences(spark):
+    t = np.arange(8000)
+    x = np.where((t >= 2400) & (t < 5600), 5000 * np.sin(t * 0.6), 0) + np.random.default_rng(1).normal(size=8000)
+    own, settings = signal_of(spark, x), pipes.LANGUAGE | {"dither": 0}
+    frames = features.select_features(features.regression(features.rasta(spectral.cepstra(own, pipes.spectral_config(settings))), 2), "fd")
+    rows = np.array(column(frames, "features"))
+    at = np.arange(len(rows))
+    loud = (at >= 32) & (at < 66)
+    models = {name: gmm.Mixture.of(np.ones(1), rows[k].mean(0)[None], rows[k].var(0)[None]) for name, k in (("quiet", ~loud), ("tone", loud))}
+    speech = {"feat_config": settings, "label_keep": "tone", "label_window": 5, "min_gap_dur": 0.1, "min_seg_dur": 0.1}
+    (found,) = pipes.speech_intervals(own, speech, models).collect()
+    assert abs(found["start"] - 30) <= 6 and abs(found["stop"] - 70) <= 6
+    config = {"pipe_config": {"feat_config": settings, "do_rasta": True, "do_delta": True, "delta_spread": 1, "do_accel": "1", "accel_spread": 1, "do_feat_norm": True, "outfeat": "all"}}
+    kept = pipes.feature_pipe(own, config, pipes.by_mixtures(speech, models))
+    assert column(kept, "frame") == list(range(found["stop"] - found["start"]))
+    values = np.array(column(kept, "features"))
+    assert values.shape[1] == 18 and values.mean(0) == pytest.approx(np.zeros(18), abs=1e-9) and values.std(0) == pytest.approx(np.ones(18))
+    whole = pipes.feature_pipe(own, {"pipe_config": {"feat_config": settings}})
+    assert whole.count() == 99 and "base" in whole.columns
+    assert pipes.feature_pipe(own.where("false"), config, pipes.by_energy({"abs_min_energy": 0, "thresh": 1})).count() == 0
+    with pytest.raises(ValueError, match="delta_spread"):
+        pipes.feature_pipe(own, {"pipe_config": {"feat_config": settings, "do_delta": True}})
+
+
+def test_directions_are_taken_out(spark, mixture):
+    frames = frames_of(spark, np.random.default_rng(3).normal(size=(60, 4)) * 2)
+    plain = np.array(pipes.supervectors(frames, {"rf": 4}, mixture).head()["vec"])
+    row = np.random.default_rng(4).normal(size=(1, 13))
+    row /= np.sqrt((row**2).sum())
+    none = pipes.supervectors(frames, {"rf": "4", "do_nap": True, "corank": 0}, mixture, row).head()["vec"]
+    assert none == pytest.approx(plain.tolist())
+    ec = np.array([r["ec"] for r in gmm.sufficient_statistics(frames, mixture).orderBy("mix").collect()])
+    share = np.concatenate([[1], np.repeat(np.sqrt(ec / ec.sum()) / np.exp(0.5 * mixture.log_weight), 4)])
+    x = plain / share
+    out = pipes.supervectors(frames, {"rf": 4, "do_nap": "true", "corank": 1}, mixture, row).head()["vec"]
+    assert out == pytest.approx(((x - (x @ row[0]) * row[0]) * share).tolist())
+    for bad in ({}, {"rf": 4, "do_nap": True}, {"rf": 4, "do_nap": True, "corank": 2}):
+        with pytest.raises(ValueError):
+            pipes.supervectors(frames, bad, mixture, row)
+
+
+def test_trials_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embed, "ENROLLED", 2)
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(5, 3)), rng.normal(size=(4, 3))
+    enrolled = spark.createDataFrame([(f"m{k}", v.tolist()) for k, v in enumerate(a)], "model string, model_vec array<double>")
+    tests = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(b)], "test long, vec array<double>")
+    got = {(r["model"], r["test"]): r["score"] for r in embed.trials(enrolled, tests).collect()}
+    assert got == pytest.approx({(f"m{i}", j): float(a[i] @ b[j]) for i in range(5) for j in range(4)})
+    assert embed.trials(enrolled.where("false"), tests).count() == 0
+
+
+def test_intervals_are_cut_inside_only(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(m, 1, size=(200, 2)) for m in (0, 6, 0)])
+    rows = [(1, 0, 390, "speech"), (1, 390, 410, "speech"), (1, 410, 600, "music"), (2, 0, 100, "speech")]
+    own = spark.createDataFrame(rows, "utt long, start long, stop long, label string")
+    found = segment.segment_intervals(frames_of(spark, x), own, speech_only=True).orderBy("utt", "start").collect()
+    assert [(r["utt"], r["label"]) for r in found] == [(1, "speech")] * 3 + [(1, "music"), (2, "speech")]
+    assert found[1]["start"] == found[0]["stop"] == pytest.approx(200, abs=8) and found[1]["stop"] == 390
+
+
+def test_numbers_of_clusters_are_bounded():
+    rng = np.random.default_rng(3)
+    parts = [(20.0, x.sum(0), x.T @ x) for x in (rng.normal(m, 1, (20, 1)) for m in (0, 0, 30, 30, 90, 90))]
+    n, s, q = (np.array(x) for x in zip(*parts, strict=True))
+    of = lambda *bounds: len(set(segment.agglomerated(n, s, q, 1.0, 0.0, *bounds)))
+    assert of() == 3 and of(5) == 5 and of(1, 2) == 2 and of(7) == 6 and of(1, 9) == 3
+    assert segment.agglomerated(n[:0], s[:0], q[:0], 1.0, 0.0, 1, 1) == []
+
+
+def test_floats_and_lengths(spark, tmp_path):
+    content = audio.encoded_floats(signal_of(spark, [0.5, -1.25, 3.0])).head()["content"]
+    (tmp_path / "x.f32").write_bytes(bytes(content) + b"\0")
+    assert column(audio.read_floats(spark, str(tmp_path)), "x", "i") == [0.5, -1.25, 3.0]
+    assert audio.lengths(spark, str(tmp_path)).head()["length"] == 13
+    vec = files.vector_bytes(spark.createDataFrame([(1, [1.0, 2.5])], "utt long, vec array<double>")).head()
+    assert np.frombuffer(vec["content"]).tolist() == [1.0, 2.5]
+    (tmp_path / "m").mkdir()
+    model = gmm.Mixture.of(np.ones(1), np.zeros((1, 2)), np.ones((1, 2)))
+    (tmp_path / "m" / "a.mod").write_bytes(files.mixture_bytes(model))
+    assert files.read_models(spark, {"model_dir": f"{tmp_path}/m", "gmm_models": {"a": "a.mod"}})["a"].mean.shape == (1, 2)
+
+
+def test_chosen_gaussians_score_as_in_the_whole(mixture):
+    x = np.random.default_rng(0).normal(size=(2050, 4))
+    chosen = np.argsort(-mixture.log_density(x), axis=1)[:, :2]
+    assert mixture.log_density_of(x, chosen) == pytest.approx(np.take_along_axis(mixture.log_density(x), chosen, 1))

@@ -7,6 +7,11 @@ over many tasks, at the price of copying a small share of its rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -43,3 +48,57 @@ def clamped(value: Column, shift: int, index: str, *keys: str) -> Column:
     if shift > 0:
         return F.coalesce(F.lead(value, shift).over(w), F.last(value).over(whole))
     return F.coalesce(F.lag(value, -shift).over(w), F.first(value).over(whole))
+
+
+#: Indices of a block's samples and the samples, where the block starts and its size; gives indices and values (numbers or rows of a matrix).
+Run = Callable[[np.ndarray, np.ndarray, int, int], tuple[np.ndarray, np.ndarray]]
+#: Values that are gathered before a batch goes out.
+OUT = 1_000_000
+
+
+def _packed(made: list[tuple], kind: pa.DataType, name: str) -> pa.RecordBatch:
+    utt = pa.array([u for u, *_ in made], kind).take(pa.array(np.repeat(np.arange(len(made)), [len(at) for _, at, _ in made])))
+    at, y = (np.concatenate([m[k] for m in made]) for k in (1, 2))
+    if y.ndim == 1:
+        return pa.RecordBatch.from_arrays([utt, pa.array(at), pa.array(y)], names=["utt", name, "x"])
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel()))
+    return pa.RecordBatch.from_arrays([utt, pa.array(at), rows], names=["utt", name, "x"])
+
+
+def _run(batches: Iterator[pa.RecordBatch], run: Run, size: int, name: str) -> Iterator[pa.RecordBatch]:
+    key, kind, held, made, waiting = None, None, [], [], 0
+
+    def finished() -> tuple:
+        i, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        return key[0], *run(i, x, key[1] * size, size)
+
+    for batch in batches:
+        kind = batch.column("utt").type
+        utt, block, i, x = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("utt", "block", "i", "x"))
+        cuts = [0, *(np.flatnonzero((utt[1:] != utt[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(i)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and key != (utt[a], block[a]):
+                made.append(finished())
+                waiting, held = waiting + made[-1][2].size, []
+                if waiting > OUT:
+                    yield _packed(made, kind, name)
+                    made, waiting = [], 0
+            key = utt[a], block[a]
+            held.append((i[a:b], x[a:b]))
+    if held:
+        made.append(finished())
+        yield _packed(made, kind, name)
+
+
+def by_block(signal: DataFrame, before: int, after: int, run: Run, name: str = "i", matrix: bool = False, size: int = SIZE) -> DataFrame:
+    """(utt, `name`, x): what `run` makes of each block of a signal and of as many samples in front of and after it.
+
+    Each sample is shuffled once, and a task holds one block at a time. A null sample is 0.
+    """
+    size = max(size, before, after, 1)
+    plain = signal.where("utt is not null").select("utt", F.col("i").cast("long").alias("i"), F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"))
+    own = with_halo(plain, "i", before, after, size).drop("halo").repartition("utt", "block").sortWithinPartitions("utt", "block", "i")
+    schema = f"utt {signal.schema['utt'].dataType.simpleString()}, {name} long, x {'array<double>' if matrix else 'double'}"
+    return own.mapInArrow(partial(_run, run=run, size=size, name=name), schema)

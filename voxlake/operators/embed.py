@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .gmm import Mixture, map_adapt
 
+#: Enrolled models that are sent to the tests at a time.
+ENROLLED = 1024
+
 
 def supervector(statistics: DataFrame, model: Mixture, relevance: float) -> DataFrame:
     """(utt, vec): 0, then each Gaussian's shift of means in units of its deviation, weighted by the root of its share of frames."""
@@ -41,6 +44,39 @@ def project_out(vectors: DataFrame, rows: list[list[float]], corank: int, name:
     return vectors.withColumn(name, reduce(step, rows[:corank], F.col(name)))
 
 
+def _without(batches: Iterator[pa.RecordBatch], model: Mixture, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    m, d = model.mean.shape
+    root = np.exp(0.5 * model.log_weight)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mean = batch.column("mean").flatten().to_numpy().reshape(-1, m, d)
+        ec = batch.column("ec").flatten().to_numpy().reshape(-1, m)
+        shift = (mean - model.mean) * np.sqrt(model.inv_var) * root[:, None]
+        x = np.concatenate([np.zeros((len(mean), 1)), shift.reshape(len(mean), -1)], axis=1)
+        for r in rows:
+            x = x - (x @ r)[:, None] * r
+        share = np.sqrt(ec / np.maximum(ec.sum(1, keepdims=True), 1e-8)) / root
+        x[:, 1:] *= np.repeat(share, d, axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("utt"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["utt", "vec"])
+
+
+def supervector_without(statistics: DataFrame, model: Mixture, relevance: float, rows: np.ndarray, corank: int) -> DataFrame:
+    """(utt, vec): the supervector without the first `corank` rows' directions.
+
+    Shifts are weighted by the roots of the model's own weights while the directions are taken out, and by the
+    roots of the shares of frames afterwards. Corank 0 gives `supervector`.
+    """
+    if not 0 <= corank <= len(rows):
+        raise ValueError("corank is larger than the projection")
+    if corank and rows.shape[1] != model.mean.size + 1:
+        raise ValueError("the projection has another dimension than the supervector")
+    adapted = map_adapt(statistics, model, relevance)
+    sorted_ = F.array_sort(F.collect_list(F.struct("mix", "ec", "mean")))
+    packed = adapted.groupBy("utt").agg(sorted_.alias("s")).select(F.col("utt").cast("long").alias("utt"), F.transform("s", lambda x: x["ec"]).alias("ec"), F.flatten(F.transform("s", lambda x: x["mean"])).alias("mean"))
+    return packed.mapInArrow(partial(_without, model=model, rows=np.asarray(rows, float)[:corank]), "utt long, vec array<double>")
+
+
 def _solve(batches: Iterator[pa.RecordBatch], total: np.ndarray, model: Mixture) -> Iterator[pa.RecordBatch]:
     m, d = model.mean.shape
     blocks = total.reshape(m, d, -1)
@@ -63,9 +99,29 @@ def ivector(statistics: DataFrame, total: np.ndarray, model: Mixture) -> DataFra
     return packed.mapInArrow(partial(_solve, total=total, model=model), "utt long, vec array<double>")
 
 
+def _products(batches: Iterator[pa.RecordBatch], models: list, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), len(models)))
+            names = pa.array(models).take(pa.array(np.tile(np.arange(len(models)), batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([names, batch.column("test").take(rows), pa.array((x @ vectors.T).ravel())], names=["model", "test", "score"])
+
+
 def trials(enrolled: DataFrame, tests: DataFrame) -> DataFrame:
-    """(model, test, score): inner products of every test with the enrolled models, a bounded list that is sent to the tests."""
-    return tests.join(F.broadcast(enrolled)).select("model", "test", inner(F.col("vec"), F.col("model_vec")).alias("score"))
+    """(model, test, score): inner products of every test (test, vec) with the enrolled models (model, model_vec).
+
+    The models are a stated set and go to the tests in blocks of about `ENROLLED`, each one matrix product for a
+    batch of tests. No models give no rows.
+    """
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    schema = f"model {kind(enrolled, 'model')}, test {kind(tests, 'test')}, score double"
+    own = enrolled.select("model", F.col("model_vec").cast("array<double>").alias("v"))
+    rows = tests.select("test", F.col("vec").cast("array<double>").alias("vec"))
+    blocks = -(-own.count() // ENROLLED)
+    parts = [own.where(F.pmod(F.xxhash64("model"), F.lit(blocks)) == k).toArrow() for k in range(blocks)]
+    scored = [rows.mapInArrow(partial(_products, models=p["model"].to_pylist(), vectors=np.array(p["v"].to_pylist())), schema) for p in parts if p.num_rows]
+    return reduce(DataFrame.unionByName, scored) if scored else tests.sparkSession.createDataFrame([], schema)
 
 
 def normalised(scores: DataFrame, cohort: DataFrame, by: str) -> DataFrame:

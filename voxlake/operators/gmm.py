@@ -45,6 +45,16 @@ class Mixture:
         return -0.5 * (c.log_det + x.shape[1] * LOG_2PI - 2 * c.log_weight + far)
 
 
+    def log_density_of(self, x: np.ndarray, chosen: np.ndarray, constants: Mixture | None = None) -> np.ndarray:
+        """As `log_density`, of the Gaussians chosen for each frame (frames x count) only."""
+        c, out = constants or self, np.empty(chosen.shape)
+        for a in range(0, len(x), 1024):
+            k = chosen[a : a + 1024]
+            far = ((x[a : a + 1024, None, :] - self.mean[k]) ** 2 * self.inv_var[k]).sum(2)
+            out[a : a + 1024] = -0.5 * (c.log_det[k] + x.shape[1] * LOG_2PI - 2 * c.log_weight[k] + far)
+        return out
+
+
 def log_sum(q: np.ndarray) -> np.ndarray:
     top = q.max(1, keepdims=True)
     return (top + np.log(np.exp(q - top).sum(1, keepdims=True)))[:, 0]
@@ -92,6 +102,20 @@ def score(frames: DataFrame, model: Mixture) -> DataFrame:
     return densities(frames, model).groupBy("utt").agg(F.avg("loglik").alias("score"))
 
 
+def _each(batches: Iterator[pa.RecordBatch], models: list[Mixture]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x = _matrix(batch, "base")
+            scores = np.stack([log_sum(m.log_density(x)) for m in models], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("utt"), batch.column("frame"), _lists(scores)], names=["utt", "frame", "scores"])
+
+
+def class_scores(frames: DataFrame, models: list[Mixture]) -> DataFrame:
+    """(utt, frame, model, score): log-likelihood of each frame under each model by itself; models are numbered in their order."""
+    rows = frames.select("utt", "frame", "base").mapInArrow(partial(_each, models=models), "utt long, frame long, scores array<double>")
+    return rows.select("utt", "frame", F.posexplode("scores").alias("model", "score"))
+
+
 def top_mixtures(frames: DataFrame, model: Mixture, count: int) -> DataFrame:
     """(utt, frame, rank, mix): the `count` densest Gaussians of each frame."""
     pairs = F.transform("q", lambda q, k: F.struct((-q).alias("q"), k.alias("mix")))
@@ -109,7 +133,7 @@ def _against(batches: Iterator[pa.RecordBatch], background: Mixture, targets: di
         names, scores = ["background"], [log_sum(np.take_along_axis(q, best, 1))]
         for name, model in targets.items():
             names.append(name)
-            scores.append(log_sum(np.take_along_axis(model.log_density(x, None if own_constants else background), best, 1)))
+            scores.append(log_sum(model.log_density_of(x, best, None if own_constants else background)))
         utt, at = np.unique(batch.column("utt").to_numpy(), return_inverse=True)
         sums = np.stack([np.bincount(at, s, len(utt)) for s in scores])
         n = np.bincount(at, minlength=len(utt))

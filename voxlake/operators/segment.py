@@ -100,14 +100,38 @@ def segment(frames: DataFrame, smallest: int = 100, largest: int = 500, margin:
     return frames.select("utt", "frame", "base").groupBy("utt").applyInPandas(run, "utt long, start long, stop long")
 
 
+def segment_intervals(frames: DataFrame, intervals: DataFrame, speech_only: bool = False, smallest: int = 100, largest: int = 500, margin: int = 25, step: int = 50, weight: float = 1.0, threshold: float = 0.0) -> DataFrame:
+    """(utt, start, stop, label): intervals (utt, start, stop, label) of frames, each cut at the changes inside it.
+
+    With `speech_only` intervals with another label than `speech` stay whole; so do those of fewer than `margin`
+    frames, and those without frames. One group is one interval.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        first, last, label = int(pdf["start"].iloc[0]), int(pdf["stop"].iloc[0]), pdf["label"].iloc[0]
+        found = change_points(np.array(pdf["base"].tolist(), float), smallest, largest, margin, step, weight, threshold)
+        cuts = [first, *(int(pdf["frame"].iloc[0]) + k for k in found), last]
+        return pd.DataFrame({"utt": pdf["utt"].iloc[0], "start": cuts[:-1], "stop": cuts[1:], "label": label})
+
+    own = intervals.select("utt", "start", "stop", F.col("label").cast("string").alias("label"))
+    wanted = (F.col("stop") - F.col("start") >= margin) & (F.col("label").eqNullSafe("speech") if speech_only else F.lit(True))
+    held = own.where(wanted).select("*", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("frame"))
+    rows = held.join(frames.select("utt", "frame", F.col("base").alias("base")), ["utt", "frame"])
+    cut = rows.groupBy("utt", "start", "stop", "label").applyInPandas(run, "utt long, start long, stop long, label string")
+    found = rows.select("utt", "start", "stop").distinct()
+    return own.join(found, ["utt", "start", "stop"], "left_anti").unionByName(cut)
+
+
 #: Segments that one segment is compared with at a time.
 BLOCK = 256
 
 
-def agglomerated(n: np.ndarray, s: np.ndarray, q: np.ndarray, weight: float, threshold: float) -> list[int]:
+def agglomerated(n: np.ndarray, s: np.ndarray, q: np.ndarray, weight: float, threshold: float, fewest: int = 1, most: int | None = None) -> list[int]:
     """The first segment of each segment's cluster, by counts (k), sums (k, d) and sums of outer products (k, d, d).
 
-    The two most alike are joined (the first of equals) until none are below the threshold. A segment keeps
+    The two most alike are joined (the first of equals) until none are below the threshold, or `fewest` clusters
+    are left; while there are more than `most`, they are joined whatever the threshold. A segment keeps
     only its best partner among those after it and is compared in blocks, so memory grows with segments.
     """
     n, s, q = n.copy(), s.copy(), q.copy()
@@ -140,10 +164,10 @@ def agglomerated(n: np.ndarray, s: np.ndarray, q: np.ndarray, weight: float, thr
 
     for a in range(len(n)):
         search(a)
-    while len(n):
+    while (left := int(alive.sum())) > max(fewest, 1):
         a = int(value.argmin())
         b = int(partner[a])
-        if not value[a] < threshold:
+        if b < 0 or not (value[a] < threshold or (most is not None and left > most)):
             break
         n[a], s[a], q[a] = n[a] + n[b], s[a] + s[b], q[a] + q[b]
         own[a] = costs(n[a : a + 1], s[a : a + 1], q[a : a + 1])[0]
@@ -160,10 +184,10 @@ def agglomerated(n: np.ndarray, s: np.ndarray, q: np.ndarray, weight: float, thr
     return of.tolist()
 
 
-def cluster(segments: DataFrame, frames: DataFrame, weight: float = 1.0, threshold: float = 0.0) -> DataFrame:
+def cluster(segments: DataFrame, frames: DataFrame, weight: float = 1.0, threshold: float = 0.0, fewest: int = 1, most: int | None = None) -> DataFrame:
     """(utt, start, stop, cluster): segments of each utterance, of which the two most alike are joined while they are alike enough.
 
-    A segment's statistics are summed where its frames are; the joining sees segments, not frames. It compares
+    An utterance keeps `fewest` clusters at least and, if `most` is given, no more than that. A segment's statistics are summed where its frames are; the joining sees segments, not frames. It compares
     all segments of an utterance in one task, which holds their statistics.
     """
     held = segments.where("stop > start").select("utt", "start", "stop", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("frame"))
@@ -178,7 +202,7 @@ def cluster(segments: DataFrame, frames: DataFrame, weight: float = 1.0, thresho
         pdf = pdf.sort_values("start").reset_index(drop=True)
         x = np.array(pdf["x"].tolist())
         d = int((-1 + np.sqrt(1 + 4 * (x.shape[1] - 1))) / 2)
-        of = agglomerated(x[:, 0], x[:, 1 : 1 + d], x[:, 1 + d :].reshape(-1, d, d), weight, threshold)
+        of = agglomerated(x[:, 0], x[:, 1 : 1 + d], x[:, 1 + d :].reshape(-1, d, d), weight, threshold, fewest, most)
         names = {k: n for n, k in enumerate(dict.fromkeys(of))}
         return pdf[["utt", "start", "stop"]].assign(cluster=[names[k] for k in of])
 

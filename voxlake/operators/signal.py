@@ -1,18 +1,20 @@
 """Operators on signals: tables of (utt, i, x), one row for each sample.
 
-Whatever sums over neighbours is an explode to the outputs that a sample contributes to and a grouped sum,
-so it needs neither order nor one task for each utterance; the sums are partly done before the shuffle.
+Indices run from 0 without gaps. Whatever sums over neighbours works on blocks of consecutive samples as arrays
+(`by_block`): each sample is shuffled once, with copies of the few around a block, whatever the number of taps.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import over, own_rows, with_halo
+from .blocks import by_block, over, own_rows, with_halo
 
 PEAK = 32_767.0
 
@@ -38,26 +40,25 @@ def preemphasis(signal: DataFrame, a: float) -> DataFrame:
     return own_rows(with_halo(signal, "i", 1, 0).withColumn("x", F.col("x") - F.lit(a) * before)).select("utt", "i", "x")
 
 
-def _spread(signal: DataFrame, outputs: Column) -> DataFrame:
-    """Sum what samples contribute: `outputs` is an array of (j, weight)."""
-    parts = signal.select("utt", "x", F.explode(outputs).alias("o"))
-    return parts.groupBy("utt", F.col("o.j").alias("i")).agg(F.sum(F.col("x") * F.col("o.weight")).alias("x"))
+def _dense(i: np.ndarray, x: np.ndarray, pad: int = 0) -> np.ndarray:
+    """Samples at their places from the first on, with zeros around them."""
+    out = np.zeros(int(i[-1] - i[0]) + 1 + 2 * pad)
+    out[i - i[0] + pad] = x
+    return out
 
 
-def _taps(taps: Sequence[float], place) -> Column:
-    return F.array(*[F.struct(place(k).cast("long").alias("j"), F.lit(float(h)).alias("weight")) for k, h in enumerate(taps)])
+def _convolved(i: np.ndarray, x: np.ndarray, start: int, size: int, taps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs from the block's start to its end, or to the last that a tap reaches."""
+    low, high = int(i[0]), int(i[-1])
+    at = np.arange(max(start, low), min(start + size, high + len(taps)))
+    return at, np.convolve(_dense(i, x), taps)[at - low]
 
 
 def fir(signal: DataFrame, taps: Sequence[float], stride: int = 1) -> DataFrame:
     """Full convolution with taps that lie `stride` samples apart: n + (taps - 1) * stride samples."""
-    last = (len(taps) - 1) * stride
-    dense = _spread(signal, _taps(taps, lambda k: F.col("i") + k * stride))
-    if stride == 1:
-        return dense
-    # Samples past the end that no tap reaches are 0, as the length counts them.
-    ends = signal.groupBy("utt").agg(F.max("i").alias("end"))
-    filled = ends.select("utt", F.explode(F.sequence(F.col("end") + 1, F.col("end") + last)).alias("i"))
-    return filled.withColumn("x", F.lit(0.0)).unionByName(dense).groupBy("utt", "i").agg(F.sum("x").alias("x"))
+    spaced = np.zeros((len(taps) - 1) * stride + 1)
+    spaced[::stride] = taps
+    return by_block(signal, len(spaced) - 1, 0, partial(_convolved, taps=spaced))
 
 
 def complementary_ifir(signal: DataFrame, first: Sequence[float], stride: int, second: Sequence[float]) -> DataFrame:
@@ -74,25 +75,34 @@ def fir_zero_phase(signal: DataFrame, taps: Sequence[float]) -> DataFrame:
     """A symmetric filter of odd length without delay; the length stays."""
     if len(taps) % 2 == 0:
         raise ValueError("a zero-phase filter has an odd number of taps")
-    half = len(taps) // 2
-    full = fir(signal, taps).withColumn("i", F.col("i") - half)
-    return full.join(signal.groupBy("utt").agg(F.max("i").alias("end")), "utt").where("i >= 0 and i <= end").select("utt", "i", "x")
+    return fir_up_down(signal, taps, 1, 1, len(taps) // 2)
+
+
+def _stepped(i: np.ndarray, x: np.ndarray, start: int, size: int, taps: np.ndarray, up: int, down: int, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs whose place among the samples, down * j / up, lies in the block and not past the signal's end."""
+    own = i[(i >= start) & (i < start + size)]
+    if not len(own):
+        return np.zeros(0, np.int64), np.zeros(0)
+    stop = min(((int(own[-1]) + 1) * up - 1) // down, int(i[-1]) * up // down)
+    j = np.arange(-(-start * up // down), stop + 1)
+    reach = -(-len(taps) // up)
+    h = np.zeros(reach * up)
+    h[: len(taps)] = taps
+    last = (down * j + offset) // up
+    phase = down * j + offset - up * last
+    pad = reach + abs(offset) // up + 2
+    padded = _dense(i, x, pad)
+    y = np.zeros(len(j))
+    for m in range(reach):
+        y += h[phase + up * m] * padded[last - m - int(i[0]) + pad]
+    return j, y
 
 
 def fir_up_down(signal: DataFrame, taps: Sequence[float], up: int, down: int, offset: int = 0) -> DataFrame:
     """Change the rate by up / down: y[j] = sum of x[i] * h[down * j - up * i + offset], j up to up * (n - 1) / down."""
-    i = F.col("i")
-    low = F.greatest(F.lit(0), F.ceil((i * up - offset) / down)).cast("long")
-    high = F.floor((i * up + len(taps) - 1 - offset) / down).cast("long")
-    h = F.array(*map(F.lit, map(float, taps)))
-    outputs = F.transform(
-        F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")),
-        lambda j: F.struct(j.alias("j"), F.get(h, (j * down - i * up + offset).cast("int")).alias("weight")),
-    )
-    ends = signal.groupBy("utt").agg(F.floor(F.max("i") * up / down).alias("end"))
-    grid = ends.select("utt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end").cast("long"))).alias("i")).withColumn("x", F.lit(0.0))
-    spread = _spread(signal, outputs).join(ends, "utt").where("i <= end").select("utt", "i", "x")
-    return grid.unionByName(spread).groupBy("utt", "i").agg(F.sum("x").alias("x"))
+    before = max(0, -(-(len(taps) - 1 - offset) // up)) + 1
+    run = partial(_stepped, taps=np.array(taps, float), up=up, down=down, offset=offset)
+    return by_block(signal, before, max(offset, 0) // up + 2, run)
 
 
 #: Steps from a rate to 8 and to 16 kHz, as (up, down).

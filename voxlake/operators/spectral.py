@@ -7,15 +7,18 @@ and need no order. The bulk path runs matrix products over Arrow batches of fram
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import SIZE, by_block
+
 #: Fixed value: twice pi as the window has it.
 TWO_PI = 6.283185308
 #: Moduli, multipliers and seeds of the two generators behind the dither.
@@ -28,19 +31,27 @@ def frame_count(n: Column, length: int, step: int) -> Column:
     return F.when(n < length, 0).otherwise(F.floor((n - length) / step) + 1).cast("long")
 
 
+def _cut(i: np.ndarray, x: np.ndarray, start: int, size: int, length: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole frames that begin in the block."""
+    high = int(i[-1])
+    frame = np.arange(-(-start // step), min((start + size - 1) // step, (high - length + 1) // step) + 1)
+    if not len(frame):
+        return frame, np.zeros((0, length))
+    own, held = np.zeros(high - start + 1), np.zeros(high - start + 1, bool)
+    own[i - start], held[i - start] = x, True
+    at = frame * step - start
+    whole = np.lib.stride_tricks.sliding_window_view(held, length)[at].all(1)
+    return frame[whole], np.lib.stride_tricks.sliding_window_view(own, length)[at[whole]]
+
+
 def framed(signal: DataFrame, length: int, step: int) -> DataFrame:
     """(utt, frame, x): frames of `length` samples, `step` apart, each as one array.
 
-    Every sample goes to the frames that hold it, and each frame is grouped from `length` rows: no task
-    holds an utterance. Frames that the signal's end cuts off are left out.
+    Frames are cut from blocks of consecutive samples, so no task holds an utterance. Frames that the signal's
+    end cuts off are left out.
     """
-    i = F.col("i")
-    first = F.greatest(F.lit(0), F.ceil((i - length + 1) / step)).cast("long")
-    last = F.floor(i / step).cast("long")
-    where = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    rows = signal.select("utt", "i", "x", F.explode(where).alias("frame"))
-    grouped = rows.groupBy("utt", "frame").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
-    return grouped.where(F.size("s") == length).select("utt", "frame", F.transform("s", lambda v: v["x"]).alias("x"))
+    size = max(length, min(SIZE, 4_000_000 * step // length))
+    return by_block(signal, 0, length, partial(_cut, length=length, step=step), "frame", matrix=True, size=size)
 
 
 def mean_of(x: Column) -> Column:
@@ -139,6 +150,8 @@ class SpectralConfig:
         return 1 << (self.length - 1).bit_length()
 
     def validate(self) -> None:
+        if self.length <= 0 or self.step <= 0:
+            raise ValueError("window and step must hold a sample at least")
         if not 0 <= self.fb_low <= self.fb_hi <= self.sample_rate / 2:
             raise ValueError("the band must lie between 0 and half the sampling rate")
         if not 0 < self.num_cep <= self.filterbank().shape[0] - (0 if self.keep_c0 else 1):
@@ -176,13 +189,16 @@ class SpectralConfig:
 
 def draws(count: int, start: int = 1) -> np.ndarray:
     """Dither draws start, start + 1, ... of one utterance."""
+    return draws_from([start], count)[0]
+
+
+def draws_from(starts: Sequence[int], count: int) -> np.ndarray:
+    """A row of draws for each start; powers of the multipliers jump to it."""
     states = []
     for modulus, multiplier, seed in GENERATORS:
-        s, out = seed * pow(multiplier, start, modulus) % modulus, np.empty(count, np.int64)
-        for k in range(count):
-            out[k] = s
-            s = s * multiplier % modulus
-        states.append(out)
+        powers = np.array(list(accumulate(range(count - 1), lambda s, _: s * multiplier % modulus, initial=1)))  # noqa: B023
+        first = np.array([seed * pow(multiplier, int(a), modulus) % modulus for a in starts], np.int64)
+        states.append(first[:, None] * powers % modulus)
     z = states[0] - GENERATORS[0][0] + states[1]
     return np.where(z < 1, z + GENERATORS[0][0] - 1, z) / GENERATORS[0][0]
 
@@ -192,7 +208,7 @@ def _cepstra(batches: Iterator[pa.RecordBatch], config: SpectralConfig) -> Itera
     for batch in batches:
         x = batch.column("x").flatten().to_numpy().reshape(-1, config.length)
         if config.dither:
-            x = x + config.dither * np.array([2 * draws(config.length, f * config.length + 1) - 1 for f in batch.column("frame").to_pylist()]).reshape(x.shape)
+            x = x + config.dither * (2 * draws_from([f * config.length + 1 for f in batch.column("frame").to_pylist()], config.length) - 1)
         x = (x - x.mean(1, keepdims=True)) * window
         e = 10 * np.log10((x * x).sum(1) + FLOOR) - 40
         power = np.abs(np.fft.rfft(x, config.transform, axis=1)) ** 2 * slope
@@ -206,7 +222,7 @@ def _cepstra(batches: Iterator[pa.RecordBatch], config: SpectralConfig) -> Itera
 def cepstra(signal: DataFrame, config: SpectralConfig) -> DataFrame:
     """(utt, frame, base, energy): dither, mean removal, window, energy, power spectrum, filterbank and cosines of each frame."""
     config.validate()
-    rows = framed(signal, config.length, config.step).withColumn("x", F.col("x").cast("array<double>"))
+    rows = framed(signal, config.length, config.step)
     return rows.select(F.col("utt").cast("long").alias("utt"), "frame", "x").mapInArrow(partial(_cepstra, config=config), "utt long, frame long, base array<double>, energy double")
 
 

@@ -8,6 +8,7 @@ from ..functions import arrays as A
 from ..operators import features as X
 from ..operators import intervals as I
 from ..operators import sad as D
+from ..sources import files
 from . import views as V
 from .signal_queries import rounded
 
@@ -97,6 +98,9 @@ QUERIES = {
     "sad_mark_durations_to_frames": lambda spark, sf_dir: D.marks_to_frames(_marks(spark, sf_dir), 10.0, _lengths(spark, sf_dir), round_duration=True),
     "sad_frames_to_marks": lambda spark, sf_dir: D.marks_text(_runs(spark, sf_dir), 10.0, F.lit("speech")),
     "sad_label_pad": lambda spark, sf_dir: D.labels_for(_lengths(spark, sf_dir), _sad(spark, sf_dir).where("frame < 60").select("utt", "frame", "sad"), sloppy=True),
+    "sad_label_lines": lambda spark, sf_dir: files.label_lines(_sad(spark, sf_dir)),
+    "segment_marks": lambda spark, sf_dir: files.segment_marks(_runs(spark, sf_dir), 10.0),
+    "segment_marks_audacity": lambda spark, sf_dir: files.segment_marks(_runs(spark, sf_dir), 10.0, audacity=True),
     "sad_string": lambda spark, sf_dir: D.speech_string(_sad(spark, sf_dir), 32),
     "sad_user_marks": lambda spark, sf_dir: D.and_user_marks(_sad(spark, sf_dir).select("utt", "frame", "sad"), _user_marks(spark, sf_dir), 10),
     "vec_algebra": lambda spark, sf_dir: _algebra(spark, sf_dir),
@@ -147,13 +151,31 @@ def _marks_sql(stop):
       SELECT utt, frame, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.utt = g.utt AND g.frame BETWEEN f.a AND f.b) THEN 1 ELSE 0 END AS sad FROM g"""
 
 
-_XTALK = f"""WITH RECURSIVE {V.BIG}, s AS (
-  SELECT utt, i, x, CASE WHEN x < 2 THEN 0 ELSE 1 END AS seen, x AS lvl, CASE WHEN x < 2 THEN NULL ELSE x + 0.002166062::DOUBLE END AS flr, 0 AS sad FROM big WHERE i = 0
-  UNION ALL SELECT b.utt, b.i, b.x, s.seen + CASE WHEN b.x < 2 THEN 0 ELSE 1 END,
-    CASE WHEN b.x < 2 THEN s.lvl WHEN s.seen = 0 THEN b.x ELSE 0.9::DOUBLE * s.lvl + 0.1::DOUBLE * b.x END,
-    CASE WHEN b.x < 2 THEN s.flr WHEN s.seen = 0 THEN b.x + 0.002166062::DOUBLE ELSE least(s.flr, 0.9::DOUBLE * s.lvl + 0.1::DOUBLE * b.x) + 0.002166062::DOUBLE END,
-    CASE WHEN b.x >= 2 AND s.seen > 0 AND b.x - least(s.flr, 0.9::DOUBLE * s.lvl + 0.1::DOUBLE * b.x) > 12 THEN 1 ELSE 0 END
-  FROM s JOIN big b ON b.utt = s.utt AND b.i = s.i + 1)"""
+def rasta_sql(source, name):
+    """The recursion as a sum over all frames before."""
+    return f"""{name}_u AS (SELECT utt, d, frame, 0.2::DOUBLE * {_at('v', 2)} + 0.1::DOUBLE * {_at('v', 1)} - 0.1::DOUBLE * {_at('v', -1)} - 0.2::DOUBLE * {_at('v', -2)} AS u,
+      0.2::DOUBLE * ({_at('v', 1)} - v) AS e FROM {source} {_W}), {name}_z AS (SELECT utt, d, frame, u FROM {name}_u UNION ALL SELECT utt, d, -1, e FROM {name}_u WHERE frame = 0),
+    {name} AS MATERIALIZED (SELECT a.utt, a.frame, a.d, sum(b.u * pow(0.98::DOUBLE, a.frame - b.frame)) AS v
+      FROM {name}_z a JOIN {name}_z b ON a.utt = b.utt AND a.d = b.d AND b.frame <= a.frame WHERE a.frame >= 0 GROUP BY ALL)"""
+
+
+def energy_sql(source, least, threshold):
+    """The detector without jumps, frame by frame."""
+    return f"""s AS (
+  SELECT utt, i, x, CASE WHEN x < {least} THEN 0 ELSE 1 END AS seen, x AS lvl, CASE WHEN x < {least} THEN NULL ELSE x + 0.002166062::DOUBLE END AS flr, 0 AS sad FROM {source} WHERE i = 0
+  UNION ALL SELECT b.utt, b.i, b.x, s.seen + CASE WHEN b.x < {least} THEN 0 ELSE 1 END,
+    CASE WHEN b.x < {least} THEN s.lvl WHEN s.seen = 0 THEN b.x ELSE 0.9::DOUBLE * s.lvl + 0.1::DOUBLE * b.x END,
+    CASE WHEN b.x < {least} THEN s.flr WHEN s.seen = 0 THEN b.x + 0.002166062::DOUBLE ELSE least(s.flr, 0.9::DOUBLE * s.lvl + 0.1::DOUBLE * b.x) + 0.002166062::DOUBLE END,
+    CASE WHEN b.x >= {least} AND s.seen > 0 AND b.x - least(s.flr, 0.9::DOUBLE * s.lvl + 0.1::DOUBLE * b.x) > {threshold} THEN 1 ELSE 0 END
+  FROM s JOIN {source} b ON b.utt = s.utt AND b.i = s.i + 1)"""
+
+
+_XTALK = f"WITH RECURSIVE {V.BIG}, {energy_sql('big', 2, 12)}"
+# Five labels that are decided and six raw ones from here on; past the end the last one repeats.
+_MEDIAN = f"""{_XTALK}, ah AS MATERIALIZED (SELECT utt, i, sad, sum(sad) OVER w + (6 - count(*) OVER w) * last_value(sad) OVER (PARTITION BY utt ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ahead
+  FROM s WINDOW w AS (PARTITION BY utt ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+md AS (SELECT utt, 4::BIGINT AS i, list(sad ORDER BY i) AS decided FROM ah WHERE i < 5 GROUP BY utt HAVING count(*) = 5
+  UNION ALL SELECT ah.utt, ah.i, list_append(md.decided[2:], CASE WHEN list_sum(md.decided) + ah.ahead > 5 THEN 1 ELSE 0 END) FROM md JOIN ah ON ah.utt = md.utt AND ah.i = md.i + 1)"""
 
 _SHIFT = f"""WITH RECURSIVE {V.BIG}, e AS (SELECT utt, i, x + CASE WHEN i < 510 THEN 2000 ELSE 200 END AS x FROM big), s AS (
   SELECT utt, i, x AS lvl, x + 0.002166062::DOUBLE AS flr, list_transform(range(10), lambda k: x) AS hist, 0 AS gaps, 0::BIGINT AS jumped, 0 AS sad FROM e WHERE i = 0
@@ -171,14 +193,15 @@ ORACLES = {
     "feat_accel": f"{_DELTA} SELECT utt, frame, CAST(d AS INTEGER) AS d, round({_slope('v')}, 5) + 0.0 AS v FROM delta {_W}",
     "feat_sdc": f"""{_L}, delta AS (SELECT utt, frame, d, {_at('v', 1)} - {_at('v', -1)} AS v FROM long WHERE d < 7 {_W})
       {' UNION ALL '.join(f"SELECT utt, frame, CAST(d + {7 * (j + 3)} AS INTEGER) AS d, round({_at('v', 3 * j)}, 5) + 0.0 AS v FROM delta {_W}" for j in range(-3, 4))}""",
-    "feat_rasta": f"""{_L}, u AS (SELECT utt, d, frame, 0.2::DOUBLE * {_at('v', 2)} + 0.1::DOUBLE * {_at('v', 1)} - 0.1::DOUBLE * {_at('v', -1)} - 0.2::DOUBLE * {_at('v', -2)} AS u,
-        0.2::DOUBLE * ({_at('v', 1)} - v) AS e FROM long {_W}), z AS (SELECT utt, d, frame, u FROM u UNION ALL SELECT utt, d, -1, e FROM u WHERE frame = 0)
-      SELECT a.utt, a.frame, CAST(a.d AS INTEGER) AS d, round(sum(b.u * pow(0.98::DOUBLE, a.frame - b.frame)), 5) + 0.0 AS v
-      FROM z a JOIN z b ON a.utt = b.utt AND a.d = b.d AND b.frame <= a.frame WHERE a.frame >= 0 GROUP BY ALL""",
+    "feat_rasta": f"{_L}, {rasta_sql('long', 'r')} SELECT utt, frame, CAST(d AS INTEGER) AS d, round(v, 5) + 0.0 AS v FROM r",
     "feat_norm": f"{_L} SELECT utt, frame, CAST(d AS INTEGER) AS d, round((v - avg(v) OVER p) / greatest(stddev_pop(v) OVER p, 1e-6), 5) + 0.0 AS v FROM long WINDOW p AS (PARTITION BY utt, d)",
     "feat_select_outfeat": f"{_DELTA} SELECT utt, frame, CAST(d AS INTEGER) AS d, round(v, 5) + 0.0 AS v FROM delta UNION ALL SELECT utt, frame, CAST(d + 64 AS INTEGER), round(v, 5) + 0.0 FROM long",
     "feat_dims": f"WITH {V.FRAMES} SELECT utt, count(*) AS n, CAST(max(len(base)) AS INTEGER) AS base_dim, CAST(2 * max(len(base)) AS INTEGER) AS total_dim, count(*) * 0.01::DOUBLE AS seconds FROM frames GROUP BY utt",
     "sad_xtalk": f"{_XTALK} SELECT utt, i AS frame, sad FROM s",
+    "sad_median": f"{_MEDIAN} SELECT utt, i AS frame, sad FROM ah WHERE i < 5 UNION ALL SELECT utt, i, decided[5] FROM md WHERE i >= 5",
+    "sad_label_lines": f"{_SAD} SELECT utt, frame, CAST(sad AS VARCHAR) AS line FROM sad",
+    "segment_marks": f"{_RUNS} SELECT utt, start, printf('int %.2f %.2f', start * 0.01::DOUBLE, stop * 0.01::DOUBLE - start * 0.01::DOUBLE) AS line FROM runs WHERE label = 1",
+    "segment_marks_audacity": f"{_RUNS} SELECT utt, start, printf('%.2f %.2f int', start * 0.01::DOUBLE, stop * 0.01::DOUBLE) AS line FROM runs WHERE label = 1",
     "sad_apply": f"{_SAD} SELECT utt, row_number() OVER (PARTITION BY utt ORDER BY frame) - 1 AS frame, round(x, 5) + 0.0 AS x FROM sad WHERE sad = 1",
     "sad_no_speech": f"{_SAD} SELECT utt, max(sad) = 0 AS no_speech FROM sad GROUP BY utt",
     "sad_marks_to_frames": _marks_sql("floor((s + d) * 1000 / 10 + 0.5)"),

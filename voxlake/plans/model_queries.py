@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embed as E
 from ..operators import gmm as G
+from ..operators import pipes as R
 from ..operators import pitch as P
 from ..operators import segment as S
 from ..operators.features import normalise
@@ -79,6 +80,20 @@ def _fixed(spark, sf_dir):
     return own.select("utt", (F.col("k") * 100).alias("start"), (F.col("k") * 100 + 100).alias("stop"))
 
 
+def _labelled(spark, sf_dir):
+    """Stretches of 300 frames, every other one speech."""
+    own = _series(spark, sf_dir).groupBy("utt", F.floor(F.col("frame") / 300).alias("k")).agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("stop"))
+    return own.select("utt", "start", "stop", F.when(F.col("k") % 2 == 0, "speech").otherwise("other").alias("label"))
+
+
+def _gsv_without(spark, sf_dir):
+    """Two directions of the supervector: constant, and alternating."""
+    model = _model(spark, sf_dir)
+    k = model.mean.size + 1
+    rows = np.stack([np.ones(k), np.where(np.arange(k) % 2, -1.0, 1.0)]) / np.sqrt(k)
+    return R.supervectors(V.frames(spark, sf_dir), {"rf": str(RELEVANCE), "do_nap": "true", "corank": 2}, model, rows)
+
+
 def _pieces(spark, sf_dir):
     own = V.signals(spark, sf_dir).withColumn("seg", F.floor(F.col("i") / 12))
     return own.groupBy("utt", "seg").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
@@ -125,6 +140,9 @@ QUERIES = {
     "bic_1d_delta": lambda spark, sf_dir: rounded(S.splits(V.signals(spark, sf_dir), 5).select("utt", "i", "bic"), "bic"),
     "bic_summary": lambda spark, sf_dir: rounded(S.summary(S.splits(V.signals(spark, sf_dir), 5), F.lit(0.0)), "mean", "deviation", "share"),
     "cluster_pair_bic": lambda spark, sf_dir: rounded(S.pair_distances(_pieces(spark, sf_dir)), "bic"),
+    "segment_speech": lambda spark, sf_dir: S.segment_intervals(_series(spark, sf_dir), _labelled(spark, sf_dir), speech_only=True),
+    "cluster_bounded": lambda spark, sf_dir: S.cluster(_fixed(spark, sf_dir), _series(spark, sf_dir), fewest=2, most=3),
+    "gsv_nap": lambda spark, sf_dir: rounded(_gsv_without(spark, sf_dir).select("utt", F.posexplode("vec").alias("d", "v")), "v", digits=4),
     "segment_bic": lambda spark, sf_dir: S.segment(_series(spark, sf_dir)),
     "cluster_bic": lambda spark, sf_dir: S.cluster(_fixed(spark, sf_dir), _series(spark, sf_dir)),
     "ncc_lag": lambda spark, sf_dir: rounded(_lagged(spark, sf_dir).select("utt", "frame", F.posexplode("c").alias("lag", "c")), "c"),
@@ -193,6 +211,12 @@ ORACLES = {
     "map_adapt": f"{_MAP} SELECT utt, CAST(mix AS INTEGER) AS mix, CAST(d AS INTEGER) AS d, round(v, 4) + 0.0 AS v FROM a",
     "gsv_expand": f"""{_MAP}, t AS (SELECT utt, sum(ec) AS total FROM e GROUP BY utt)
       SELECT utt, CAST(1 + mix * 64 + d AS INTEGER) AS d, round((v - mu) * sqrt(ec / total) / sqrt(var), 4) + 0.0 AS v FROM a JOIN t USING (utt) UNION ALL SELECT DISTINCT utt, 0, 0.0 FROM a""",
+    "gsv_nap": f"""{_MAP}, k AS (SELECT sqrt(count(*) + 1) AS root FROM m), t AS (SELECT utt, sum(ec) AS total FROM e GROUP BY utt),
+      x AS (SELECT a.utt, 1 + a.mix * 64 + a.d AS d, (a.v - a.mu) / sqrt(a.var) * exp(0.5 * m.log_w) AS x, sqrt(a.ec / t.total) * exp(-0.5 * m.log_w) AS share FROM a JOIN m ON m.mix = a.mix AND m.d = a.d JOIN t USING (utt)
+        UNION ALL SELECT DISTINCT utt, 0, 0.0, 1.0 FROM a),
+      y AS (SELECT utt, d, share, x - sum(x / root) OVER (PARTITION BY utt) / root AS x FROM x CROSS JOIN k),
+      z AS (SELECT utt, d, share, x - sum(x * CASE WHEN d % 2 = 0 THEN 1 ELSE -1 END / root) OVER (PARTITION BY utt) * CASE WHEN d % 2 = 0 THEN 1 ELSE -1 END / root AS x FROM y CROSS JOIN k)
+      SELECT utt, CAST(d AS INTEGER) AS d, round(x * share, 4) + 0.0 AS v FROM z""",
     "nap_project": f"""WITH {V.LONG}, a AS (SELECT utt, frame, d, v - sum(v / 8) OVER w / 8 AS v FROM long WINDOW w AS (PARTITION BY utt, frame)),
       b AS (SELECT utt, frame, d, v - sum(v * CASE WHEN d % 2 = 0 THEN 1 ELSE -1 END / 8) OVER w * CASE WHEN d % 2 = 0 THEN 1 ELSE -1 END / 8 AS v FROM a WINDOW w AS (PARTITION BY utt, frame))
       SELECT utt, frame, CAST(d AS INTEGER) AS d, round(v - sum(CASE WHEN d < 16 THEN v / 4 ELSE 0 END) OVER (PARTITION BY utt, frame) * CASE WHEN d < 16 THEN 0.25 ELSE 0 END, 5) + 0.0 AS v FROM b""",

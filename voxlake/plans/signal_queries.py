@@ -47,6 +47,7 @@ QUERIES = {
     "sig_updn_resample": _on(V.signals, lambda d: S.fir_up_down(d, RATE, 3, 2)),
     "resample_8k": _on(V.signals, lambda d: S.resample(d, 16000)),
     "resample_8k_rational": _on(V.signals, lambda d: S.resample(d, 44100)),
+    "resample_16k": _on(V.signals, lambda d: S.resample(d, 48000, S.TO_16K)),
     "sig_quantize_clip": lambda spark, sf_dir: S.quantize(V.signals(spark, sf_dir).withColumn("x", (F.col("x") - 60) * 300.3), clip=True),
     "sig_quantize_scale": lambda spark, sf_dir: S.quantize(S.remove_mean(V.signals(spark, sf_dir)), scale=True, truncate=True),
     "sig_slice_stride": _on(V.signals, lambda d: S.sliced(d, 5, -3, 2)),
@@ -71,6 +72,13 @@ def _conv(source, name, stride):
       CROSS JOIN {name} t LEFT JOIN {source} s ON s.utt = g.utt AND s.i = g.i - t.k * {stride} GROUP BY g.utt, g.i)"""
 
 
+def _resampled(up, down):
+    taps = S.low_pass(up, down)
+    at = f"{down} * g.i - {up} * s.i + {len(taps) // 2}"
+    return f"""{_W}, {_taps('t1', taps)}, g AS (SELECT utt, unnest(generate_series(0, {up} * max(i) // {down})) AS i FROM signals GROUP BY utt)
+      SELECT g.utt, g.i, round(sum(s.x * t.h), 5) + 0.0 AS x FROM g JOIN signals s ON s.utt = g.utt JOIN t1 t ON t.k = {at} GROUP BY g.utt, g.i"""
+
+
 _BYTES = """raw AS (SELECT doc_id AS utt, hex(encode(text)) AS h FROM documents WHERE text <> ''),
 pos AS (SELECT utt, h, unnest(generate_series(0, length(h) // 2 - 1)) AS i FROM raw),
 bytes AS (SELECT utt, i, CAST('0x' || substr(h, i * 2 + 1, 2) AS INTEGER) AS u FROM pos)"""
@@ -90,8 +98,9 @@ ORACLES = {
     "sig_updn_resample": f"""{_W}, {_taps('t1', RATE)}, g AS (SELECT utt, unnest(generate_series(0, 3 * max(i) // 2)) AS i FROM signals GROUP BY utt)
       SELECT g.utt, g.i, round(coalesce(sum(s.x * t.h), 0), 5) + 0.0 AS x FROM g
       LEFT JOIN signals s ON s.utt = g.utt AND 2 * g.i - 3 * s.i BETWEEN 0 AND 6 LEFT JOIN t1 t ON t.k = 2 * g.i - 3 * s.i GROUP BY g.utt, g.i""",
-    "resample_8k": f"""{_W}, {_taps('t1', S.low_pass(1, 2))}, g AS (SELECT utt, unnest(generate_series(0, max(i) // 2)) AS i FROM signals GROUP BY utt)
-      SELECT g.utt, g.i, round(sum(s.x * t.h), 5) + 0.0 AS x FROM g JOIN signals s ON s.utt = g.utt JOIN t1 t ON t.k = 2 * g.i - s.i + 16 GROUP BY g.utt, g.i""",
+    "resample_8k": _resampled(*S.TO_8K[16000]),
+    "resample_8k_rational": _resampled(*S.TO_8K[44100]),
+    "resample_16k": _resampled(*S.TO_16K[48000]),
     "sig_quantize_clip": f"""{_W}, q AS (SELECT utt, i, (x - 60) * 300.3::DOUBLE AS x FROM signals)
       SELECT utt, i, CAST(greatest(-32768, least(32767, sign(x) * floor(abs(x) + 0.5))) AS INTEGER) AS x FROM q""",
     "sig_quantize_scale": f"""{_W}, m AS (SELECT utt, i, x - avg(x) OVER (PARTITION BY utt) AS x FROM signals),

@@ -86,8 +86,9 @@ _BANK = f"""{_POWER}, tri AS (SELECT a.filter, b.bin, CASE WHEN b.bin < a.filter
   FROM (SELECT unnest(generate_series(0, {CONFIG.filterbank().shape[0] - 1})) AS filter) a JOIN b ON b.bin > a.filter AND b.bin < a.filter + 2 AND b.bin < 8),
 fb AS (SELECT utt, frame, filter, 10 * log10(sum(e.p * tri.w) + 1e-20) - 40 AS v FROM e JOIN tri USING (bin) GROUP BY ALL)"""
 _N = CONFIG.filterbank().shape[0]
-_CEPSTRUM = f"""{_BANK}, o AS (SELECT unnest(generate_series(1, 5)) AS k)
-  SELECT utt, frame, CAST(k - 1 AS INTEGER) AS k, round(sum(v * cos(k * (filter + 0.5) * pi() / {_N}) / {_N}), 4) + 0.0 AS v FROM fb CROSS JOIN o GROUP BY ALL"""
+CEPSTRA = f"""{_BANK}, o AS (SELECT unnest(generate_series(1, 5)) AS k),
+long AS MATERIALIZED (SELECT utt, frame, k - 1 AS d, sum(v * cos(k * (filter + 0.5) * pi() / {_N}) / {_N}) AS v FROM fb CROSS JOIN o GROUP BY ALL)"""
+_CEPSTRUM = f"{CEPSTRA} SELECT utt, frame, CAST(d AS INTEGER) AS k, round(v, 4) + 0.0 AS v FROM long"
 
 ORACLES = {
     "frame_count": f"WITH {V.SIGNALS} SELECT utt, CASE WHEN count(*) < {LENGTH} THEN 0 ELSE (count(*) - {LENGTH}) // {STEP} + 1 END AS frames FROM signals GROUP BY utt",

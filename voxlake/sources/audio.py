@@ -101,3 +101,29 @@ def encoded(signal: DataFrame, rate: int, wave: bool = True) -> DataFrame:
         return pd.DataFrame({"utt": [pdf["utt"].iloc[0]], "content": [content]})
 
     return signal.select("utt", "i", "x").groupBy("utt").applyInPandas(run, "utt long, content binary")
+
+
+def lengths(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length): bytes of each file at a path, from the listing alone."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def read_floats(spark: SparkSession, path: str) -> DataFrame:
+    """(utt, i, x) of headerless files of 32-bit floating-point samples of one channel; bytes of a cut-off last sample are left out."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                yield pd.DataFrame({"path": [name], "x": [np.frombuffer(content, "<f4", count=len(content) // 4).astype(float).tolist()]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, x array<double>")
+    return files.select(F.xxhash64("path").alias("utt"), F.posexplode("x").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+def encoded_floats(signal: DataFrame) -> DataFrame:
+    """(utt, content): each utterance's samples as 32-bit floating-point numbers without a header; a file is one utterance."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"utt": [pdf["utt"].iloc[0]], "content": [pdf.sort_values("i")["x"].to_numpy("<f4").tobytes()]})
+
+    return signal.select("utt", "i", "x").groupBy("utt").applyInPandas(run, "utt long, content binary")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.gmm import Mixture
 
@@ -69,6 +70,36 @@ def read_matrix(spark: SparkSession, path: str, columns: int, kind: str = "<f4")
     return np.frombuffer(bytes(spark.read.format("binaryFile").load(path).select("content").head()["content"]), kind).astype(float).reshape(-1, columns)
 
 
+def read_models(spark: SparkSession, config: dict) -> dict[str, Mixture]:
+    """The mixtures that a configuration names under `gmm_models`, from files in its `model_dir`."""
+    folder = config.get("model_dir", "")
+    return {name: read_mixture(spark, f"{folder}/{file}" if folder else file) for name, file in config["gmm_models"].items()}
+
+
+def vector_bytes(vectors: DataFrame, name: str = "vec", kind: str = "<f8") -> DataFrame:
+    """`vectors` with `content`: the vector's numbers as bytes without a header."""
+    schema = T.StructType([*vectors.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.assign(content=[np.asarray(v, kind).tobytes() for v in pdf[name]])
+
+    return vectors.mapInPandas(run, schema)
+
+
+def label_lines(frames: DataFrame) -> DataFrame:
+    """(utt, frame, line): one line, 0 or 1, for each frame."""
+    return frames.select("utt", "frame", F.col("sad").cast("string").alias("line"))
+
+
+def segment_marks(segments: DataFrame, step_ms: float, audacity: bool = False) -> DataFrame:
+    """(utt, start, line) of segments in frames: `int start duration`, or `start end int`, in seconds."""
+    s = step_ms / 1000
+    start, stop = F.col("start") * s, F.col("stop") * s
+    line = F.format_string("%.2f %.2f int", start, stop) if audacity else F.format_string("int %.2f %.2f", start, stop - start)
+    return segments.select("utt", "start", line.alias("line"))
+
+
 def cluster_marks(segments: DataFrame, step_ms: float, audacity: bool = False) -> DataFrame:
     """(utt, start, line) of clustered segments: `c<k> start duration`, or tab-separated `start end c<k>`."""
     s = step_ms / 1000
