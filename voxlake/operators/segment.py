@@ -134,6 +134,8 @@ def agglomerated(n: np.ndarray, s: np.ndarray, q: np.ndarray, weight: float, thr
     are left; while there are more than `most`, they are joined whatever the threshold. A segment keeps
     only its best partner among those after it and is compared in blocks, so memory grows with segments.
     """
+    if not len(n):
+        return []
     n, s, q = n.copy(), s.copy(), q.copy()
     d = s.shape[1]
 
