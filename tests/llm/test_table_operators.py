@@ -360,3 +360,14 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
         if i in rows:
             ids = tokenizer.encode(t, add_special_tokens=False).ids
             assert rows[i]["ids"] == ids and rows[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_contracted_links_connect_the_same(spark):
+    rng = np.random.default_rng(12)
+    pairs = {(int(min(p)), int(max(p))) for p in rng.integers(0, 300, (400, 2)) if p[0] != p[1]} | {(int(rng.integers(8)), k) for k in range(1000, 1200) for _ in range(12)}
+    links = spark.createDataFrame([*pairs, *list(pairs)[:50]], "a long, b long").repartition(7)
+    few = simhash.contracted(links)
+    roots = lambda df: {r["node"]: r["root"] for r in components(df).collect()}
+    assert roots(few) == roots(links) and few.where("a >= b").count() == 0
+    assert few.where("b >= 1000").count() == 200 and few.count() < len(pairs) / 2
+    assert simhash.contracted(links.where("false")).count() == 0

@@ -16,11 +16,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bitmap
-from .common import checkpointed, fresh, sliced, with_group
+from .common import checkpointed, fresh, sliced, with_group, written
 from .components import components
 
 SEED, WORDS, RADIUS = 42, 3, 3
@@ -206,7 +206,19 @@ def _linked(rows: DataFrame, prints: list[str], radius: int, part: int) -> DataF
     """(a, b) of nodes (the exclusive-or of a fingerprint's words) that share a bucket and lie within the radius."""
     cells = dealt(rows, prints, radius, part).select("bucket", "cell", F.col("count").cast("long").alias("count"), *prints)
     cells = cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "count")
-    return cells.mapInArrow(partial(_compare, radius=radius, width=len(prints)), "a long, b long")
+    return contracted(cells.mapInArrow(partial(_compare, radius=radius, width=len(prints)), "a long, b long"))
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b), a < b, that connect the same nodes.
+
+    A node gets a link from each task that it meets others in, to the least of them. It keeps the one to the
+    least of all; the others' ends, which are few and the same for many nodes, are linked with that one instead.
+    """
+    least = F.min("a").over(Window.partitionBy("b"))
+    met = written(links.distinct().withColumn("least", least))
+    others = met.where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    return met.select(F.col("least").alias("a"), "b").distinct().unionByName(others.distinct()).distinct()
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
