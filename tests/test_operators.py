@@ -232,6 +232,31 @@ def test_changes_and_clusters(spark):
     assert files.cluster_xml(flat, 10.0).head()["element"] == '<segment start="0" end="50"><model>c0</model></segment>'
 
 
+def test_predictor_solves_the_normal_equations(spark):
+    rng = np.random.default_rng(5)
+    size, apart, order = 60, 40, 6
+    xs = [rng.normal(size=size + apart), np.sin(np.arange(size + apart) * 0.3) * 900, np.zeros(size + apart)]
+    frames = spark.createDataFrame([(0, k, x.tolist()) for k, x in enumerate(xs)], "utt long, frame long, x array<double>")
+
+    def solved(x):
+        r = np.array([x[: size - d] @ x[d:] for d in range(order + 1)])
+        r[1:] /= 1 + 10**-1.5
+        full = r[np.abs(np.subtract.outer(range(order + 1), range(order + 1)))]
+        a = np.append(1.0, np.linalg.solve(full[1:, 1:], -r[1:]))
+        return a, a @ full @ a, full
+
+    own = frames.select("frame", pitch.predictor(pitch.autocorrelation(F.col("x"), size, order), order).alias("p")).orderBy("frame").collect()
+    out = pitch.stationarity(frames, size, apart, order).orderBy("frame").collect()
+    for x, row, change in zip(xs[:2], own, out, strict=False):
+        a, gain, _ = solved(x[:size])
+        _, after, full = solved(x[apart:])
+        np.testing.assert_allclose(row.p.a, a, rtol=1e-6)
+        assert np.isclose(row.p.gain, gain)
+        assert np.isclose(change.stationarity, 0.2 / (a @ full @ a / after - 0.8))
+    assert out[1].stationarity > out[0].stationarity
+    assert own[2].p.a == [1.0] + [0.0] * order and own[2].p.gain == 0 and out[2].stationarity == 0 == out[2].rms_ratio
+
+
 def test_pitch_of_a_harmonic_tone(spark):
     t = np.arange(4000) / 8000
     x = sum(np.sin(2 * np.pi * 125 * k * t) / k for k in (1, 2, 3)) * 3000

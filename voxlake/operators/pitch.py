@@ -68,6 +68,65 @@ def itakura(autocorrelation: Column, coefficients: Column, gain: Column) -> Colu
     return F.aggregate(F.zip_with(autocorrelation, coefficients, lambda r, a: r * a), F.lit(0.0), lambda s, v: s + v) / gain
 
 
+def autocorrelation(x: Column, size: int, order: int, stability: float = 30.0) -> Column:
+    """Products of `size` samples with themselves 0 to `order` later; those above 0 shrink by a stability factor in dB."""
+    shrink = 1 / (1 + 10 ** (-stability / 20))
+
+    def at(d: Column) -> Column:
+        products = F.zip_with(F.slice(x, F.lit(1), F.lit(size) - d), F.slice(x, d + 1, F.lit(size) - d), lambda p, q: p * q)
+        return F.aggregate(products, F.lit(0.0), lambda a, v: a + v) * F.when(d > 0, shrink).otherwise(1.0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(order)), at)
+
+
+def predictor(r: Column, order: int) -> Column:
+    """(a, gain) by the Levinson-Durbin recursion: coefficients, the first of which is 1, and the error that they leave.
+
+    A silent frame's other coefficients and its gain are 0.
+    """
+    zero = F.array(F.lit(0.0))
+
+    def longer(s: Column, i: Column) -> Column:
+        missed = F.aggregate(F.zip_with(s["a"], F.reverse(F.slice(r, F.lit(2), i)), lambda a, v: a * v), F.lit(0.0), lambda a, v: a + v)
+        reflection = F.when(s["gain"] > 0, -missed / s["gain"]).otherwise(0.0)
+        mixed = lambda k: F.zip_with(F.concat(s["a"], zero), F.concat(zero, F.reverse(s["a"])), lambda a, b: a + k * b)
+        bound = F.transform(F.array(reflection), lambda k: F.struct(mixed(k).alias("a"), (s["gain"] * (1 - k * k)).alias("gain")))
+        return F.get(bound, 0)
+
+    first = F.struct(F.array(F.lit(1.0)).alias("a"), F.get(r, 0).alias("gain"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(order)), first, longer)
+
+
+def predictor_products(a: Column, order: int) -> Column:
+    """What `itakura` multiplies a frame's autocorrelation with: products of coefficients, those off the diagonal twice."""
+
+    def at(d: Column) -> Column:
+        products = F.zip_with(F.slice(a, F.lit(1), F.lit(order + 1) - d), F.slice(a, d + 1, F.lit(order + 1) - d), lambda p, q: p * q)
+        return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) * F.when(d > 0, 2.0).otherwise(1.0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(order)), at)
+
+
+def stationarity(frames: DataFrame, size: int, apart: int, order: int) -> DataFrame:
+    """`frames` (utt, frame, x) with `stationarity` and `rms_ratio` between the first `size` samples of each and those `apart` later.
+
+    Frames have size + apart samples, so neighbours need no shuffle. Stationarity is 0.2 / (Itakura distance - 0.8), 1 where
+    the earlier window predicts the later one as well as its own coefficients; 0 where either is silent, as is the ratio.
+    """
+    later = F.slice("x", apart + 1, size)
+    both = frames.withColumn("before", predictor(autocorrelation(F.col("x"), size, order), order))
+    both = both.withColumn("r", autocorrelation(later, size, order)).withColumn("after", predictor(F.col("r"), order))
+    both = both.withColumn("was", windowed_rms(F.col("x"), size)).withColumn("now", windowed_rms(later, size))
+    heard = (F.col("before.gain") > 0) & (F.col("after.gain") > 0)
+    distance = itakura(F.col("r"), predictor_products(F.col("before.a"), order), F.when(heard, F.col("after.gain")))
+    return both.select(
+        "utt",
+        "frame",
+        F.coalesce(F.lit(0.2) / (distance - 0.8), F.lit(0.0)).alias("stationarity"),
+        F.when(heard & (F.col("was") > 0), F.col("now") / F.col("was")).otherwise(0.0).alias("rms_ratio"),
+    )
+
+
 def windowed_rms(x: Column, size: int) -> Column:
     """Root of the mean square under a Hann window."""
     w = F.array(*[F.lit(0.5 - 0.5 * math.cos(2 * math.pi * (k + 0.5) / size)) for k in range(size)])

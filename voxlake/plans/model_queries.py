@@ -118,6 +118,12 @@ def _itakura(spark, sf_dir):
     return rounded(own.select("utt", "frame", P.itakura(F.col("r"), a, gain).alias("distance")), "distance")
 
 
+def _predictors(spark, sf_dir):
+    own = framed(V.signals(spark, sf_dir), 32, 16).withColumn("p", P.predictor(P.autocorrelation(F.col("x"), 32, 2), 2))
+    own = own.select("utt", "frame", F.get("p.a", 1).alias("a1"), F.get("p.a", 2).alias("a2"), (F.col("p.gain") / F.aggregate("x", F.lit(1e-9), lambda s, v: s + v * v)).alias("gain"))
+    return rounded(own, "a1", "a2", "gain")
+
+
 QUERIES = {
     "gmm_train_stats": lambda spark, sf_dir: rounded(G.class_models(V.frames(spark, sf_dir)), "mean", "var", "log_w"),
     "gmm_component_logdens": lambda spark, sf_dir: rounded(_densities(spark, sf_dir).select("utt", "frame", F.posexplode("q").alias("mix", "q")), "q", digits=4),
@@ -149,6 +155,8 @@ QUERIES = {
     "peak_pick": lambda spark, sf_dir: _peaks(spark, sf_dir).select("utt", "frame", "k"),
     "parabolic_peak": lambda spark, sf_dir: rounded(_peaks(spark, sf_dir).select("utt", "frame", "k", P.refined(F.col("c"), F.col("k")).alias("r")).select("utt", "frame", "k", "r.place", "r.height"), "place", "height", digits=4),
     "itakura": _itakura,
+    "lpc": _predictors,
+    "stationarity": lambda spark, sf_dir: rounded(P.stationarity(framed(V.signals(spark, sf_dir), 48, 16), 32, 16, 2), "stationarity", "rms_ratio", digits=4),
     "pitch_rms": lambda spark, sf_dir: rounded(framed(V.signals(spark, sf_dir), 32, 16).select("utt", "frame", P.windowed_rms(F.col("x"), 32).alias("rms")), "rms"),
     "pitch_track": lambda spark, sf_dir: P.track(V.big(spark, sf_dir), 2000.0, P.PitchConfig(low=60, high=400)),
     "pipeline_full": lambda spark, sf_dir: flagship(spark, sf_dir),
@@ -198,6 +206,12 @@ c AS (SELECT a.utt, a.frame, b.k - a.k AS lag, sum(a.z * b.z) / sqrt(sum(a.z * a
 _PEAKS = f"""{_LAGS}, nb AS (SELECT *, lag(c) OVER w AS l, lead(c) OVER w AS r, max(c) OVER (PARTITION BY utt, frame) AS top FROM c WINDOW w AS (PARTITION BY utt, frame ORDER BY lag)),
 pk AS (SELECT utt, frame, CAST(lag AS INTEGER) AS k, l, c, r FROM nb WHERE l IS NOT NULL AND r IS NOT NULL AND c >= l AND c >= r AND c > 0.3 * top)"""
 
+_LPC = f"""{_NCC}, r AS (SELECT utt, frame, sum(x * x) AS r0, sqrt(sum((x * (0.5 - 0.5 * cos({2 * math.pi}::DOUBLE * (k + 0.5) / 32))) ** 2) / 32) AS rms FROM fr GROUP BY ALL),
+  s AS (SELECT a.utt, a.frame, sum(a.x * b.x) FILTER (b.k = a.k + 1) / (1 + pow(10, -1.5)) AS r1, sum(a.x * b.x) FILTER (b.k = a.k + 2) / (1 + pow(10, -1.5)) AS r2
+    FROM fr a JOIN fr b ON a.utt = b.utt AND a.frame = b.frame AND b.k BETWEEN a.k + 1 AND a.k + 2 GROUP BY ALL),
+  c AS (SELECT *, CASE WHEN r0 > 0 THEN r1 * (r2 - r0) / (r0 * r0 - r1 * r1) ELSE 0 END AS a1, CASE WHEN r0 > 0 THEN (r1 * r1 - r0 * r2) / (r0 * r0 - r1 * r1) ELSE 0 END AS a2 FROM r JOIN s USING (utt, frame)),
+  lpc AS (SELECT *, r0 + a1 * r1 + a2 * r2 AS gain FROM c)"""
+
 ORACLES = {
     "gmm_train_stats": f"{_L} SELECT mix, CAST(d AS INTEGER) AS d, round(mean, 5) + 0.0 AS mean, round(var, 5) + 0.0 AS var, round(log_w, 5) + 0.0 AS log_w FROM m",
     "gmm_component_logdens": f"{_Q} SELECT utt, frame, CAST(mix AS INTEGER) AS mix, round(q, 4) + 0.0 AS q FROM q",
@@ -237,6 +251,10 @@ ORACLES = {
       SELECT utt, frame, k, round(k + shift, 4) + 0.0 AS place, round(c + slope * shift / 2, 4) + 0.0 AS height FROM h""",
     "itakura": f"""{_NCC}, r AS (SELECT utt, frame, sum(x * x) AS r0 FROM fr GROUP BY ALL), s AS (SELECT a.utt, a.frame, sum(a.x * b.x) AS r1 FROM fr a JOIN fr b ON a.utt = b.utt AND a.frame = b.frame AND b.k = a.k + 1 GROUP BY ALL)
       SELECT utt, frame, round((r0 - 0.8::DOUBLE * r1) / (r0 - r1 * r1 / r0), 5) + 0.0 AS distance FROM r JOIN s USING (utt, frame)""",
+    "lpc": f"{_LPC} SELECT utt, frame, round(a1, 5) + 0.0 AS a1, round(a2, 5) + 0.0 AS a2, round(gain / (r0 + 1e-9), 5) + 0.0 AS gain FROM lpc",
+    "stationarity": f"""{_LPC}, pair AS (SELECT a.utt, a.frame, a.gain > 0 AND b.gain > 0 AS heard, a.rms AS was, b.rms AS now, b.gain,
+  (1 + a.a1 ** 2 + a.a2 ** 2) * b.r0 + 2 * (a.a1 + a.a1 * a.a2) * b.r1 + 2 * a.a2 * b.r2 AS err FROM lpc a JOIN lpc b ON a.utt = b.utt AND b.frame = a.frame + 1)
+SELECT utt, frame, round(CASE WHEN heard THEN 0.2 / (err / gain - 0.8) ELSE 0 END, 4) + 0.0 AS stationarity, round(CASE WHEN heard AND was > 0 THEN now / was ELSE 0 END, 4) + 0.0 AS rms_ratio FROM pair""",
     "pitch_rms": f"{_NCC} SELECT utt, frame, round(sqrt(sum((x * (0.5 - 0.5 * cos({2 * math.pi}::DOUBLE * (k + 0.5) / 32))) ** 2) / 32), 5) + 0.0 AS rms FROM fr GROUP BY ALL",
     "pipeline_full": f"""WITH {V.LONG.replace(', long AS', ', raw AS')}, long AS (SELECT utt, frame, d, (v - avg(v) OVER w) / greatest(stddev_pop(v) OVER w, 1e-6) AS v FROM raw WINDOW w AS (PARTITION BY utt, d)),
       {_Q.split('unnest(base) AS v FROM frames), ')[1]},
