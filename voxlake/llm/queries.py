@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, lm_score, pii, quality, simhash, token_counts, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, lm_score, pii, quality, simhash, token_counts, toxicity, trie
 from .common import held_out, table, text_of
 
 
@@ -127,6 +127,13 @@ FROM j
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose first turns are those of another one: h turns of conversation c - c mod 5, h being crc32(c) mod 9."""
+    own = trie.sequences(table(spark, sf_dir, "conversations"))
+    c = F.col("conv_id")
+    return trie.nodes(trie.rebuilt(own, c - c % 5, F.crc32(c.cast("string")) % 9, 8))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -138,5 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL}
