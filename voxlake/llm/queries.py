@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, lm_score, pii, quality, simhash, token_counts, toxicity, trie
+from . import bpe, chat, decontaminate, exact_dedup, lm_score, packing, pii, quality, simhash, token_counts, toxicity, trie
 from .common import held_out, table, text_of
 
 
@@ -127,6 +127,14 @@ FROM j
 """
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations whose first turns are those of another one: h turns of conversation c - c mod 5, h being crc32(c) mod 9."""
     own = trie.sequences(table(spark, sf_dir, "conversations"))
@@ -145,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_prefix_trie": op12_prefix_trie,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL}
