@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, lm_score, packing, pii, quality, simhash, token_counts, toxicity, trie
+from . import bpe, chat, collocations, decontaminate, exact_dedup, lm_score, packing, pii, quality, simhash, token_counts, toxicity, trie
 from .common import held_out, table, text_of
 
 
@@ -142,6 +142,32 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(trie.rebuilt(own, c - c % 5, F.crc32(c.cast("string")) % 9, 8))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+lists AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k + size - 1], ' '))) AS phrase
+  FROM lists, (VALUES (1), (2), (3)) AS s(size) WHERE len(w) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
+inside AS (SELECT lang, array_to_string(w[k:k + 1], ' ') AS phrase, max(a) AS top FROM c, (VALUES (1), (2)) AS s(k) WHERE size = 3 GROUP BY ALL),
+stays AS (SELECT c.* FROM c LEFT JOIN inside i ON c.size = 2 AND c.lang = i.lang AND c.phrase = i.phrase WHERE top IS NULL OR 100 * top < 50 * a),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM stays, (VALUES (1), (2)) AS s(k) WHERE k < size),
+scored AS (SELECT c.lang, c.phrase, c.a, k, h.n AS l, r.n AS r, CAST(1000000::HUGEINT * c.a * c.a // (h.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.rest),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+SELECT lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, score FROM ranked JOIN total t USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -155,5 +181,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL, "op13_collocations": OP13_SQL}
