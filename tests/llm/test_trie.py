@@ -4,11 +4,12 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from voxlake.llm import trie
-from voxlake.llm.queries import QUERIES, op12_prefix_trie
+from voxlake.llm.queries import ORACLES, op12_prefix_trie
 
 SCHEMA = "conv_id long, turn long, role string, text string, key string, seq int, id int, depth string, n int, ends int, size int, parts int"
 FILL = ("k", 1, 2, "d", 3, 4, 5, 6)
@@ -106,4 +107,8 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert found(op12_prefix_trie(spark, sf)) == brute_nodes(brute_rebuilt(brute_sequences(rows)))
-    assert QUERIES["op12_prefix_trie"] is op12_prefix_trie
+    base = duckdb.connect()
+    base.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
+    sql = base.sql(ORACLES["op12_prefix_trie"])
+    assert sql.columns == list(trie.COLUMNS)
+    assert sorted(tuple(-1 if v is None else v for v in r) for r in sql.fetchall()) == brute_nodes(brute_rebuilt(brute_sequences(rows)))

@@ -142,6 +142,28 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(trie.rebuilt(own, c - c % 5, F.crc32(c.cast("string")) % 9, 8))
 
 
+OP12_SQL = """
+WITH RECURSIVE step AS (SELECT range AS i, 0 AS k, range AS v FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8),
+own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, s, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 9 AS h FROM own, crc),
+rebuilt AS (SELECT h.conv_id, list_concat(coalesce(o.s, [])[1:h], h.s[h + 1:]) AS s FROM h LEFT JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 5),
+beginnings AS (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM rebuilt),
+node AS (SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, any_value(CASE WHEN d = 0 THEN 0 ELSE strlen(s[d].text) END) AS size,
+  coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = len(s)), '') AS ends FROM beginnings GROUP BY ALL),
+child AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+known AS (SELECT node.*, coalesce(child.n, 0) AS children FROM node LEFT JOIN child USING (p)),
+parts AS (SELECT *, unnest(range(d + 1)) AS k FROM known),
+below AS (SELECT p[1:k] AS p, sum((n - 1) * size) AS saved, count(*) FILTER (children = 0) AS leaves FROM parts GROUP BY ALL)
+SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n AS n_convs, a.children AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM known a JOIN below USING (p) LEFT JOIN node b ON a.d > 0 AND b.p = a.p[1:a.d - 1]
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -150,7 +172,8 @@ OP13_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
     unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 lists AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
 grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k + size - 1], ' '))) AS phrase
   FROM lists, (VALUES (1), (2), (3)) AS s(size) WHERE len(w) >= size),
@@ -183,4 +206,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_prefix_trie": op12_prefix_trie,
     "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL, "op13_collocations": OP13_SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL, "op12_prefix_trie": OP12_SQL, "op13_collocations": OP13_SQL}
