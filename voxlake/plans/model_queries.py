@@ -159,10 +159,19 @@ QUERIES = {
     "stationarity": lambda spark, sf_dir: rounded(P.stationarity(framed(V.signals(spark, sf_dir), 48, 16), 32, 16, 2), "stationarity", "rms_ratio", digits=4),
     "pitch_rms": lambda spark, sf_dir: rounded(framed(V.signals(spark, sf_dir), 32, 16).select("utt", "frame", P.windowed_rms(F.col("x"), 32).alias("rms")), "rms"),
     "pitch_track": lambda spark, sf_dir: P.track(V.big(spark, sf_dir), 2000.0, P.PitchConfig(low=60, high=400)),
+    "pitch_path": lambda spark, sf_dir: rounded(P.paths(_single_candidates(spark, sf_dir), 2000.0, P.PitchConfig(low=60, high=400)), "f0", "peak"),
     "pipeline_full": lambda spark, sf_dir: flagship(spark, sf_dir),
 }
 
 
+def _single_candidates(spark, sf_dir):
+    """One candidate for each frame, made from the sample's value and place, so that a frame has two choices."""
+    x, i = F.col("x"), F.col("i")
+    lag, peak = x + 20, F.lit(0.3) + (i * 7 + x) % 60 / 100
+    columns = [F.array(lag).alias("lags"), F.array(lag + 0.25).alias("places"), F.array(peak).alias("peaks"), (peak * 0.9).alias("top"), ((x % 9 + 1) / 40).alias("stationarity"), ((x % 5 + 2) / 4).alias("rms_ratio")]
+    return V.big(spark, sf_dir).select("utt", i.alias("frame"), *columns, x.alias("rms"))
+
+
 def flagship(spark, sf_dir):
     """Frames are normalised, scored under a mixture of all classes, and each is given its best class."""
     normal = normalise(V.frames(spark, sf_dir))
@@ -212,6 +221,16 @@ _LPC = f"""{_NCC}, r AS (SELECT utt, frame, sum(x * x) AS r0, sqrt(sum((x * (0.5
   c AS (SELECT *, CASE WHEN r0 > 0 THEN r1 * (r2 - r0) / (r0 * r0 - r1 * r1) ELSE 0 END AS a1, CASE WHEN r0 > 0 THEN (r1 * r1 - r0 * r2) / (r0 * r0 - r1 * r1) ELSE 0 END AS a2 FROM r JOIN s USING (utt, frame)),
   lpc AS (SELECT *, r0 + a1 * r1 + a2 * r2 AS gain FROM c)"""
 
+_PATH = f"""WITH RECURSIVE {V.BIG}, c AS (SELECT utt, i AS frame, x AS rms, x + 20 AS lag, 0.3::DOUBLE + (i * 7 + x) % 60 / 100 AS peak, (x % 9 + 1) / 40 AS sta, (x % 5 + 2) / 4 AS ratio FROM big),
+l AS (SELECT *, 1 - peak * (1 - lag * (0.3::DOUBLE / 33)) AS v, peak * 0.9::DOUBLE AS u, 0.005::DOUBLE + 0.5::DOUBLE * sta + 0.5::DOUBLE / ratio AS enter, 0.005::DOUBLE + 0.5::DOUBLE * sta + 0.5::DOUBLE * ratio AS leave,
+  ln(lag / lag(lag) OVER (PARTITION BY utt ORDER BY frame)) AS d FROM c),
+m AS (SELECT *, 2 * least(abs(d), 0.35::DOUBLE + least(abs(d + ln(2)), abs(d - ln(2)))) AS change FROM l),
+fw AS (SELECT utt, frame, v AS cv, u AS cu, true AS bv, true AS bu FROM m WHERE frame = 0
+  UNION ALL SELECT m.utt, m.frame, least(cv + change, cu + enter) + v, least(cv + leave, cu) + u, cv + change <= cu + enter, cv + leave <= cu FROM fw JOIN m ON m.utt = fw.utt AND m.frame = fw.frame + 1),
+e AS MATERIALIZED (SELECT * FROM fw),
+bw AS (SELECT utt, frame, cv <= cu AS voiced, bv, bu FROM e QUALIFY frame = max(frame) OVER (PARTITION BY utt)
+  UNION ALL SELECT e.utt, e.frame, CASE WHEN bw.voiced THEN bw.bv ELSE bw.bu END, e.bv, e.bu FROM bw JOIN e ON e.utt = bw.utt AND e.frame = bw.frame - 1)"""
+
 ORACLES = {
     "gmm_train_stats": f"{_L} SELECT mix, CAST(d AS INTEGER) AS d, round(mean, 5) + 0.0 AS mean, round(var, 5) + 0.0 AS var, round(log_w, 5) + 0.0 AS log_w FROM m",
     "gmm_component_logdens": f"{_Q} SELECT utt, frame, CAST(mix AS INTEGER) AS mix, round(q, 4) + 0.0 AS q FROM q",
@@ -256,6 +275,7 @@ ORACLES = {
   (1 + a.a1 ** 2 + a.a2 ** 2) * b.r0 + 2 * (a.a1 + a.a1 * a.a2) * b.r1 + 2 * a.a2 * b.r2 AS err FROM lpc a JOIN lpc b ON a.utt = b.utt AND b.frame = a.frame + 1)
 SELECT utt, frame, round(CASE WHEN heard THEN 0.2 / (err / gain - 0.8) ELSE 0 END, 4) + 0.0 AS stationarity, round(CASE WHEN heard AND was > 0 THEN now / was ELSE 0 END, 4) + 0.0 AS rms_ratio FROM pair""",
     "pitch_rms": f"{_NCC} SELECT utt, frame, round(sqrt(sum((x * (0.5 - 0.5 * cos({2 * math.pi}::DOUBLE * (k + 0.5) / 32))) ** 2) / 32), 5) + 0.0 AS rms FROM fr GROUP BY ALL",
+    "pitch_path": f"{_PATH} SELECT utt, frame, round(CASE WHEN voiced THEN 2000 / (lag + 0.25::DOUBLE) ELSE 0 END, 5) + 0.0 AS f0, round(CASE WHEN voiced THEN peak ELSE u END, 5) + 0.0 AS peak, rms FROM bw JOIN m USING (utt, frame)",
     "pipeline_full": f"""WITH {V.LONG.replace(', long AS', ', raw AS')}, long AS (SELECT utt, frame, d, (v - avg(v) OVER w) / greatest(stddev_pop(v) OVER w, 1e-6) AS v FROM raw WINDOW w AS (PARTITION BY utt, d)),
       {_Q.split('unnest(base) AS v FROM frames), ')[1]},
       b AS (SELECT utt, frame, mix FROM q QUALIFY row_number() OVER (PARTITION BY utt, frame ORDER BY q DESC, mix) = 1)
