@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +37,72 @@ def splits(signal: DataFrame, margin: int) -> DataFrame:
     return run.select("utt", "i", "n", "n1", t2.alias("t2"), bic.alias("bic"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of vectors, which come in order: (utt, block, first, n, sums, products, x)."""
+    key, held = None, []
+
+    def row() -> pa.RecordBatch:
+        frame, x = np.concatenate([f for f, _ in held]), np.concatenate([v for _, v in held])
+        lists = {"sums": x.sum(0), "products": (x.T @ x).ravel(), "x": x.ravel()}
+        numbers = {"utt": int(key[0]), "block": int(key[1]), "first": int(frame[0]), "n": len(x)}
+        return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in numbers.items()} | {k: pa.array([v], pa.list_(pa.float64())) for k, v in lists.items()})
+
+    for batch in batches:
+        utt, block, frame = (batch.column(c).to_numpy() for c in ("utt", "block", "frame"))
+        x = np.asarray(batch.column("base").flatten(), float).reshape(len(utt), -1) if len(utt) else None
+        cuts = [0, *(np.flatnonzero((utt[1:] != utt[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(utt)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and key != (utt[a], block[a]):
+                yield row()
+                held = []
+            key = utt[a], block[a]
+            held.append((frame[a:b], x[a:b]))
+    if held:
+        yield row()
+
+
+def _block_splits(batches: Iterator[pa.RecordBatch], margin: int) -> Iterator[pa.RecordBatch]:
+    """T2 of each split in a block, by what is before the block (count, sums) and the whole (count, sums, products)."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            whole, before = np.array(row["whole"]), np.array(row["before"])
+            d = len(before) - 1
+            n, total, products = whole[0], whole[1 : 1 + d], whole[1 + d :].reshape(d, d)
+            x = np.array(row["x"]).reshape(-1, d)
+            n1 = before[0] + np.arange(len(x))
+            sums = before[1:] + np.concatenate([np.zeros((1, d)), np.cumsum(x, axis=0)[:-1]])
+            at = np.flatnonzero((n1 >= margin) & (n - n1 >= margin))
+            if not len(at):
+                continue
+            inverse = inverted(products / n - np.outer(total / n, total / n))
+            n1, sums = n1[at], sums[at]
+            gap = sums / n1[:, None] - (total - sums) / (n - n1)[:, None]
+            t2 = np.einsum("ij,ij->i", gap @ inverse, gap) * (n1 * (n - n1) / n)
+            longs = [np.full(len(at), row["utt"]), row["first"] + at, np.full(len(at), int(n)), n1]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int64)) for v in longs), pa.array(t2)], names=["utt", "i", "n", "n1", "t2"])
+
+
+def vector_splits(frames: DataFrame, margin: int, size: int = 4_096) -> DataFrame:
+    """(utt, i, n, n1, t2): Hotelling's statistic of each split of an utterance's vectors, the part before frame i and the rest.
+
+    Sums run in two levels, inside blocks of `size` frames and over the blocks' sums, so no task holds an utterance.
+    """
+    own = frames.select(F.col("utt").cast("long").alias("utt"), F.col("frame").cast("long").alias("frame"), F.col("base").cast("array<double>").alias("base"))
+    own = own.withColumn("block", F.floor(F.col("frame") / size)).repartition("utt", "block").sortWithinPartitions("utt", "block", "frame")
+    packed = own.mapInArrow(_blocks, "utt long, block long, first long, n long, sums array<double>, products array<double>, x array<double>")
+    listed = lambda: F.array_sort(F.collect_list(F.struct("k", "v")))["v"]
+    count = F.array(F.col("n").cast("double"))
+    whole = packed.select("utt", F.posexplode(F.concat(count, "sums", "products")).alias("k", "v")).groupBy("utt", "k").agg(F.sum("v").alias("v"))
+    whole = whole.groupBy("utt").agg(listed().alias("whole"))
+    earlier = Window.partitionBy("utt", "k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = packed.select("utt", "block", F.posexplode(F.concat(count, "sums")).alias("k", "v"))
+    before = before.withColumn("v", F.coalesce(F.sum("v").over(earlier), F.lit(0.0))).groupBy("utt", "block").agg(listed().alias("before"))
+    rows = packed.select("utt", "block", "first", "x").join(before, ["utt", "block"]).join(whole, "utt")
+    return rows.mapInArrow(partial(_block_splits, margin=margin), "utt long, i long, n long, n1 long, t2 double")
+
+
 def best_split(found: DataFrame, by: str) -> DataFrame:
     """(utt, i, value): the first of the largest values."""
     best = found.groupBy("utt").agg(F.max(F.struct(F.col(by).alias("value"), (-F.col("i")).alias("i"))).alias("b"))
@@ -64,61 +135,185 @@ def _stats(x: np.ndarray) -> tuple:
     return len(x), x.sum(0), x.T @ x
 
 
-def change_points(x: np.ndarray, smallest: int, largest: int, margin: int, step: int, weight: float, threshold: float) -> list[int]:
-    """Boundaries of one utterance's frames: a window grows until its best split is a change, or is split when it is full."""
-    found, start, stop = [], 0, smallest
-    while start + smallest <= len(x):
-        stop = min(max(stop, start + smallest), len(x))
-        y = x[start:stop]
-        n = len(y)
-        c = np.linalg.pinv(np.cov(y.T, bias=True).reshape(y.shape[1], -1) + LAMBDA * np.eye(y.shape[1]))
-        at = np.arange(margin, n - margin)
-        if len(at):
-            run = np.cumsum(y, 0)
-            gap = run[at - 1] / at[:, None] - (run[-1] - run[at - 1]) / (n - at)[:, None]
-            t2 = at * (n - at) / n * np.einsum("ij,jk,ik->i", gap, c, gap)
-            k = int(at[t2.argmax()])
-            if delta_bic(_stats(y[:k]), _stats(y[k:]), weight) > threshold or n >= largest:
-                found.append(start + k)
-                start, stop = start + k, start + k + smallest
-                continue
-        if stop == len(x):
-            break
-        stop += step
-    return found
+@dataclass(frozen=True)
+class ChangeRule:
+    """How changes are searched: frames first looked at beyond the least segment, the longest and least segment, growth, weight and threshold of the criterion."""
 
+    first: int = 100
+    largest: int = 500
+    smallest: int = 25
+    growth: int = 50
+    weight: float = 1.0
+    threshold: float = 0.0
 
-def segment(frames: DataFrame, smallest: int = 100, largest: int = 500, margin: int = 25, step: int = 50, weight: float = 1.0, threshold: float = 0.0) -> DataFrame:
-    """(utt, start, stop): stretches of each utterance between changes; the search runs along its frames."""
+    def __post_init__(self):
+        if min(self.first, self.largest, self.smallest, self.growth) < 1:
+            raise ValueError("the sizes of a change search must be positive")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        x = np.array(pdf["base"].tolist(), float)
-        cuts = [0, *change_points(x, smallest, largest, margin, step, weight, threshold), len(x)]
-        return pd.DataFrame({"utt": pdf["utt"].iloc[0], "start": cuts[:-1], "stop": cuts[1:]})
 
-    return frames.select("utt", "frame", "base").groupBy("utt").applyInPandas(run, "utt long, start long, stop long")
+class ChangeSearch:
+    """The search along one stretch of frames, which come in parts; it holds only those since the last change.
+
+    A window from the stretch's start (or the last change) ends `smallest` + `first` frames on, and grows. Its split with the
+    largest T2, at least `smallest` frames in, is a change if the criterion exceeds the threshold; a window that
+    would pass `largest` frames is cut there. No change is made that leaves fewer than `smallest` frames
+    after it. Sums of vectors and of their products follow the window, so a frame is added to them once.
+    """
+
+    def __init__(self, rule: ChangeRule):
+        self.rule, self.held, self.base = rule, None, 0
+        self._restart(0)
+
+    def _restart(self, start: int) -> None:
+        """A new window from a position of the stretch."""
+        if self.held is not None:
+            self.held = self.held[start - self.base :]
+        self.base, self.stop = start, start + self.rule.smallest + self.rule.first
+        self.summed, self.sums, self.products = 0, None, None
+
+    def push(self, frames: np.ndarray) -> list[int]:
+        """Last frames of the segments that end, counted from the stretch's start, as far as the frames so far tell."""
+        self.held = frames if self.held is None else np.concatenate([self.held, frames])
+        return self._search(None)
+
+    def finish(self) -> list[int]:
+        return self._search(self.base + len(self.held) - 1) if self.held is not None else []
+
+    def _grow(self, n: int) -> None:
+        """Running sums of the window's first n vectors, and the sum of their products."""
+        more = self.held[self.summed : n]
+        run = np.cumsum(more, axis=0)
+        if self.sums is None:
+            self.sums, self.products = run, more.T @ more
+        else:
+            self.sums, self.products = np.concatenate([self.sums, self.sums[-1] + run]), self.products + more.T @ more
+        self.summed = n
+
+    def _best(self) -> int:
+        """The window's split with the largest T2: the first part's last frame, from the window's start."""
+        n = self.summed
+        mean = self.sums[-1] / n
+        inverse = inverted(self.products / n - np.outer(mean, mean))
+        at = np.arange(self.rule.smallest, n - 1)
+        before = self.sums[at]
+        n1 = (at + 1.0)[:, None]
+        gap = before / n1 - (self.sums[-1] - before) / (n - n1)
+        return int(at[(np.einsum("ij,ij->i", gap @ inverse, gap) * (n1[:, 0] * (n - n1[:, 0]) / n)).argmax()])
+
+    def _search(self, end: int | None) -> list[int]:
+        """`end` is the stretch's last frame, once it is known; before that only windows are looked at that it can't touch."""
+        rule, found = self.rule, []
+        while True:
+            known = self.base + len(self.held) - 1
+            if end is None and known < self.stop + rule.growth + rule.smallest or end is not None and self.stop > end:
+                return found
+            self._grow(self.stop - self.base + 1)
+            k = self._best()
+            if end is not None and end - (self.base + k) < rule.smallest:
+                self.stop = end + 1
+                return found
+            y = self.held[: self.summed]
+            if delta_bic(_stats(y[: k + 1]), _stats(y[k + 1 :]), rule.weight) > rule.threshold:
+                found.append(self.base + k)
+                self._restart(self.base + k + 1)
+                continue
+            self.stop += rule.growth
+            if self.stop - self.base + 1 > rule.largest:
+                at = self.base + rule.largest
+                if end is not None and end - at < rule.smallest:
+                    self.stop = end + 1
+                    return found
+                found.append(at)
+                self._restart(at + 1)
+
+
+def inverted(c: np.ndarray) -> np.ndarray:
+    """The inverse of a covariance with a little on its diagonal; of a singular one, with more."""
+    lift = LAMBDA
+    while True:
+        try:
+            np.linalg.cholesky(c + lift * np.eye(len(c)))
+            return np.linalg.inv(c + lift * np.eye(len(c)))
+        except np.linalg.LinAlgError:
+            lift *= 10
+
+
+def change_points(x: np.ndarray, rule: ChangeRule = ChangeRule()) -> list[int]:
+    """The last frame of each segment of a stretch but the last one."""
+    own = ChangeSearch(rule)
+    return own.push(x) + own.finish() if len(x) else []
+
+
+def _cut(batches: Iterator[pa.RecordBatch], rule: ChangeRule, keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Segments of stretches of frames that come in order; a stretch is what shares `keys`."""
+    key = search = None
+    at, seen, made = 0, 0, []
+
+    def ended(found: list[int]) -> None:
+        nonlocal at
+        for k in found:
+            made.append((*key, at, key_start + k + 1))
+            at = key_start + k + 1
+
+    key_start = 0
+    for batch in batches:
+        frames = batch.column("frame").to_numpy()
+        base = batch.column("base")
+        x = np.asarray(base.flatten(), float).reshape(len(frames), -1) if len(frames) else np.zeros((0, 0))
+        columns = [batch.column(c).to_pylist() for c in keys]
+        rows = list(zip(*columns, strict=True))
+        cuts = [0, *(k for k in range(1, len(rows)) if rows[k] != rows[k - 1]), len(rows)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if search is None or rows[a] != key:
+                if search is not None:
+                    ended(search.finish())
+                    made.append((*key, at, key_start + seen))
+                key, search, key_start, seen = rows[a], ChangeSearch(rule), int(frames[a]), 0
+                at = key_start
+            for start in range(a, b, 1_000):
+                part = x[start : min(b, start + 1_000)]
+                seen += len(part)
+                ended(search.push(part))
+        if len(made) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+            made = []
+    if search is not None:
+        ended(search.finish())
+        made.append((*key, at, key_start + seen))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+
+
+def segment(frames: DataFrame, rule: ChangeRule = ChangeRule()) -> DataFrame:
+    """(utt, start, stop): stretches of each utterance's consecutive frames between changes; see `ChangeSearch`.
+
+    An utterance's frames pass through a task in order, and only those of the open window stay there.
+    """
+    own = frames.select(F.col("utt").cast("long").alias("utt"), F.col("frame").cast("long").alias("frame"), F.col("base").cast("array<double>").alias("base"))
+    own = own.repartition("utt").sortWithinPartitions("utt", "frame")
+    schema = pa.schema([("utt", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    return own.mapInArrow(partial(_cut, rule=rule, keys=["utt"], schema=schema), "utt long, start long, stop long")
 
 
-def segment_intervals(frames: DataFrame, intervals: DataFrame, speech_only: bool = False, smallest: int = 100, largest: int = 500, margin: int = 25, step: int = 50, weight: float = 1.0, threshold: float = 0.0) -> DataFrame:
+def segment_intervals(frames: DataFrame, intervals: DataFrame, speech_only: bool = False, rule: ChangeRule = ChangeRule()) -> DataFrame:
     """(utt, start, stop, label): intervals (utt, start, stop, label) of frames, each cut at the changes inside it.
 
-    With `speech_only` intervals with another label than `speech` stay whole; so do those of fewer than `margin`
-    frames, and those without frames. One group is one interval.
+    With `speech_only` intervals with another label than `speech` stay whole; so do those of fewer than `smallest`
+    frames, and those without frames. An interval's frames pass through a task in order.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        first, last, label = int(pdf["start"].iloc[0]), int(pdf["stop"].iloc[0]), pdf["label"].iloc[0]
-        found = change_points(np.array(pdf["base"].tolist(), float), smallest, largest, margin, step, weight, threshold)
-        cuts = [first, *(int(pdf["frame"].iloc[0]) + k for k in found), last]
-        return pd.DataFrame({"utt": pdf["utt"].iloc[0], "start": cuts[:-1], "stop": cuts[1:], "label": label})
-
-    own = intervals.select("utt", "start", "stop", F.col("label").cast("string").alias("label"))
-    wanted = (F.col("stop") - F.col("start") >= margin) & (F.col("label").eqNullSafe("speech") if speech_only else F.lit(True))
+    own = intervals.select(F.col("utt").cast("long").alias("utt"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("label").cast("string").alias("label"))
+    wanted = (F.col("stop") - F.col("start") >= rule.smallest) & (F.col("label").eqNullSafe("speech") if speech_only else F.lit(True))
     held = own.where(wanted).select("*", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("frame"))
-    rows = held.join(frames.select("utt", "frame", F.col("base").alias("base")), ["utt", "frame"])
-    cut = rows.groupBy("utt", "start", "stop", "label").applyInPandas(run, "utt long, start long, stop long, label string")
+    rows = held.join(frames.select("utt", "frame", F.col("base").cast("array<double>").alias("base")), ["utt", "frame"])
+    keys = ["utt", "start", "stop", "label"]
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "frame")
+    schema = pa.schema([("utt", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
+    cut = ordered.mapInArrow(partial(_cut, rule=rule, keys=keys, schema=schema), "utt long, start long, stop long, label string, first long, last long")
+    # The interval's own ends hold, though frames at them may lack.
+    inner = Window.partitionBy(*keys).orderBy("first")
+    cut = cut.withColumn("number", F.row_number().over(inner)).withColumn("next", F.lead("first").over(inner))
+    cut = cut.select("utt", F.when(F.col("number") == 1, F.col("start")).otherwise(F.col("first")).alias("start"), F.coalesce("next", "stop").alias("stop"), "label")
     found = rows.select("utt", "start", "stop").distinct()
     return own.join(found, ["utt", "start", "stop"], "left_anti").unionByName(cut)
 

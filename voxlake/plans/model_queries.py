@@ -75,6 +75,11 @@ def _series(spark, sf_dir):
     return own.select("utt", F.col("i").alias("frame"), F.array(F.col("x"), F.col("x") % 7, (F.col("x") * F.col("i")) % 11).alias("base"))
 
 
+def _three(spark, sf_dir):
+    """The first three numbers of each embedding."""
+    return V.frames(spark, sf_dir).select("utt", "frame", F.slice("base", 1, 3).alias("base"))
+
+
 def _fixed(spark, sf_dir):
     own = _series(spark, sf_dir).select("utt", F.floor(F.col("frame") / 100).alias("k")).distinct()
     return own.select("utt", (F.col("k") * 100).alias("start"), (F.col("k") * 100 + 100).alias("stop"))
@@ -149,6 +154,8 @@ QUERIES = {
     "segment_speech": lambda spark, sf_dir: S.segment_intervals(_series(spark, sf_dir), _labelled(spark, sf_dir), speech_only=True),
     "cluster_bounded": lambda spark, sf_dir: S.cluster(_fixed(spark, sf_dir), _series(spark, sf_dir), fewest=2, most=3),
     "gsv_nap": lambda spark, sf_dir: rounded(_gsv_without(spark, sf_dir).select("utt", F.posexplode("vec").alias("d", "v")), "v", digits=4),
+    "t2_3d_argmax": lambda spark, sf_dir: rounded(S.best_split(S.vector_splits(_three(spark, sf_dir), 5), "t2"), "value", digits=4),
+    "segment_scalar": lambda spark, sf_dir: S.segment(V.big(spark, sf_dir).select("utt", F.col("i").alias("frame"), F.array("x").alias("base"))),
     "segment_bic": lambda spark, sf_dir: S.segment(_series(spark, sf_dir)),
     "cluster_bic": lambda spark, sf_dir: S.cluster(_fixed(spark, sf_dir), _series(spark, sf_dir)),
     "ncc_lag": lambda spark, sf_dir: rounded(_lagged(spark, sf_dir).select("utt", "frame", F.posexplode("c").alias("lag", "c")), "c"),
@@ -231,6 +238,25 @@ e AS MATERIALIZED (SELECT * FROM fw),
 bw AS (SELECT utt, frame, cv <= cu AS voiced, bv, bu FROM e QUALIFY frame = max(frame) OVER (PARTITION BY utt)
   UNION ALL SELECT e.utt, e.frame, CASE WHEN bw.voiced THEN bw.bv ELSE bw.bu END, e.bv, e.bu FROM bw JOIN e ON e.utt = bw.utt AND e.frame = bw.frame - 1)"""
 
+_THREE = f"""WITH {V.FRAMES}, v AS (SELECT utt, frame AS i, base[1] AS a, base[2] AS b, base[3] AS c FROM frames),
+r AS (SELECT utt, i, count(*) OVER w AS n1, sum(a) OVER w AS sa, sum(b) OVER w AS sb, sum(c) OVER w AS sc FROM v WINDOW w AS (PARTITION BY utt ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT utt, count(*) AS n, sum(a) AS ta, sum(b) AS tb, sum(c) AS tc, covar_pop(a, a) + 1e-6 AS aa, covar_pop(b, b) + 1e-6 AS bb, covar_pop(c, c) + 1e-6 AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc FROM v GROUP BY utt),
+g AS (SELECT r.utt, i, n, n1, n1 * (n - n1) / n::DOUBLE AS f, sa / n1 - (ta - sa) / (n - n1) AS x, sb / n1 - (tb - sb) / (n - n1) AS y, sc / n1 - (tc - sc) / (n - n1) AS z, aa, bb, cc, ab, ac, bc,
+  aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM r JOIN t USING (utt) WHERE n1 >= 5 AND n - n1 >= 5),
+k AS (SELECT utt, i, f / det * (x * x * (bb * cc - bc * bc) + y * y * (aa * cc - ac * ac) + z * z * (aa * bb - ab * ab)
+  + 2 * (x * y * (ac * bc - ab * cc) + x * z * (ab * bc - ac * bb) + y * z * (ab * ac - aa * bc))) AS t2 FROM g)"""
+_SEGMENT = f"""WITH RECURSIVE {V.BIG}, p AS MATERIALIZED (SELECT utt, i, sum(x) OVER w AS s, sum(x * x) OVER w AS q, max(i) OVER (PARTITION BY utt) AS last FROM big WINDOW w AS (PARTITION BY utt ORDER BY i)),
+step AS (SELECT utt, 0::BIGINT AS start, 125::BIGINT AS stop, NULL::BIGINT AS cut, last FROM p WHERE i = 0
+  UNION ALL SELECT utt, CASE WHEN cut IS NULL THEN start ELSE cut + 1 END, CASE WHEN ended THEN last + 1 WHEN cut IS NULL THEN stop + 50 ELSE cut + 126 END, cut, last FROM (
+    SELECT *, last - place < 25 OR bic <= 0 AND stop + 51 - start > 500 AND last - start - 500 < 25 AS ended,
+      CASE WHEN last - place < 25 THEN NULL WHEN bic > 0 THEN place WHEN stop + 51 - start > 500 AND last - start - 500 >= 25 THEN start + 500 END AS cut FROM (
+      SELECT utt, start, stop, last, place, (n * ln(c) - n1 * ln(greatest(q1 / n1 - (s1 / n1) ** 2, 0) + 1e-6) - (n - n1) * ln(greatest((q - q1) / (n - n1) - ((s - s1) / (n - n1)) ** 2, 0) + 1e-6)) / 2 - ln(n) AS bic FROM (
+        SELECT *, s1 / n1 - (s - s1) / (n - n1) AS gap, greatest(q / n - (s / n) ** 2, 0) + 1e-6 AS c FROM (
+          SELECT w.utt, w.start, w.stop, w.last, p.i AS place, (w.stop - w.start + 1)::DOUBLE AS n, (p.i - w.start + 1)::DOUBLE AS n1, e.s - coalesce(b.s, 0) AS s, e.q - coalesce(b.q, 0) AS q, p.s - coalesce(b.s, 0) AS s1, p.q - coalesce(b.q, 0) AS q1
+          FROM step w JOIN p ON p.utt = w.utt AND p.i >= w.start + 25 AND p.i < w.stop JOIN p e ON e.utt = w.utt AND e.i = w.stop LEFT JOIN p b ON b.utt = w.utt AND b.i = w.start - 1 WHERE w.stop <= w.last))
+      QUALIFY row_number() OVER (PARTITION BY utt ORDER BY gap * gap / c * (n1 * (n - n1) / n) DESC, place) = 1))),
+starts AS (SELECT utt, 0::BIGINT AS start, last FROM p WHERE i = 0 UNION ALL SELECT utt, cut + 1, last FROM step WHERE cut IS NOT NULL)"""
+
 ORACLES = {
     "gmm_train_stats": f"{_L} SELECT mix, CAST(d AS INTEGER) AS d, round(mean, 5) + 0.0 AS mean, round(var, 5) + 0.0 AS var, round(log_w, 5) + 0.0 AS log_w FROM m",
     "gmm_component_logdens": f"{_Q} SELECT utt, frame, CAST(mix AS INTEGER) AS mix, round(q, 4) + 0.0 AS q FROM q",
@@ -275,6 +301,8 @@ ORACLES = {
   (1 + a.a1 ** 2 + a.a2 ** 2) * b.r0 + 2 * (a.a1 + a.a1 * a.a2) * b.r1 + 2 * a.a2 * b.r2 AS err FROM lpc a JOIN lpc b ON a.utt = b.utt AND b.frame = a.frame + 1)
 SELECT utt, frame, round(CASE WHEN heard THEN 0.2 / (err / gain - 0.8) ELSE 0 END, 4) + 0.0 AS stationarity, round(CASE WHEN heard AND was > 0 THEN now / was ELSE 0 END, 4) + 0.0 AS rms_ratio FROM pair""",
     "pitch_rms": f"{_NCC} SELECT utt, frame, round(sqrt(sum((x * (0.5 - 0.5 * cos({2 * math.pi}::DOUBLE * (k + 0.5) / 32))) ** 2) / 32), 5) + 0.0 AS rms FROM fr GROUP BY ALL",
+    "t2_3d_argmax": f"{_THREE} SELECT utt, i, round(t2, 4) + 0.0 AS value FROM k QUALIFY row_number() OVER (PARTITION BY utt ORDER BY t2 DESC, i) = 1",
+    "segment_scalar": f"{_SEGMENT} SELECT utt, start, coalesce(lead(start) OVER (PARTITION BY utt ORDER BY start), last + 1) AS stop FROM starts",
     "pitch_path": f"{_PATH} SELECT utt, frame, round(CASE WHEN voiced THEN 2000 / (lag + 0.25::DOUBLE) ELSE 0 END, 5) + 0.0 AS f0, round(CASE WHEN voiced THEN peak ELSE u END, 5) + 0.0 AS peak, rms FROM bw JOIN m USING (utt, frame)",
     "pipeline_full": f"""WITH {V.LONG.replace(', long AS', ', raw AS')}, long AS (SELECT utt, frame, d, (v - avg(v) OVER w) / greatest(stddev_pop(v) OVER w, 1e-6) AS v FROM raw WINDOW w AS (PARTITION BY utt, d)),
       {_Q.split('unnest(base) AS v FROM frames), ')[1]},
