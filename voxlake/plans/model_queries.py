@@ -174,8 +174,9 @@ QUERIES = {
 def _single_candidates(spark, sf_dir):
     """One candidate for each frame, made from the sample's value and place, so that a frame has two choices."""
     x, i = F.col("x"), F.col("i")
-    lag, peak = x + 20, F.lit(0.3) + (i * 7 + x) % 60 / 100
-    columns = [F.array(lag).alias("lags"), F.array(lag + 0.25).alias("places"), F.array(peak).alias("peaks"), (peak * 0.9).alias("top"), ((x % 9 + 1) / 40).alias("stationarity"), ((x % 5 + 2) / 4).alias("rms_ratio")]
+    lag, peak = x % 7 + 20 + F.floor(i / 40) % 9, F.lit(0.5) + (i * 7 + x) % 50 / 100
+    top = F.lit(0.2) + F.floor(i / 20) % 2 * 0.5 + x / 250
+    columns = [F.array(lag).alias("lags"), F.array(lag + 0.25).alias("places"), F.array(peak).alias("peaks"), top.alias("top"), ((x % 9 + 1) / 40).alias("stationarity"), ((x % 5 + 2) / 4).alias("rms_ratio")]
     return V.big(spark, sf_dir).select("utt", i.alias("frame"), *columns, x.alias("rms"))
 
 
@@ -228,8 +229,8 @@ _LPC = f"""{_NCC}, r AS (SELECT utt, frame, sum(x * x) AS r0, sqrt(sum((x * (0.5
   c AS (SELECT *, CASE WHEN r0 > 0 THEN r1 * (r2 - r0) / (r0 * r0 - r1 * r1) ELSE 0 END AS a1, CASE WHEN r0 > 0 THEN (r1 * r1 - r0 * r2) / (r0 * r0 - r1 * r1) ELSE 0 END AS a2 FROM r JOIN s USING (utt, frame)),
   lpc AS (SELECT *, r0 + a1 * r1 + a2 * r2 AS gain FROM c)"""
 
-_PATH = f"""WITH RECURSIVE {V.BIG}, c AS (SELECT utt, i AS frame, x AS rms, x + 20 AS lag, 0.3::DOUBLE + (i * 7 + x) % 60 / 100 AS peak, (x % 9 + 1) / 40 AS sta, (x % 5 + 2) / 4 AS ratio FROM big),
-l AS (SELECT *, 1 - peak * (1 - lag * (0.3::DOUBLE / 33)) AS v, peak * 0.9::DOUBLE AS u, 0.005::DOUBLE + 0.5::DOUBLE * sta + 0.5::DOUBLE / ratio AS enter, 0.005::DOUBLE + 0.5::DOUBLE * sta + 0.5::DOUBLE * ratio AS leave,
+_PATH = f"""WITH RECURSIVE {V.BIG}, c AS (SELECT utt, i AS frame, x AS rms, x % 7 + 20 + i // 40 % 9 AS lag, 0.5::DOUBLE + (i * 7 + x) % 50 / 100 AS peak, 0.2::DOUBLE + i // 20 % 2 * 0.5::DOUBLE + x / 250 AS top, (x % 9 + 1) / 40 AS sta, (x % 5 + 2) / 4 AS ratio FROM big),
+l AS (SELECT *, 1 - peak * (1 - lag * (0.3::DOUBLE / 33)) AS v, top AS u, 0.005::DOUBLE + 0.5::DOUBLE * sta + 0.5::DOUBLE / ratio AS enter, 0.005::DOUBLE + 0.5::DOUBLE * sta + 0.5::DOUBLE * ratio AS leave,
   ln(lag / lag(lag) OVER (PARTITION BY utt ORDER BY frame)) AS d FROM c),
 m AS (SELECT *, 2 * least(abs(d), 0.35::DOUBLE + least(abs(d + ln(2)), abs(d - ln(2)))) AS change FROM l),
 fw AS (SELECT utt, frame, v AS cv, u AS cu, true AS bv, true AS bu FROM m WHERE frame = 0
