@@ -79,10 +79,11 @@ def read(spark: SparkSession, path: str, parse: Callable[[bytes], tuple[int, str
 
 
 def exploded(audio: DataFrame) -> DataFrame:
-    """(utt, i, x, sample_rate): one row for each sample, expanded from its companding."""
-    rows = audio.select(F.xxhash64("path", "channel").alias("utt"), "sample_rate", "coding", F.posexplode("samples").alias("i", "s"))
+    """(utt, i, x, sample_rate): one row for each sample, expanded from its companding. Blocks of a file tell by `first` where they are in it."""
+    first = F.col("first") if "first" in audio.columns else F.lit(0)
+    rows = audio.select(F.xxhash64("path", "channel").alias("utt"), "sample_rate", "coding", first.alias("first"), F.posexplode("samples").alias("i", "s"))
     x = F.when(F.col("coding") == "ulaw", g711.ulaw(F.col("s"))).when(F.col("coding") == "alaw", g711.alaw(F.col("s"))).otherwise(F.col("s"))
-    return rows.select("utt", F.col("i").cast("long").alias("i"), x.cast("double").alias("x"), "sample_rate")
+    return rows.select("utt", (F.col("first") + F.col("i")).cast("long").alias("i"), x.cast("double").alias("x"), "sample_rate")
 
 
 def wave_bytes(x: np.ndarray, rate: int) -> bytes:
