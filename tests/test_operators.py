@@ -162,6 +162,62 @@ def test_median_is_the_recursive_majority():
         assert sad.smoothed(raw, 6).tolist() == majority(raw.tolist(), 7)
 
 
+def test_majority_as_a_stream_equals_the_whole(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3, 7, 200):
+        for length in (1, 3, 7, 11):
+            raw, own = rng.integers(0, 2, n).tolist(), sad.Majority(length)
+            out = [v for v in map(own.push, raw) if v is not None] + own.finish()
+            assert out == (sad.smoothed(np.array(raw, int), length).tolist() if n else [])
+    rows = [(u, k, float(v)) for u, n in ((1, 900), (2, 3), (3, 250)) for k, v in enumerate(np.abs(rng.normal(20, 15, n)))]
+    df = spark.createDataFrame(rows, "utt long, frame long, energy double")
+    raw = {}
+    for r in sad.energy_sad(df, 5.0, 15.0).orderBy("utt", "frame").collect():
+        raw.setdefault(r["utt"], []).append(r["sad"])
+    want = [(u, k, v) for u, x in raw.items() for k, v in enumerate(sad.smoothed(np.array(x), 9).tolist())]
+    assert sorted(map(tuple, sad.energy_sad(df, 5.0, 15.0, median=8).collect())) == want
+    ends = df.groupBy("utt").agg(F.max("frame").alias("end"))
+    marked = df.join(ends, "utt").select("utt", "frame", "energy", (F.col("frame") == F.col("end")).alias("last"))
+    for part in range(3):
+        marked.where(f"floor(frame / 301) = {part}").coalesce(1).write.parquet(f"{tmp_path}/in{part}")
+    stream = spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    query = energy_sad_stream(stream, 5.0, 15.0, median=8).writeStream.format("memory").queryName("majorities").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("majorities").collect())) == want
+
+
+def test_shortfall_keeps_scores_within_its_bound(spark):
+    rng = np.random.default_rng(5)
+    background = gmm.Mixture.of(np.full(32, 1 / 32), rng.normal(size=(32, 20)) * 2, rng.uniform(0.5, 2, (32, 20)))
+    target = background.with_means(background.mean + 0.1)
+    x = rng.normal(size=(400, 20)) * 2
+    chosen = np.argsort(-background.log_density(x), axis=1)[:, :5]
+    exact = target.log_density_of(x, chosen, background)
+    for shortfall in (0.5, 10.0, 1e9):
+        q, skipped = target.log_density_within(x, chosen, shortfall, background)
+        keep = exact >= exact.max(1, keepdims=True) - shortfall / 2 - 1e-9
+        assert (np.isfinite(q) == keep).all() and np.allclose(q[keep], exact[keep])
+        lost = gmm.log_sum(exact) - gmm.log_sum(q)
+        assert (lost >= -1e-9).all() and (lost <= np.log1p(4 * np.exp(-shortfall / 2)) + 1e-9).all() and (skipped > 1000) == (shortfall < 1e9)
+        order = rng.permutation(5)
+        again, _ = target.log_density_within(x, chosen[:, order], shortfall, background)
+        assert np.allclose(gmm.log_sum(again), gmm.log_sum(q))
+    frames = frames_of(spark, x)
+    rows = {r["model"]: r for r in gmm.score_models(frames, background, {"t": target}, shortfall=10.0).collect()}
+    whole = {r["model"]: r["score"] for r in gmm.score_models(frames, background, {"t": target}).collect()}
+    assert 0 <= whole["t"] - rows["t"]["score"] <= np.log1p(4 * np.exp(-5)) and rows["background"]["score"] == pytest.approx(whole["background"])
+    assert 0.02 < rows["t"]["skipped"] < 1 and rows["background"]["skipped"] == 0
+
+
+def test_splits_in_blocks_equal_whole_windows(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=95)
+    whole = segment.splits(signal_of(spark, x), 5).orderBy("i").collect()
+    monkeypatch.setattr(segment, "SIZE", 10)
+    parts = segment.splits(signal_of(spark, x), 5).orderBy("i").collect()
+    assert [r["i"] for r in whole] == [r["i"] for r in parts] == list(range(5, 91))
+    np.testing.assert_allclose([[r["t2"], r["bic"], r["n1"]] for r in whole], [[r["t2"], r["bic"], r["n1"]] for r in parts])
+
+
 def marks(spark, rows):
     return spark.createDataFrame([(1, float(a), float(b), 1) for a, b in rows], "utt long, start double, stop double, label int")
 
@@ -221,9 +277,10 @@ def test_changes_and_clusters(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(m, 1, size=(200, 3)) for m in (0, 4, 0)])
     own = frames_of(spark, x)
-    found = segment.segment(own).orderBy("start").collect()
+    rule = segment.ChangeRule(weight=2.0)  # short windows near a stretch's end make chance changes at a weight of 1
+    found = segment.segment(own, rule).orderBy("start").collect()
     assert [r["start"] for r in found][1:] == pytest.approx([200, 400], abs=8)
-    clusters = segment.cluster(segment.segment(own), own).orderBy("start").collect()
+    clusters = segment.cluster(segment.segment(own, rule), own).orderBy("start").collect()
     assert [r["cluster"] for r in clusters] == [0, 1, 0]
     one = spark.createDataFrame([(1, 0, 600)], "utt long, start long, stop long")
     assert segment.cluster(one, own).head()["cluster"] == 0

@@ -31,17 +31,28 @@ def inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def _projected(batches: Iterator[pa.RecordBatch], rows: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column(name)
+        x = np.asarray(column.flatten(), float).reshape(-1, rows.shape[1])
+        for r in rows:
+            x = x - (x @ r)[:, None] * r
+        own = np.zeros(batch.num_rows, np.int64)
+        own[np.asarray(column.is_valid())] = rows.shape[1]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32), mask=np.append(np.asarray(column.is_null()), False))
+        new = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([new if f.name == name else batch.column(f.name) for f in batch.schema], names=batch.schema.names)
+
+
 def project_out(vectors: DataFrame, rows: list[list[float]], corank: int, name: str = "vec") -> DataFrame:
-    """Subtract the projection on each of the first `corank` rows, one after another; 0 leaves the vectors."""
+    """Subtract the projection on each of the first `corank` rows, one after another; 0 leaves the vectors. A null vector stays null.
+
+    The rows go to the tasks as one matrix, so the plan doesn't grow with them.
+    """
     if not 0 <= corank <= len(rows):
         raise ValueError("corank is larger than the projection")
-
-    def step(v: Column, row: list[float]) -> Column:
-        r = F.array(*map(F.lit, row))
-        bound = F.transform(F.array(F.struct(v.alias("v"), inner(v, r).alias("p"))), lambda s: F.zip_with(s["v"], r, lambda x, y: x - s["p"] * y))
-        return F.get(bound, F.lit(0))
-
-    return vectors.withColumn(name, reduce(step, rows[:corank], F.col(name)))
+    own = vectors.withColumn(name, F.col(name).cast("array<double>"))
+    return own.mapInArrow(partial(_projected, rows=np.asarray(rows, float)[:corank], name=name), own.schema) if corank else own
 
 
 def _without(batches: Iterator[pa.RecordBatch], model: Mixture, rows: np.ndarray) -> Iterator[pa.RecordBatch]:

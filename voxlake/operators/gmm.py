@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOG_2PI = float(np.log(2 * np.pi))
+#: Dimensions after which a Gaussian may be left.
+DIMENSIONS = 8
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,6 @@ class Mixture:
         far = (x * x) @ self.inv_var.T - 2 * x @ m.T + (self.mean * m).sum(1)
         return -0.5 * (c.log_det + x.shape[1] * LOG_2PI - 2 * c.log_weight + far)
 
-
     def log_density_of(self, x: np.ndarray, chosen: np.ndarray, constants: Mixture | None = None) -> np.ndarray:
         """As `log_density`, of the Gaussians chosen for each frame (frames x count) only."""
         c, out = constants or self, np.empty(chosen.shape)
@@ -55,6 +56,31 @@ class Mixture:
         return out
 
 
+    def log_density_within(self, x: np.ndarray, chosen: np.ndarray, shortfall: float, constants: Mixture | None = None) -> tuple[np.ndarray, int]:
+        """As `log_density_of`, -inf for Gaussians whose exponent is over `shortfall` / 2 below the frame's best; and the terms that were not computed.
+
+        A Gaussian's sum over dimensions only grows, so it is left as soon as it passes that of the first chosen one by
+        the shortfall; what remains is compared with the best. So the order of those chosen changes nothing, and a
+        frame's score loses ln(1 + (count - 1) exp(-shortfall / 2)) at most.
+        """
+        c, (n, count) = constants or self, chosen.shape
+        value = c.log_det[chosen] + x.shape[1] * LOG_2PI - 2 * c.log_weight[chosen]
+        first = chosen[:, 0]
+        value[:, 0] += ((x - self.mean[first]) ** 2 * self.inv_var[first]).sum(1)
+        row, at = np.nonzero(np.broadcast_to(np.arange(count) > 0, chosen.shape))
+        skipped = 0
+        for d in range(0, x.shape[1], DIMENSIONS):
+            part = slice(d, d + DIMENSIONS)
+            stays = value[row, at] <= value[row, 0] + shortfall
+            skipped += int((~stays).sum()) * (x.shape[1] - d)
+            value[row[~stays], at[~stays]] = np.inf
+            row, at = row[stays], at[stays]
+            k = chosen[row, at]
+            value[row, at] += ((x[row, part] - self.mean[k, part]) ** 2 * self.inv_var[k, part]).sum(1)
+        value[value > value.min(1, keepdims=True) + shortfall] = np.inf
+        return -0.5 * value, skipped
+
+
 def log_sum(q: np.ndarray) -> np.ndarray:
     top = q.max(1, keepdims=True)
     return (top + np.log(np.exp(q - top).sum(1, keepdims=True)))[:, 0]
@@ -123,28 +149,39 @@ def top_mixtures(frames: DataFrame, model: Mixture, count: int) -> DataFrame:
     return best.select("utt", "frame", F.posexplode("best").alias("rank", "b")).select("utt", "frame", "rank", "b.mix")
 
 
-def _against(batches: Iterator[pa.RecordBatch], background: Mixture, targets: dict[str, Mixture], count: int, own_constants: bool) -> Iterator[pa.RecordBatch]:
+def _against(batches: Iterator[pa.RecordBatch], background: Mixture, targets: dict[str, Mixture], count: int, own_constants: bool, shortfall: float | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         x = _matrix(batch, "base")
         q = background.log_density(x)
         best = np.argsort(-q, axis=1, kind="stable")[:, :count]
-        names, scores = ["background"], [log_sum(np.take_along_axis(q, best, 1))]
+        names, scores, skipped = ["background"], [log_sum(np.take_along_axis(q, best, 1))], [0]
         for name, model in targets.items():
             names.append(name)
-            scores.append(log_sum(model.log_density_of(x, best, None if own_constants else background)))
+            lent, left = None if own_constants else background, 0
+            if shortfall is None:
+                own = model.log_density_of(x, best, lent)
+            else:
+                own, left = model.log_density_within(x, best, shortfall, lent)
+            scores.append(log_sum(own))
+            skipped.append(left)
         utt, at = np.unique(batch.column("utt").to_numpy(), return_inverse=True)
         sums = np.stack([np.bincount(at, s, len(utt)) for s in scores])
         n = np.bincount(at, minlength=len(utt))
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(utt, len(names))), pa.array(np.repeat(names, len(utt)).tolist()), pa.array(sums.ravel()), pa.array(np.tile(n, len(names)))], names=["utt", "model", "sum", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(utt, len(names))), pa.array(np.repeat(names, len(utt)).tolist()), pa.array(sums.ravel()), pa.array(np.tile(n, len(names))), pa.array(np.repeat(np.array(skipped) / len(x), len(utt)) * np.tile(n, len(names)))], names=["utt", "model", "sum", "n", "skipped"])
+
 
+def score_models(frames: DataFrame, background: Mixture, targets: dict[str, Mixture], count: int = 5, own_constants: bool = False, shortfall: float | None = None) -> DataFrame:
+    """(utt, model, score): mean over frames under the background's `count` densest Gaussians and the same ones of each target.
 
-def score_models(frames: DataFrame, background: Mixture, targets: dict[str, Mixture], count: int = 5, own_constants: bool = False) -> DataFrame:
-    """(utt, model, score): mean over frames under the background's `count` densest Gaussians and the same ones of each target."""
-    run = partial(_against, background=background, targets=targets, count=count, own_constants=own_constants)
-    parts = frames.select("utt", "base").mapInArrow(run, "utt long, model string, sum double, n long")
-    return parts.groupBy("utt", "model").agg((F.sum("sum") / F.sum("n")).alias("score"))
+    With a `shortfall` Gaussians that far below a frame's best are left out (see `Mixture.log_density_within`), and
+    `skipped` is the share of a target's terms that were not computed, spread evenly over a batch's frames.
+    """
+    run = partial(_against, background=background, targets=targets, count=count, own_constants=own_constants, shortfall=shortfall)
+    parts = frames.select("utt", "base").mapInArrow(run, "utt long, model string, sum double, n long, skipped double")
+    share = (F.sum("skipped") / F.sum("n") / (count * background.mean.shape[1])).alias("skipped")
+    return parts.groupBy("utt", "model").agg((F.sum("sum") / F.sum("n")).alias("score"), *([] if shortfall is None else [share]))
 
 
 def _statistics(batches: Iterator[pa.RecordBatch], model: Mixture) -> Iterator[pa.RecordBatch]:

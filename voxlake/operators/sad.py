@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,34 +68,86 @@ def smoothed(raw: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], least: float, threshold: float) -> Iterator[pa.RecordBatch]:
-    utt, state = None, None
+@dataclass
+class Majority:
+    """The recursive majority of `smoothed`, label after label: it holds decided labels before the next one, and raw ones from it on.
+
+    A label comes out once half a window of raw ones after it is known; at the end the last raw one is repeated.
+    """
+
+    length: int
+    seen: int = 0
+    decided: list[int] = field(default_factory=list)
+    raw: list[int] = field(default_factory=list)
+
+    @property
+    def half(self) -> int:
+        return self.length // 2
+
+    def push(self, label: int) -> int | None:
+        """The oldest undecided label, if it can be told now."""
+        self.seen += 1
+        if self.half == 0:
+            return label
+        if self.seen <= self.half:
+            self.decided.append(label)
+            return label
+        self.raw.append(label)
+        return self._decide() if len(self.raw) > self.half else None
+
+    def _decide(self) -> int:
+        out = int(sum(self.decided) + sum(self.raw) > self.half)
+        self.raw.pop(0)
+        self.decided = [*self.decided[1:], out]
+        return out
+
+    def finish(self) -> list[int]:
+        """The labels that are still undecided."""
+        out, last = [], self.raw[-1] if self.raw else 0
+        for _ in range(len(self.raw)):
+            self.raw += [last] * (self.half + 1 - len(self.raw))
+            out.append(self._decide())
+        self.raw = []
+        return out
+
+
+def odd(length: int) -> int:
+    return length + 1 - length % 2
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], least: float, threshold: float, median: int) -> Iterator[pa.RecordBatch]:
+    utt = state = majority = None
+    waiting: deque[int] = deque()
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["utt", "frame", "sad"])
+
     for batch in batches:
-        sad = []
-        for u, e in zip(batch.column("utt").to_pylist(), batch.column("energy").to_pylist(), strict=True):
+        rows = []
+        for u, frame, e in zip(*(batch.column(c).to_pylist() for c in ("utt", "frame", "energy")), strict=True):
             if state is None or u != utt:
-                utt, state = u, EnergyState()
-            sad.append(state.step(e, least, threshold))
-        yield pa.RecordBatch.from_arrays([batch.column("utt"), batch.column("frame"), pa.array(sad, pa.int32())], names=["utt", "frame", "sad"])
+                if majority is not None:
+                    rows += [(utt, waiting.popleft(), label) for label in majority.finish()]
+                utt, state, majority = u, EnergyState(), Majority(odd(max(median, 1)))
+            waiting.append(frame)
+            label = majority.push(state.step(e, least, threshold))
+            if label is not None:
+                rows.append((u, waiting.popleft(), label))
+        yield packed(rows)
+    if majority is not None:
+        yield packed([(utt, waiting.popleft(), label) for label in majority.finish()])
 
 
 def energy_sad(frames: DataFrame, least: float, threshold: float, median: int = 1) -> DataFrame:
     """(utt, frame, sad) of (utt, frame, energy): the floor follows the energy, so an utterance's frames are taken in order.
 
-    They pass through a task as a stream with fifteen numbers of state, so no task holds an utterance. The
-    recursive majority of `median` labels needs an utterance's labels at once: one byte a frame.
+    They pass through a task as a stream, with fifteen numbers of state and a window of `median` labels for their
+    recursive majority, so no task holds an utterance.
     """
     own = frames.select(F.col("utt").cast("long").alias("utt"), F.col("frame").cast("long").alias("frame"), F.col("energy").cast("double").alias("energy"))
     own = own.repartition("utt").sortWithinPartitions("utt", "frame")
-    raw = own.mapInArrow(partial(_labelled, least=least, threshold=threshold), "utt long, frame long, sad int")
-    if median <= 1:
-        return raw
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        return pdf.assign(sad=smoothed(pdf["sad"].to_numpy(), median))
-
-    return raw.groupBy("utt").applyInPandas(run, "utt long, frame long, sad int")
+    return own.mapInArrow(partial(_labelled, least=least, threshold=threshold, median=median), "utt long, frame long, sad int")
 
 
 def marks_to_frames(marks: DataFrame, step_ms: float, lengths: DataFrame, round_duration: bool = False) -> DataFrame:

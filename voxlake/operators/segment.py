@@ -12,21 +12,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import SIZE
+
 LAMBDA = 1e-6
 
 
 def splits(signal: DataFrame, margin: int) -> DataFrame:
     """(utt, i, n, n1, t2, bic) of each split of a scalar signal, from running sums: the part before sample i and the rest.
 
-    t2 is Hotelling's statistic, bic the gain of two Gaussians over one less the price of their parameters.
+    t2 is Hotelling's statistic, bic the gain of two Gaussians over one less the price of their parameters. Sums run
+    in two levels, inside blocks and over the blocks' sums, so no window holds an utterance.
     """
-    w = Window.partitionBy("utt").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("utt")
     x = F.col("x")
-    run = signal.select(
-        "utt", "i", F.count(F.lit(1)).over(w).alias("n1"), F.sum("x").over(w).alias("s1"), F.sum(x * x).over(w).alias("q1"),
-        F.count(F.lit(1)).over(whole).alias("n"), F.sum("x").over(whole).alias("s"), F.sum(x * x).over(whole).alias("q"),
+    own = signal.select("utt", "i", "x", F.floor(F.col("i") / SIZE).alias("block"))
+    sums = own.groupBy("utt", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(x * x).alias("q"))
+    earlier, whole = Window.partitionBy("utt").orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("utt")
+    sums = sums.select(
+        "utt", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "s", "q")], *[F.sum(c).over(whole).alias(c) for c in ("n", "s", "q")]
     )
+    w = Window.partitionBy("utt", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    inside = own.select(
+        "utt", "block", "i", F.count(F.lit(1)).over(w).alias("n_in"), F.coalesce(F.sum("x").over(w), F.lit(0.0)).alias("s_in"), F.coalesce(F.sum(x * x).over(w), F.lit(0.0)).alias("q_in")
+    )
+    run = inside.join(sums, ["utt", "block"]).select("utt", "i", "n", "s", "q", *[(F.col(f"{c}_before") + F.col(f"{c}_in")).alias(f"{c}1") for c in ("n", "s", "q")])
     run = run.where((F.col("n1") >= margin) & (F.col("n") - F.col("n1") >= margin))
     var = lambda n, s, q: F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)) + LAMBDA
     n, n1, s, s1, q, q1 = (F.col(c) for c in ("n", "n1", "s", "s1", "q", "q1"))
