@@ -24,6 +24,8 @@ WHOLE, FIRST = 4, (0, 1, 2, 3)
 WINDOW, SHARE = 12, 0.75
 #: Seeds of a benchmark that are broadcast at a time (about 100 MB).
 BROADCAST_SEEDS = 2_000_000
+#: Tokens before and after a seed's first one that a window with that seed may lie on.
+AROUND = range(-7, WINDOW)
 #: ASCII other than letters and digits separates tokens.
 BREAKS = "[\\x00-/:-@\\[-`{-\\x7f]+"
 
@@ -48,6 +50,15 @@ def seeded(rows: DataFrame, found: str, short: bool = True) -> DataFrame:
     return placed.select(*rows.columns, "at", F.explode(F.array(*each)).alias("seed")).where("seed is not null")
 
 
+def surroundings(found: str, at: str) -> Column:
+    """A hash of all tokens that a window with the seed at a place may lie on, and of where the array ends among them.
+
+    Places of one array with the same seed and surroundings lead to the same windows, so one of them stands for all:
+    the first in a document, the last in an item, as of equal overlaps the one that begins first is reported.
+    """
+    return F.xxhash64(*[F.coalesce(F.get(found, F.col(at) + o), F.lit(0)) for o in AROUND])
+
+
 def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, item): token hashes of each different benchmark text, under its smallest id. Texts without tokens are left out."""
     own = benchmark.select(F.col(item_id).cast("long").alias("item_id"), tokens(text).alias("item"))
@@ -69,23 +80,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     Null texts are empty and overlap with nothing; a null doc_id is kept as null. Empty tables give no rows.
 
     Seeds of the corpus never move: those of the benchmark are broadcast, `most` at a time. Only hits are
-    shuffled, and a document meets its own hits and the tokens of their items.
+    shuffled, one for each seed and its surroundings, so repeated tokens don't multiply; a document meets its own
+    hits and the tokens of their items.
     """
     items = checkpointed(items_of(benchmark))
     n = F.size("item")
     short = not items.where(n < SPAN).isEmpty()
-    index = seeded(items.select("item_id", "item", n.alias("n")), "item", short).withColumnRenamed("at", "item_at")
+    index = seeded(items.select("item_id", "item", n.alias("n")), "item", short).withColumn("around", surroundings("item", "at")).withColumnRenamed("at", "item_at")
     # Of a long item all masks count, of a shorter one only the seed that its length is sought by.
     kinds = (F.col("n") >= SPAN) | (F.col("item_at") == 0)
-    index = checkpointed(index.where(kinds).groupBy("seed", "item_id", "n").agg(F.collect_set("item_at").alias("item_at")))
+    index = index.where(kinds).groupBy("seed", "item_id", "n", "around").agg(F.max("item_at").alias("item_at"))
+    index = checkpointed(index.groupBy("seed", "item_id", "n").agg(F.collect_set("item_at").alias("item_at")))
     blocks = -(-index.count() // max(1, most)) if most else 3
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     own = own.withColumn("row_key", row_key("doc_id", "text"))
-    placed = seeded(own.select("row_key", tokens("text").alias("found")), "found", short).select("row_key", "at", "seed")
+    placed = seeded(own.select("row_key", tokens("text").alias("found")), "found", short)
     hits = None
     for block in range(max(1, blocks)):  # as many as the benchmark's size calls for
         side = index.where(F.pmod(F.col("seed"), F.lit(blocks)) == block) if blocks > 1 else index
-        met = placed.join(F.broadcast(side), "seed").select("row_key", "item_id", "n", F.explode(F.transform("item_at", lambda q: F.col("at") - q)).alias("at"))
+        met = placed.join(F.broadcast(side.select("seed", "item_id")), "seed").select("row_key", "item_id", "seed", surroundings("found", "at").alias("around"), "at")
+        met = met.groupBy("row_key", "item_id", "seed", "around").agg(F.min("at").alias("at")).join(F.broadcast(side), ["seed", "item_id"])
+        met = met.select("row_key", "item_id", "n", F.explode(F.transform("item_at", lambda q: F.col("at") - q)).alias("at"))
         met = checkpointed(met.distinct())
         hits = met if hits is None else hits.unionByName(met)
     hits = hits.distinct() if blocks > 1 else hits
@@ -100,15 +115,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     each = each.select("doc_id", "row_key", "total", "h.item_id", "h.at", F.slice("found", F.greatest("h.at", F.lit(0)) + 1, F.col("h.n")).alias("found"))
     laid = _laid(each, items)
     need = F.when(n >= SPAN, F.ceil(F.col("window") * SHARE)).when((n >= WHOLE) | (F.col("total") == n), n)
-    return (
-        laid.withColumn("same", _same(F.col("found"), F.col("item"), F.least("at", F.lit(0))))
-        .withColumn("window", F.least(F.lit(WINDOW), n))
-        .withColumn("matched", _best(F.col("same"), F.col("window")))
-        .where(F.col("matched") >= need)
-        .groupBy("doc_id", "row_key", "item_id")
-        .agg(F.max(F.struct("matched", (-F.col("at")).alias("at"), "window")).alias("b"))
-        .select("doc_id", "item_id", "row_key", (-F.col("b.at")).alias("at"), F.col("b.matched").alias("matched"), F.col("b.window").alias("window"))
-    )
+    window = F.least(F.lit(WINDOW), n)
+    same = _same(F.col("found"), F.col("item"), F.least("at", F.lit(0)))
+    # Bound as an array of one, so that it isn't made anew for each window.
+    matched = F.get(F.transform(F.array(same), lambda own: _best(own, window)), 0)
+    need = F.when(n >= SPAN, F.ceil(window * SHARE)).when((n >= WHOLE) | (F.col("total") == n), n)
+    best = laid.select("doc_id", "row_key", "item_id", window.alias("window"), need.alias("need"), matched.alias("matched"), "at")
+    best = best.groupBy("doc_id", "row_key", "item_id", "window", "need").agg(F.max(F.struct("matched", (-F.col("at")).alias("at"))).alias("b")).where("b.matched >= need")
+    return best.select("doc_id", "item_id", "row_key", (-F.col("b.at")).alias("at"), F.col("b.matched").alias("matched"), "window")
 
 
 #: Tokens of a benchmark whose items are broadcast (64 MB at most); beyond, hits are salted by so many copies of each item.
