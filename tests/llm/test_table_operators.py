@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -371,3 +372,59 @@ def test_contracted_links_connect_the_same(spark):
     assert roots(few) == roots(links) and few.where("a >= b").count() == 0
     assert few.where("b >= 1000").count() == 200 and few.count() < len(pairs) / 2
     assert simhash.contracted(links.where("false")).count() == 0
+
+
+def test_repeated_tokens_equal_brute_force(spark):
+    """Runs, periods and tables of zeros: seeds that occur at very many places of a document and of an item."""
+    rng = random.Random(8)
+    parts = ["0 " * 40, "a b " * 25, "x y z " * 15, "0 0 1 " * 12, "one two three four five six seven eight nine ten eleven twelve thirteen", "0 " * 9, "q"]
+    noisy = lambda text: " ".join(w if rng.random() > 0.1 else "w" for w in text.split())
+    docs = [(k, " ".join(noisy(rng.choice(parts)) for _ in range(rng.randrange(1, 4)))) for k in range(60)]
+    items = [(k, t) for k, t in enumerate([*(p.strip() for p in parts), "0 " * 60 + "end", "b a " * 6, "0 0 0 0 0 0 0 0", "0 0 0 0 0", "y z x y z x y z x"])]
+    got = decontaminate.overlaps(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+
+    def aligned(x, y):
+        w = min(decontaminate.WINDOW, len(y))
+        if len(y) < decontaminate.SPAN:
+            at = [k for k in range(len(x) - len(y) + 1) if x[k : k + len(y)] == y] if len(y) >= decontaminate.WHOLE or x == y else []
+            return (len(y), -at[0]) if at else None
+        best = None
+        for at in range(1 - len(y), len(x)):
+            same = [0 <= at + q < len(x) and x[at + q] == t for q, t in enumerate(y)]
+            m = max(sum(same[s : s + w]) for s in range(len(y) - w + 1))
+            if m >= -(-w * 3 // 4):
+                best = max(best or (0, 0), (m, -at))
+        return best
+
+    want = {}
+    for i, x in docs:
+        for j, y in items:
+            found = aligned(re.findall(r"[a-z0-9]+", x.lower()), re.findall(r"[a-z0-9]+", y.lower()))
+            if found:
+                want[i, j] = (found[0], -found[1])
+    assert {(r["doc_id"], r["item_id"]): (r["matched"], r["at"]) for r in got} == want and len(want) > 100
+
+
+def test_long_runs_of_one_token_are_quick(spark):
+    docs = [(1, "0 " * 20_000), (2, "0 1 " * 10_000)]
+    items = spark.createDataFrame([(7, "0 " * 5_000), (8, "1 0 " * 2_500)], "item_id long, text string")
+    start = time.perf_counter()
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.overlaps(table(spark, docs), items).collect()}
+    assert got == {(1, 7): 12, (2, 8): 12} and time.perf_counter() - start < 60
+
+
+def test_references_are_parsed(spark):
+    schema = json.dumps({"type": "object"})
+    ids = ['a"b', "é", "back\\slash", "plain", "\ud83d\ude00"]
+    calls = [(1, k, x, "t", "{}") for k, x in enumerate(ids)]
+    forms = [
+        r'{"x": {"$ref": "a\"b"}}', r'{"x": {"$ref": "\u00e9"}}', r'{"x": [{"$ref": "back\\slash"}]}', r'{"x": {"\u0024ref": "plain"}}', r'{"x": {"$ref": "\ud83d\ude00"}}',
+        r'{"x": {"$ref": "plain", "note": 1}}', r'{"$ref": "plain"}', r'{"x": "\"$ref\": \"plain\""}', r'{"x": {"$ref": "gone"}}', r'{"x": {"$ref": "\ud800"}}', "not json $ref",
+    ]
+    calls += [(1, 10 + k, f"call{k}", "t", f) for k, f in enumerate(forms)]
+    own = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, result string")
+    rows = {r["call_id"]: r for r in chat.link(own, results, {"t": schema}).collect()}
+    got = [(rows[f"call{k}"]["level"], rows[f"call{k}"]["valid"], rows[f"call{k}"]["errors"]) for k in range(len(forms))]
+    assert got[:5] == [(1, True, "")] * 5 and got[5:8] == [(0, True, "")] * 3
+    assert got[8] == (0, False, "no call gone") and not got[9][1] and got[9][2].startswith("no call") and got[10] == (0, False, "arguments are not JSON")

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import sliced, written
 
-#: A call that uses another call's result names it so inside its arguments.
-REFERENCE = r'"\$ref"\s*:\s*"((?:[^"\\]|\\.)*)"'
 TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int,
 }
@@ -46,9 +44,38 @@ def checked(schema) -> dict:
 
 
 def _is_reference(value) -> bool:
+    """A call that uses another call's result names it so inside its arguments, by nothing but this key."""
     return isinstance(value, dict) and set(value) == {"$ref"} and isinstance(value["$ref"], str)
 
 
+def references(arguments) -> set[str]:
+    """The calls that parsed arguments refer to. The whole arguments are no reference."""
+    found, stack = set(), [x for x in (arguments.values() if isinstance(arguments, dict) else arguments if isinstance(arguments, list) else ())]
+    while stack:
+        value = stack.pop()
+        if _is_reference(value):
+            found.add(value["$ref"])
+        elif isinstance(value, dict):
+            stack += value.values()
+        elif isinstance(value, list):
+            stack += value
+    return found
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, call_id, needs) of calls; arguments that are no JSON or are nested too deep refer to nothing."""
+    for batch in sliced(batches):
+        out = []
+        for conv_id, call_id, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "call_id", "arguments")), strict=True):
+            try:
+                arguments = json.loads(text)
+                out += [(conv_id, call_id, _printable(x)) for x in references(arguments)] if _depth(arguments) <= DEEPEST else []
+            except (ValueError, RecursionError):
+                continue
+        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["conv_id", "call_id", "needs"])
+
+
 def errors_of(value, schema: dict, at: str = "$") -> list[str]:
     """What of `value` a JSON schema forbids. A reference to a call stands for any value, but not for the whole arguments."""
     if at != "$" and _is_reference(value):
@@ -217,8 +244,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, str], group: i
     for s in schemas.values():
         checked(json.loads(s))
     named = calls.where("conv_id is not null and call_id is not null")
-    needs = F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), 1)))
-    asked = named.select("conv_id", "call_id", needs.alias("needs")).distinct()
+    # A key may be written with escapes.
+    asking = named.where(F.col("arguments").contains("$ref") | F.col("arguments").contains("\\u"))
+    asking = asking.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("call_id").cast("string").alias("call_id"), "arguments")
+    asked = asking.mapInArrow(_needed, "conv_id long, call_id string, needs string").distinct()
     ids = named.select("conv_id", F.col("call_id").alias("needs")).distinct().withColumn("_there", F.lit(True))
     asked = written(asked.join(ids, ["conv_id", "needs"], "left"))
     edges, lost = asked.where("_there").select("conv_id", "call_id", "needs"), asked.where("_there is null")
