@@ -415,7 +415,7 @@ def test_long_runs_of_one_token_are_quick(spark):
 
 def test_references_are_parsed(spark):
     schema = json.dumps({"type": "object"})
-    ids = ['a"b', "é", "back\\slash", "plain", "\ud83d\ude00"]
+    ids = ['a"b', "é", "back\\slash", "plain", "\U0001f600"]
     calls = [(1, k, x, "t", "{}") for k, x in enumerate(ids)]
     forms = [
         r'{"x": {"$ref": "a\"b"}}', r'{"x": {"$ref": "\u00e9"}}', r'{"x": [{"$ref": "back\\slash"}]}', r'{"x": {"\u0024ref": "plain"}}', r'{"x": {"$ref": "\ud83d\ude00"}}',
