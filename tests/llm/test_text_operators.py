@@ -92,6 +92,28 @@ def test_token_counts_follow_edits(spark, odd):
     assert token_counts.count_edited(odd.limit(0).withColumn("edits", edits), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_kept_trees_take_one_batch_of_edits_after_another(spark, odd):
+    """Trees go out and come in as columns; a second batch of edits encodes only what it touches."""
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    split, counter = token_counts.splitter(path, pattern)
+    kept = token_counts.segment(odd, path, pattern)
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    for start, stop, new in ((2, 4, "new"), (1, 1, " x'"), (0, 3, "")):
+        edits = F.array(F.struct(F.lit(start).alias("start"), F.lit(stop).alias("stop"), F.lit(new).alias("new")))
+        kept = token_counts.edit(kept.withColumn("edits", F.when(F.col("doc_id") != 3, edits)), path, pattern)
+        assert set(odd.columns) - {"n_tokens"} <= set(kept.columns)
+        for r in kept.collect():
+            if r["doc_id"] not in (3, None):
+                t = texts[r["doc_id"]]
+                a, b = min(start, len(t)), max(min(start, len(t)), min(stop, len(t)))
+                whole = t[:a] + new + t[b:]
+                assert (r["text"] or "") == whole and r["n_tokens"] == sum(counter[p] for p in split.findall(whole))
+                assert np.frombuffer(r["piece_sizes"], "<u4").tolist() == [len(p) for p in split.findall(whole)] and r["n_pieces_encoded"] < 20
+            else:
+                assert r["n_pieces_encoded"] == 0
+        texts = {r["doc_id"]: r["text"] or "" for r in kept.collect()}
+
+
 def test_edits_encode_little():
     pattern, counter = token_counts.splitter(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     own = token_counts.CountedText("some words here " * 5_000, pattern, counter)

@@ -11,11 +11,13 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import fresh, sliced
 
 #: Characters after the end of a pre-token that its split may have looked at.
 AHEAD = 3
@@ -111,14 +113,21 @@ def leaves(node: Node | None) -> Iterator[Node]:
 
 
 class CountedText:
-    """A text with its tree; `edit` keeps both in step."""
+    """A text with its tree; `edit` keeps both in step. A tree that was kept is taken as it is."""
 
-    def __init__(self, text: str, pattern, counter: Counter):
+    def __init__(self, text: str, pattern, counter: Counter, kept: tuple[list[int], list[int]] | None = None):
         self.text, self.pattern, self.counter = text, pattern, counter
-        pieces = pattern.findall(text)
-        self.tree = built(list(map(len, pieces)), list(map(counter.__getitem__, pieces)))
+        if kept is None:
+            pieces = pattern.findall(text)
+            kept = list(map(len, pieces)), list(map(counter.__getitem__, pieces))
+        self.tree = built(*kept)
         self.encoded = 0
 
+    def kept(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each pre-token, from which `built` makes the tree again."""
+        own = list(leaves(self.tree))
+        return [s for x in own for s in x.sizes], [c for x in own for c in x.counts]
+
     @property
     def tokens(self) -> int:
         return self.tree.tokens if self.tree else 0
@@ -161,20 +170,66 @@ def splitter(path: str, pattern: str):
 ADDED = ("n_tokens", "n_tokens_edited", "n_pieces_encoded")
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, edits: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _edited(own: CountedText, changes: list | None) -> None:
+    for x in changes or ():
+        if x is not None:
+            start = x["start"] or 0
+            own.edit(start, start if x["stop"] is None else x["stop"], x["new"] or "")
+
+
+def _segment(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    split, counter = splitter(path, pattern)
+    for batch in sliced(batches):
+        sizes, counts, tokens = [], [], []
+        for t in batch.column(text).to_pylist():
+            pieces = split.findall(t or "")
+            sizes.append(np.fromiter(map(len, pieces), "<u4", len(pieces)).tobytes())
+            own = np.fromiter(map(counter.__getitem__, pieces), "<u4", len(pieces))
+            counts.append(own.tobytes())
+            tokens.append(int(own.sum()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.binary()), pa.array(counts, pa.binary()), pa.array(tokens, pa.int64())], names=names)
+
+
+#: Columns of a document's kept tree: characters and tokens of each pre-token, four bytes each, and their sum.
+TREE = ("piece_sizes", "piece_counts", "n_tokens")
+
+
+def segment(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text") -> DataFrame:
+    """`docs` with the leaves of each text's tree and their sum (TREE), to be kept with the text; see `edit`.
+
+    Null texts are empty. Columns with these names are replaced; all others pass through. One narrow stage.
+    """
+    kept = docs.select([c for c in docs.columns if c.lower() not in TREE or c == text])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, T.BinaryType()) for n in TREE[:2]), T.StructField(TREE[2], T.LongType())])
+    return kept.mapInArrow(partial(_segment, path=tokenizer, pattern=pattern, text=text, names=schema.names), schema)
+
+
+def _edit(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, edits: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     split, counter = splitter(path, pattern)
     for batch in sliced(batches):
         out = []
-        for t, changes in zip(batch.column(text).to_pylist(), batch.column(edits).to_pylist(), strict=True):
-            own = CountedText(t or "", split, counter)
-            before = own.tokens
-            for x in changes or ():
-                if x is not None:
-                    start = x["start"] or 0
-                    own.edit(start, start if x["stop"] is None else x["stop"], x["new"] or "")
-            out.append((before, own.tokens, own.encoded))
-        columns = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), (), ()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+        for t, sizes, counts, changes in zip(*(batch.column(c).to_pylist() for c in (text, *TREE[:2], edits)), strict=True):
+            if not any(x is not None for x in changes or ()):
+                out.append((t, sizes, counts, int(np.frombuffer(counts, "<u4").sum()), 0))
+                continue
+            own = CountedText(t or "", split, counter, (np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(counts, "<u4").tolist()))
+            _edited(own, changes)
+            sizes, counts = own.kept()
+            out.append((own.text, np.array(sizes, "<u4").tobytes(), np.array(counts, "<u4").tobytes(), own.tokens, own.encoded))
+        new = dict(zip((text, *TREE, "n_pieces_encoded"), (zip(*out, strict=True) if out else [()] * 5), strict=True))
+        kinds = dict(zip(new, (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(new[n], kinds[n]) if n in new else batch.column(n) for n in names], names=names)
+
+
+def edit(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", edits: str = "edits") -> DataFrame:
+    """`docs` that `segment` or this function has made, with texts and trees after their edits, and the pre-tokens encoded for them.
+
+    Edits are as in `count_edited`. A tree is built from the kept leaves, so nothing is encoded but what edits
+    touch; n_tokens counts the new text. A document without edits is passed as it is.
+    """
+    kept = docs.select([c for c in docs.columns if c.lower() != "n_pieces_encoded" or c in (text, edits)])
+    schema = T.StructType([*kept.schema.fields, T.StructField("n_pieces_encoded", T.LongType())])
+    return kept.mapInArrow(partial(_edit, path=tokenizer, pattern=pattern, text=text, edits=edits, names=schema.names), schema)
 
 
 def count_edited(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text", edits: str = "edits") -> DataFrame:
@@ -183,9 +238,10 @@ def count_edited(docs: DataFrame, tokenizer: str, pattern: str, text: str = "tex
     `edits` is an array of (start int, stop int, new string), applied in order; offsets are code points of the
     text as the edits before have left it, clipped to it. Null texts are empty, null edits and parts of them
     are no change, an insertion at 0 or nothing. Equal rows count alike. Columns with these names are
-    replaced; all others pass through. One narrow stage.
+    replaced; all others pass through. Trees are made by `segment` and edited by `edit`, in one narrow stage.
     """
-    kept = docs.select([c for c in docs.columns if c.lower() not in ADDED or c in (text, edits)])
-    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, T.LongType()) for n in ADDED)])
-    run = partial(_count, path=tokenizer, pattern=pattern, text=text, edits=edits, names=schema.names)
-    return kept.mapInArrow(run, schema)
+    own = docs.select([c for c in docs.columns if c.lower() not in (*ADDED, *TREE) or c in (text, edits)])
+    names = fresh(own.columns, "before", "edited_text")
+    made = segment(own.withColumn(names[1], F.col(text)), tokenizer, pattern, names[1]).withColumn(names[0], F.col("n_tokens"))
+    made = edit(made, tokenizer, pattern, names[1], edits)
+    return made.select(*own.columns, F.col(names[0]).alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_pieces_encoded")
