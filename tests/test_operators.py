@@ -488,7 +488,7 @@ def test_directions_are_taken_out(spark, mixture):
 
 
 def test_trials_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embed, "ENROLLED", 2)
+    monkeypatch.setattr(embed, "VALUES", 7)
     rng = np.random.default_rng(6)
     a, b = rng.normal(size=(5, 3)), rng.normal(size=(4, 3))
     enrolled = spark.createDataFrame([(f"m{k}", v.tolist()) for k, v in enumerate(a)], "model string, model_vec array<double>")

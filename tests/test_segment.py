@@ -104,3 +104,14 @@ def test_splits_of_vectors_equal_numpy(spark, monkeypatch):
     best = {r["utt"]: r["i"] for r in segment.best_split(found, "t2").collect()}
     assert best[1] == max((k for k in want if k[0] == 1), key=lambda k: want[k][2])[1] and set(best) == {1, 2}
     assert segment.vector_splits(frames.limit(0), 5).count() == 0
+
+
+def test_joining_can_bring_clusters_nearer():
+    """The criterion of a joined pair and a third cluster can be below both of theirs, so joining all reciprocal neighbours at once is not the greedy rule."""
+    rng = np.random.default_rng(0)
+    nearer = 0
+    for _ in range(50):
+        a, b, c = (segment._stats(rng.normal(size=(60, 2))) for _ in range(3))
+        joined = tuple(x + y for x, y in zip(a, b, strict=True))
+        nearer += segment.delta_bic(joined, c, 1.0) < min(segment.delta_bic(a, c, 1.0), segment.delta_bic(b, c, 1.0))
+    assert nearer > 5

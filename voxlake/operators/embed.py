@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .gmm import Mixture, map_adapt
 
-#: Enrolled models that are sent to the tests at a time.
-ENROLLED = 1024
+#: Numbers of one packed row of vectors (16 MB).
+VALUES = 2_000_000
 
 
 def supervector(statistics: DataFrame, model: Mixture, relevance: float) -> DataFrame:
@@ -110,29 +110,43 @@ def ivector(statistics: DataFrame, total: np.ndarray, model: Mixture) -> DataFra
     return packed.mapInArrow(partial(_solve, total=total, model=model), "utt long, vec array<double>")
 
 
-def _products(batches: Iterator[pa.RecordBatch], models: list, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, vector) as few rows of many: names, and their vectors one after another, `VALUES` numbers at most."""
     for batch in batches:
-        if batch.num_rows:
-            x = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), len(models)))
-            names = pa.array(models).take(pa.array(np.tile(np.arange(len(models)), batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([names, batch.column("test").take(rows), pa.array((x @ vectors.T).ravel())], names=["model", "test", "score"])
+        start = 0
+        while start < batch.num_rows:
+            width = max(1, len(batch.column(1)[start]))
+            own = batch.slice(start, max(1, VALUES // width))
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([whole(own.column(0)), whole(own.column(1).flatten())], names=names)
+            start += own.num_rows
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            models, own, tests, x = (batch.column(c)[k].values for c in ("models", "own", "tests", "x"))
+            m, n = len(models), len(tests)
+            scores = x.to_numpy().reshape(n, -1) @ own.to_numpy().reshape(m, -1).T
+            for a in range(0, n, max(1, 100_000 // m)):
+                b = min(n, a + max(1, 100_000 // m))
+                names = models.take(pa.array(np.tile(np.arange(m), b - a)))
+                yield pa.RecordBatch.from_arrays([names, tests.take(pa.array(np.repeat(np.arange(a, b), m))), pa.array(scores[a:b].ravel())], names=["model", "test", "score"])
 
 
 def trials(enrolled: DataFrame, tests: DataFrame) -> DataFrame:
     """(model, test, score): inner products of every test (test, vec) with the enrolled models (model, model_vec).
 
-    The models are a stated set and go to the tests in blocks of about `ENROLLED`, each one matrix product for a
-    batch of tests. No models give no rows.
+    The models are a stated set. Both sides are packed into rows of at most `VALUES` numbers, and each pair of such rows is
+    one matrix product in a task; nothing of either passes through the driver. No models give no rows.
     """
     kind = lambda df, name: df.schema[name].dataType.simpleString()
-    schema = f"model {kind(enrolled, 'model')}, test {kind(tests, 'test')}, score double"
+    model, test = kind(enrolled, "model"), kind(tests, "test")
     own = enrolled.select("model", F.col("model_vec").cast("array<double>").alias("v"))
     rows = tests.select("test", F.col("vec").cast("array<double>").alias("vec"))
-    blocks = -(-own.count() // ENROLLED)
-    parts = [own.where(F.pmod(F.xxhash64("model"), F.lit(blocks)) == k).toArrow() for k in range(blocks)]
-    scored = [rows.mapInArrow(partial(_products, models=p["model"].to_pylist(), vectors=np.array(p["v"].to_pylist())), schema) for p in parts if p.num_rows]
-    return reduce(DataFrame.unionByName, scored) if scored else tests.sparkSession.createDataFrame([], schema)
+    own = own.mapInArrow(partial(_packed, names=["models", "own"]), f"models array<{model}>, own array<double>")
+    rows = rows.mapInArrow(partial(_packed, names=["tests", "x"]), f"tests array<{test}>, x array<double>")
+    return rows.crossJoin(own).mapInArrow(_products, f"model {model}, test {test}, score double")
 
 
 def normalised(scores: DataFrame, cohort: DataFrame, by: str) -> DataFrame:

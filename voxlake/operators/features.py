@@ -109,6 +109,12 @@ def select_features(frames: DataFrame, which: str) -> DataFrame:
     return frames.withColumn("features", F.concat(*parts))
 
 
+def transposed(frames: DataFrame, start: int, stop: int, name: str = "features") -> DataFrame:
+    """(utt, d, values): the frames from start to stop of each utterance with their dimensions as rows. The slice is a caller's, so it is bounded."""
+    rows = frames.where((F.col("frame") >= start) & (F.col("frame") < stop)).select("utt", "frame", F.posexplode(name).alias("d", "v"))
+    return rows.groupBy("utt", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "v"))), lambda x: x["v"]).alias("values"))
+
+
 def apply_sad(frames: DataFrame) -> DataFrame:
     """Speech frames only, numbered anew; applying it again changes nothing.
 

@@ -34,6 +34,11 @@ class Mixture:
         var = np.maximum(var, 1e-6)
         return cls(np.log(weight), np.log(var).sum(1), mean, 1 / var)
 
+    @property
+    def sizes(self) -> tuple[int, int]:
+        """Gaussians, and features of each."""
+        return self.mean.shape
+
     def with_means(self, mean: np.ndarray) -> Mixture:
         return replace(self, mean=mean)
 

@@ -86,6 +86,7 @@ QUERIES = {
     "feat_rasta": lambda spark, sf_dir: _long(X.rasta(V.frames(spark, sf_dir)), "base"),
     "feat_norm": lambda spark, sf_dir: _long(X.normalise(V.frames(spark, sf_dir)), "base"),
     "feat_select_outfeat": lambda spark, sf_dir: _long(X.select_features(_deltas(spark, sf_dir), "df"), "features"),
+    "feat_transposed": lambda spark, sf_dir: rounded(X.transposed(V.frames(spark, sf_dir), 2, 6, "base").select("utt", "d", F.posexplode("values").alias("k", "v")), "v"),
     "feat_dims": lambda spark, sf_dir: _deltas(spark, sf_dir).groupBy("utt").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("base")).alias("base_dim"), F.max(F.size("base") + F.size("delta")).alias("total_dim"), (F.count(F.lit(1)) * 0.01).alias("seconds")
     ),
@@ -187,6 +188,7 @@ _SHIFT = f"""WITH RECURSIVE {V.BIG}, e AS (SELECT utt, i, x + CASE WHEN i < 510
           FROM s JOIN e ON e.utt = s.utt AND e.i = s.i + 1)))))"""
 
 ORACLES = {
+    "feat_transposed": f"WITH {V.LONG} SELECT utt, CAST(d AS INTEGER) AS d, CAST(frame - 2 AS INTEGER) AS k, round(v, 5) + 0.0 AS v FROM long WHERE frame >= 2 AND frame < 6",
     "sad_xtalk_shift": f"{_SHIFT} SELECT utt, i AS frame, sad FROM s",
     "feat_delta": f"{_DELTA} SELECT utt, frame, CAST(d AS INTEGER) AS d, round(v, 5) + 0.0 AS v FROM delta",
     "feat_delta2point": f"{_L} SELECT utt, frame, CAST(d AS INTEGER) AS d, round({_at('v', 1)} - {_at('v', -1)}, 5) + 0.0 AS v FROM long {_W}",

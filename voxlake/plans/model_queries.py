@@ -33,9 +33,9 @@ def _targets(model):
     return {name: model.with_means(model.mean + d) for name, d in SHIFT.items()}
 
 
-def _scores(spark, sf_dir):
+def _scores(spark, sf_dir, shortfall=None):
     model = _model(spark, sf_dir)
-    return G.score_models(V.frames(spark, sf_dir), model, _targets(model))
+    return G.score_models(V.frames(spark, sf_dir), model, _targets(model), shortfall=shortfall)
 
 
 def _statistics(spark, sf_dir):
@@ -137,6 +137,7 @@ QUERIES = {
     "gmm_topm": lambda spark, sf_dir: G.top_mixtures(V.frames(spark, sf_dir), _model(spark, sf_dir), 3),
     "gmm_argmax": lambda spark, sf_dir: G.top_mixtures(V.frames(spark, sf_dir), _model(spark, sf_dir), 1).select("utt", "frame", "mix"),
     "gmm_score_models": lambda spark, sf_dir: rounded(_scores(spark, sf_dir), "score", digits=4),
+    "gmm_score_shortfall": lambda spark, sf_dir: rounded(_scores(spark, sf_dir, 2.0).select("utt", "model", "score"), "score", digits=4),
     "lid_pair_decision": lambda spark, sf_dir: rounded(G.decide(_scores(spark, sf_dir), {"a": ("a_m", "a_p"), "b": ("b_m", "b_p")}), "score", digits=4),
     "suff_stats": lambda spark, sf_dir: rounded(_statistics(spark, sf_dir).select("utt", "mix", "ec", F.posexplode("f").alias("d", "f")), "ec", "f", digits=4),
     "map_adapt": lambda spark, sf_dir: rounded(G.map_adapt(_statistics(spark, sf_dir), _model(spark, sf_dir), RELEVANCE).select("utt", "mix", F.posexplode("mean").alias("d", "v")), "v", digits=4),
@@ -164,6 +165,7 @@ QUERIES = {
     "itakura": _itakura,
     "lpc": _predictors,
     "stationarity": lambda spark, sf_dir: rounded(P.stationarity(framed(V.signals(spark, sf_dir), 48, 16), 32, 16, 2), "stationarity", "rms_ratio", digits=4),
+    "pitch_window": lambda spark, sf_dir: rounded(_windowed(spark, sf_dir), "energy", digits=4),
     "pitch_rms": lambda spark, sf_dir: rounded(framed(V.signals(spark, sf_dir), 32, 16).select("utt", "frame", P.windowed_rms(F.col("x"), 32).alias("rms")), "rms"),
     "pitch_track": lambda spark, sf_dir: P.track(V.big(spark, sf_dir), 2000.0, P.PitchConfig(low=60, high=400)),
     "pitch_path": lambda spark, sf_dir: rounded(P.paths(_single_candidates(spark, sf_dir), 2000.0, P.PitchConfig(low=60, high=400)), "f0", "peak"),
@@ -171,6 +173,12 @@ QUERIES = {
 }
 
 
+def _windowed(spark, sf_dir):
+    """Energy of frames under the fourth power of a Hann window, with pre-emphasis."""
+    x = P.windowed(F.col("x"), 31, "cos4", 0.4)
+    return framed(V.signals(spark, sf_dir), 32, 16).select("utt", "frame", F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
+
+
 def _single_candidates(spark, sf_dir):
     """One candidate for each frame, made from the sample's value and place, so that a frame has two choices."""
     x, i = F.col("x"), F.col("i")
@@ -266,6 +274,8 @@ ORACLES = {
     "gmm_topm": f"{_Q} SELECT utt, frame, CAST(row_number() OVER w - 1 AS INTEGER) AS rank, CAST(mix AS INTEGER) AS mix FROM q WINDOW w AS (PARTITION BY utt, frame ORDER BY q DESC, mix) QUALIFY row_number() OVER w <= 3",
     "gmm_argmax": f"{_Q} SELECT utt, frame, CAST(mix AS INTEGER) AS mix FROM q QUALIFY row_number() OVER (PARTITION BY utt, frame ORDER BY q DESC, mix) = 1",
     "gmm_score_models": f"{_SCORES} SELECT utt, model, round(score, 4) + 0.0 AS score FROM sc",
+    "gmm_score_shortfall": f"""{_SCORES.replace('al AS (SELECT model, utt, frame, q FROM tq', 'al AS (SELECT model, utt, frame, q FROM tq QUALIFY q >= max(q) OVER (PARTITION BY model, utt, frame) - 1')}
+      SELECT utt, model, round(score, 4) + 0.0 AS score FROM sc""",
     "lid_pair_decision": f"{_SCORES} SELECT utt, split_part(model, '_', 1) AS language, round(sum(CASE WHEN model LIKE '%\\_m' ESCAPE '\\' THEN score ELSE -score END), 4) + 0.0 AS score FROM sc WHERE model <> 'background' GROUP BY ALL",
     "suff_stats": f"{_SUFF} SELECT utt, CAST(mix AS INTEGER) AS mix, round(ec, 4) + 0.0 AS ec, CAST(d AS INTEGER) AS d, round(f, 4) + 0.0 AS f FROM s JOIN e USING (utt, mix)",
     "map_adapt": f"{_MAP} SELECT utt, CAST(mix AS INTEGER) AS mix, CAST(d AS INTEGER) AS d, round(v, 4) + 0.0 AS v FROM a",
@@ -301,6 +311,8 @@ ORACLES = {
     "stationarity": f"""{_LPC}, pair AS (SELECT a.utt, a.frame, a.gain > 0 AND b.gain > 0 AS heard, a.rms AS was, b.rms AS now, b.gain,
   (1 + a.a1 ** 2 + a.a2 ** 2) * b.r0 + 2 * (a.a1 + a.a1 * a.a2) * b.r1 + 2 * a.a2 * b.r2 AS err FROM lpc a JOIN lpc b ON a.utt = b.utt AND b.frame = a.frame + 1)
 SELECT utt, frame, round(CASE WHEN heard THEN 0.2 / (err / gain - 0.8) ELSE 0 END, 4) + 0.0 AS stationarity, round(CASE WHEN heard AND was > 0 THEN now / was ELSE 0 END, 4) + 0.0 AS rms_ratio FROM pair""",
+    "pitch_window": f"""{_NCC}, y AS (SELECT utt, frame, k, pow(0.5 - 0.5 * cos({2 * math.pi}::DOUBLE * (k + 0.5) / 31), 4) * (lead(x) OVER (PARTITION BY utt, frame ORDER BY k) - 0.4::DOUBLE * x) AS y FROM fr)
+      SELECT utt, frame, round(sum(y * y), 4) + 0.0 AS energy FROM y WHERE k < 31 GROUP BY ALL""",
     "pitch_rms": f"{_NCC} SELECT utt, frame, round(sqrt(sum((x * (0.5 - 0.5 * cos({2 * math.pi}::DOUBLE * (k + 0.5) / 32))) ** 2) / 32), 5) + 0.0 AS rms FROM fr GROUP BY ALL",
     "t2_3d_argmax": f"{_THREE} SELECT utt, i, round(t2, 4) + 0.0 AS value FROM k QUALIFY row_number() OVER (PARTITION BY utt ORDER BY t2 DESC, i) = 1",
     "segment_scalar": f"{_SEGMENT} SELECT utt, start, coalesce(lead(start) OVER (PARTITION BY utt ORDER BY start), last + 1) AS stop FROM starts",
