@@ -80,6 +80,12 @@ def _three(spark, sf_dir):
     return V.frames(spark, sf_dir).select("utt", "frame", F.slice("base", 1, 3).alias("base"))
 
 
+def _scalars(spark, sf_dir):
+    """Consecutive frames of one feature of each supplier; each frame of a hundred is moved by the hundreds' number, so that some are alike."""
+    shift = F.floor(F.col("i") / 100) % 3 * F.col("utt") % 5 * 4
+    return V.big(spark, sf_dir).select("utt", F.col("i").alias("frame"), F.array(F.col("x") + shift).alias("base"))
+
+
 def _fixed(spark, sf_dir):
     own = _series(spark, sf_dir).select("utt", F.floor(F.col("frame") / 100).alias("k")).distinct()
     return own.select("utt", (F.col("k") * 100).alias("start"), (F.col("k") * 100 + 100).alias("stop"))
@@ -156,7 +162,9 @@ QUERIES = {
     "cluster_bounded": lambda spark, sf_dir: S.cluster(_fixed(spark, sf_dir), _series(spark, sf_dir), fewest=2, most=3),
     "gsv_nap": lambda spark, sf_dir: rounded(_gsv_without(spark, sf_dir).select("utt", F.posexplode("vec").alias("d", "v")), "v", digits=4),
     "t2_3d_argmax": lambda spark, sf_dir: rounded(S.best_split(S.vector_splits(_three(spark, sf_dir), 5), "t2"), "value", digits=4),
-    "segment_scalar": lambda spark, sf_dir: S.segment(V.big(spark, sf_dir).select("utt", F.col("i").alias("frame"), F.array("x").alias("base"))),
+    "segment_scalar": lambda spark, sf_dir: S.segment(_scalars(spark, sf_dir)),
+    "cluster_scalar": lambda spark, sf_dir: S.cluster(_fixed(spark, sf_dir), _scalars(spark, sf_dir)),
+    "cluster_scalar_bounded": lambda spark, sf_dir: S.cluster(_fixed(spark, sf_dir), _scalars(spark, sf_dir), fewest=2, most=3),
     "segment_bic": lambda spark, sf_dir: S.segment(_series(spark, sf_dir)),
     "cluster_bic": lambda spark, sf_dir: S.cluster(_fixed(spark, sf_dir), _series(spark, sf_dir)),
     "ncc_lag": lambda spark, sf_dir: rounded(_lagged(spark, sf_dir).select("utt", "frame", F.posexplode("c").alias("lag", "c")), "c"),
@@ -254,7 +262,8 @@ g AS (SELECT r.utt, i, n, n1, n1 * (n - n1) / n::DOUBLE AS f, sa / n1 - (ta - sa
   aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM r JOIN t USING (utt) WHERE n1 >= 5 AND n - n1 >= 5),
 k AS (SELECT utt, i, f / det * (x * x * (bb * cc - bc * bc) + y * y * (aa * cc - ac * ac) + z * z * (aa * bb - ab * ab)
   + 2 * (x * y * (ac * bc - ab * cc) + x * z * (ab * bc - ac * bb) + y * z * (ab * ac - aa * bc))) AS t2 FROM g)"""
-_SEGMENT = f"""WITH RECURSIVE {V.BIG}, p AS MATERIALIZED (SELECT utt, i, sum(x) OVER w AS s, sum(x * x) OVER w AS q, max(i) OVER (PARTITION BY utt) AS last FROM big WINDOW w AS (PARTITION BY utt ORDER BY i)),
+_SCALARS = f"{V.BIG}, sc AS (SELECT utt, i, x + i // 100 % 3 * utt % 5 * 4 AS x FROM big)"
+_SEGMENT = f"""WITH RECURSIVE {_SCALARS}, p AS MATERIALIZED (SELECT utt, i, sum(x) OVER w AS s, sum(x * x) OVER w AS q, max(i) OVER (PARTITION BY utt) AS last FROM sc WINDOW w AS (PARTITION BY utt ORDER BY i)),
 step AS (SELECT utt, 0::BIGINT AS start, 125::BIGINT AS stop, NULL::BIGINT AS cut, last FROM p WHERE i = 0
   UNION ALL SELECT utt, CASE WHEN cut IS NULL THEN start ELSE cut + 1 END, CASE WHEN ended THEN last + 1 WHEN cut IS NULL THEN stop + 50 ELSE cut + 126 END, cut, last FROM (
     SELECT *, last - place < 25 OR bic <= 0 AND stop + 51 - start > 500 AND last - start - 500 < 25 AS ended,
@@ -266,6 +275,21 @@ step AS (SELECT utt, 0::BIGINT AS start, 125::BIGINT AS stop, NULL::BIGINT AS cu
       QUALIFY row_number() OVER (PARTITION BY utt ORDER BY gap * gap / c * (n1 * (n - n1) / n) DESC, place) = 1))),
 starts AS (SELECT utt, 0::BIGINT AS start, last FROM p WHERE i = 0 UNION ALL SELECT utt, cut + 1, last FROM step WHERE cut IS NOT NULL)"""
 
+
+def _clustered(stop):
+    """Greedy joining as a recursion over lists of clusters, while `stop` lets it."""
+    cost = lambda n, s, q: f"{n} / 2 * ln(greatest({q} / {n} - ({s} / {n}) * ({s} / {n}), 0) + 1e-6)"
+    return f"""WITH RECURSIVE {_SCALARS}, seg AS (SELECT utt, i // 100 AS k, count(*)::DOUBLE AS n, sum(x) AS s, sum(x * x) AS q FROM sc GROUP BY ALL),
+joined AS (SELECT utt, 0 AS it, list({{'k': k, 'n': n, 's': s, 'q': q, 'own': [k]}} ORDER BY k) AS c FROM seg GROUP BY utt
+  UNION ALL SELECT utt, it + 1, list_append(list_filter(c, lambda x: x.k <> a.k AND x.k <> b.k), {{'k': a.k, 'n': a.n + b.n, 's': a.s + b.s, 'q': a.q + b.q, 'own': list_concat(a.own, b.own)}}) FROM (
+    SELECT utt, it, c, a, b, {cost('(a.n + b.n)', '(a.s + b.s)', '(a.q + b.q)')} - {cost('a.n', 'a.s', 'a.q')} - {cost('b.n', 'b.s', 'b.q')} - ln(a.n + b.n) AS bic
+    FROM (SELECT utt, it, c, unnest(c) AS a, c AS rest FROM joined) CROSS JOIN LATERAL (SELECT unnest(rest) AS b) WHERE a.k < b.k
+    QUALIFY row_number() OVER (PARTITION BY utt ORDER BY bic, a.k, b.k) = 1) WHERE {stop}),
+last AS (SELECT utt, unnest(c) AS x FROM joined QUALIFY it = max(it) OVER (PARTITION BY utt)),
+named AS (SELECT utt, x, row_number() OVER (PARTITION BY utt ORDER BY x.k) - 1 AS cluster FROM last)
+SELECT utt, k * 100 AS start, k * 100 + 100 AS stop, cluster FROM (SELECT utt, cluster, unnest(x.own) AS k FROM named)"""
+
+
 ORACLES = {
     "gmm_train_stats": f"{_L} SELECT mix, CAST(d AS INTEGER) AS d, round(mean, 5) + 0.0 AS mean, round(var, 5) + 0.0 AS var, round(log_w, 5) + 0.0 AS log_w FROM m",
     "gmm_component_logdens": f"{_Q} SELECT utt, frame, CAST(mix AS INTEGER) AS mix, round(q, 4) + 0.0 AS q FROM q",
@@ -315,6 +339,8 @@ SELECT utt, frame, round(CASE WHEN heard THEN 0.2 / (err / gain - 0.8) ELSE 0 EN
       SELECT utt, frame, round(sum(y * y), 4) + 0.0 AS energy FROM y WHERE k < 31 GROUP BY ALL""",
     "pitch_rms": f"{_NCC} SELECT utt, frame, round(sqrt(sum((x * (0.5 - 0.5 * cos({2 * math.pi}::DOUBLE * (k + 0.5) / 32))) ** 2) / 32), 5) + 0.0 AS rms FROM fr GROUP BY ALL",
     "t2_3d_argmax": f"{_THREE} SELECT utt, i, round(t2, 4) + 0.0 AS value FROM k QUALIFY row_number() OVER (PARTITION BY utt ORDER BY t2 DESC, i) = 1",
+    "cluster_scalar": _clustered("bic < 0"),
+    "cluster_scalar_bounded": _clustered("len(c) > 2 AND (bic < 0 OR len(c) > 3)"),
     "segment_scalar": f"{_SEGMENT} SELECT utt, start, coalesce(lead(start) OVER (PARTITION BY utt ORDER BY start), last + 1) AS stop FROM starts",
     "pitch_path": f"{_PATH} SELECT utt, frame, round(CASE WHEN voiced THEN 2000 / (lag + 0.25::DOUBLE) ELSE 0 END, 5) + 0.0 AS f0, round(CASE WHEN voiced THEN peak ELSE u END, 5) + 0.0 AS peak, rms FROM bw JOIN m USING (utt, frame)",
     "pipeline_full": f"""WITH {V.LONG.replace(', long AS', ', raw AS')}, long AS (SELECT utt, frame, d, (v - avg(v) OVER w) / greatest(stddev_pop(v) OVER w, 1e-6) AS v FROM raw WINDOW w AS (PARTITION BY utt, d)),
