@@ -138,6 +138,22 @@ def test_near_copies_equal_brute_force(spark, part):
     assert len(several) > 250 and want[20_001] == want[20_002] == 20_000 and want[20_004] == 20_003 and want[20_007] == 20_006
 
 
+def test_recall_of_near_copies_at_the_least_similarity(spark):
+    """Pairs of texts with exactly 0.8 of their shingles in common, by the number of shingles."""
+    rng = random.Random(11)
+    rows, sizes = [], (9, 45, 90, 450)
+    for size in sizes:
+        for _ in range(300):
+            shift = size // 9  # shared: size - shift of size + shift
+            words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(size + 4 + shift)]
+            rows += [(len(rows), " ".join(words[: size + 4])), (len(rows) + 1, " ".join(words[shift:]))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table(spark, rows)).collect()}
+    assert all(c // 2 == d // 2 for d, c in got.items())
+    recall = [np.mean([got.get(2 * k + 1) == 2 * k for k in range(300 * i, 300 * i + 300)]) for i in range(len(sizes))]
+    assert all(r >= least for r, least in zip(recall, (0.87, 0.94, 0.95, 0.94), strict=True)), recall
+    print("recall", dict(zip(sizes, recall, strict=True)))
+
+
 def test_near_copies_are_dropped_and_clean_documents_stay(spark):
     rng = random.Random(3)
     texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(80)]
