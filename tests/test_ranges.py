@@ -72,6 +72,13 @@ def test_sphere_by_ranges(spark, tmp_path):
         ranges.read_ranges(spark, f"{tmp_path}/none").collect()
 
 
+def test_paths_keep_their_store():
+    assert ranges.whole("/data/x", "/data/x/a.wav") == "/data/x/a.wav"
+    assert ranges.whole("file:///data/x", "/data/x/a.wav") == "file:///data/x/a.wav"
+    assert ranges.whole("hdfs://host:8020/x", "/x/a.wav") == "hdfs://host:8020/x/a.wav"
+    assert ranges.whole("s3://bucket/x", "bucket/x/a.wav") == "s3://bucket/x/a.wav"
+
+
 def test_a_failed_write_leaves_no_file(spark, tmp_path):
     bad = signal_of(spark, [1.0, 2.0]).withColumn("x", F.when(F.col("i") == 1, F.raise_error(F.lit("broken"))).otherwise(F.col("x")))
     with pytest.raises(Exception, match="broken"):

@@ -38,6 +38,14 @@ def store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def whole(uri: str, path: str) -> str:
+    """A path of a file system as a URI like the one that named the file system; a store's path begins with its bucket."""
+    if "://" not in uri:
+        return path
+    scheme, host = re.match(r"([^:]+)://([^/]*)", uri).groups()
+    return f"{scheme}://{host}{path}" if path.startswith("/") else f"{scheme}://{path}"
+
+
 def listed(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of the files at a path, in a folder, or of names that fit a pattern in one folder."""
     files, own = store(path)
@@ -132,9 +140,8 @@ class RangeReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         most, out = int(self.options.get("bytes", RANGE_BYTES)), []
-        scheme = re.match(r"[a-z0-9]+://[^/]*", self.options["path"])
         for path, size in listed(self.options["path"]):
-            path = path if not scheme or "://" in path else f"{scheme[0]}/{path.lstrip('/')}" if scheme[0].startswith("file") else f"{scheme[0].split('://')[0]}://{path.lstrip('/')}"
+            path = whole(self.options["path"], path)
             body = self._body(path, size)
             count = (body.stop - body.start) // body.width
             each = max(1, most // body.width)
