@@ -379,6 +379,26 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
             assert rows[i]["ids"] == ids and rows[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """All stages in one run over nulls, repeated rows, long texts, clashing columns and no labels at all; and over empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    one, passage = text(60), text(30)
+    rows = [(None, "no id"), (None, "no id"), (1, None), (2, ""), (3, "x" * 50_000), (4, one), (4, one), (5, one.replace(" ", "\n")), (6, f"{one} more"), (7, text(30_000)), (8, f"{text(20)} {passage} {text(9)}"), (9, "short")]
+    docs = spark.createDataFrame([(*r, *FILL, "en") for r in rows], f"doc_id long, text string{EXTRA}, source string").repartition(3)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, None), (2, ""), (3, passage), (3, passage)], "item_id long, text string")
+    for name, own in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        own.write.parquet(f"{tmp_path}/odd/{name}.parquet")
+        own.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, k) for k in (1, 3, 4, 7, 9)] + [(True, 0)]
+    assert {r["doc_id"]: r["n_tokens"] for r in got}[1] == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_contracted_links_connect_the_same(spark):
     rng = np.random.default_rng(12)
     pairs = {(int(min(p)), int(max(p))) for p in rng.integers(0, 300, (400, 2)) if p[0] != p[1]} | {(int(rng.integers(8)), k) for k in range(1000, 1200) for _ in range(12)}
