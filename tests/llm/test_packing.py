@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -58,9 +59,9 @@ def test_encoder_equals_library(library):
         assert own.encode_to_numpy(text, allowed_special="all").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_every_code_point_is_encoded_as_the_library_does(library):
+def test_every_assigned_code_point_is_encoded_as_the_library_does(library):
     own = packing.encoding(RANKS, public_tokenizers.PATTERN)
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
     for start in range(0, len(points), 64):
         text = " ".join(f"a{c}b{c}1{c}" for c in points[start : start + 64])
         assert own.encode_to_numpy(text, allowed_special="all").tolist() == library.encode(text, add_special_tokens=False).ids, start
