@@ -115,3 +115,40 @@ def test_joining_can_bring_clusters_nearer():
         joined = tuple(x + y for x, y in zip(a, b, strict=True))
         nearer += segment.delta_bic(joined, c, 1.0) < min(segment.delta_bic(a, c, 1.0), segment.delta_bic(b, c, 1.0))
     assert nearer > 5
+
+
+@pytest.mark.parametrize("operator", ["cluster"])
+def test_frames_of_intervals_are_not_broadcast(spark, operator):
+    """A few bytes of intervals hold very many frames, which their size doesn't show."""
+    frames = spark.range(2_000).selectExpr("id % 2 as utt", "id div 2 as frame", "array(cast(id % 7 as double)) as base")
+    intervals = spark.range(10).selectExpr("id % 2 as utt", "(id div 2) * 200 as start", "(id div 2) * 200 + 200 as stop", "'speech' as label")
+    made = segment.cluster(intervals, frames) if operator == "cluster" else segment.segment_intervals(frames, intervals)
+    assert {(r["utt"], r["start"]) for r in made.collect()} >= {(k % 2, k // 2 * 200) for k in range(10)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Inner, BuildLeft" not in plan and "Inner, BuildRight" not in plan
+
+
+def test_frames_meet_every_interval_that_holds_them(spark):
+    rng = np.random.default_rng(3)
+    size = segment.PART
+    own = [(u, int(a), int(a + n)) for u in (1, 2) for a, n in zip(rng.integers(0, 900, 20), [0, 1, size, size + 1, 3 * size, *rng.integers(1, 500, 15)], strict=True)]
+    frames = spark.createDataFrame([(u, f) for u in (1, 2) for f in range(1_000)], "utt long, frame long")
+    got = segment.within(frames, spark.createDataFrame(own, "utt long, start long, stop long")).select("utt", "start", "stop", "frame").collect()
+    assert sorted(map(tuple, got)) == sorted((u, a, b, f) for u, a, b in own for f in range(a, min(b, 1_000)))
+
+
+def test_clusters_of_parted_and_overlapping_segments(spark):
+    """Segments whose sums come in several batches are joined as by their sums at once."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (600, 2)).astype(float) + np.repeat([0, 6, 0], 200)[:, None]
+    cut = [(0, 150), (100, 260), (260, 400), (400, 600), (380, 590)]
+    frames = spark.createDataFrame([(7, k, r.tolist()) for k, r in enumerate(x)], "utt long, frame long, base array<double>").repartition(3)
+    n, s, q = (np.array(c) for c in zip(*(segment._stats(x[a:b]) for a, b in sorted(cut)), strict=True))
+    want = segment.agglomerated(n.astype(float), s, q, 1.0, 0.0)
+    number = {k: c for c, k in enumerate(dict.fromkeys(want))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r["start"], r["stop"]): r["cluster"] for r in segment.cluster(spark.createDataFrame([(7, *c) for c in cut], "utt long, start long, stop long"), frames).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {c: number[k] for c, k in zip(sorted(cut), want, strict=True)}

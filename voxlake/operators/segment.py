@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -304,6 +303,22 @@ def segment(frames: DataFrame, rule: ChangeRule = ChangeRule()) -> DataFrame:
     return own.mapInArrow(partial(_cut, rule=rule, keys=["utt"], schema=schema), "utt long, start long, stop long")
 
 
+#: Frames of a block by which intervals meet their frames.
+PART = 128
+
+
+def within(frames: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Each frame of `frames` with every interval (utt, start, stop, ...) of its utterance that holds it, with the columns of both.
+
+    An interval is dealt to the blocks of frames that it touches, not to its frames. The join is one of sorted sides, whatever
+    the planner makes of the intervals' size, as that is measured before they are dealt.
+    """
+    first, last = F.floor(F.col("start") / PART), F.floor((F.col("stop") - 1) / PART)
+    dealt = intervals.where("stop > start").withColumn("_block", F.explode(F.sequence(first, last)))
+    met = frames.withColumn("_block", F.floor(F.col("frame") / PART)).join(dealt.hint("merge"), ["utt", "_block"])
+    return met.where("frame >= start and frame < stop").drop("_block")
+
+
 def segment_intervals(frames: DataFrame, intervals: DataFrame, speech_only: bool = False, rule: ChangeRule = ChangeRule()) -> DataFrame:
     """(utt, start, stop, label): intervals (utt, start, stop, label) of frames, each cut at the changes inside it.
 
@@ -389,29 +404,67 @@ def agglomerated(n: np.ndarray, s: np.ndarray, q: np.ndarray, weight: float, thr
     return of.tolist()
 
 
-def cluster(segments: DataFrame, frames: DataFrame, weight: float = 1.0, threshold: float = 0.0, fewest: int = 1, most: int | None = None) -> DataFrame:
-    """(utt, start, stop, cluster): segments of each utterance, of which the two most alike are joined while they are alike enough.
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(utt, start, stop, x): count, sums and sums of products of the frames of each segment in a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("utt", "start", "stop")], 1)
+        order = np.lexsort(keys.T[::-1])
+        keys, x = keys[order], np.asarray(batch.column("base").flatten(), float).reshape(len(keys), -1)[order]
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        made = [np.concatenate([[n], total, squares.ravel()]) for n, total, squares in (_stats(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(made[0])), pa.array(np.concatenate(made)))
+        yield pa.RecordBatch.from_arrays([*(pa.array(k) for k in keys[cuts[:-1]].T.copy()), lists], names=["utt", "start", "stop", "x"])
+
+
+def _clusters(batches: Iterator[pa.RecordBatch], weight: float, threshold: float, fewest: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """(utt, start, stop, cluster) of parts of the segments' sums, which come in order of utterance and segment."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    names = ["utt", "start", "stop", "cluster"]
+
+    def joined() -> np.ndarray:
+        keys, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+        keys, x = keys[first], np.add.reduceat(x, first)
+        d = int((-1 + np.sqrt(1 + 4 * (x.shape[1] - 1))) / 2)
+        of = agglomerated(x[:, 0], x[:, 1 : 1 + d], x[:, 1 + d :].reshape(-1, d, d), weight, threshold, fewest, most)
+        number = {k: n for n, k in enumerate(dict.fromkeys(of))}
+        return np.column_stack([keys, [number[k] for k in of]])
 
-    An utterance keeps `fewest` clusters at least and, if `most` is given, no more than that. A segment's statistics are summed where its frames are; the joining sees segments, not frames. It compares
-    all segments of an utterance in one task, which holds their statistics.
-    """
-    held = segments.where("stop > start").select("utt", "start", "stop", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("frame"))
-    pairs = frames.join(held, ["utt", "frame"])
-    def summed(p: pd.DataFrame) -> pd.DataFrame:
-        n, total, squares = _stats(np.array(p["base"].tolist(), float))
-        return p[["utt", "start", "stop"]].iloc[:1].assign(x=[[float(n), *total.tolist(), *squares.ravel().tolist()]])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in names[:3]], 1)
+        x = np.asarray(batch.column("x").flatten(), float).reshape(len(keys), -1)
+        cuts = [0, *(np.flatnonzero(keys[1:, 0] != keys[:-1, 0]) + 1).tolist(), len(keys)]
+        made = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[-1][0][-1, 0] != keys[a, 0]:
+                made.append(joined())
+                held = []
+            held.append((keys[a:b], x[a:b]))
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(made).T.copy()], names=names)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in joined().T.copy()], names=names)
 
-    grouped = pairs.groupBy("utt", "start", "stop").applyInPandas(summed, "utt long, start long, stop long, x array<double>")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start").reset_index(drop=True)
-        x = np.array(pdf["x"].tolist())
-        d = int((-1 + np.sqrt(1 + 4 * (x.shape[1] - 1))) / 2)
-        of = agglomerated(x[:, 0], x[:, 1 : 1 + d], x[:, 1 + d :].reshape(-1, d, d), weight, threshold, fewest, most)
-        names = {k: n for n, k in enumerate(dict.fromkeys(of))}
-        return pdf[["utt", "start", "stop"]].assign(cluster=[names[k] for k in of])
+def cluster(segments: DataFrame, frames: DataFrame, weight: float = 1.0, threshold: float = 0.0, fewest: int = 1, most: int | None = None) -> DataFrame:
+    """(utt, start, stop, cluster): segments of each utterance, of which the two most alike are joined while they are alike enough.
 
-    return grouped.groupBy("utt").applyInPandas(run, "utt long, start long, stop long, cluster long")
+    An utterance keeps `fewest` clusters at least and, if `most` is given, no more than that. A segment's statistics are summed
+    where its frames are, a row for each batch; the joining sees segments, not frames. It compares all segments of an utterance
+    in one task, which holds their statistics.
+    """
+    longs = lambda df: [F.col(c).cast("long").alias(c) for c in df.columns if c != "base"]
+    frames, segments = frames.select("utt", "frame", "base"), segments.select("utt", "start", "stop")
+    pairs = within(frames.select(*longs(frames), F.col("base").cast("array<double>").alias("base")), segments.select(longs(segments)))
+    parts = pairs.select("utt", "start", "stop", "base").mapInArrow(_sums, "utt long, start long, stop long, x array<double>")
+    # The sums are few bytes for their work, so the number of tasks isn't left to their size.
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = parts.repartition(tasks, "utt").sortWithinPartitions("utt", "start", "stop")
+    return ordered.mapInArrow(partial(_clusters, weight=weight, threshold=threshold, fewest=fewest, most=most), "utt long, start long, stop long, cluster long")
 
 
 def pair_distances(stats: DataFrame, weight: float = 1.0) -> DataFrame:
