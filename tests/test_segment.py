@@ -117,7 +117,7 @@ def test_joining_can_bring_clusters_nearer():
     assert nearer > 5
 
 
-@pytest.mark.parametrize("operator", ["cluster"])
+@pytest.mark.parametrize("operator", ["cluster", "segment_intervals"])
 def test_frames_of_intervals_are_not_broadcast(spark, operator):
     """A few bytes of intervals hold very many frames, which their size doesn't show."""
     frames = spark.range(2_000).selectExpr("id % 2 as utt", "id div 2 as frame", "array(cast(id % 7 as double)) as base")

@@ -327,8 +327,7 @@ def segment_intervals(frames: DataFrame, intervals: DataFrame, speech_only: bool
     """
     own = intervals.select(F.col("utt").cast("long").alias("utt"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("label").cast("string").alias("label"))
     wanted = (F.col("stop") - F.col("start") >= rule.smallest) & (F.col("label").eqNullSafe("speech") if speech_only else F.lit(True))
-    held = own.where(wanted).select("*", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("frame"))
-    rows = held.join(frames.select("utt", "frame", F.col("base").cast("array<double>").alias("base")), ["utt", "frame"])
+    rows = within(frames.select("utt", "frame", F.col("base").cast("array<double>").alias("base")), own.where(wanted))
     keys = ["utt", "start", "stop", "label"]
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "frame")
     schema = pa.schema([("utt", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
