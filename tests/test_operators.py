@@ -534,3 +534,22 @@ def test_chosen_gaussians_score_as_in_the_whole(mixture):
     x = np.random.default_rng(0).normal(size=(2050, 4))
     chosen = np.argsort(-mixture.log_density(x), axis=1)[:, :2]
     assert mixture.log_density_of(x, chosen) == pytest.approx(np.take_along_axis(mixture.log_density(x), chosen, 1))
+
+
+def test_means_add_samples_in_their_order(spark):
+    """Wherever the rows lie, the last bit is that of a plain sum, which truncation to whole samples can show."""
+    rng = np.random.default_rng(5)
+    x = {u: [round(float(v), 2) for v in rng.uniform(0, 560, n)] for u, n in ((1, 4_000), (2, 67), (3, 1))}
+    rows = [(u, k, v) for u, own in x.items() for k, v in enumerate(own)]
+    order = rng.permutation(len(rows))
+    rows_of_x = spark.createDataFrame([rows[k] for k in order], "utt long, i long, x double").repartition(7)
+    got = {(r["utt"], r["i"]): r["x"] for r in signal.remove_mean(rows_of_x).collect()}
+    for u, own in x.items():
+        total = 0.0
+        for v in own:
+            total += v
+        assert [got[u, k] for k in range(len(own))] == [v - total / len(own) for v in own]
+    parted = {r["utt"]: r["mean"] for r in signal.means(rows_of_x, 16).collect()}
+    assert all(parted[u] == pytest.approx(sum(own) / len(own)) for u, own in x.items())
+    empty = spark.createDataFrame([(1, 0, None), (2, 0, 1.0), (2, 1, None)], "utt long, i long, x double")
+    assert {r["utt"]: r["mean"] for r in signal.means(empty).collect()} == {1: None, 2: 1.0}

@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import by_block, over, own_rows, with_halo
+from .blocks import SIZE, by_block, over, own_rows, with_halo
 
 PEAK = 32_767.0
 
@@ -30,8 +30,18 @@ def normalize(signal: DataFrame) -> DataFrame:
     return per_utterance(signal, peak).select("utt", "i", (F.col("x") * PEAK / F.col("peak")).alias("x"))
 
 
+def means(signal: DataFrame, size: int = SIZE) -> DataFrame:
+    """(utt, mean) with samples added in their order, inside blocks and then over blocks, so that its last bit doesn't depend on where the rows lie."""
+    own = signal.select("utt", "i", F.col("x").cast("double").alias("x"), F.floor(F.col("i") / size).alias("block"))
+    run = F.sum("x").over(over("i", "utt").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = own.withColumn("run", run).groupBy("utt", "block").agg(F.max_by("run", "i").alias("sum"), F.count("x").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("block", "sum")))
+    total = F.aggregate(listed, F.lit(0.0), lambda a, b: a + F.coalesce(b["sum"], F.lit(0.0)))
+    return blocks.groupBy("utt").agg((total / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
+
+
 def remove_mean(signal: DataFrame) -> DataFrame:
-    return per_utterance(signal, F.avg("x").alias("mean")).select("utt", "i", (F.col("x") - F.col("mean")).alias("x"))
+    return signal.join(means(signal), "utt").select("utt", "i", (F.col("x") - F.col("mean")).alias("x"))
 
 
 def preemphasis(signal: DataFrame, a: float) -> DataFrame:
