@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import g711
 from voxlake.operators import blocks, embed, features, gmm, intervals, pipes, pitch, sad, segment, signal, spectral
+from voxlake.plans import spectral_queries
 from voxlake.sources import audio, files
 from voxlake.streaming.energy import energy_sad_stream
 
@@ -553,3 +554,14 @@ def test_means_add_samples_in_their_order(spark):
     assert all(parted[u] == pytest.approx(sum(own) / len(own)) for u, own in x.items())
     empty = spark.createDataFrame([(1, 0, None), (2, 0, 1.0), (2, 1, None)], "utt long, i long, x double")
     assert {r["utt"]: r["mean"] for r in signal.means(empty).collect()} == {1: None, 2: 1.0}
+
+
+def test_spectra_of_frames_are_matrices(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 16))
+    rows = spark.createDataFrame([(1, k, r.tolist()) for k, r in enumerate(x)], "utt long, frame long, x array<double>").repartition(3)
+    got = np.array(column(spectral.in_batches(rows, spectral.power_of), "x"))
+    assert got == pytest.approx(np.abs(np.fft.rfft(x, axis=1)) ** 2)
+    assert spectral.in_batches(rows.limit(0), spectral.power_of).count() == 0
+    plan = spectral_queries.QUERIES["cepstrum"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("aggregate(") <= 2

@@ -7,7 +7,7 @@ and need no order. The bulk path runs matrix products over Arrow batches of fram
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 from itertools import accumulate
@@ -226,10 +226,27 @@ def cepstra(signal: DataFrame, config: SpectralConfig) -> DataFrame:
     return rows.select(F.col("utt").cast("long").alias("utt"), "frame", "x").mapInArrow(partial(_cepstra, config=config), "utt long, frame long, base array<double>, energy double")
 
 
-def power_spectrum(x: Column, length: int) -> Column:
-    """Power in bins 0 to length / 2 of a short frame, by its definition as sums of cosines and sines."""
-    bins = []
-    for k in range(length // 2 + 1):
-        part = lambda f: F.aggregate(F.zip_with(x, F.array(*[F.lit(f(2 * math.pi * k * t / length)) for t in range(length)]), lambda v, c: v * c), F.lit(0.0), lambda a, v: a + v)  # noqa: B023, E731
-        bins.append(F.pow(part(math.cos), F.lit(2)) + F.pow(part(math.sin), F.lit(2)))
-    return F.array(*bins)
+def _times(batches: Iterator[pa.RecordBatch], run: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            out = run(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(out, float).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("utt"), batch.column("frame"), rows], names=["utt", "frame", "x"])
+
+
+def in_batches(frames: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(utt, frame, x): what `run` makes of the arrays x, which have equal lengths, as a matrix for each Arrow batch."""
+    kind = frames.schema["utt"].dataType.simpleString()
+    return frames.select("utt", "frame", "x").mapInArrow(partial(_times, run=run), f"utt {kind}, frame long, x array<double>")
+
+
+def power_of(x: np.ndarray) -> np.ndarray:
+    """Power in bins 0 to half the length of short frames, by its definition as sums of cosines and sines."""
+    length = x.shape[1]
+    angle = 2 * np.pi * np.arange(length)[:, None] * np.arange(length // 2 + 1) / length
+    return (x @ np.cos(angle)) ** 2 + (x @ np.sin(angle)) ** 2
+
+
+def log_filterbank(power: np.ndarray, bank: np.ndarray) -> np.ndarray:
+    """10 log10 of each filter's sum over the bins, less 40."""
+    return 10 * np.log10(power @ bank.T + FLOOR) - 40

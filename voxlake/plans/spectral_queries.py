@@ -24,23 +24,26 @@ def _long(df, name, index):
     return df.select("utt", "frame", F.posexplode(name).alias(index, "v"))
 
 
+def _ready(spark, sf_dir):
+    return _frames(spark, sf_dir).select("utt", "frame", P.windowed(P.without_mean(F.col("x")), LENGTH).alias("x"))
+
+
 def _spectrum(spark, sf_dir):
-    ready = _frames(spark, sf_dir).select("utt", "frame", P.windowed(P.without_mean(F.col("x")), LENGTH).alias("x"))
-    return ready.select("utt", "frame", P.power_spectrum(F.col("x"), LENGTH).alias("p"))
+    return P.in_batches(_ready(spark, sf_dir), P.power_of).withColumnRenamed("x", "p")
 
 
 def _emphasised(spark, sf_dir):
-    return _spectrum(spark, sf_dir).select("utt", "frame", F.zip_with("p", F.array(*map(F.lit, SLOPE)), lambda a, b: a * b).alias("p"))
+    return P.in_batches(_ready(spark, sf_dir), lambda x: P.power_of(x) * SLOPE).withColumnRenamed("x", "p")
 
 
 def _filterbank(spark, sf_dir):
-    dot = lambda row: F.aggregate(F.zip_with("p", F.array(*map(F.lit, row.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return _emphasised(spark, sf_dir).select("utt", "frame", F.array(*[F.log10(dot(r) + P.FLOOR) * 10 - 40 for r in CONFIG.filterbank()]).alias("fb"))
+    bank = CONFIG.filterbank()
+    return P.in_batches(_ready(spark, sf_dir), lambda x: P.log_filterbank(P.power_of(x) * SLOPE, bank)).withColumnRenamed("x", "fb")
 
 
 def _cepstrum(spark, sf_dir):
-    dot = lambda row: F.aggregate(F.zip_with("fb", F.array(*map(F.lit, row.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return _filterbank(spark, sf_dir).select("utt", "frame", F.array(*[dot(r) for r in CONFIG.cosines()]).alias("c"))
+    bank, cosines = CONFIG.filterbank(), CONFIG.cosines()
+    return P.in_batches(_ready(spark, sf_dir), lambda x: P.log_filterbank(P.power_of(x) * SLOPE, bank) @ cosines.T).withColumnRenamed("x", "c")
 
 
 def _centers(spark, sf_dir):
