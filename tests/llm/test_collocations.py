@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -86,6 +87,24 @@ def test_shards_cut_anywhere(monkeypatch):
     assert counted() == whole and len(whole) > 1_000
 
 
+@pytest.mark.parametrize("step", ["sent", "passing"])
+def test_a_task_holds_one_shard(monkeypatch, step):
+    """The arrays of a task stay within a few times the text of one shard, however many shards follow."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 2_000) % 30_000) for _ in range(600)]
+    monkeypatch.setattr(own, "HELD", 2_000_000)
+    marks = type("Marks", (), {"value": b"\xff" * 8})
+    batches = [pa.record_batch({"lang": ["x"] * 100, "text": texts[k : k + 100]}) for k in range(0, 600, 100)]
+    run = own._sent(iter(batches), 3, 10) if step == "sent" else own._passing(iter(batches), marks, 6)
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in run) > 2
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 2 * own.HELD and peak < 22 * own.HELD, f"{peak / own.HELD:.1f}"
+
+
 def test_states_are_classes_of_end_positions():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 4, 60)

@@ -27,8 +27,10 @@ from .common import sliced, with_group, written
 DEPTH, SHARD = 3, 2_000_000
 #: Bits of one word number in a key.
 BITS = 21
-#: Characters of one language's texts that a task holds before it closes a shard; of all languages, four times as many.
+#: Bytes of one language's texts that a task holds before it closes a shard; of all languages, four times as many.
 HELD = 12_000_000
+#: Bytes of texts that are split into words at a time.
+SPLIT = 1_000_000
 #: Hashes that one group of the first sum is meant to hold, and the most bits of the filter (64 MB).
 PART, MOST_BITS = 4_000_000, 29
 
@@ -39,11 +41,28 @@ KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Phrases of one batch that is sent.
+SENT = 20_000
+
 MIXES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
-    """The words of some texts in a row, and for each whether it is the first of its piece; A-Z become lower case."""
+def words_of(texts: list[bytes]) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """The words of some texts in a row, and for each whether it is the first of its piece; A-Z become lower case. Takes the texts away."""
+    chunks, firsts, own, size = [], [], [], 0
+    texts.reverse()
+    while texts:
+        own.append(texts.pop())
+        size += len(own[-1]) + 1
+        if size >= SPLIT or not texts:
+            words, first = _split(own)
+            chunks.append(words)
+            firsts.append(first)
+            own, size = [], 0
+    return pa.chunked_array(chunks, pa.large_binary()), np.concatenate(firsts) if firsts else np.zeros(0, bool)
+
+
+def _split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     data = LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
     kind = KIND[data]
     inside = kind == 0
@@ -68,30 +87,39 @@ class Automaton:
         """`codes` number the words from 0 to words - 1; the first `skip` places are only context."""
         if words >= 1 << BITS:
             raise ValueError("too many words for one shard")
-        at = np.arange(len(codes))
-        place = np.maximum.accumulate(np.where(first, at, 0))  # the first place of each one's piece
-        last = codes.astype(np.int64) + 1
-        keys = last << (BITS * (DEPTH - 1))
+        # A shard's places and counts fit 32 bits; only keys need 64.
+        at = np.arange(len(codes), dtype=np.int32)
+        inside = at - np.maximum.accumulate(np.where(first, at, np.int32(0)))  # words of the piece before each one
+        keys = codes.astype(np.int64) + 1
+        keys <<= BITS * (DEPTH - 1)
         for d in range(1, DEPTH):
-            before = np.zeros(len(codes), np.int64)
-            before[d:] = np.where(at[d:] - d >= place[d:], last[:-d], 0)
-            keys |= before << (BITS * (DEPTH - 1 - d))
-        keys = np.sort(keys[skip:])
+            before = np.where(inside[d:] >= d, codes[:-d] + 1, 0).astype(np.int64)
+            before <<= BITS * (DEPTH - 1 - d)
+            keys[d:] |= before
+        del at, inside, before
+        keys = keys[skip:]
+        keys.sort()
         self.nodes, self.counts, self.links = {}, {}, {}
-        above = np.zeros(len(keys), np.int64)
+        above = np.zeros(len(keys), np.int32)
         for d in range(1, DEPTH + 1):
-            cut = keys >> (BITS * (DEPTH - d))
-            new = np.flatnonzero(np.diff(cut, prepend=-1))
-            real = (cut[new] & ((1 << BITS) - 1)) != 0  # no place before the piece's start
-            size = np.diff(new, append=len(cut))
-            self.nodes[d], self.counts[d], self.links[d] = cut[new[real]], size[real], above[new[real]]
-            number = np.zeros(len(new), np.int64)
-            number[real] = np.arange(real.sum())
-            above = np.repeat(number, size)
+            cut = keys >> (BITS * (DEPTH - d)) if d < DEPTH else keys
+            new = np.flatnonzero(np.append(cut[:1] != -1, cut[1:] != cut[:-1])).astype(np.int32)
+            size = np.diff(new, append=np.int32(len(cut)))
+            node = cut[new]
+            real = (node & ((1 << BITS) - 1)) != 0  # no place before the piece's start
+            self.nodes[d], self.counts[d], self.links[d] = node[real], size[real], above[new[real]]
+            if d < DEPTH:
+                number = np.zeros(len(new), np.int32)
+                number[real] = np.arange(real.sum(), dtype=np.int32)
+                above = np.repeat(number, size)
+
+    def word(self, d: int, k: int, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The numbers of the k-th words (from 0) of phrases of d words: of all, or of those chosen."""
+        return ((self.nodes[d][which] >> (BITS * k)).astype(np.int32) & ((1 << BITS) - 1)) - 1
 
     def words(self, d: int) -> list[np.ndarray]:
         """The word numbers of the phrases of d words, in the order of reading."""
-        return [((self.nodes[d] >> (BITS * k)) & ((1 << BITS) - 1)) - 1 for k in range(d)]
+        return [self.word(d, k) for k in range(d)]
 
     def longest(self, d: int) -> np.ndarray:
         """Whether a phrase of d words is the longest of its state: no longer one ends at all the same places."""
@@ -102,18 +130,25 @@ class Automaton:
         return out
 
 
-def hashes(automaton: Automaton, names: np.ndarray) -> dict[int, np.ndarray]:
-    """A hash for each phrase, by those of its words."""
-    out = {}
-    for d in range(1, DEPTH + 1):
-        h = np.full(len(automaton.nodes[d]), d, np.uint64)
-        for code in automaton.words(d):
-            h = (h ^ names[code]) * MIXES[0]
-            h ^= h >> np.uint64(29)
-            h *= MIXES[1]
-            h ^= h >> np.uint64(32)
-        out[d] = h
-    return out
+def hashes(automaton: Automaton, names: np.ndarray, d: int) -> np.ndarray:
+    """A hash for each phrase of d words, by those of its words."""
+    h = np.full(len(automaton.nodes[d]), d, np.uint64)
+    for k in range(d):
+        h ^= names[automaton.word(d, k)]
+        h *= MIXES[0]
+        h ^= h >> np.uint64(29)
+        h *= MIXES[1]
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _built(words: pa.ChunkedArray, first: np.ndarray, start: int) -> tuple[pa.Array, Automaton]:
+    """Words and automaton of the shard that starts at a word."""
+    context = min(start, DEPTH - 1)
+    own = words.slice(start - context, context + SHARD).combine_chunks().dictionary_encode()
+    flags = first[start - context : start + SHARD].copy()
+    flags[:1] = True
+    return own.dictionary, Automaton(own.indices.to_numpy(), flags, len(own.dictionary), context)
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Automaton]]:
@@ -125,16 +160,12 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, A
         del sizes[lang]
         words, first = words_of(held.pop(lang))
         for start in range(0, max(len(words), 1), SHARD):
-            context = min(start, DEPTH - 1)
-            own = words[start - context : start + SHARD].dictionary_encode()
-            flags = first[start - context : start + SHARD].copy()
-            flags[:1] = True
-            yield lang, own.dictionary, Automaton(own.indices.to_numpy(), flags, len(own.dictionary), context)
+            yield lang, *_built(words, first, start)
 
     for batch in sliced(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.setdefault(lang, []).append(text.encode())
-            sizes[lang] = sizes.get(lang, 0) + len(text) + 1
+            sizes[lang] = sizes.get(lang, 0) + len(held[lang][-1]) + 1
             if sizes[lang] >= HELD:
                 yield from close(lang)
         while sum(sizes.values()) >= 4 * HELD:
@@ -147,36 +178,34 @@ def named(lang: str, words: pa.Array) -> np.ndarray:
     """A hash of each word of a language."""
     seed = xxhash.xxh3_64_intdigest(lang)
     own = xxhash.xxh3_64_intdigest
-    return np.fromiter((own(w, seed) for w in words.to_pylist()), np.uint64, len(words))
+    return np.fromiter((own(w, seed) for start in range(0, len(words), 10_000) for w in words.slice(start, 10_000).to_pylist()), np.uint64, len(words))
 
 
 def _sent(batches: Iterator[pa.RecordBatch], bits: int, enough: int) -> Iterator[pa.RecordBatch]:
     """(part, hashes, counts): each shard's hashes, packed by their highest bits. A count above `enough` is sent as that."""
-    top = min(enough, 255)
     for lang, words, automaton in shards(batches):
-        if not len(words):
-            continue
-        own = hashes(automaton, named(lang, words))
-        h = np.concatenate([own[d] for d in own])
-        n = np.concatenate([np.minimum(automaton.counts[d], top) for d in own]).astype(np.uint8)
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        part = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-        starts = np.flatnonzero(np.diff(part, prepend=-1))
-        stops = np.append(starts[1:], len(h))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "part": pa.array(part[starts]),
-                "hashes": pa.array([h[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary()),
-                "counts": pa.array([n[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary()),
-            }
-        )
+        names = named(lang, words)
+        for d in range(1, DEPTH + 1):
+            if len(automaton.nodes[d]):
+                yield _by_part(hashes(automaton, names, d), automaton.counts[d], bits, min(enough, 255))
+        del words, automaton, names  # or they would stay while the next shard is built
+
+
+def _by_part(h: np.ndarray, counts: np.ndarray, bits: int, top: int) -> pa.RecordBatch:
+    order = np.argsort(h)
+    h, n = h[order], np.minimum(counts, top).astype(np.uint8)[order]
+    del order
+    part = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    ends = np.append(starts, len(h)).astype(np.int32)
+    packed = lambda values, width: pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * np.int32(width)), pa.py_buffer(values)])
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), packed(h, 8), packed(n, 1)], names=["part", "hashes", "counts"])
 
 
 def _frequent(group: pa.Table, enough: int) -> pa.Table:
     """(part, n, hashes): the hashes of one part that occur often enough, summed over shards."""
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()])
-    n = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("counts").to_pylist()])
+    h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")])
+    n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("counts")])
     order = np.argsort(h)
     h, n = h[order], n[order].astype(np.int64)
     starts = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
@@ -198,20 +227,22 @@ def _passing(batches: Iterator[pa.RecordBatch], marks, bits: int) -> Iterator[pa
     """(lang, size, phrase, n) of the phrases of each shard whose hash is marked."""
     marked = np.frombuffer(marks.value, np.uint8)
     for lang, words, automaton in shards(batches):
-        found = hashes(automaton, named(lang, words))
-        text = words.cast(pa.large_string())
+        names, text = named(lang, words), words.cast(pa.large_string())
         total = int(automaton.counts[1].sum())
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang], pa.string()), "size": pa.array([0], pa.int32()), "phrase": pa.array([""], pa.string()), "n": pa.array([total], pa.int64())})
-        for d, h in found.items():
-            at = (h >> np.uint64(64 - bits)).astype(np.int64)
-            keep = np.flatnonzero((marked[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            for start in range(0, len(keep), 100_000):
-                own = keep[start : start + 100_000]
-                parts = [text.take(pa.array(code[own])) for code in automaton.words(d)]
+        for d in range(1, DEPTH + 1):
+            at = hashes(automaton, names, d)
+            at >>= np.uint64(64 - bits)
+            keep = np.flatnonzero((marked[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(np.int32)
+            del at
+            for start in range(0, len(keep), SENT):
+                own = keep[start : start + SENT]
+                parts = [text.take(pa.array(automaton.word(d, k, own))) for k in range(d)]
                 phrase = parts[0] if d == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
                 yield pa.RecordBatch.from_pydict(
-                    {"lang": pa.array([lang] * len(own), pa.string()), "size": pa.array(np.full(len(own), d, np.int32)), "phrase": phrase.cast(pa.string()), "n": pa.array(automaton.counts[d][own])}
+                    {"lang": pa.array([lang] * len(own), pa.string()), "size": pa.array(np.full(len(own), d, np.int32)), "phrase": phrase.cast(pa.string()), "n": pa.array(automaton.counts[d][own].astype(np.int64))}
                 )
+        del words, automaton, names, text  # or they would stay while the next shard is built
 
 
 def phrase_counts(docs: DataFrame, enough: int = 10) -> DataFrame:
