@@ -1,9 +1,11 @@
 """Closed forms, sequential restatements and round trips of the speech operators."""
 
 import struct
+import tracemalloc
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -436,6 +438,39 @@ def test_blocks_of_many_utterances_and_of_none(spark):
     assert column(signal.fir(holes, [1.0, 1.0]), "x", "i") == [0.0, 2.0, 5.0, 3.0]
 
 
+@pytest.mark.parametrize("samples", [10, 17])
+def test_a_batch_bounds_what_blocks_leave_behind(samples):
+    """Very many utterances, too short for a frame or just long enough for one, are not held beyond a batch."""
+    n = 100
+
+    def fed(count):
+        for k in range(0, count, n):
+            utt, i = np.repeat(np.arange(k, k + n), samples), np.tile(np.arange(samples), n)
+            yield pa.record_batch({"utt": utt, "block": np.zeros(len(i), np.int64), "i": i, "x": i * 1.0})
+
+    def peak(count):
+        tracemalloc.start()
+        try:
+            rows = sum(b.num_rows for b in blocks._run(fed(count), partial(spectral._cut, length=16, step=8), 65_536, "frame"))
+            assert rows == (count if samples > 16 else 0)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    peak(n)
+    assert peak(50_000) < 1.5 * peak(10_000)
+
+
+def test_cepstra_take_one_python_worker_a_task(spark):
+    """Frames become features where they are cut; the table of decisions needs no Python."""
+    plan = spectral.cepstra(signal_of(spark, np.zeros(800)), spectral.SpectralConfig())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    scores = spark.range(3).select(F.col("id").alias("utt"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model"), F.col("id").cast("double").alias("score"))
+    plan = gmm.decide(scores, {"x": ("a", "b")})._jdf.queryExecution().optimizedPlan().toString()
+    assert "RDD" not in plan and gmm.decide(scores, {}).count() == 0
+    assert [tuple(r) for r in gmm.decide(scores, {"x": ("a", "b")}).orderBy("utt").collect()] == [(k, "x", 0.0) for k in range(3)]
+
+
 def test_configurations():
     text = '{"feat_type": "mfcc", "alpha": "1", "dither": "0.5", "fb_low": 300, "fb_hi": 3140, "keep_c0": "true", "linear": 0, "num_cep": "6", "win_inc_ms": 10, "win_len_ms": 20, "other": 1}'
     assert pipes.spectral_config(text) == spectral.SpectralConfig(dither=0.5, keep_c0=True, num_cep=6)

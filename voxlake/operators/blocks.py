@@ -52,25 +52,34 @@ def clamped(value: Column, shift: int, index: str, *keys: str) -> Column:
 
 #: Indices of a block's samples and the samples, where the block starts and its size; gives indices and values (numbers or rows of a matrix).
 Run = Callable[[np.ndarray, np.ndarray, int, int], tuple[np.ndarray, np.ndarray]]
-#: Values that are gathered before a batch goes out.
-OUT = 1_000_000
+#: What is made of all rows of a batch before it goes out: from their indices and values, a row of values for each.
+Then = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Values that are gathered before a batch goes out; a block's arrays weigh as much as so many values besides.
+OUT, BESIDES = 250_000, 50
 
 
-def _packed(made: list[tuple], kind: pa.DataType, name: str) -> pa.RecordBatch:
+def _packed(made: list[tuple], kind: pa.DataType, name: str, then: Then | None) -> pa.RecordBatch:
     utt = pa.array([u for u, *_ in made], kind).take(pa.array(np.repeat(np.arange(len(made)), [len(at) for _, at, _ in made])))
     at, y = (np.concatenate([m[k] for m in made]) for k in (1, 2))
+    if then is not None:
+        y = np.ascontiguousarray(then(at, y))
     if y.ndim == 1:
         return pa.RecordBatch.from_arrays([utt, pa.array(at), pa.array(y)], names=["utt", name, "x"])
     rows = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel()))
     return pa.RecordBatch.from_arrays([utt, pa.array(at), rows], names=["utt", name, "x"])
 
 
-def _run(batches: Iterator[pa.RecordBatch], run: Run, size: int, name: str) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], run: Run, size: int, name: str, then: Then | None = None) -> Iterator[pa.RecordBatch]:
     key, kind, held, made, waiting = None, None, [], [], 0
 
-    def finished() -> tuple:
+    def finish() -> int:
+        """Makes what the block gives, and tells how many values it holds; a block too short for any is not kept."""
         i, x = (np.concatenate(c) for c in zip(*held, strict=True))
-        return key[0], *run(i, x, key[1] * size, size)
+        at, y = run(i, x, key[1] * size, size)
+        if not len(at):
+            return 0
+        made.append((key[0], at, y))
+        return y.size + BESIDES
 
     for batch in batches:
         kind = batch.column("utt").type
@@ -80,25 +89,26 @@ def _run(batches: Iterator[pa.RecordBatch], run: Run, size: int, name: str) -> I
             if a == b:
                 continue
             if held and key != (utt[a], block[a]):
-                made.append(finished())
-                waiting, held = waiting + made[-1][2].size, []
+                waiting, held = waiting + finish(), []
                 if waiting > OUT:
-                    yield _packed(made, kind, name)
+                    yield _packed(made, kind, name, then)
                     made, waiting = [], 0
             key = utt[a], block[a]
             held.append((i[a:b], x[a:b]))
     if held:
-        made.append(finished())
-        yield _packed(made, kind, name)
+        finish()
+    if made:
+        yield _packed(made, kind, name, then)
 
 
-def by_block(signal: DataFrame, before: int, after: int, run: Run, name: str = "i", matrix: bool = False, size: int = SIZE) -> DataFrame:
+def by_block(signal: DataFrame, before: int, after: int, run: Run, name: str = "i", matrix: bool = False, size: int = SIZE, then: Then | None = None) -> DataFrame:
     """(utt, `name`, x): what `run` makes of each block of a signal and of as many samples in front of and after it.
 
-    Each sample is shuffled once, and a task holds one block at a time. A null sample is 0.
+    Each sample is shuffled once, and a task holds one block and a batch of `OUT` values at a time. A null sample is 0.
+    `then` goes on with the rows of a whole batch in the same Python worker.
     """
     size = max(size, before, after, 1)
     plain = signal.where("utt is not null").select("utt", F.col("i").cast("long").alias("i"), F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"))
     own = with_halo(plain, "i", before, after, size).drop("halo").repartition("utt", "block").sortWithinPartitions("utt", "block", "i")
     schema = f"utt {signal.schema['utt'].dataType.simpleString()}, {name} long, x {'array<double>' if matrix else 'double'}"
-    return own.mapInArrow(partial(_run, run=run, size=size, name=name), schema)
+    return own.mapInArrow(partial(_run, run=run, size=size, name=name, then=then), schema)

@@ -226,6 +226,8 @@ def _table(like: DataFrame, model: Mixture) -> DataFrame:
 
 def decide(scores: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """(utt, language, score): each language's first model less its second."""
-    rows = [(name, m, sign) for name, both in pairs.items() for m, sign in zip(both, (1.0, -1.0), strict=True)]
-    table = scores.sparkSession.createDataFrame(rows, "language string, model string, sign double")
+    rows = [{"language": name, "model": m, "sign": sign} for name, both in pairs.items() for m, sign in zip(both, (1.0, -1.0), strict=True)]
+    # As an Arrow table it needs no Python workers of its own.
+    named = pa.schema([("language", pa.string()), ("model", pa.string()), ("sign", pa.float64())])
+    table = scores.sparkSession.createDataFrame(pa.Table.from_pylist(rows, named))
     return scores.join(F.broadcast(table), "model").groupBy("utt", "language").agg(F.sum(F.col("score") * F.col("sign")).alias("score"))

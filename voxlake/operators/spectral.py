@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SIZE, by_block
+from .blocks import SIZE, Then, by_block
 
 #: Fixed value: twice pi as the window has it.
 TWO_PI = 6.283185308
@@ -44,14 +44,14 @@ def _cut(i: np.ndarray, x: np.ndarray, start: int, size: int, length: int, step:
     return frame[whole], np.lib.stride_tricks.sliding_window_view(own, length)[at[whole]]
 
 
-def framed(signal: DataFrame, length: int, step: int) -> DataFrame:
+def framed(signal: DataFrame, length: int, step: int, then: Then | None = None) -> DataFrame:
     """(utt, frame, x): frames of `length` samples, `step` apart, each as one array.
 
     Frames are cut from blocks of consecutive samples, so no task holds an utterance. Frames that the signal's
-    end cuts off are left out.
+    end cuts off are left out. With `then` x is what it makes of the numbers and samples of many frames.
     """
     size = max(length, min(SIZE, 4_000_000 * step // length))
-    return by_block(signal, 0, length, partial(_cut, length=length, step=step), "frame", matrix=True, size=size)
+    return by_block(signal, 0, length, partial(_cut, length=length, step=step), "frame", matrix=True, size=size, then=then)
 
 
 def mean_of(x: Column) -> Column:
@@ -203,27 +203,29 @@ def draws_from(starts: Sequence[int], count: int) -> np.ndarray:
     return np.where(z < 1, z + GENERATORS[0][0] - 1, z) / GENERATORS[0][0]
 
 
-def _cepstra(batches: Iterator[pa.RecordBatch], config: SpectralConfig) -> Iterator[pa.RecordBatch]:
+def _cepstra(frame: np.ndarray, x: np.ndarray, config: SpectralConfig) -> np.ndarray:
+    """The features of frames, and their energy last."""
     bank, cosines, slope, window = config.filterbank(), config.cosines(), config.slope(), np.array(hamming(config.length))
-    for batch in batches:
-        x = batch.column("x").flatten().to_numpy().reshape(-1, config.length)
-        if config.dither:
-            x = x + config.dither * (2 * draws_from([f * config.length + 1 for f in batch.column("frame").to_pylist()], config.length) - 1)
-        x = (x - x.mean(1, keepdims=True)) * window
-        e = 10 * np.log10((x * x).sum(1) + FLOOR) - 40
-        power = np.abs(np.fft.rfft(x, config.transform, axis=1)) ** 2 * slope
-        out = 10 * np.log10(power @ bank.T + FLOOR) - 40
-        if not config.fb_only:
-            out = out @ cosines.T
-        base = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), out.shape[1]).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("utt"), batch.column("frame"), base, pa.array(e)], names=["utt", "frame", "base", "energy"])
+    if config.dither:
+        x = x + config.dither * (2 * draws_from((frame * config.length + 1).tolist(), config.length) - 1)
+    x = (x - x.mean(1, keepdims=True)) * window
+    e = 10 * np.log10((x * x).sum(1) + FLOOR) - 40
+    power = np.abs(np.fft.rfft(x, config.transform, axis=1)) ** 2 * slope
+    out = 10 * np.log10(power @ bank.T + FLOOR) - 40
+    if not config.fb_only:
+        out = out @ cosines.T
+    return np.concatenate([out, e[:, None]], axis=1)
 
 
 def cepstra(signal: DataFrame, config: SpectralConfig) -> DataFrame:
-    """(utt, frame, base, energy): dither, mean removal, window, energy, power spectrum, filterbank and cosines of each frame."""
+    """(utt, frame, base, energy): dither, mean removal, window, energy, power spectrum, filterbank and cosines of each frame.
+
+    Frames become features where they are cut, so they cross no worker's border.
+    """
     config.validate()
-    rows = framed(signal, config.length, config.step)
-    return rows.select(F.col("utt").cast("long").alias("utt"), "frame", "x").mapInArrow(partial(_cepstra, config=config), "utt long, frame long, base array<double>, energy double")
+    rows = framed(signal, config.length, config.step, partial(_cepstra, config=config))
+    n = F.size("x") - 1
+    return rows.select(F.col("utt").cast("long").alias("utt"), "frame", F.slice("x", F.lit(1), n).alias("base"), F.get("x", n).alias("energy"))
 
 
 def _times(batches: Iterator[pa.RecordBatch], run: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
